@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import binary, bpe, mixing, secrets, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,5 +23,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * n_copies AS taken")
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op10_mixing": op10_mixing}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and the ids decoded."""
+    encoded = bpe.encode(_read(spark, sf_dir, "documents"), offsets=False)
+    return bpe.digests(bpe.decode(encoded))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text holds of secrets, by a ledger that starts empty."""
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_of(base), 256).alias("base_sha256"), secrets.spans_of(F.col("findings")).alias("spans"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written and read back by key."""
+    docs = _read(spark, sf_dir, "documents")
+    folder, manifest = binary.write(docs)
+    found = binary.checksums(binary.look_up(spark, folder, docs))
+    return binary.with_starts(found, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_sharding": op4_sharding,
+    "op5_secrets": op5_secrets,
+    "op9_token_store": op9_token_store,
+    "op10_mixing": op10_mixing,
+}
 ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
