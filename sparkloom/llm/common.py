@@ -104,3 +104,60 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     low = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return low.union(roots.join(low.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti"))
+
+
+def by_group(batches, n_keys: int):
+    """Tables of consecutive rows that agree in the first n_keys columns, of batches so sorted.
+    One group at a time is held; groups must be bounded by their maker."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for c in b.columns[:n_keys]:
+            x = c.to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        first = tuple(c[0].as_py() for c in b.columns[:n_keys])
+        new[0] = first != last
+        last = tuple(c[b.num_rows - 1].as_py() for c in b.columns[:n_keys])
+        cuts = [*np.flatnonzero(new).tolist(), b.num_rows]
+        if cuts[0]:
+            held.append(b.slice(0, cuts[0]))
+        for a, z in zip(cuts, cuts[1:]):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [b.slice(a, z - a)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Union-find over 0 .. n-1 whose roots are least members."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def triangle(df: DataFrame, chunk: Column, chunks: Column) -> DataFrame:
+    """Each row once for every pair of chunks (i <= j) with its own in it, as columns __i, __j: the
+    blocks in which all pairs of rows of a large group meet, without a group in one task."""
+    other = F.explode(F.sequence(F.lit(0), chunks - 1))
+    return df.withColumn("__k", chunk).withColumn("__o", other).select(*df.columns, F.least("__k", "__o").cast("int").alias("__i"), F.greatest("__k", "__o").cast("int").alias("__j"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, mixing, secrets, sharding
+from . import binary, bpe, minmax, mixing, pivots, secrets, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * n_copies AS taken")
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.9 or more and its component."""
+    return pivots.groups(_read(spark, sf_dir, "embeddings"), cosine=0.9).withColumnRenamed("id", "vec_id")
+
+
+def op2_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component under similarity 0.85 of 3-word shingles."""
+    return minmax.groups(_read(spark, sf_dir, "documents"), words=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and the ids decoded."""
     encoded = bpe.encode(_read(spark, sf_dir, "documents"), offsets=False)
@@ -49,6 +59,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pivots": op1_pivots,
+    "op2_minmax": op2_minmax,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op5_secrets": op5_secrets,
