@@ -22,3 +22,28 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, wherever they run."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="sparkloom-"))
+    shutil.copytree(root, at / "zip" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(at / root.name), "zip", at / "zip"))
+
+
+def map_arrow(df, batches, schema):
+    """df.mapInArrow, with this package at hand in the workers; for DataFrame.transform."""
+    ship(df.sparkSession)
+    return df.mapInArrow(batches, schema)
