@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from ..session import map_arrow
 from .common import cut, lookup_join, new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -182,12 +183,38 @@ class Shard:
 
 
 def _hf(path: str) -> bpe.Encoder:
+    """An encoder whose slices are merged by the tokenizers library.
+
+    Slices without white space but a leading space go to the library as one text, with a line feed after each:
+    a line feed before any of them is a slice of its own, and its id parts the results."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings are ordinary text in a document
-    return bpe.Encoder(lambda new: [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)])
+
+    def ids_of(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    (feed,) = ids_of(["\n"])[0]
+
+    def merge(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        white = np.fromiter((s.isspace() for s in new), bool, len(new))
+        words = [s for s, w in zip(new, white) if not w]
+        flat = np.fromiter(ids_of(["\n".join([*words, ""])])[0], np.uint32) if words else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == feed)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer cuts texts otherwise")
+        sizes = np.zeros(len(new), np.int64)
+        sizes[~white] = np.diff(np.append(-1, ends)) - 1
+        single, n = bpe.flat_lists(ids_of([s for s, w in zip(new, white) if w]))
+        sizes[white] = n
+        of_white = np.repeat(white, sizes)
+        ids = np.zeros(len(of_white), np.uint32)
+        ids[of_white], ids[~of_white] = single, flat[flat != feed]
+        return ids, sizes
+
+    return bpe.Encoder(merge)
 
 
 _encoders: dict[str, bpe.Encoder] = {}
@@ -243,8 +270,8 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
             _write_bucket(folder, int(cols["bucket"][at[0]]), h1, h2, cols["shard"][at], cols["row"][at], cols["rows"][at])
             yield pa.RecordBatch.from_arrays([pa.array([int(cols["bucket"][at[0]])], pa.int32()), pa.array([len(at)], pa.int64())], ["bucket", "keys"])
 
-    entries = cut(rows.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(payload, "shard int, bucket int, h1 long, h2 long, row long, rows long, ids long"))
-    indexed = entries.repartition(buckets, "bucket").mapInArrow(index, "bucket int, keys long").agg(F.sum("keys"), F.count("*")).first()
+    entries = cut(rows.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(map_arrow, payload, "shard int, bucket int, h1 long, h2 long, row long, rows long, ids long"))
+    indexed = entries.repartition(buckets, "bucket").transform(map_arrow, index, "bucket int, keys long").agg(F.sum("keys"), F.count("*")).first()
     sums = entries.groupBy("shard").agg(F.sum("rows").alias("docs"), F.sum("ids").alias("ids"))
     manifest = cut(sums.selectExpr("shard", "docs", "ids", "sum(ids) OVER (ORDER BY shard) - ids AS start"))
     head = {"buckets": buckets, "indexed_keys": int(indexed[0] or 0), "bucket_files": int(indexed[1]), "end_id": end_id, "width": width}
@@ -310,9 +337,9 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame, key: str = "doc_i
             if where:
                 yield out()
 
-    asked = keys.select(F.col(key).alias("key")).distinct().mapInArrow(hashed, f"key {kind}, bucket int, h1 long, h2 long")
-    found = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(entries, f"key {kind}, shard long, row long, rows long")
-    got = found.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(payload, f"key {kind}, shard long, row long, offset long, ids array<int>")
+    asked = keys.select(F.col(key).alias("key")).distinct().transform(map_arrow, hashed, f"key {kind}, bucket int, h1 long, h2 long")
+    found = asked.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, entries, f"key {kind}, shard long, row long, rows long")
+    got = found.repartition("shard").sortWithinPartitions("shard", "row").transform(map_arrow, payload, f"key {kind}, shard long, row long, offset long, ids array<int>")
     return got.withColumnRenamed("key", key)
 
 
@@ -328,7 +355,7 @@ def checksums(got: DataFrame, key: str = "doc_id") -> DataFrame:
             crc = [zlib.crc32(flat[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("shard"), b.column("offset"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], [key, "shard", "offset", "n_tokens", "ids_crc32"])
 
-    return got.mapInArrow(batches, f"`{key}` {kind}, shard long, offset long, n_tokens long, ids_crc32 long")
+    return got.transform(map_arrow, batches, f"`{key}` {kind}, shard long, offset long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(found: DataFrame, manifest: DataFrame) -> DataFrame:

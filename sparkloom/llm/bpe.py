@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: White_Space of Unicode.
@@ -109,8 +111,7 @@ class Slicer:
         self.classes, self.automaton = _classes(), Automaton()
         self.base = np.array([L, N, O, O, SP_LAST, WS_LAST], np.uint8)
 
-    def symbols(self, joined: str, firsts: np.ndarray) -> np.ndarray:
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def symbols(self, points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         classes = self.classes[points]
         out = self.base[classes]
         n = len(out)
@@ -122,7 +123,7 @@ class Slicer:
         out[white & before_white] -= 1  # the _IN forms precede the _LAST forms
         at = np.flatnonzero(classes == 3)
         if len(at):
-            padded = np.append(points, [0, 0])
+            padded = np.append(points, np.zeros(2, points.dtype))
             left = ends[np.searchsorted(firsts, at, "right") - 1] - at
             one, two = padded[at + 1], padded[at + 2]
             out[at[(left >= 1) & np.isin(one, [ord(c) for c in ENDINGS_1])]] = A1
@@ -133,20 +134,52 @@ class Slicer:
         out[firsts] += FIRST
         return out
 
-    def slices(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The slices of all texts in order, the number of slices of each text, and the start of
-        each slice in its text."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        full = sizes > 0
-        if not full.any():
-            return [], np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
-        joined = "".join(texts)
-        begins = np.cumsum(sizes) - sizes
-        firsts = begins[full]
-        starts = np.flatnonzero(self.automaton.slice_starts(self.symbols(joined, firsts)))
-        counts = np.searchsorted(starts, begins + sizes) - np.searchsorted(starts, begins)
-        cuts = [*starts.tolist(), len(joined)]
-        return [joined[a:b] for a, b in zip(cuts, cuts[1:])], counts, starts - np.repeat(begins, counts)
+    def spans(self, texts: list[str]) -> Spans:
+        joined, points, begins = join_texts(texts)
+        firsts = begins[:-1][np.diff(begins) > 0]
+        starts = np.flatnonzero(self.automaton.slice_starts(self.symbols(points, firsts))) if len(firsts) else np.zeros(0, np.int64)
+        return Spans(joined, points, begins, starts, np.append(starts[1:], len(points)))
+
+
+def join_texts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts as one, its code points, and where each text begins (and the last ends)."""
+    joined = "".join(texts)
+    return joined, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+
+
+class Spans:
+    """Stretches [starts, ends) of joined texts, in order, none across two texts."""
+
+    def __init__(self, joined: str, points: np.ndarray, begins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.joined, self.points, self.begins, self.starts, self.ends = joined, points, begins, starts, ends
+        at = np.searchsorted(starts, begins)
+        self.counts = np.diff(at)
+
+    def starts_in_text(self) -> np.ndarray:
+        return self.starts - np.repeat(self.begins[:-1], self.counts)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each stretch: differences of one running sum of c[i] * B**i, scaled
+        back by B**-start."""
+        up, down = _powers(len(self.points))
+        sums = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * up, out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))) | np.uint64(1)  # 0 marks an empty place
+
+
+_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n >= len(_power[0]):
+        base = 0xD1342543DE82EF95
+        for i, b in enumerate((base, pow(base, -1, 1 << 64))):
+            x = np.full(n + n // 4 + 1, b, np.uint64)
+            x[0] = 1
+            _power[i] = np.multiply.accumulate(x)
+    return _power[0][:n], _power[1]
 
 
 class Merger:
@@ -209,43 +242,79 @@ class Merger:
         return [x for x, keep in zip(ids, alive) if keep]
 
 
-class SliceCache(dict):
-    """slice -> number of its row in a growing flat table of ids. Emptied when full: it only saves
-    work, so nothing depends on what is in it."""
+class SliceCache:
+    """stretch of text -> its row in a growing flat table of ids, by an open-addressing table of
+    64-bit hashes (two stretches of one cache fall together with a chance of about 1e-7 in all).
+    Emptied when full: it only saves work, so nothing depends on what is in it."""
 
-    def __init__(self, merge: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
-        super().__init__()
-        self.merge, self.limit = merge, limit
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 21) -> None:
+        self.merge, self.bits = merge, bits
         self.clear()
 
     def clear(self) -> None:
-        super().clear()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.keys, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.flat, self.used, self.rows_used = np.zeros(1 << 16, np.uint32), 0, 0
         self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def rows(self, slices: list[str]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        if new := [s for s in dict.fromkeys(slices) if s not in self]:
-            ids = self.merge(new)
-            k, sizes = len(self), np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        todo, at = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            k = self.keys[at]
+            hit = k == h[todo]
+            out[todo[hit]] = self.row[at[hit]]
+            more = ~hit & (k != 0)
+            todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _insert(self, h: np.ndarray, rows: np.ndarray) -> None:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            won = free & (self.keys[at] == h)
+            self.row[at[won]] = rows[won]
+            h, rows, at = h[~won], rows[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def rows(self, spans: Spans) -> np.ndarray:
+        """The row of each stretch; what isn't there is merged and added."""
+        h = spans.hashes()
+        rows = self._find(h)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, where = np.unique(h[missing], return_index=True)
+            if 2 * (self.rows_used + len(new)) > len(self.keys):
+                if self.rows_used:
+                    self.clear()
+                    return self.rows(spans)
+                self.bits = 2 + int(len(new)).bit_length()  # one batch of more than fits
+                self.clear()
+            where = missing[where]
+            joined = spans.joined
+            ids, sizes = self.merge([joined[a:b] for a, b in zip(spans.starts[where].tolist(), spans.ends[where].tolist())])
+            k, total = self.rows_used, len(ids)
             if k + len(new) > len(self.n):
                 self.first, self.n = (np.concatenate([x, np.zeros(max(len(x), k + len(new)), np.int64)]) for x in (self.first, self.n))
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), self.used + total), np.uint32)])
             self.n[k : k + len(new)] = sizes
             self.first[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-            self.used += total
-            self.update(zip(new, range(k, k + len(new))))
-        return np.fromiter(map(self.__getitem__, slices), np.int64, len(slices))
+            self.flat[self.used : self.used + total] = ids
+            self.used, self.rows_used = self.used + total, k + len(new)
+            self._insert(new, np.arange(k, k + len(new)))
+            rows[missing] = self._find(h[missing])
+        return rows
 
     def tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the slices in order, and the number of ids of each slice."""
+        """The ids of the stretches in order, and the number of ids of each."""
         return gather(self.flat, self.first[rows], self.n[rows]), self.n[rows]
 
 
+def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for y in lists for x in y), np.uint32, int(sizes.sum())), sizes
+
+
 def gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The ranges flat[first : first + n], one after the other."""
     ends = np.cumsum(n)
@@ -258,25 +327,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, merge: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.slicer, self.cache = Slicer(), SliceCache(merge)
 
     @classmethod
     def of_ranks(cls, path: str) -> Encoder:
         merger = Merger(load_ranks(path))
-        return cls(lambda new: list(map(merger, new)))
+        return cls(lambda new: flat_lists(list(map(merger, new))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, their number for each text, and for each slice its start in the text
         and the number of slices of each text."""
-        slices, counts, starts = self.slicer.slices(texts)
-        ids, n = self.cache.tokens(self.cache.rows(slices))
+        spans = self.slicer.spans(texts)
+        ids, n = self.cache.tokens(self.cache.rows(spans))
         ends = np.append(0, np.cumsum(n))
-        upto = np.append(0, np.cumsum(counts))
-        return ids, ends[upto[1:]] - ends[upto[:-1]], starts, counts
+        upto = np.append(0, np.cumsum(spans.counts))
+        return ids, ends[upto[1:]] - ends[upto[:-1]], spans.starts_in_text(), spans.counts
 
 
-def pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def pieces(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
     """Texts in runs of about so many characters, which bounds the arrays made of them."""
     run, size = [], 0
     for t in texts:
@@ -325,7 +394,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, rows), _lists(ids, n, pa.int32()), _lists(starts, counts, pa.int32())], [key, "ids", "slice_starts"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, ids array<int>, slice_starts array<int>")
+    return docs.select(key, text).transform(map_arrow, batches, f"`{key}` {kind}, ids array<int>, slice_starts array<int>")
 
 
 class Decoder:
@@ -374,7 +443,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", name:
                 begin = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.binary())], [*columns, name])
 
-    return encoded.mapInArrow(batches, schema)
+    return encoded.transform(map_arrow, batches, schema)
 
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .common import Forest, by_group, components, cut, triangle
 
 #: Words of a shingle and least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: Bands and values in each: at a similarity of 0.85 a pair is missed with probability 5e-6, at 0.8 2e-4.
-BANDS, ROWS = 26, 6
+#: Signature values, and the greatest chance of missing a pair at the least similarity.
+VALUES, MISS = 160, 1e-5
 #: Bytes of sets in one chunk of a block.
 CHUNK_BYTES = 4 << 20
 
@@ -39,6 +40,13 @@ _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and values in each: the longest bands that miss a pair at the least similarity with no more than
+    the chance MISS."""
+    fit = [(VALUES // r, r) for r in range(1, 33) if (1 - (percent / 100) ** r) ** (VALUES // r) <= MISS]
+    return max(fit, key=lambda x: x[1]) if fit else (VALUES, 1)
+
+
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -104,9 +112,10 @@ def bands_of(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, s1, s2, bands): the size of each row's set, two hashes that stand for the set
     (null if empty) and its band hashes."""
+    bands, rows = banding(percent)
     k = -(-bands * rows // 2)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +131,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
             n, s1, s2, bs = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bs, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(batches, "id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).transform(map_arrow, batches, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -145,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
     texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).where("__text IS NOT NULL")
-    return wanted.join(texts, F.col("id") == F.col("__id")).select("id", "s1", "__text").mapInArrow(batches, "id long, set binary")
+    return wanted.join(texts, F.col("id") == F.col("__id")).select("id", "s1", "__text").transform(map_arrow, batches, "id long, set binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -169,7 +178,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(batches, "a long, b long")
+    return two.select("a", "b", "set_a", "set_b").transform(map_arrow, batches, "a long, b long")
 
 
 def _across(table: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -195,9 +204,9 @@ def _across(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs."""
-    signed = cut(signatures(docs, words, bands, rows, key, text))
+    signed = cut(signatures(docs, words, percent, key, text))
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     posted = classes.select("id", "s1", "n", F.explode("bands").alias("band"))
@@ -222,7 +231,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: i
             pairs = _across(table, percent)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    bridges = shipped.repartition("band", "__i", "__j").sortWithinPartitions("band", "__i", "__j").mapInArrow(blocks, "a long, b long")
+    bridges = shipped.repartition("band", "__i", "__j").sortWithinPartitions("band", "__i", "__j").transform(map_arrow, blocks, "a long, b long")
     merged = components(bridges)
     final = labels.join(merged.select(F.col("node").alias("__node"), F.col("component").alias("__to")), F.col("component") == F.col("__node"), "left").select("node", F.coalesce("__to", "component").alias("component"))
     alone = merged.join(labels.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti")

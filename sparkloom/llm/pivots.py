@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .common import Forest, by_group, components, cut, triangle
 
 COSINE = 0.9
@@ -78,7 +79,7 @@ def describe(vectors: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "weight", "vector", "pivots"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.mapInArrow(batches, f"id long, weight long, vector {kind}, pivots array<int>")
+    return vectors.transform(map_arrow, batches, f"id long, weight long, vector {kind}, pivots array<int>")
 
 
 def _block(table: pa.Table, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def groups(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, sha
             found = _block(table, cosine, shared)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["id", "links", "root"])
 
-    found = cut(lists.repartition("pivot", "__i", "__j").sortWithinPartitions("pivot", "__i", "__j").mapInArrow(blocks, "id long, links long, root long"))
+    found = cut(lists.repartition("pivot", "__i", "__j").sortWithinPartitions("pivot", "__i", "__j").transform(map_arrow, blocks, "id long, links long, root long"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     near = classes.join(links.withColumnRenamed("id", "__l"), F.col("id") == F.col("__l"), "left").join(joined, F.col("id") == F.col("node"), "left")

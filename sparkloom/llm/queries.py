@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, minmax, mixing, pivots, secrets, sharding
+from . import binary, bpe, cotrain, fertility, minmax, mixing, pivots, secrets, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_of(base), 256).alias("base_sha256"), secrets.spans_of(F.col("findings")).alias("spans"))
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every text, and the verdict of its tokeniser's fertility."""
+    judged = fertility.judge(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by two views."""
+    docs = _read(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.learn(docs, _read(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside the held-out fifth."""
+    docs = _read(spark, sf_dir, "documents")
+    remainder = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5
+    model = toxicity.learn(docs, _read(spark, sf_dir, "labels"), remainder("id") != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written and read back by key."""
     docs = _read(spark, sf_dir, "documents")
@@ -64,6 +85,9 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op5_secrets": op5_secrets,
+    "op6_fertility": op6_fertility,
+    "op7_cotraining": op7_cotraining,
+    "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store,
     "op10_mixing": op10_mixing,
 }

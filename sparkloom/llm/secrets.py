@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_arrow, ship
 from .common import cut, new_path
 
 #: Kinds in the order in which they are listed.
@@ -103,7 +104,7 @@ def update(ledger: Ledger, docs: DataFrame, key: str = "doc_id", text: str = "te
     unseen = first.join(ledger.read().select("blob"), "blob", "left_anti").withColumnRenamed("blob", "want")
     texts = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     one = texts.join(unseen, F.col("path").eqNullSafe(F.col("first")) & (blob_of(F.col("text")) == F.col("want")), "inner").select(F.col("want").alias("blob"), "text")
-    found = one.mapInArrow(_scan_batches, f"blob binary, findings {FINDINGS}")
+    found = one.transform(map_arrow, _scan_batches, f"blob binary, findings {FINDINGS}")
     ledger.append(found.dropDuplicates(["blob"]))  # rows that repeat as a whole
     return paths
 
@@ -137,6 +138,7 @@ def mask(text: str, findings: list[dict]) -> str:
 
 def redact(docs: DataFrame, ledger: Ledger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all findings masked in their texts; rows, order of columns and null texts stay."""
+    ship(docs.sparkSession)
     ledger = ledger or Ledger(docs.sparkSession)
     update(ledger, docs, key, text)
     some = ledger.read().where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
