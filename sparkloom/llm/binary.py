@@ -183,36 +183,24 @@ class Shard:
 
 
 def _hf(path: str) -> bpe.Encoder:
-    """An encoder whose slices are merged by the tokenizers library.
+    """An encoder whose slices are merged by the tokenizers library's model.
 
-    Slices without white space but a leading space go to the library as one text, with a line feed after each:
-    a line feed before any of them is a slice of its own, and its id parts the results."""
+    The library itself maps a slice's bytes to the characters of its byte alphabet and hands them to
+    its model; here the same is done for many new slices without its other steps. The alphabet is taken from
+    the library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings are ordinary text in a document
-
-    def ids_of(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    (feed,) = ids_of(["\n"])[0]
+    model = Tokenizer.from_file(path).model
+    alphabet = sorted(ByteLevel.alphabet())  # bytes that have no visible character get the later ones
+    visible = [b for b in range(256) if chr(b) in alphabet]
+    hidden = [b for b in range(256) if chr(b) not in alphabet]
+    table = {b: chr(b) for b in visible} | dict(zip(hidden, (c for c in alphabet if ord(c) > 255)))
 
     def merge(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        white = np.fromiter((s.isspace() for s in new), bool, len(new))
-        words = [s for s, w in zip(new, white) if not w]
-        flat = np.fromiter(ids_of(["\n".join([*words, ""])])[0], np.uint32) if words else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(flat == feed)
-        if len(ends) != len(words):
-            raise ValueError("the tokenizer cuts texts otherwise")
-        sizes = np.zeros(len(new), np.int64)
-        sizes[~white] = np.diff(np.append(-1, ends)) - 1
-        single, n = bpe.flat_lists(ids_of([s for s, w in zip(new, white) if w]))
-        sizes[white] = n
-        of_white = np.repeat(white, sizes)
-        ids = np.zeros(len(of_white), np.uint32)
-        ids[of_white], ids[~of_white] = single, flat[flat != feed]
-        return ids, sizes
+        tokens = model.tokenize
+        return bpe.flat_lists([[t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(table))] for x in new])
 
     return bpe.Encoder(merge)
 

@@ -247,14 +247,14 @@ class SliceCache:
     64-bit hashes (two stretches of one cache fall together with a chance of about 1e-7 in all).
     Emptied when full: it only saves work, so nothing depends on what is in it."""
 
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 21) -> None:
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 22) -> None:
         self.merge, self.bits = merge, bits
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.flat, self.used, self.rows_used = np.zeros(1 << 16, np.uint32), 0, 0
-        self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
@@ -283,7 +283,7 @@ class SliceCache:
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             new, where = np.unique(h[missing], return_index=True)
-            if 2 * (self.rows_used + len(new)) > len(self.keys):
+            if 2 * (self.rows_used + len(new)) > len(self.keys) or self.used > 1 << 28:
                 if self.rows_used:
                     self.clear()
                     return self.rows(spans)
@@ -294,7 +294,7 @@ class SliceCache:
             ids, sizes = self.merge([joined[a:b] for a, b in zip(spans.starts[where].tolist(), spans.ends[where].tolist())])
             k, total = self.rows_used, len(ids)
             if k + len(new) > len(self.n):
-                self.first, self.n = (np.concatenate([x, np.zeros(max(len(x), k + len(new)), np.int64)]) for x in (self.first, self.n))
+                self.first, self.n = (np.concatenate([x, np.zeros(max(len(x), k + len(new)), np.int32)]) for x in (self.first, self.n))
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), self.used + total), np.uint32)])
             self.n[k : k + len(new)] = sizes
@@ -307,7 +307,8 @@ class SliceCache:
 
     def tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the stretches in order, and the number of ids of each."""
-        return gather(self.flat, self.first[rows], self.n[rows]), self.n[rows]
+        first, n = self.first[rows].astype(np.int64), self.n[rows].astype(np.int64)
+        return gather(self.flat, first, n), n
 
 
 def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
