@@ -1,4 +1,4 @@
 """Named queries over the driver's tables, and reports composed of operators."""
 
-from . import aggregates, relational  # noqa: F401
+from . import aggregates, relational, statistics  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
