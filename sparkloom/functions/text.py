@@ -12,6 +12,11 @@ ZERO_WIDTH = "​‌‍⁠﻿"
 HYPHENS = "‐‑‒–—−"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it occurs, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spacing(text: Column) -> Column:
     """All space separators as plain spaces, characters of no width gone."""
     return F.translate(text, SPACE_SEPARATORS + ZERO_WIDTH, " " * len(SPACE_SEPARATORS))
@@ -74,9 +79,12 @@ def clean_lines(text: Column, least: int = 12, most: int = 8) -> Column:
     """Lines without bullets, of some length, the first of equal ones (whatever their case), at most so many."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
     lines = F.filter(lines, lambda x: F.length(x) >= least)
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.slice(F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]), 1, most)
+
+    def first(ls: Column) -> Column:
+        lower = F.transform(ls, lambda x: F.lower(x))
+        return let(lower, lambda low: F.slice(F.transform(F.array_distinct(low), lambda k: F.element_at(ls, F.array_position(low, k).cast("int"))), 1, most))
+
+    return let(lines, first)
 
 
 def search_string(text: Column, words: int = 350) -> Column:
@@ -97,10 +105,13 @@ def sentences(text: Column) -> Column:
 
 def sentence_groups(text: Column, groups: int = 6) -> Column:
     """About so many runs of consecutive sentences."""
-    s = sentences(text)
-    size = F.greatest(F.lit(1), F.ceil(F.size(s) / groups).cast("int"))
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i, size), " "))
+
+    def runs(s: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.size(s) / groups).cast("int"))
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i, size), " "))
+
+    return let(sentences(text), runs)
 
 
 def paragraphs(text: Column, least: int = 1) -> Column:
@@ -115,11 +126,14 @@ def longest_sentences(text: Column, n: int) -> Column:
 
 def word_chunks(text: Column, words: int = 120, most: int = 12) -> Column:
     """Runs of so many words; if there are too many, so many of them at even distances."""
-    w = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-    n = F.ceil(F.size(w) / words).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    chosen = F.when(n > most, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.rint(i * (n - 1) / (most - 1)).cast("int"))).otherwise(starts)
-    return F.transform(chosen, lambda i: F.array_join(F.slice(w, i * words + 1, words), " "))
+
+    def runs(w: Column) -> Column:
+        n = F.ceil(F.size(w) / words).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        chosen = F.when(n > most, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.rint(i * (n - 1) / (most - 1)).cast("int"))).otherwise(starts)
+        return F.transform(chosen, lambda i: F.array_join(F.slice(w, i * words + 1, words), " "))
+
+    return let(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), runs)
 
 
 def docket(text: Column) -> Column:

@@ -1,0 +1,26 @@
+"""Shared runs of words between two tables, by a join on hashed shingles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import let
+
+
+def shingle_hashes(text: Column, k: int) -> Column:
+    """Hashes of the distinct runs of k words; none for shorter texts."""
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))
+
+    return let(F.filter(F.split(text, r"\s+"), lambda x: x != ""), runs)
+
+
+def shared_runs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, text: str, k: int) -> DataFrame:
+    """(a_key, b_key) of rows that share a run of k words. Each side is one row a distinct run; only
+    pairs with a run in common are made."""
+    x = a.select(a_key, F.explode(shingle_hashes(F.col(text), k)).alias("h"))
+    y = b.select(b_key, F.explode(shingle_hashes(F.col(text), k)).alias("h"))
+    return x.join(y, "h").select(a_key, b_key).distinct()

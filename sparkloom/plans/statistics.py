@@ -42,7 +42,11 @@ def m01_closed(t):
     return S.closed_form_se(meds(t), ["gen"], "med").select("gen", "n", r("se").alias("se"))
 
 
-ROWS = f"x AS (SELECT case_id, view AS x, error AS y, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS n FROM wide WHERE gen = 1 AND view IS NOT NULL AND error IS NOT NULL)"
+ROWS = "x AS (SELECT gen * 100 + case_id AS cell, view AS x, error AS y, row_number() OVER (ORDER BY gen * 100 + case_id) - 1 AS i, count(*) OVER () AS n FROM wide WHERE view IS NOT NULL AND error IS NOT NULL)"
+
+
+def cells(t):
+    return wide(t).withColumn("cell", F.col("gen") * 100 + F.col("case_id"))
 
 
 @query(
@@ -51,7 +55,7 @@ ROWS = f"x AS (SELECT case_id, view AS x, error AS y, row_number() OVER (ORDER B
     "SELECT round(quantile_cont(r, 0.025), 9) AS low, round(quantile_cont(r, 0.975), 9) AS high FROM e WHERE k > 2",
 )
 def m02(t):
-    return S.corr_interval(wide(t).where("gen = 1"), "case_id", "view", "error", REPS, SEED).select(r("low").alias("low"), r("high").alias("high"))
+    return S.corr_interval(cells(t), "cell", "view", "error", REPS, SEED).select(r("low").alias("low"), r("high").alias("high"))
 
 
 @query(
@@ -114,11 +118,11 @@ def m08_labels(t):
 
 @query(
     "m09_permutation_p",
-    f"WITH {WIDE}, {ROWS}, s AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}|' || rep || '|' || case_id)) AS i FROM x, range({REPS}) t(rep)), "
+    f"WITH {WIDE}, {ROWS}, s AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}|' || rep || '|' || cell)) AS i FROM x, range({REPS}) t(rep)), "
     f"e AS (SELECT rep, corr(s.y, x.x) AS rp FROM s JOIN x ON x.i + 1 = s.i GROUP BY rep), o AS (SELECT corr(x, y) AS r FROM x) SELECT round(r, 9) AS r, round((sum((abs(rp) >= abs(r) - 1e-12)::INT) + 1) / {REPS + 1}.0, 9) AS p FROM e, o GROUP BY r",
 )
 def m09(t):
-    return S.permutation_p(wide(t).where("gen = 1"), "case_id", "view", "error", REPS, SEED).select(r("r").alias("r"), r("p").alias("p"))
+    return S.permutation_p(cells(t), "cell", "view", "error", REPS, SEED).select(r("r").alias("r"), r("p").alias("p"))
 
 
 @query(
