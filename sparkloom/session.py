@@ -43,7 +43,34 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(at / root.name), "zip", at / "zip"))
 
 
+#: Bytes of rows that go to a Python worker at once: texts may be long, and a batch is held there
+#: several times over while it is worked on.
+BATCH_BYTES = 16 << 20
+
+
 def map_arrow(df, batches, schema):
-    """df.mapInArrow, with this package at hand in the workers; for DataFrame.transform."""
-    ship(df.sparkSession)
-    return df.mapInArrow(batches, schema)
+    """df.mapInArrow, with this package at hand in the workers and batches of bounded size (unless
+    the session bounds them more tightly); for DataFrame.transform."""
+    spark = df.sparkSession
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":  # the default
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(_tidy(batches), schema)
+
+
+def _tidy(batches):
+    """batches, after which a worker, which lives on, gives back the memory it no longer uses."""
+
+    def run(it):
+        import ctypes
+
+        import pyarrow
+
+        yield from batches(it)
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+    return run
