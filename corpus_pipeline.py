@@ -36,7 +36,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and a digest of what they decode to."""
-    decoded = bpe.decode(bpe.encode(docs, offsets=False))
+    decoded = bpe.encode(docs, offsets=False, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -202,7 +202,7 @@ def _hf(path: str) -> bpe.Encoder:
         tokens = model.tokenize
         return bpe.flat_lists([[t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(table))] for x in new])
 
-    return bpe.Encoder(merge)
+    return bpe.Encoder(merge, bits=22)
 
 
 _encoders: dict[str, bpe.Encoder] = {}

@@ -183,63 +183,61 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Merger:
-    """Pair merging by rank: always the leftmost pair of the lowest rank."""
+    """Pair merging by rank: always the leftmost pair of the lowest rank. A pair's rank is that of its
+    bytes, so the ranks are the only table."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    self.pairs[a, b] = rank
+        self.single = [bytes([b]) for b in range(256)]
 
     def __call__(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "replace")
-        if (whole := self.ranks.get(data)) is not None:
+        rank_of, none = self.ranks.get, 1 << 60
+        if (whole := rank_of(data)) is not None:
             return [whole]
-        ids = [self.single[b] for b in data]
-        pairs, none = self.pairs, 1 << 60
-        if len(ids) > 64:
-            return self._long(ids)
-        ranks = [pairs.get(p, none) for p in zip(ids, ids[1:])]
+        single = self.single
+        parts = [single[b] for b in data]
+        if len(parts) > 64:
+            return self._long(parts)
+        ranks = [rank_of(a + b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == none:
                 break
             i = ranks.index(least)
-            ids[i : i + 2] = [least]
+            merged = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [merged]
             del ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((ids[i - 1], least), none)
+                ranks[i - 1] = rank_of(parts[i - 1] + merged, none)
             if i < len(ranks):
-                ranks[i] = pairs.get((least, ids[i + 1]), none)
-        return ids
+                ranks[i] = rank_of(merged + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
 
-    def _long(self, ids: list[int]) -> list[int]:
+    def _long(self, parts: list[bytes]) -> list[int]:
         """The same with a heap and links, for slices of any length."""
         import heapq
 
-        n, pairs = len(ids), self.pairs
+        n, rank_of = len(parts), self.ranks.get
         after, prior = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(pairs[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank_of(a + b)) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
-            if j < 0 or pairs.get((ids[i], ids[j])) != rank:
+            if j < 0 or rank_of(parts[i] + parts[j]) != rank:
                 continue
-            ids[i], alive[j] = rank, False
+            parts[i] += parts[j]
+            alive[j] = False
             after[i] = after[j]
             if after[j] >= 0:
                 prior[after[j]] = i
-                if (r := pairs.get((rank, ids[after[i]]))) is not None:
+                if (r := rank_of(parts[i] + parts[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if prior[i] >= 0 and (r := pairs.get((ids[prior[i]], rank))) is not None:
+            if prior[i] >= 0 and (r := rank_of(parts[prior[i]] + parts[i])) is not None:
                 heapq.heappush(heap, (r, prior[i]))
-        return [x for x, keep in zip(ids, alive) if keep]
+        return [self.ranks[x] for x, keep in zip(parts, alive) if keep]
 
 
 class SliceCache:
@@ -247,7 +245,7 @@ class SliceCache:
     64-bit hashes (two stretches of one cache fall together with a chance of about 1e-7 in all).
     Emptied when full: it only saves work, so nothing depends on what is in it."""
 
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 22) -> None:
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 20) -> None:
         self.merge, self.bits = merge, bits
         self.clear()
 
@@ -328,8 +326,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.slicer, self.cache = Slicer(), SliceCache(merge)
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 20) -> None:
+        self.slicer, self.cache = Slicer(), SliceCache(merge, bits)
 
     @classmethod
     def of_ranks(cls, path: str) -> Encoder:
@@ -359,45 +357,13 @@ def pieces(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
         yield run
 
 
-def _lists(values: list[np.ndarray], counts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    n = np.concatenate([np.zeros(1, np.int64), *counts]) if counts else np.zeros(1, np.int64)
-    flat = np.concatenate(values) if values else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), pa.array(flat.astype(np.int64), kind))
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values.astype(np.int32)))
 
 
 _encoders: dict[str, Encoder] = {}  # of this worker
 
 
-def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
-    """(key, ids array<int>, slice_starts array<int>): the ids of every row's whole text, and where
-    (code points) each slice starts; slice_starts is empty if offsets is false."""
-    path = path or public_tokenizers.path(VOCABULARY)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder.of_ranks(path)
-        encoder = _encoders[path]
-        for b in it:
-            ids, n, starts, counts, done = [], [], [], [], 0
-            for run in pieces([x or "" for x in b.column(1).to_pylist()]):
-                i, k, s, c = encoder.encode(run)
-                ids.append(i.astype(np.int32))
-                n.append(k)
-                starts.append(s.astype(np.int32) if offsets else s[:0].astype(np.int32))
-                counts.append(c if offsets else np.zeros_like(c))
-                if (size := sum(map(len, ids))) > 4_000_000:
-                    rows = sum(map(len, n))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, rows), _lists(ids, n, pa.int32()), _lists(starts, counts, pa.int32())], [key, "ids", "slice_starts"])
-                    ids, n, starts, counts, done = [], [], [], [], done + rows
-                del size
-            if n:
-                rows = sum(map(len, n))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, rows), _lists(ids, n, pa.int32()), _lists(starts, counts, pa.int32())], [key, "ids", "slice_starts"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).transform(map_arrow, batches, f"`{key}` {kind}, ids array<int>, slice_starts array<int>")
-
-
 class Decoder:
     """ids -> bytes, by the tokens' places in one buffer."""
 
@@ -418,6 +384,40 @@ class Decoder:
 _decoders: dict[str, Decoder] = {}
 
 
+def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>, slice_starts array<int>, decoded binary): the ids of every row's whole
+    text, where (code points) each slice starts (empty if offsets is false), and the bytes that the
+    ids decode to (null if decoded is false; `decode` gives them for ids from elsewhere)."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    names = [key, "ids", "slice_starts", "decoded"]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _encoders:
+            _encoders[path], _decoders[path] = Encoder.of_ranks(path), Decoder(path)
+        encoder, decoder = _encoders[path], _decoders[path]
+        for b in it:
+            done = 0
+            for run in pieces([x or "" for x in b.column(1).to_pylist()]):
+                ids, n, starts, counts = encoder.encode(run)
+                if not offsets:
+                    starts, counts = starts[:0], np.zeros_like(counts)
+                upto = np.append(0, np.cumsum(n))
+                data = pa.array(_parts(decoder, ids, upto) if decoded else [None] * len(run), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(run)), _lists(ids, n), _lists(starts, counts), data], names)
+                done += len(run)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).transform(map_arrow, batches, f"`{key}` {kind}, ids array<int>, slice_starts array<int>, decoded binary")
+
+
+def _parts(decoder: Decoder, ids: np.ndarray, upto: np.ndarray) -> list[bytes]:
+    """The bytes of each of consecutive lists of ids; upto: ids before each list, and in all."""
+    data, n = decoder(ids)
+    places = np.append(0, np.cumsum(n))[upto].tolist()
+    data = data.tobytes()
+    return [data[x:y] for x, y in zip(places, places[1:])]
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for in a further column (binary, as any bytes are
     possible in a list of ids that isn't a whole text)."""
@@ -437,10 +437,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", name:
             while begin < len(col):  # runs of about a million ids
                 end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + 1_000_000)))
                 end = min(end, len(col))
-                data, n = _decoders[path](flat[upto[begin] : upto[end]])
-                places = np.append(0, np.cumsum(n))[upto[begin : end + 1] - upto[begin]].tolist()
-                data = data.tobytes()
-                rows += [data[x:y] for x, y in zip(places, places[1:])]
+                rows += _parts(_decoders[path], flat[upto[begin] : upto[end]], upto[begin : end + 1] - upto[begin])
                 begin = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.binary())], [*columns, name])
 

@@ -188,8 +188,8 @@ def train(labelled: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, poo
     return Model(share, scale, views, calibration, combined, threshold, handed)
 
 
-def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    cols = [batch.column(i).to_pylist() for i in range(at, at + 4)]
+def _views(batch: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    cols = [batch.column(i).to_pylist() for i in at]
     content = [content_view(t or "") for t in cols[0]]
     metadata = [metadata_view(t or "", *rest) for t, *rest in zip(*cols)]
     return np.array(content).reshape(len(content), -1), np.array(metadata).reshape(len(metadata), -1)
@@ -212,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     def batches(it):
         for b in it:
             if b.num_rows:
-                content, metadata = _views(b, 2)
+                content, metadata = _views(b, [2, 3, 4, 5])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()) for x in (content, metadata))], ["id", "y", "content", "metadata"])
 
     picked = rows.join(F.broadcast(chosen), F.col("__id") == F.col("id")).select("id", "y", "__text", "__lang", "__source", "__n")
@@ -235,15 +235,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     names = [*(f"c{i}" for i in range(len(keep))), "score", "content_score", "metadata_score", "kept"]
     n = len(keep)
+    # a text that is carried isn't sent twice
+    own = keep.index(text) if text in keep else n
+    inputs = _inputs(docs, text)[text in keep :]
+    at = [own, *range(n + (text not in keep), n + (text not in keep) + 3)]
 
     def batches(it):
         for b in it:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
-                s, c, m = model.scores(*(np.clip((x - mean) / dev, -10, 10) * dev + mean for x, (mean, dev) in zip(_views(part, n), model.scale))) if model.views else model.scores(np.zeros((part.num_rows, 1)), np.zeros((part.num_rows, 1)))
+                s, c, m = model.scores(*(np.clip((x - mean) / dev, -10, 10) * dev + mean for x, (mean, dev) in zip(_views(part, at), model.scale))) if model.views else model.scores(np.zeros((part.num_rows, 1)), np.zeros((part.num_rows, 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(x, pa.float64()) for x in (s, c, m)), pa.array(s >= model.threshold)], names)
 
     schema = ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "score double, content_score double, metadata_score double, kept boolean"])
-    out = docs.select(*cols, *_inputs(docs, text)).transform(map_arrow, batches, schema)
+    out = docs.select(*cols, *inputs).transform(map_arrow, batches, schema)
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(*named, "score", "content_score", "metadata_score", "kept") if carry is None else out.where("kept").select(*named)

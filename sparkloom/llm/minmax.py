@@ -49,7 +49,7 @@ def banding(percent: int) -> tuple[int, int]:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -35,8 +35,7 @@ def op2_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and the ids decoded."""
-    encoded = bpe.encode(_read(spark, sf_dir, "documents"), offsets=False)
-    return bpe.digests(bpe.decode(encoded))
+    return bpe.digests(bpe.encode(_read(spark, sf_dir, "documents"), offsets=False, decoded=True))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
