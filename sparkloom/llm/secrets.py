@@ -143,6 +143,7 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, key: str = "doc_id", t
     update(ledger, docs, key, text)
     some = ledger.read().where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
     joined = docs.withColumn("__at", blob_of(F.col(text))).join(some, F.col("__at") == F.col("__blob"), "left")
-    masked = F.udf(lambda t, f: mask(t, f), "string", useArrow=True)
-    clean = F.when(F.col("__findings").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("__findings")))
+    masked = F.udf(lambda t, f: t if not f else mask(t, f), "string", useArrow=True)
+    # only texts with findings travel to Python
+    clean = F.coalesce(masked(F.when(F.col("__findings").isNotNull(), F.col(text)), F.col("__findings")), F.col(text))
     return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
