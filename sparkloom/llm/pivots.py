@@ -31,6 +31,8 @@ from .common import Forest, by_group, components, cut, triangle
 COSINE = 0.9
 PREFIX, SHARED = 12, 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+#: Greatest cosine of two reference points.
+APART = 0.8
 CHUNK = 2048
 _TILE = 512
 
@@ -51,11 +53,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Unit vectors of a sample fixed by a hash of the ids: its size depends on the root of the
-    number of vectors and never exceeds MAX_PIVOTS."""
+    """Unit vectors of a sample fixed by a hash of the ids, at most MAX_PIVOTS rows; their number depends on
+    the root of the number of vectors. A vector close to one taken before is passed over: within a dense
+    region the order of many near reference points would be chance, so a region has few."""
     n = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(4 * math.sqrt(count))))
-    rows = vectors.select("vector").orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    return _unit(np.array([r[0] for r in rows], np.float64))
+    rows = vectors.select("vector").orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, 2 * n)).collect()
+    x = _unit(np.array([r[0] for r in rows], np.float64))
+    taken = np.zeros_like(x)
+    k = 0
+    for v in x:
+        if k < n and (not k or (taken[:k] @ v).max() < APART):
+            taken[k] = v
+            k += 1
+    return taken[:k]
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
@@ -130,7 +140,9 @@ def groups(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, sha
     if not count:
         return rows.selectExpr("id", "0L AS n_links", "id AS component_id", "true AS kept")
 
-    described = describe(classes, choose_pivots(classes, count), prefix)
+    pivots = choose_pivots(classes, count)
+    shared = min(shared, len(pivots))
+    described = describe(classes, pivots, prefix)
     posted = described.withColumn("pivot", F.explode("pivots"))
     lengths = cut(posted.groupBy("pivot").agg(F.count("*").alias("n")))
     lists = posted.join(F.broadcast(lengths.withColumnRenamed("pivot", "__p")), F.col("pivot") == F.col("__p"))  # at most MAX_PIVOTS rows
