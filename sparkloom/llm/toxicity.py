@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import map_arrow
 
 MAX_DOCS = 4000
-WINDOW = 12
+WINDOW = 32
 GAINS = (1, 2, 3, 4, 5, 6)
 #: Bytes of frequent words and of words that gain in ordinary text.
 FREQUENT, NO_SIGN = 16384, 12288
@@ -156,7 +156,9 @@ def train(samples: list[tuple[str | None, int]]) -> Model:
         g2 = 2 * (np.where(a > 0, a * np.log(a / (na * p)), 0) + np.where(b > 0, b * np.log(b / (nb * p)), 0))
     over = np.flatnonzero((a >= CONTEXTS) & (a * nb >= RATIO * b * na) & (g2 >= G2))
     excess = _join([names[i] for i in over[np.argsort(-a[over], kind="stable")]], FREQUENT)
-    frequent = _join([names[i] for i in np.argsort(-b, kind="stable")[:FREQUENT]], FREQUENT)
+    usual = np.argsort(-b, kind="stable")[: min(FREQUENT, int((b > 0).sum()))]
+    chosen = set(over.tolist())
+    frequent = _join([names[i] for i in usual if i not in chosen], FREQUENT)
     if not excess:
         return Model(share)
     pair, counts = Pair(excess, frequent), Counter()
