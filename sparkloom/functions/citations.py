@@ -223,3 +223,14 @@ def provenance(text: Column, editorial_span: Column) -> Column:
         .when(text.rlike(r"(?i)\(\s*amtlicher? leits[aä]tz"), "amtlich")
         .otherwise("unmarked")
     )
+
+
+def display(book: Column, section: Column, form: Column) -> Column:
+    """A citation as it is written: Art. 1 GG, § 42 VwGO."""
+    return F.concat(F.when(form == "Art", "Art. ").otherwise("§ "), section, F.lit(" "), book)
+
+
+def heading(book: Column, section: Column, form: Column, title: Column, where: Column) -> Column:
+    """A block's head: citation, title, jurisdiction label."""
+    label = F.when(where == "state", "Landesrecht").when(where == "federal", "Bundesrecht").otherwise("")
+    return F.trim(F.concat_ws(" – ", display(book, section, form), F.nullif(title, F.lit("")), F.nullif(label, F.lit(""))))

@@ -134,3 +134,44 @@ def recall_at(ranked: DataFrame, gold: DataFrame, ks: list[int], segment: str |
     hit = F.coalesce(F.col("rank") <= F.col("k"), F.lit(False))
     case = swept.groupBy("k", *by, "query").agg(F.sum(hit.cast("int")).alias("h"), F.count("*").alias("g"))
     return case.groupBy("k", *by).agg(F.sum("h").alias("hits"), F.sum("g").alias("gold"), (F.sum("h") / F.sum("g")).alias("recall"), F.avg((F.col("h") > 0).cast("double")).alias("cases_with_hit"))
+
+
+# --- contexts made of a ranking, and what is left of them ---
+
+
+def ablate(context: DataFrame, kind: str, junk: DataFrame | None = None, seed: int = 1, k: int = 10) -> DataFrame:
+    """(query, key, rank, shown) of a context (query, key, rank), changed in one respect:
+
+    shuffle: the same keys in a repeatable random order; cites_only: keys without texts (shown false);
+    junk: each key followed by one of `junk` (query, key, rank) that isn't in the context; top: the first k."""
+    from .ranking import hash_order
+
+    base = context.select("query", "key", "rank").withColumn("shown", F.lit(True))
+    if kind == "top":
+        return base.where(F.col("rank") <= k)
+    if kind == "cites_only":
+        return base.withColumn("shown", F.lit(False))
+    if kind == "shuffle":
+        w = Window.partitionBy("query").orderBy(hash_order(seed, "query", "key"))
+        return base.withColumn("rank", F.row_number().over(w))
+    if kind == "junk":
+        free = junk.join(base.select("query", "key"), ["query", "key"], "left_anti")
+        free = free.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "key")))
+        size = base.groupBy("query").agg(F.count("*").alias("n"))
+        pad = free.join(size, "query").where("rank <= n").select("query", "key", (F.col("rank") * 2).alias("rank"), F.lit(True).alias("shown"))
+        real = base.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")) * 2 - 1)
+        mixed = real.unionByName(pad)
+        return mixed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
+    raise ValueError(kind)
+
+
+def uncovered(gold: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Wanted keys that the corpus doesn't hold: what no retrieval can find."""
+    return gold.select("query", "key").distinct().join(corpus.select("key").distinct(), "key", "left_anti").select("query", "key")
+
+
+def cached_rewrites(queries: DataFrame, cache: DataFrame, rewrite) -> tuple[DataFrame, DataFrame]:
+    """(all rewrites, the new ones): only queries that the cache lacks go to `rewrite`, a function of a
+    DataFrame (query) to (query, rewritten)."""
+    new = rewrite(queries.select("query").distinct().join(cache.select("query"), "query", "left_anti"))
+    return queries.join(cache.unionByName(new), "query"), new

@@ -301,3 +301,24 @@ def out_of_sample(scores: DataFrame, stored: DataFrame, score: str, value: str,
     i = F.least(F.floor("p"), F.lit(99)).cast("int")
     out = below.join(upto, score).crossJoin(F.broadcast(n)).withColumn("p", p)
     return out.select(score, F.col("p").alias("percentile"), (F.element_at("q", i + 1) + (F.element_at("q", i + 2) - F.element_at("q", i + 1)) * (F.col("p") - i)).alias("moved"))
+
+
+def bootstrap_se_seeded(df: DataFrame, by: list[str], value: str, replicates: int = 10_000, seed: int = 0, ddof: int = 0) -> DataFrame:
+    """(by, n, se) with a generator seeded anew for each group: repeatable, but for no SQL engine. The
+    groups are models: a few hundred values each. Draws are made in blocks, so memory stays bounded."""
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(df.sparkSession)
+
+    def se(key, f):
+        x = f[value].dropna().to_numpy(float)
+        rng, means, block = np.random.default_rng(seed), [], max(1, 2_000_000 // max(1, len(x)))
+        for at in range(0, replicates if len(x) else 0, block):
+            means.append(x[rng.integers(0, len(x), (min(block, replicates - at), len(x)))].mean(1))
+        return pd.DataFrame([(*key, len(x), float(np.concatenate(means).std(ddof=ddof)) if means else None)], columns=[*by, "n", "se"])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.select(*by, value).groupBy(*by).applyInPandas(se, f"{kinds}, n long, se double")

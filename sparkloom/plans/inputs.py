@@ -18,14 +18,14 @@ LAW = """<dokumente><norm><metadaten><jurabk>VwGO</jurabk><enbez>§ 42</enbez><t
 <norm><metadaten><jurabk>VwGO</jurabk></metadaten><textdaten></textdaten></norm><norm><metadaten></metadaten><textdaten><P>Ohne Namen</P></textdaten></norm></dokumente>"""
 
 
-def _text_files(t, files: dict[str, str]) -> str:
+def _text_files(t, files: dict[str, str | bytes]) -> str:
     """Small files under a fresh shared folder, written by the file system of that folder."""
     base = K.scratch(t.spark, "files")
     jvm = t.spark._jvm
     for name, text in files.items():
         p = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
         out = p.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(p)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text if isinstance(text, bytes) else text.encode()))
         out.close()
     return base
 
@@ -67,6 +67,20 @@ def s10(t):
     return d.drop("paragraphs")
 
 
+@query("s07_zip_scan")
+def s07(t):
+    import io
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", LAW)
+    whole = b.getvalue()
+    files = {"whole.zip": whole, "broken.zip": whole[: whole.index(b"PK\x01\x02")]}
+    found = C.read_zips(t.spark, _text_files(t, files))
+    return found.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", F.length("content").alias("n"))
+
+
 @query("s12_norm_pages")
 def s12(t):
     head, text = C.norm_page(F.col("html"))
@@ -261,6 +275,27 @@ def u19(t):
     return panel(t).groupBy("gen", "case_id").agg((5 - F.count("*")).alias("todo")).where("todo > 0")
 
 
+@query("u04_reassembly", "SELECT 'Hallo Welt' AS text")
+def u04(t):
+    lines = ['data: {"choices": [{"delta": {"content": "Hallo "}}]}', "", "data: {torn", 'data: {"choices": [{"delta": {"content": "Welt"}}]}', "data: [DONE]", 'data: {"choices": [{"delta": {"content": "!"}}]}']
+    return t.spark.createDataFrame([(U.reassemble(lines),)], "text string")
+
+
+@query("u07_evaluate")
+def u07(t):
+    tasks = t.benchmark.select("item_id", "text")
+    return U.evaluate(tasks, "item_id", "text", "stub", ["a", "b"])
+
+
+@query("u10_overwrite_models", "SELECT 'a' AS model, 1 AS n UNION ALL SELECT 'b', 3")
+def u10(t):
+    path = K.scratch(t.spark, "models")
+    rows = lambda *x: t.spark.createDataFrame(list(x), "n int, model string")
+    U.overwrite_models(rows((1, "a"), (2, "b")), path)
+    U.overwrite_models(rows((3, "b")), path)
+    return t.spark.read.schema("n int, model string").parquet(path)
+
+
 # --- streams (an extension) ---
 
 

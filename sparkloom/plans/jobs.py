@@ -156,3 +156,38 @@ PROMPTS = {"plain": "Answer the question.\n\n", "cited": "Answer and cite the no
 
 def prompt_of(kind: str, context: Column, question: Column) -> Column:
     return F.concat(F.lit(PROMPTS[kind]), F.coalesce(context, F.lit("")), F.lit("\n\n"), question)
+
+
+def reassemble(chunks: list[str]) -> str:
+    """The text of a streamed answer: the contents of its `data:` lines in order, up to [DONE]; broken lines
+    and lines without content drop out."""
+    import json
+
+    out = []
+    for line in chunks:
+        body = line.removeprefix("data:").strip() if line.startswith("data:") else ""
+        if body == "[DONE]":
+            break
+        try:
+            out += [c.get("delta", {}).get("content") or "" for c in json.loads(body).get("choices", [])]
+        except (ValueError, AttributeError):
+            continue
+    return "".join(out)
+
+
+def evaluate(tasks: DataFrame, key: str, question: str, model: str, seats: list[str], call: Callable[[str], Response] = stub) -> DataFrame:
+    """One row a task: the answer, its tokens, each seat's score and the least of them (missing seats as 1,
+    null if all are missing)."""
+    from ..operators.panel import ensemble_min
+
+    work = tasks.select(key, prompt_of("plain", F.lit(""), F.col(question)).alias("__p"))
+    answers = generate(work, [key], "__p", call).withColumn("model", F.lit(model))
+    scored = judge(answers, [key], "answer", seats, call)
+    wide = scored.groupBy(key).pivot("judge", seats).agg(F.first("score"))
+    least = scored.groupBy(key).agg(ensemble_min(F.col("score")).alias("score"))
+    return answers.join(wide, key, "left").join(least, key, "left")
+
+
+def overwrite_models(results: DataFrame, path: str) -> None:
+    """Replace the partitions of the models in results, and no others."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)

@@ -227,3 +227,29 @@ def check_corpus(df, needed: set[str]) -> bool:
     if missing := needed - set(df.columns):
         raise ValueError(f"the corpus lacks {sorted(missing)}")
     return True
+
+
+@query("r14_ablation_junk")
+def r14_junk(t):
+    junk = lists(t).where("list_no = 2").groupBy("query", "key").agg(F.min("rank").alias("rank"))
+    return S.ablate(oracle_context(t).select("query", "key", "rank"), "junk", junk).select("query", "key", "rank")
+
+
+@query("r14_ablation_kinds", "WITH c AS (SELECT l_suppkey AS query, l_partkey AS key FROM lineitem GROUP BY 1, 2), n AS (SELECT query, least(count(*), 10) AS n FROM c GROUP BY 1) SELECT sum(n)::BIGINT AS shuffled, sum(n)::BIGINT AS cites, sum(least(n, 5))::BIGINT AS top5 FROM n")
+def r14_kinds(t):
+    c = oracle_context(t).select("query", "key", "rank")
+    n = lambda d, name: d.agg(F.count("*").alias(name))
+    return n(S.ablate(c, "shuffle"), "shuffled").crossJoin(n(S.ablate(c, "cites_only").where("NOT shown"), "cites")).crossJoin(n(S.ablate(c, "top", k=5), "top5"))
+
+
+@query("r14_uncovered", "SELECT DISTINCT l_suppkey AS query, l_partkey AS key FROM lineitem WHERE l_discount >= 0.08 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
+def r14_uncovered(t):
+    return S.uncovered(gold(t), t.part.where("p_size <= 40").select(F.col("p_partkey").alias("key")))
+
+
+@query("r15_cached_rewrites", "SELECT item_id AS query, 'q: ' || text AS rewritten FROM benchmark")
+def r15_cached(t):
+    q = t.benchmark.select(F.col("item_id").alias("query"))
+    full = t.benchmark.select(F.col("item_id").alias("query"), F.concat(F.lit("q: "), "text").alias("rewritten"))
+    every, _ = S.cached_rewrites(q, full.where("query % 2 = 0"), lambda new: new.join(full, "query"))
+    return every

@@ -293,3 +293,8 @@ def m27(t):
 
     shown = [(10.0, 0.5), (20.0, 1.0)]
     return t.spark.createDataFrame([(fit_scale(shown),)], "scale double")
+
+
+@query("m01b_seeded_bootstrap")
+def m01b(t):
+    return S.bootstrap_se_seeded(meds(t), ["gen"], "med", 2000, 20260909, 1)

@@ -249,8 +249,59 @@ def f25(t):
 
 
 def context(top, style: str = "ranked"):
-    """(source, context): rows as XML blocks in order, in reverse for style 'reversed', without ranks for 'plain'."""
-    head = F.lit("<norm>") if style == "plain" else F.concat(F.lit('<norm rank="'), F.col("rank").cast("string"), F.lit('">'))
+    """(source, context): rows as XML blocks in order; 'reversed' turns the order, 'plain' leaves ranks out,
+    'provenance' names each row's document."""
+    rank = F.concat(F.lit('<norm rank="'), F.col("rank").cast("string"), F.lit('">'))
+    named = F.concat(F.lit('<norm from="'), F.col("doc_id").cast("string"), F.lit('">'))
+    head = {"plain": F.lit("<norm>"), "provenance": named}.get(style, rank)
     place = -F.col("rank") if style == "reversed" else F.col("rank")
     block = F.struct(place.alias("k"), F.concat(head, F.substring("text", 1, 50), F.lit("</norm>")).alias("x"))
     return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["x"]), "\n").alias("context"))
+
+
+@query("f25_context_styles", "SELECT style, count(*) AS n FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(['plain', 'ranked', 'reversed', 'provenance']) AS style) GROUP BY style")
+def f25s(t):
+    top = R.top_k(t.documents.select("source", "doc_id", "text"), ["source"], 5, F.asc("doc_id"))
+    out = None
+    for style in ("plain", "ranked", "reversed", "provenance"):
+        part = context(top, style).select(F.lit(style).alias("style"), "source")
+        out = part if out is None else out.union(part)
+    return out.groupBy("style").agg(F.count("*").alias("n"))
+
+
+@query("f16_split_long")
+def f16(t):
+    from ..session import ship
+
+    ship(t.spark)
+    split = F.udf(lambda x: Y.split_long(x or "", 300), "array<string>", useArrow=True)
+    return t.documents.select("doc_id", F.size(split("text")).alias("runs"))
+
+
+@query("f24_display", "SELECT p_partkey, 'Art. ' || p_size || ' ' || p_brand || ' – ' || p_name || ' – Landesrecht' AS head FROM part")
+def f24(t):
+    return t.part.select("p_partkey", C.heading(F.col("p_brand"), F.col("p_size").cast("string"), F.lit("Art"), F.col("p_name"), F.lit("state")).alias("head"))
+
+
+@query("f34_cells", "SELECT l_returnflag, printf('%.1f', round(avg(l_quantity), 1)) AS cell FROM lineitem GROUP BY 1")
+def f34(t):
+    """Cells are made on the driver from rows already aggregated."""
+    from .render import mean_cell
+
+    rows = t.lineitem.groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 1).alias("m")).collect()
+    return t.spark.createDataFrame([(x["l_returnflag"], mean_cell(x["m"], None)) for x in rows], "l_returnflag string, cell string")
+
+
+@query("f35_short_names", "SELECT n_name AS name, n_name AS short FROM nation")
+def f35(t):
+    from .render import unique_short
+
+    names = unique_short([x[0] for x in t.nation.select("n_name").collect()])
+    return t.spark.createDataFrame(list(names.items()), "name string, short string")
+
+
+@query("f39_colours", "SELECT n_nationkey AS k, round(least(1.0, greatest(0.0, n_nationkey / 24.0)), 9) AS tint FROM nation")
+def f39(t):
+    from .render import tint
+
+    return t.spark.createDataFrame([(x[0], round(tint(x[0], 0, 24), 9)) for x in t.nation.select("n_nationkey").collect()], "k int, tint double")
