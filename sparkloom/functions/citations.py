@@ -43,6 +43,7 @@ ALIASES = {
     "baylkro": "lkro", "bayvwzvg": "vwzvg", "baykommzg": "kommzg", "baykag": "kag", "baybezo": "bezo", "bpolg": "bgsg",
 }
 
+# The forms of an anchor, a section, a book and the qualifiers between them.
 _ANCHOR = re.compile(r"§§|§|Artikel|Art\.|Art(?=\s)")
 _SECTION = re.compile(r"\s*(\d+(?:\s?[a-z](?![a-zäöüß.]))?)")
 _BOOK = re.compile(r"\s+([A-ZÄÖÜ][A-Za-z0-9ÄÖÜäöüß-]{1,24}(?:\s+(?:" + "|".join(LAND) + r")\b)?)")

@@ -72,6 +72,7 @@ def with_rouge(pairs: DataFrame, answer: str, target: str, name: str = "rouge_l"
     return pairs.withColumn(name, score(answer, target))
 
 
+# Fixed value: where a sentence ends.
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ„(§])")
 
 
