@@ -48,7 +48,12 @@ def _put(folder: str, name: str, parts: list[bytes]) -> None:
     with at.open_output_stream(own) as out:
         for p in parts:
             out.write(p)
-    at.move(own, f"{path}/{name}")
+    try:
+        at.move(own, f"{path}/{name}")
+    except OSError:  # some stores don't replace: another try of this task was first, with the same rows
+        if at.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        at.delete_file(own)
 
 
 def _get(folder: str, name: str) -> pa.Buffer:
