@@ -315,3 +315,18 @@ def stream_windows(t):
 def stream_first_wins(t):
     out = E.drain(E.first_wins(_stream(t), "60 days"), f"f{uuid.uuid4().hex}", "append", K.scratch(t.spark, "stream"))
     return out.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query(
+    "stream_sessions",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events), "
+    "s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def stream_sessions(t):
+    return E.drain(E.sessions(_stream(t)), f"s{uuid.uuid4().hex}", "complete", K.scratch(t.spark, "stream"))
+
+
+@query("stream_sliding", "SELECT w AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events, (SELECT unnest([0, 1]) AS b) k, LATERAL (SELECT date_trunc('day', ts) + INTERVAL 12 HOUR * (date_part('hour', ts)::INT // 12 - b) AS w) GROUP BY ALL")
+def stream_sliding(t):
+    out = E.drain(E.windows(_stream(t), "1 day", "12 hours"), f"l{uuid.uuid4().hex}", "complete", K.scratch(t.spark, "stream"))
+    return out.select("start", "event_type", "n", r("total", 6).alias("total"))
