@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import leave_one_out, percent_rank_average
+from .ranking import leave_one_out, with_average_rank
 
 
 def b_splines(x: Column, knots: list[float], low: float, high: float, degree: int = 3) -> list[Column]:
@@ -59,7 +59,7 @@ def least_squares(df: DataFrame, y: str, xs: list[str], cluster: str) -> tuple[n
 
 
 def _prepared(panel: DataFrame) -> DataFrame:
-    q = panel.withColumn("q", percent_rank_average("score", ["judge"]))
+    q = with_average_rank(panel, "score", ["judge"], "q", total="n").withColumn("q", F.col("q") / F.col("n") * 100).drop("n")
     q = q.withColumn("cons", leave_one_out("q", ["gen", "case_id"])).where("cons IS NOT NULL")
     tier = F.when(F.col("gen") % 5 == F.length("judge") % 5, "self").when(F.col("gen") % 3 == F.length("judge") % 3, "family").otherwise("unrelated")
     return q.withColumn("tier", tier)

@@ -90,3 +90,44 @@ def budget_batches(df: DataFrame, by: str, order: str, size: str, budget: int, r
     kinds = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
     part = df.select(by, order, size).repartition(by).sortWithinPartitions(by, order)
     return part.mapInPandas(batches, f"{by} {kinds[by]}, {order} {kinds[order]}, batch long")
+
+
+def with_average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank", descending: bool = False, total: str | None = None, parts: int = 64) -> DataFrame:
+    """df with the average rank of a value (null for null) within few, large groups; total: a column for the
+    number of values of the group.
+
+    One window over a group would be one task. Here each group is cut at approximate quantiles into
+    ordered parts; equal values share a part, so a rank is the number of values in earlier parts (a sum over at most
+    `parts` + 1 counts a group) and the rank within the part. Exact, whatever the quantiles are. The quantiles and counts
+    of a group are broadcast: groups are judges or pairs of them, or one whole table."""
+    keys = by or ["__one"]
+    base = df if by else df.withColumn("__one", F.lit(0))
+    cuts = base.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("__q"))
+    same = lambda a, b: [a[k].eqNullSafe(b[f"__k{i}"]) for i, k in enumerate(keys)]
+
+    def keyed(d: DataFrame) -> DataFrame:
+        for i, k in enumerate(keys):
+            d = d.withColumnRenamed(k, f"__k{i}")
+        return F.broadcast(d)
+
+    def add(left: DataFrame, right: DataFrame, extra: list | None = None) -> DataFrame:
+        on = same(left, right) + (extra or [])
+        cond = on[0]
+        for c in on[1:]:
+            cond = cond & c
+        return left.join(right, cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+    part = F.when(F.col(value).isNotNull(), F.size(F.filter("__q", lambda q: q < F.col(value))))
+    placed = add(base, keyed(cuts)).withColumn("__part", part).drop("__q")
+    counts = placed.where(F.col(value).isNotNull()).groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    order = F.col("__part").desc() if descending else F.col("__part").asc()
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).withColumn("__all", F.sum("__n").over(w)).drop("__n").withColumnRenamed("__part", "__p")
+    right = keyed(counts)
+    joined = add(placed, right, [placed["__part"] == right["__p"]]).drop("__p")
+    within = average_rank(value, [*keys, "__part"], descending)
+    out = joined.withColumn(name, F.when(F.col(value).isNotNull(), F.col("__before") + within))
+    if total:
+        out = out.withColumn(total, F.col("__all"))
+    return out.drop("__part", "__before", "__all", *([] if by else ["__one"]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import average_rank
+from .ranking import average_rank, with_average_rank
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, step: float) -> DataFrame:
@@ -49,9 +49,8 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Pearson's coefficient of average ranks, over rows with both values."""
     by = by or []
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__one", F.lit(0))
-    side = [*by, "__one"]
-    ranked = pairs.select(*by, average_rank(x, side).alias("__x"), average_rank(y, side).alias("__y"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__u"), F.col(y).alias("__v"))
+    ranked = with_average_rank(with_average_rank(pairs, "__u", by, "__x"), "__v", by, "__y")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
 
 
@@ -271,12 +270,10 @@ def debias(panel: DataFrame, effect: DataFrame, judge: str = "judge", score: str
     """Scores moved in the space of each judge's percentiles: a score's average percent rank less the
     row's effect (columns of `effect` with judge and gen; missing is 0), clipped to (0.01, 100), read back by
     linear interpolation between the judge's percentiles. Rows without effect keep their score."""
-    from .ranking import percent_rank_average
-
     grid_ = [i / points for i in range(points + 1)]
     q = panel.groupBy(judge).agg(F.percentile(score, grid_).alias("__q"))
     keys = [c for c in effect.columns if c != "effect"]
-    ranked = panel.withColumn("__p", percent_rank_average(score, [judge])).join(F.broadcast(effect), keys, "left").join(F.broadcast(q), judge)
+    ranked = with_average_rank(panel, score, [judge], "__r", total="__n").withColumn("__p", F.col("__r") / F.col("__n") * 100).join(F.broadcast(effect), keys, "left").join(F.broadcast(q), judge)
 
     def read(p: Column) -> Column:
         at = p / 100 * points

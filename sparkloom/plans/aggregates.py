@@ -244,7 +244,8 @@ def a29(t):
 
 @query("w01_percent_rank", f"WITH {PANEL} SELECT gen, case_id, judge, round((rank() OVER (PARTITION BY judge ORDER BY score) + (count(*) OVER (PARTITION BY judge, score) - 1) / 2.0) / count(*) OVER (PARTITION BY judge) * 100, 9) AS pct FROM panel")
 def w01(t):
-    return panel(t).select("gen", "case_id", "judge", r(R.percent_rank_average("score", ["judge"])).alias("pct"))
+    ranked = R.with_average_rank(panel(t), "score", ["judge"], total="n")
+    return ranked.select("gen", "case_id", "judge", r(F.col("rank") / F.col("n") * 100).alias("pct"))
 
 
 @query("w02_min_rank", f"WITH {MEDS}, g AS (SELECT gen, round(avg(med)) AS s FROM meds GROUP BY gen) SELECT gen, rank() OVER (ORDER BY s DESC) AS place FROM g")

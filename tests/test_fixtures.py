@@ -249,6 +249,25 @@ def test_pareto_and_marks(spark):
     assert sorted(map(tuple, R.pareto(d, "c", "s").collect())) == [(1.0, 5.0), (3.0, 7.0)]
 
 
+@pytest.mark.parametrize("parts", [2, 5, 64])
+def test_ranks_in_parts(spark, parts):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *map(float, range(12))]), i) for i in range(400)]
+    d = spark.createDataFrame(rows, "j string, v double, i int")
+    for desc in (False, True):
+        got = {r["i"]: (r["rank"], r["n"]) for r in R.with_average_rank(d, "v", ["j"], descending=desc, total="n", parts=parts).collect()}
+        for j, v, i in rows:
+            if v is None:
+                assert got[i][0] is None
+                continue
+            same = [x[1] for x in rows if x[0] == j and x[1] is not None]
+            below = sum(x > v if desc else x < v for x in same)
+            assert got[i] == (below + (sum(x == v for x in same) + 1) / 2, len(same))
+    assert R.with_average_rank(d.limit(0), "v", []).count() == 0
+
+
 def test_filters_reach_the_scan(spark):
     d = scans.read_table(spark, "/root/testdata/sf0.01/documents.parquet").where("lang = 'de'").select("doc_id")
     plan = d._jdf.queryExecution().executedPlan().toString()
