@@ -12,6 +12,7 @@ null ids are an error in decoding, as no encoder makes them."""
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -336,7 +337,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, their number for each text, and for each slice its start in the text
-        and the number of slices of each text."""
+        and the number of slices of each text. Long texts go through in stretches, so that the arrays made of them are
+        bounded."""
+        if max(map(len, texts), default=0) > 2 * STRETCH:
+            parts = [self._long(t) for t in texts]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        return self._run(texts)
+
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         spans = self.slicer.spans(texts)
         ids, n = self.cache.tokens(self.cache.rows(spans))
         ends = np.append(0, np.cumsum(n))
@@ -344,6 +352,31 @@ class Encoder:
         return ids, ends[upto[1:]] - ends[upto[:-1]], spans.starts_in_text(), spans.counts
 
 
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, starts, at = [], [], 0
+        for part in stretches(text):
+            i, _, s, _ = self._run([part])
+            ids.append(i)
+            starts.append(s + at)
+            at += len(part)
+        return np.concatenate(ids), np.array([sum(map(len, ids))]), np.concatenate(starts), np.array([sum(map(len, starts))])
+
+
+#: Characters of a long text that are worked on at once.
+STRETCH = 500_000
+_SAFE = re.compile(r" (?=[A-Za-z0-9])")
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts that begin with a space before a letter or digit, where a slice starts whatever stands before
+    and none that starts before looks beyond. A text without such places is one part."""
+    at = 0
+    while cut := _SAFE.search(text, at + STRETCH):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def pieces(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
     """Texts in runs of about so many characters, which bounds the arrays made of them."""
     run, size = [], 0

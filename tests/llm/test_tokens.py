@@ -49,6 +49,19 @@ def test_long_slices_and_offsets(library):
     assert parts == regex.findall(public_tokenizers.PATTERN, t) and counts.tolist() == [len(parts)]
 
 
+def test_long_texts_go_in_stretches(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 50)
+    rnd = random.Random(8)
+    for n in (0, 40, 200, 3000):
+        t = "".join(rnd.choice(PIECES + [" a", " b1"]) for _ in range(n))
+        ids, k, starts, counts = ENCODER.encode(["x y", t, ""])
+        want = library.encode_ordinary(t)
+        assert ids.tolist() == library.encode_ordinary("x y") + want and k.tolist() == [2, len(want), 0]
+        import regex
+
+        assert starts[counts[0] :].tolist() == [m.start() for m in regex.finditer(public_tokenizers.PATTERN, t)]
+
+
 def test_cache_may_be_cleared(library):
     small = bpe.Encoder(ENCODER.cache.merge, bits=4)
     rnd = random.Random(3)
