@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from sparkloom.llm import cotrain, secrets, toxicity
 
