@@ -37,7 +37,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
 #: Too few tokens, or texts, to tell.
-MIN_TOKENS, MIN_GROUP = 50, 200
+MIN_TOKENS, MIN_GROUP = 200, 200
 #: measure -> (width of a bin, quartile distances allowed below, above, least quartile distance).
 BANDS = {"chars_per_token": (0.01, 8, 8, 0.03), "byte_share": (0.005, None, 8, 0.01), "entropy": (0.05, 5, None, 0.2)}
 
