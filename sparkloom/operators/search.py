@@ -19,25 +19,30 @@ def terms(text: Column) -> Column:
 
 
 class Index:
-    """Postings of a corpus: (term, key, tf, dl, df) and the corpus's size. Written once, it can be
-    partitioned by term; queries then read their terms' partitions alone."""
+    """Postings of a corpus: (term, key, tf, dl), documents per term and the corpus's size. Written once
+    (sources/sinks.py:write_index), it can be partitioned by term; queries then read their terms' partitions alone."""
 
     def __init__(self, corpus: DataFrame, key: str, text: str) -> None:
         tokens = corpus.select(F.col(key).alias("key"), terms(F.col(text)).alias("t"))
-        lengths = tokens.select("key", F.size("t").alias("dl"))
-        tf = tokens.select("key", F.explode("t").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        self.tf, self.df, self.lengths = tf, df, lengths
-        self.totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        self.lengths = tokens.select("key", F.size("t").alias("dl"))
+        self.words = tokens.select("key", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        self.tf = self.postings(self.words)
+        self.df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
+        self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    @staticmethod
+    def postings(words: DataFrame) -> DataFrame:
+        return words.groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: Index, queries: DataFrame, qkey: str, qtext: str, k: int) -> DataFrame:
     """(query, key, score, rank): the k best documents of each query; scores rounded to 9 places before
-    they are ordered, ties by key. The query side is reduced to its terms' df first, so that only
-    postings of asked terms take part."""
+    they are ordered, ties by key. Words that nobody asks for drop out before anything is counted, so only
+    postings of asked terms are shuffled; a document's length travels with its words."""
     asked = queries.select(F.col(qkey).alias("query"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("term"))
-    asked = asked.join(index.df, "term")
-    hits = index.tf.join(asked, "term").join(index.lengths, "key").crossJoin(F.broadcast(index.totals))
+    tf = index.postings(index.words.join(asked.select("term").distinct(), "term", "left_semi"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query", "key").agg(F.round(F.sum(part), 9).alias("score"))

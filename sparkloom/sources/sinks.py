@@ -61,7 +61,7 @@ def side_file(df: DataFrame, path: str) -> None:
 
 def write_index(index, path: str, terms: int = 64) -> None:
     """A search index as tables: postings in folders by a hash of the term, so a query reads its terms' folders."""
-    index.tf.join(index.df, "term").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(terms)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    index.tf.join(index.df, "term").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(terms)).cast("int")).repartition("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
