@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -187,7 +188,36 @@ class Shard:
 # --- writing ---
 
 
-def _hf(path: str) -> bpe.Encoder:
+class WholeTexts:
+    """The ids of whole texts, as the tokenizers library gives them without special tokens of its own: tokens added to the
+    vocabulary are cut out of a text first, and what lies between two of them is a text by itself. Texts that hold an added
+    token with conditions (a single word, white space taken along) go to the library whole."""
+
+    def __init__(self, encoder: bpe.Encoder, tokenizer) -> None:
+        self.encoder, self.tokenizer = encoder, tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        longest = lambda kept: "|".join(map(re.escape, sorted((t.content for t in added.values() if kept(t)), key=len, reverse=True))) or r"(?!)"
+        conditions = lambda t: t.single_word or t.lstrip or t.rstrip
+        self.ids = {t.content: i for i, t in added.items()}
+        self.cut, self.hard = re.compile(f"({longest(lambda t: True)})"), re.compile(longest(conditions))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, and their number for each text."""
+        if not any(map(self.cut.search, texts)):
+            return self.encoder.encode(texts)[:2]
+        if any(map(self.hard.search, texts)):
+            return bpe.flat_lists([self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts])
+        parts = [self.cut.split(t) for t in texts]  # text, token, text, ..., text
+        flat, n, _, _ = self.encoder.encode([x for p in parts for x in p[::2]])
+        counts = np.array([len(p) // 2 + 1 for p in parts])
+        last = np.cumsum(counts) - 1
+        before_token = np.ones(len(n), bool)
+        before_token[last] = False
+        flat = np.insert(flat, np.cumsum(n)[before_token], [self.ids[x] for p in parts for x in p[1::2]])
+        return flat, np.add.reduceat(n + before_token, last - counts + 1)
+
+
+def _hf(path: str) -> WholeTexts:
     """An encoder whose slices are merged by the tokenizers library's model.
 
     The library itself maps a slice's bytes to the characters of its byte alphabet and hands them to
@@ -197,7 +227,8 @@ def _hf(path: str) -> bpe.Encoder:
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
-    model = Tokenizer.from_file(path).model
+    tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
     alphabet = sorted(ByteLevel.alphabet())  # bytes that have no visible character get the later ones
     visible = [b for b in range(256) if chr(b) in alphabet]
     hidden = [b for b in range(256) if chr(b) not in alphabet]
@@ -207,10 +238,10 @@ def _hf(path: str) -> bpe.Encoder:
         tokens = model.tokenize
         return bpe.flat_lists([[t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(table))] for x in new])
 
-    return bpe.Encoder(merge, bits=22)
+    return WholeTexts(bpe.Encoder(merge, bits=22), tokenizer)
 
 
-_encoders: dict[str, bpe.Encoder] = {}
+_encoders: dict[str, WholeTexts] = {}
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text", width: int = 2) -> tuple[str, DataFrame]:
@@ -218,7 +249,8 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     (shard, docs, ids, start: the ids of all shards before it).
 
     The tokenizers library encodes each slice of a text once per worker's cache; slices are cut as its
-    own pre-tokenizer cuts them, and no merge crosses them, so a text's ids are its slices' ids."""
+    own pre-tokenizer cuts them, and no merge crosses them, so a text's ids are its slices' ids and those of
+    the added tokens in it."""
     spark, path = docs.sparkSession, path or public_tokenizers.path(VOCABULARY)
     folder = folder or new_path(spark, "token-ids")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -234,7 +266,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
         shard = TaskContext.get().partitionId()
         for b in batches:
             for run in bpe.pieces(b.column(1).to_pylist()):
-                flat, n, _, _ = encoder.encode(run)
+                flat, n = encoder.encode(run)
                 ids.append(np.insert(flat, np.cumsum(n), end_id).astype(f"<u{width}").tobytes())
                 sizes.append(n + 1)
             keys.append(b.column(0))

@@ -127,6 +127,43 @@ def test_store(spark):
     assert binary.look_up(spark, folder, spark.createDataFrame([(10**9,)], "doc_id long")).count() == 0
 
 
+def test_store_of_texts_with_added_tokens(spark):
+    """As the library encodes them, told nothing of special tokens in texts."""
+    mark = "<|endoftext|>"
+    texts = [f"end{mark}next", mark, f"{mark}{mark} a", f"  {mark}  two  spaces \n {mark}\n", "<|endoftext|", f"<|{mark}|>", f"don{mark}'t", "no mark", "", text(5, 200_000) + mark + text(6, 50)]
+    folder, manifest = binary.write(documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))
+    hf = Tokenizer.from_file(public_tokenizers.path(binary.VOCABULARY))
+    want = [hf.encode(t, add_special_tokens=False).ids + [binary.END_ID] for t in texts]
+    assert want[0] == [437, 50256, 19545, binary.END_ID]
+    store = binary.Store(folder)
+    assert [store.get(i)[0].tolist() for i in range(len(texts))] == want
+    found = binary.with_starts(binary.checksums(binary.look_up(spark, folder, documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))), manifest)
+    assert [r["start"] for r in found.orderBy("doc_id").collect()] == [sum(map(len, want[:i])) for i in range(len(texts))]
+
+
+WHOLE = binary._hf(public_tokenizers.path(binary.VOCABULARY))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", "a", " b", " ", "\n", "'s", "1", "é", "日"]), max_size=20).map("".join), min_size=1, max_size=4))
+def test_whole_texts(texts):
+    ids, n = WHOLE.encode(texts)
+    want = [WHOLE.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_added_tokens_with_conditions():
+    from tokenizers import AddedToken
+
+    encoder = binary._hf(public_tokenizers.path(binary.VOCABULARY))
+    encoder.tokenizer.add_tokens([AddedToken("<|mark|>", lstrip=True, rstrip=True)])
+    encoder = binary.WholeTexts(encoder.encoder, encoder.tokenizer)
+    texts = ["a  <|mark|>  b<|endoftext|> c", "plain"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, n = encoder.encode(texts)
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_store_of_nothing(spark):
     folder, manifest = binary.write(documents(spark, []))
     assert manifest.count() == 0 and binary.look_up(spark, folder, documents(spark, [])).count() == 0
