@@ -4,6 +4,8 @@ A ranked list is rows (query, list_no, rank, key) with 0-based ranks; order is n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,15 +56,26 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(corpus: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
-    """(query, key, score, rank): the k nearest by cosine. The queries go to the corpus if there are
-    at most `most` of them (counted); more must come in blocks."""
+    """(query, key, score, rank): the k nearest by cosine. The queries go to the corpus, in counted blocks of
+    at most `most` of them; the best of all blocks' best are the best."""
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
     q = queries.select(F.col(qkey).alias("query"), unit(F.col(vector).cast("array<double>")).alias("qv"))
-    if q.limit(most + 1).count() > most:
-        raise ValueError("more queries than one block holds")
     c = corpus.select(F.col(key).alias("key"), unit(F.col(vector).cast("array<double>")).alias("cv"))
-    scored = c.join(F.broadcast(q), F.col("key") != F.col("query")).select("query", "key", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("score"))
-    return top_k(scored, ["query"], k, F.desc("score"), F.asc("key"))
+
+    def nearest(block: DataFrame) -> DataFrame:
+        scored = c.join(F.broadcast(block), F.col("key") != F.col("query")).select("query", "key", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("score"))
+        return top_k(scored, ["query"], k, F.desc("score"), F.asc("key"))
+
+    n = queries.count()
+    if n <= most:
+        return nearest(q)
+    # buckets by hash, a fifth below a block on average; one that is larger all the same makes several blocks
+    bucketed = q.withColumn("__b", F.pmod(F.xxhash64("query"), F.lit(-(-n * 5 // (most * 4)))))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("query", "qv")) - 1
+    blocks = bucketed.withColumn("__p", F.floor(place / most))
+    counted = bucketed.groupBy("__b").count().collect()
+    parts = [nearest(blocks.where((F.col("__b") == b) & (F.col("__p") == p)).select("query", "qv")) for b, rows in counted for p in range(-(-rows // most))]
+    return top_k(reduce(DataFrame.unionByName, parts).drop("rank"), ["query"], k, F.desc("score"), F.asc("key"))
 
 
 # --- fusion ---

@@ -52,6 +52,21 @@ def test_route(spark, k, share, want):
     assert order(S.route(ranked, F.col("key").startswith("s"), k, share)) == want
 
 
+@pytest.mark.parametrize("most", [1, 7, 39])
+def test_dense_in_blocks(spark, most):
+    """More queries than a block holds, a repeated one and a null vector among them: the same as in one block."""
+    vectors = [(i, [math.sin(i * j + j) for j in range(1, 6)]) for i in range(60)] + [(60, None)]
+    corpus = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = spark.createDataFrame([*vectors[:37], vectors[3], vectors[60], (3, vectors[4][1])], "id long, v array<double>")
+    got = S.dense(corpus, asked, "id", "id", "v", 4, most=most)
+    assert got.columns == ["query", "key", "score", "rank"]
+    whole = S.dense(corpus, asked, "id", "id", "v", 4).collect()
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole)) and len(whole) == 4 * 38
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    best = sorted((-round(cosine(vectors[9][1], v), 9), i) for i, v in vectors[:60] if i != 9)[:4]
+    assert [r["key"] for r in sorted((r for r in whole if r["query"] == 9), key=lambda r: r["rank"])] == [i for _, i in best]
+
+
 def test_recall_of_whole_ranking_is_the_ceiling(spark):
     gold = spark.createDataFrame([(1, "A"), (1, "Z"), (2, "B")], "query int, key string")
     r = S.recall_at(S.rrf(lists(spark, "ABC"), 9), gold, [1, 3]).orderBy("k").collect()
