@@ -12,7 +12,8 @@ from .registry import query
 
 WIDE = PANEL + ", wide AS (SELECT gen, case_id, " + ", ".join(f"max(score) FILTER (judge = '{j}') AS {j}" for j in JUDGES) + " FROM panel GROUP BY ALL)"
 BY_GEN = WIDE + ", g AS (SELECT gen, avg(view) AS view, avg(error) AS error, avg(click) AS click FROM wide GROUP BY gen)"
-REPS, SEED = 100, 7
+#: As many resamples and permutations as the reference takes, and fewer of generators' labels.
+REPS, LABEL_REPS, SEED = 10_000, 2_000, 7
 
 
 def wide(t):
@@ -185,7 +186,7 @@ def m15(t):
 def m16(t):
     from ..operators.bias import permutation_effect
 
-    return permutation_effect(panel(t), rounds=REPS)
+    return permutation_effect(panel(t), rounds=LABEL_REPS)
 
 
 @query("m17_debias")
@@ -297,4 +298,4 @@ def m27(t):
 
 @query("m01b_seeded_bootstrap")
 def m01b(t):
-    return S.bootstrap_se_seeded(meds(t), ["gen"], "med", 2000, 20260909, 1)
+    return S.bootstrap_se_seeded(meds(t), ["gen"], "med", REPS, 20260909, 1)

@@ -57,6 +57,33 @@ def test_runs(spark, name):
     assert df.columns and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["m01_bootstrap_se", "m02_correlation_interval", "m03_cluster_interval", "m09_permutation_p"])
+def test_resamples_of_the_reference(name):
+    assert "range(10000)" in ORACLES[name]
+
+
+def test_resamples_without_sql(spark):
+    """Against plain numpy with the reference's 10,000 draws; label permutations are 2,000."""
+    import numpy as np
+
+    from sparkloom.operators import statistics as S
+    from sparkloom.plans import statistics as plan
+
+    seen = {}
+    real, S.bootstrap_se_seeded = S.bootstrap_se_seeded, lambda *a: seen.update(args=a) or real(*a)
+    try:
+        QUERIES["m01b_seeded_bootstrap"](spark, DATA)
+    finally:
+        S.bootstrap_se_seeded = real
+    assert seen["args"][3] == plan.REPS == 10_000
+    x = [float(i * i % 17) for i in range(12)]
+    got = real(spark.createDataFrame([("a", v) for v in x], "g string, v double").coalesce(1), ["g"], "v", plan.REPS, 3).first()["se"]
+    want = np.array(x)[np.random.default_rng(3).integers(0, 12, (10_000, 12))].mean(1).std()
+    assert got == pytest.approx(want, rel=1e-9)
+    p = QUERIES["m16_label_permutation"](spark, DATA).first()["p"]
+    assert abs(p * 2001 - round(p * 2001)) < 1e-9
+
+
 def test_without_the_optional_subpackage(tmp_path):
     """The library imports nothing of it."""
     import subprocess
