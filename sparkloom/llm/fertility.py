@@ -3,12 +3,15 @@
 A public vocabulary with byte fallback encodes a text's words; three measures follow: characters
 per token, the share of tokens that are single bytes for want of a piece, and the entropy of the
 text's tokens in bits. Each language (or, for texts without one, the script of most letters) has a
-band for each measure: its quartiles over all texts of the corpus, widened by a multiple of their
-distance. A text outside a band is rejected. Texts of fewer than MIN_TOKENS tokens are too short to
-measure, and a group of fewer than MIN_GROUP such texts too small to tell; neither is rejected.
+band for each measure and length: the quartiles over all its texts of the corpus with about as many tokens (a power of two up
+to the next), widened by a multiple of their distance. A text outside a band is rejected.
 
-The quartiles come from counts per group and bin, so they are exact for binned measures, the same in every
-run, and no group meets in one task before it is a few hundred counts.
+A length of which a group has fewer than MIN_GROUP texts takes the band of the group's nearest length with enough, wider for each
+doubling between them; a group without any takes the bands over all groups, twice as wide as languages differ.
+Only where no length has MIN_GROUP texts in the whole corpus is there no band.
+
+The quartiles come from counts per group, length and bin, so they are exact for binned measures, the same in every
+run, and no group meets in one task before it is a few hundred counts a length.
 
 Beside these a few base measures are taken: words, their characters, symbols, repeated lines, words
 in repeated five-word windows.
@@ -36,10 +39,15 @@ VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
-#: Too few tokens, or texts, to tell.
-MIN_TOKENS, MIN_GROUP = 200, 200
-#: measure -> (width of a bin, quartile distances allowed below, above, least quartile distance).
-BANDS = {"chars_per_token": (0.01, 8, 8, 0.03), "byte_share": (0.005, None, 8, 0.01), "entropy": (0.05, 5, None, 0.2)}
+#: Too few texts to tell.
+MIN_GROUP = 50
+#: measure -> (width of a bin, quartile distances allowed below, above, least quartile distance, what a doubling of the length may add).
+BANDS = {"chars_per_token": (0.01, 4, 4, 0.03, 0.0), "byte_share": (0.005, None, 4, 0.01, 0.0), "entropy": (0.05, 4, 4, 0.2, 1.0)}
+
+
+def size():
+    """The length that a text is measured among: the binary digits of its number of tokens."""
+    return F.when(F.col("n_tokens") > 0, F.length(F.bin("n_tokens")))
 
 
 def script_of(text: str) -> str:
@@ -152,30 +160,41 @@ def measure(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
 
 def bands(measured: DataFrame, rules: dict = BANDS) -> DataFrame:
-    """(group, for each measure the least and the greatest value allowed, null for no bound)."""
-    usual = measured.where(F.col("n_tokens") >= MIN_TOKENS)
+    """(group, size, for each measure the least and the greatest value allowed, null for no bound), for each group and length there is."""
     bins = [F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / w).cast("long").alias("bin"), F.lit(w).alias("width")) for m, (w, *_) in rules.items()]
-    counts = usual.select("group", F.explode(F.array(*bins)).alias("x")).groupBy("group", "x.measure", "x.bin", "x.width").count()
-    by = Window.partitionBy("group", "measure")
+    each = measured.where("n_tokens > 0").select("group", size().alias("size"), F.explode(F.array(*bins)).alias("x"))
+    counts = cut(each.groupBy("group", "size", "x.measure", "x.bin", "x.width").count())
+    pooled = counts.groupBy("size", "measure", "bin", "width").agg(F.sum("count").alias("count")).withColumn("group", F.lit(None).cast("string"))
+    by = Window.partitionBy("group", "size", "measure")
     upto = F.sum("count").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("count").over(by))
+    ranked = counts.unionByName(pooled).withColumn("upto", upto).withColumn("n", F.sum("count").over(by))
     quarter = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), (F.col("bin") + 0.5) * F.col("width")))
-    quartiles = ranked.groupBy("group", "measure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"), F.first("n").alias("n")).where(F.col("n") >= MIN_GROUP)
+    quartiles = ranked.where(F.col("n") >= MIN_GROUP).groupBy("group", "size", "measure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
+    known = cut(quartiles.groupBy("group", F.col("size").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q3")))).alias("q")))
+    asked = counts.select("group", "size").distinct()
+    # the pooled lengths are a few dozen at most
+    found = asked.join(known, "group").withColumn("wider", F.lit(1.0))
+    found = found.unionByName(asked.crossJoin(F.broadcast(known.where("group IS NULL").drop("group"))).withColumn("wider", F.lit(2.0)))
+    apart = F.abs(F.col("size") - F.col("of"))
+    best = found.groupBy("group", "size").agg(F.min_by(F.struct("of", "q", "wider"), F.struct("wider", apart, "of")).alias("b")).select("group", "size", "b.*")
     out = []
-    for m, (_, below, above, least) in rules.items():
-        of = F.col("measure") == m
-        wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        out.append(F.max(F.when(of, F.col("q1") - wide * below if below is not None else F.lit(None).cast("double"))).alias(f"{m}_low"))
-        out.append(F.max(F.when(of, F.col("q3") + wide * above if above is not None else F.lit(None).cast("double"))).alias(f"{m}_high"))
-    return quartiles.groupBy("group").agg(*out)
+    for m, (_, below, above, least, added) in rules.items():
+        q1, q3 = F.col("q")[m]["q1"], F.col("q")[m]["q3"]
+        wide = F.greatest(q3 - q1, F.lit(least)) * F.col("wider") * F.pow(F.lit(2.0), apart / 2)
+        none = F.lit(None).cast("double")
+        out.append((q1 - wide * below - apart * added if below is not None else none).alias(f"{m}_low"))
+        out.append((q3 + wide * above + apart * added if above is not None else none).alias(f"{m}_high"))
+    return best.select("group", "size", *out)
 
 
 def judge(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: dict = BANDS) -> DataFrame:
     """What `measure` returns, with rejected (outside a band) and kept (neither failed nor rejected)."""
     measured = cut(measure(docs, path, key, text, lang))
-    joined = lookup_join(measured, cut(bands(measured, rules)), "group", "left")
+    place = lambda n: F.concat_ws(" ", n.cast("string"), "group").alias("__place")
+    found = bands(measured, rules)
+    found = cut(found.select(place(F.col("size")), *[c for c in found.columns if c not in ("group", "size")]))
+    joined = lookup_join(measured.select("*", place(size())), found, "__place", "left")
     out = F.lit(False)
     for m in rules:
         out = out | F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False)) | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
-    rejected = out & (F.col("n_tokens") >= MIN_TOKENS)
-    return joined.withColumn("rejected", rejected).withColumn("kept", ~F.col("rejected") & ~F.col("base_failed")).select(*measured.columns, "rejected", "kept")
+    return joined.withColumn("rejected", out & (F.col("n_tokens") > 0)).withColumn("kept", ~F.col("rejected") & ~F.col("base_failed")).select(*measured.columns, "rejected", "kept")

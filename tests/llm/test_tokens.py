@@ -218,3 +218,14 @@ def test_fertility_verdict(spark):
     assert all(got[j[0]]["rejected"] and not got[j[0]]["kept"] for j in junk)
     assert got[2]["n_words"] == 0 and got[2]["base_failed"] and got[2]["chars_per_token"] is None
     assert fertility.judge(documents(spark, [])).count() == 0
+
+
+def test_fertility_of_short_texts_and_small_groups(spark):
+    """Texts of under 200 tokens, languages of a few texts and monotonous or overfull ones are judged too."""
+    rows = [(i, text(i, 20 + i % 12), "en", "a", 1) for i in range(200)] + [(i, text(i, 120 + i % 40), "en", "a", 1) for i in range(200, 500)]
+    few = [(600 + i, text(600 + i, 22), "xx", "a", 1) for i in range(3)]
+    odd = "qzxj vkqw xzzq jjkq wqxv zzkj qxqx vvzj kqzw xjqv zqkk wjxz".upper()
+    junk = [(700, f"{odd} {odd[::-1]}", "en", "a", 1), (701, " ".join("\U0001f9ff%d" % j for j in range(15)), "xx", "a", 1), (702, " ".join("alpha beta gamma".split() * 60), "en", "a", 1)]
+    got = {r["doc_id"]: r for r in fertility.judge(documents(spark, rows + few + junk)).collect()}
+    assert got[700]["n_tokens"] < 200 and not got[700]["base_failed"]
+    assert {i for i in got if got[i]["rejected"]} == {700, 701, 702}
