@@ -12,7 +12,6 @@ null ids are an error in decoding, as no encoder makes them."""
 from __future__ import annotations
 
 import base64
-import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -142,6 +141,25 @@ class Slicer:
         return Spans(joined, points, begins, starts, np.append(starts[1:], len(points)))
 
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """A long text in parts of about STRETCH characters that begin where a slice starts. A slice start
+        depends on what stands before it and on two characters after; what follows it doesn't depend on what stands
+        before. White space before another character isn't cut off from it, as it would look like a text's end.
+        Only a slice that is longer than a part makes the part longer."""
+        at, size = 0, STRETCH
+        while len(text) - at > size:
+            spans = self.spans([text[at : at + size]])
+            starts = spans.starts[(spans.starts > 0) & (spans.starts < size - 2)]
+            white = self.classes[spans.points] >= 4
+            starts = starts[~white[starts - 1] | white[starts]]
+            if len(starts):
+                yield text[at : at + int(starts[-1])]
+                at, size = at + int(starts[-1]), STRETCH
+            else:
+                size *= 2
+        yield text[at:]
+
+
 def join_texts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """All texts as one, its code points, and where each text begins (and the last ends)."""
     joined = "".join(texts)
@@ -159,28 +177,23 @@ class Spans:
     def starts_in_text(self) -> np.ndarray:
         return self.starts - np.repeat(self.begins[:-1], self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each stretch: differences of one running sum of c[i] * B**i, scaled
-        back by B**-start."""
-        up, down = _powers(len(self.points))
-        sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * up, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h ^ (h >> np.uint64(29))) | np.uint64(1)  # 0 marks an empty place
-
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch the first eight and the next eight bytes of its UTF-8 form (little-endian, zeros after its
+        end), and its length in bytes. For up to 16 bytes these three are the stretch itself."""
+        data = self.joined.encode("utf-8", "surrogatepass")
+        starts, ends = self.starts, self.ends
+        if len(data) != len(self.points):
+            p = self.points
+            at = np.zeros(len(p) + 1, np.int64)
+            np.cumsum(1 + (p > 0x7F).view(np.int8) + (p > 0x7FF).view(np.int8) + (p > 0xFFFF).view(np.int8), out=at[1:])
+            starts, ends = at[starts], at[ends]
+        n = ends - starts
+        eight = np.ndarray((len(data) + 9,), "<u8", buffer=data + bytes(16), strides=(1,))
+        return eight[starts] & _UPTO[np.minimum(n, 8)], eight[np.minimum(starts + 8, len(data) + 8)] & _UPTO[np.clip(n - 8, 0, 8)], n
 
-_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n >= len(_power[0]):
-        base = 0xD1342543DE82EF95
-        for i, b in enumerate((base, pow(base, -1, 1 << 64))):
-            x = np.full(n + n // 4 + 1, b, np.uint64)
-            x[0] = 1
-            _power[i] = np.multiply.accumulate(x)
-    return _power[0][:n], _power[1]
+#: Masks of the first 0 to 8 bytes.
+_UPTO = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 class Merger:
@@ -216,93 +229,135 @@ class Merger:
         return [self.ranks[p] for p in parts]
 
     def _long(self, parts: list[bytes]) -> list[int]:
-        """The same with a heap and links, for slices of any length."""
+        """The same with a heap and links, for slices of any length. The heap holds rank * 2**32 + place."""
         import heapq
+        from array import array
 
         n, rank_of = len(parts), self.ranks.get
-        after, prior = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank_of(a + b)) is not None]
+        after, prior = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        after[-1] = -1
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank_of(a + b)) is not None]
         heapq.heapify(heap)
-        alive = [True] * n
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
+            rank, i = divmod(heapq.heappop(heap), 1 << 32)
+            j = after[i] if parts[i] else -1  # a part that went into another is empty
             if j < 0 or rank_of(parts[i] + parts[j]) != rank:
                 continue
             parts[i] += parts[j]
-            alive[j] = False
+            parts[j] = b""
             after[i] = after[j]
             if after[j] >= 0:
                 prior[after[j]] = i
                 if (r := rank_of(parts[i] + parts[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i))
+                    heapq.heappush(heap, r << 32 | i)
             if prior[i] >= 0 and (r := rank_of(parts[prior[i]] + parts[i])) is not None:
-                heapq.heappush(heap, (r, prior[i]))
-        return [self.ranks[x] for x, keep in zip(parts, alive) if keep]
+                heapq.heappush(heap, r << 32 | prior[i])
+        return [self.ranks[x] for x in parts if x]
 
 
 class SliceCache:
-    """stretch of text -> its row in a growing flat table of ids, by an open-addressing table of
-    64-bit hashes (two stretches of one cache fall together with a chance of about 1e-7 in all).
+    """stretch of text -> its row in a growing flat table of ids. Stretches of up to 16 bytes are found in an
+    open-addressing table that holds them as two words and a length, all of which are compared; longer
+    ones by a dict of the stretches themselves. So equal rows mean equal stretches.
     Emptied when full: it only saves work, so nothing depends on what is in it."""
 
+    #: Characters of long stretches that may be kept.
+    LONG_CHARS = 1 << 24
+
     def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 20) -> None:
         self.merge, self.bits = merge, bits
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        size = 1 << self.bits
+        self.low, self.high, self.size = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.uint8)  # size 0: an empty place
+        self.row, self.long, self.long_chars = np.zeros(size, np.int32), {}, 0
         self.flat, self.used, self.rows_used = np.zeros(1 << 16, np.uint32), 0, 0
         self.first, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        todo, at = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _place(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = (low ^ n * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32)) ^ high) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out, at = np.full(len(low), -1, np.int64), self._place(low, high, n)
+        todo = np.arange(len(low))
         while len(todo):
-            k = self.keys[at]
-            hit = k == h[todo]
+            size = self.size[at]
+            hit = (self.low[at] == low) & (self.high[at] == high) & (size == n)
             out[todo[hit]] = self.row[at[hit]]
-            more = ~hit & (k != 0)
-            todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
+            more = ~hit & (size != 0)
+            todo, low, high, n, at = todo[more], low[more], high[more], n[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _insert(self, h: np.ndarray, rows: np.ndarray) -> None:
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(h):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[free]
-            won = free & (self.keys[at] == h)
-            self.row[at[won]] = rows[won]
-            h, rows, at = h[~won], rows[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+    def _insert(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Put in stretches that aren't there, of equal ones one; return which."""
+        out, todo, at = np.zeros(len(low), bool), np.arange(len(low)), self._place(low, high, n)
+        while len(todo):
+            free = self.size[at] == 0
+            # of all that want a free place the last written has it; equal ones go with it
+            self.row[at[free]] = rows[free]
+            won = free & (self.row[at] == rows)
+            self.low[at[won]], self.high[at[won]], self.size[at[won]] = low[won], high[won], n[won]
+            out[todo[won]] = True
+            more = ~((self.low[at] == low) & (self.high[at] == high) & (self.size[at] == n))
+            todo, low, high, n, rows, at = todo[more], low[more], high[more], n[more], rows[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
 
     def rows(self, spans: Spans) -> np.ndarray:
         """The row of each stretch; what isn't there is merged and added."""
-        h = spans.hashes()
-        rows = self._find(h)
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            new, where = np.unique(h[missing], return_index=True)
-            if 2 * (self.rows_used + len(new)) > len(self.keys) or self.used > 1 << 28:
+        low, high, n = spans.words()
+        out = np.full(len(n), -1, np.int64)
+        short = np.flatnonzero(n <= 16)
+        long = np.flatnonzero(n > 16)
+        if not len(long):
+            short = slice(None)
+        low, high, n = low[short], high[short], n[short].astype(np.uint64)
+        found = self._find(low, high, n)
+        missing = np.flatnonzero(found < 0)
+        joined = spans.joined
+        texts = [joined[a:b] for a, b in zip(spans.starts[long].tolist(), spans.ends[long].tolist())]
+        new_long = list(dict.fromkeys(t for t in texts if t not in self.long))
+        if len(missing) or new_long:
+            chars = sum(map(len, new_long))
+            if 2 * (self.rows_used + len(missing)) > len(self.size) or self.used > 1 << 28 or (self.long and self.long_chars + chars > self.LONG_CHARS):
                 if self.rows_used:
                     self.clear()
                     return self.rows(spans)
-                self.bits = 2 + int(len(new)).bit_length()  # one batch of more than fits
+                self.bits = max(self.bits, 2 + int(len(missing)).bit_length())  # one batch of more than fits
                 self.clear()
-            where = missing[where]
-            joined = spans.joined
-            ids, sizes = self.merge([joined[a:b] for a, b in zip(spans.starts[where].tolist(), spans.ends[where].tolist())])
-            k, total = self.rows_used, len(ids)
-            if k + len(new) > len(self.n):
-                self.first, self.n = (np.concatenate([x, np.zeros(max(len(x), k + len(new)), np.int32)]) for x in (self.first, self.n))
+            base = self.rows_used
+            marks = np.arange(base, base + len(missing))  # for the time being
+            won = missing[self._insert(low[missing], high[missing], n[missing], marks)]
+            at = won if isinstance(short, slice) else short[won]
+            new = [joined[a:b] for a, b in zip(spans.starts[at].tolist(), spans.ends[at].tolist())] + new_long
+            ids, sizes = self.merge(new)
+            total, rows = len(ids), np.arange(base, base + len(new))
+            if base + len(new) > len(self.n):
+                self.first, self.n = (np.concatenate([x, np.zeros(max(len(x), base + len(new)), np.int32)]) for x in (self.first, self.n))
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), self.used + total), np.uint32)])
-            self.n[k : k + len(new)] = sizes
-            self.first[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.n[rows] = sizes
+            self.first[rows] = self.used + np.cumsum(sizes) - sizes
             self.flat[self.used : self.used + total] = ids
-            self.used, self.rows_used = self.used + total, k + len(new)
-            self._insert(new, np.arange(k, k + len(new)))
-            rows[missing] = self._find(h[missing])
-        return rows
+            self.used, self.rows_used = self.used + total, base + len(new)
+            self._number(low[won], high[won], n[won], rows[: len(won)])
+            self.long.update(zip(new_long, rows[len(won) :].tolist()))
+            self.long_chars += chars
+            found[missing] = self._find(low[missing], high[missing], n[missing])
+        out[short] = found
+        out[long] = [self.long[t] for t in texts]
+        return out
+
+    def _number(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, rows: np.ndarray) -> None:
+        """Give stretches that are there, all of them distinct, their rows."""
+        at = self._place(low, high, n)
+        while len(at):
+            hit = (self.low[at] == low) & (self.high[at] == high) & (self.size[at] == n)
+            self.row[at[hit]] = rows[hit]
+            low, high, n, rows, at = low[~hit], high[~hit], n[~hit], rows[~hit], (at[~hit] + 1) & ((1 << self.bits) - 1)
 
     def tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the stretches in order, and the number of ids of each."""
@@ -354,7 +409,7 @@ class Encoder:
 
     def _long(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, starts, at = [], [], 0
-        for part in stretches(text):
+        for part in self.slicer.stretches(text):
             i, _, s, _ = self._run([part])
             ids.append(i)
             starts.append(s + at)
@@ -364,17 +419,6 @@ class Encoder:
 
 #: Characters of a long text that are worked on at once.
 STRETCH = 500_000
-_SAFE = re.compile(r" (?=[A-Za-z0-9])")
-
-
-def stretches(text: str) -> Iterator[str]:
-    """A long text in parts that begin with a space before a letter or digit, where a slice starts whatever stands before
-    and none that starts before looks beyond. A text without such places is one part."""
-    at = 0
-    while cut := _SAFE.search(text, at + STRETCH):
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
 
 
 def pieces(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:

@@ -22,6 +22,7 @@ rows give repeated results; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -95,31 +96,26 @@ class Meter:
         words_upto = np.append(0, np.cumsum(~white))
         full = words_upto[line_ends] > words_upto[line_starts]
         line_starts, line_ends = line_starts[full], line_ends[full]
-        lines = bpe.Spans(joined, points, begins, line_starts, line_ends)
-        line_doc = np.repeat(np.arange(docs), lines.counts)
-        _, kept = np.unique(np.stack([line_doc.astype(np.uint64), lines.hashes()]), axis=1, return_index=True) if len(line_starts) else (0, np.zeros(0, np.int64))
-        out["n_dup_lines"] = lines.counts - np.bincount(line_doc[kept], minlength=docs)
-
-        # words in windows that a text has twice or more
-        h, k = spans.hashes(), REPEAT_WINDOW
-        repeated = np.zeros(docs, np.int64)
-        if len(h) >= k:
-            w = np.zeros(len(h) - k + 1, np.uint64)
-            for i in range(k):
-                w = (w ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                w ^= w >> np.uint64(32)
-            whole = doc[k - 1 :] == doc[: len(h) - k + 1]
-            at = np.flatnonzero(whole)
-            w = (w[at] + doc[at].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
-            _, back, counts = np.unique(w, return_inverse=True, return_counts=True)
-            at = at[counts[back] > 1]
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + k, -1)
-            repeated = np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=docs)
-        out["n_repeat_words"] = repeated
-
-        ids, n = self.cache.tokens(self.cache.rows(spans))
+        line_doc = np.searchsorted(begins, line_starts, "right") - 1
+        seen: set = set()
+        again = np.zeros(docs, np.int64)
+        last = -1
+        for d, u, v in zip(line_doc.tolist(), line_starts.tolist(), line_ends.tolist()):
+            if d != last:
+                seen.clear()
+                last = d
+            line = joined[u:v]
+            if line in seen:
+                again[d] += 1
+            else:
+                seen.add(line)
+        out["n_dup_lines"] = again
+
+        # words in windows that a text has twice or more; equal rows of the cache are equal words
+        rows = self.cache.rows(spans)
+        out["n_repeat_words"] = repeated_words(rows, doc, docs)
+
+        ids, n = self.cache.tokens(rows)
         token_doc = np.repeat(doc, n)
         out["n_tokens"] = np.bincount(token_doc, minlength=docs)
         out["n_bytes"] = np.bincount(token_doc[self.is_byte[ids]], minlength=docs)
@@ -131,6 +127,37 @@ class Meter:
         return out
 
 
+#: Factor of the hash of windows; any odd number will do.
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def repeated_words(word: np.ndarray, doc: np.ndarray, docs: int, k: int = REPEAT_WINDOW) -> np.ndarray:
+    """Of each text the words in windows of k that it has twice or more; numbers of words and texts, in order. Windows are
+    told apart by a hash, and those of one hash compared word by word: where two differ, all are counted as tuples."""
+    m = max(0, len(word) - k + 1)
+    at = np.flatnonzero(doc[len(doc) - m :] == doc[:m])
+    if not len(at):
+        return np.zeros(docs, np.int64)
+    h = doc[at].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for i in range(k):
+        h = (h ^ word[at + i].astype(np.uint64)) * np.uint64(_FACTOR)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    x, y = at[order[1:]][same], at[order[:-1]][same]
+    if (doc[x] == doc[y]).all() and all((word[x + i] == word[y + i]).all() for i in range(k)):
+        twice = np.append(same, False) | np.append(False, same)
+        at = at[order[twice]]
+    else:
+        windows = [(doc[a], *word[a : a + k].tolist()) for a in at.tolist()]
+        counts = Counter(windows)
+        at = np.array([a for a, w in zip(at.tolist(), windows) if counts[w] > 1], np.int64)
+    edge = np.zeros(len(word) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + k, -1)
+    return np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=docs)
+
+
 _meters: dict[str, Meter] = {}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_bytes")
 

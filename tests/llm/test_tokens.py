@@ -62,6 +62,39 @@ def test_long_texts_go_in_stretches(library, monkeypatch):
         assert starts[counts[0] :].tolist() == [m.start() for m in regex.finditer(public_tokenizers.PATTERN, t)]
 
 
+def test_long_texts_without_spaces_are_cut_too():
+    t = "".join(chr(0x4E00 + i * 7 % 9000) + ("。" if i % 41 == 0 else "") for i in range(1_900_000))
+    parts = list(bpe.Slicer().stretches(t))
+    assert "".join(parts) == t and len(parts) >= 4 and max(map(len, parts)) <= bpe.STRETCH
+
+
+def thue_morse(n):
+    """Words that collide under every polynomial hash modulo a power of two."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_slices_are_compared_not_only_hashed(library):
+    a, b = thue_morse(10)
+    for x, y in ((a, b), (a.replace("a", "é"), b.replace("a", "é")), ("x\0", "x\0\0")):
+        ids, n, _, _ = ENCODER.encode([x, y, x])
+        assert ids.tolist() == library.encode_ordinary(x) + library.encode_ordinary(y) + library.encode_ordinary(x)
+        ids, n = WHOLE.encode([x, y])
+        assert ids.tolist() == [i for t in (x, y) for i in WHOLE.tokenizer.encode(t, add_special_tokens=False).ids]
+        m = METER([f"{x}\n{y}\n{x}\n1 2 3 {x} 4 1 2 3 {y} 4"])
+        assert (m["n_dup_lines"][0], m["n_repeat_words"][0]) == (1, 0)
+
+
+def test_windows_that_share_a_hash_are_counted_apart(monkeypatch):
+    words = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 7, 8, 6, 5, 4])
+    doc = np.zeros(len(words), np.int64)
+    assert fertility.repeated_words(words, doc, 1).tolist() == [10]
+    monkeypatch.setattr(fertility, "_FACTOR", 0)  # every hash is one
+    assert fertility.repeated_words(words, doc, 1).tolist() == [10]
+
+
 def test_cache_may_be_cleared(library):
     small = bpe.Encoder(ENCODER.cache.merge, bits=4)
     rnd = random.Random(3)
