@@ -57,8 +57,8 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by two views."""
-    docs = _read(spark, sf_dir, "documents")
-    return cotrain.score(docs, cotrain.learn(docs, _read(spark, sf_dir, "labels")))
+    views = cotrain.featured(_read(spark, sf_dir, "documents"))
+    return cotrain.score_featured(views, cotrain.learn(views, _read(spark, sf_dir, "labels")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

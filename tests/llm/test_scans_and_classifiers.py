@@ -126,6 +126,12 @@ def test_cotraining(spark):
     unseen = [(got[i]["kept"], bool(y)) for i, y in labels if i >= 900]
     assert sum(a == b for a, b in unseen) / len(unseen) > 0.97
     assert all(got[i]["kept"] for i, y in labels if y) and sum(model.handed[0]) > 0
+    assert all(map(all, model.handed[:1])) and min(model.combined[1:]) >= 0
+    views = cotrain.featured(d)
+    same = {r["doc_id"]: r for r in cotrain.score_featured(views, cotrain.learn(views, lab)).collect()}
+    assert same == got
+    twice = cotrain.score(d.union(d), model).collect()
+    assert Counter(twice) == Counter([*got.values()] * 2)
     kept = cotrain.score(d, model, carry=d.columns)
     assert kept.columns == d.columns and kept.count() == sum(r["kept"] for r in got.values())
     assert cotrain.score(documents(spark, []), model).count() == 0
