@@ -127,11 +127,9 @@ def test_vectors(spark):
     x = np.array([v / np.linalg.norm(v) for _, v in good])
     linked = x @ x.T >= 0.9
     np.fill_diagonal(linked, False)
-    found = sum(got[k]["n_links"] for k, _ in good)
-    assert found >= 0.98 * linked.sum() and all(got[k]["n_links"] <= linked[i].sum() for i, (k, _) in enumerate(good))
+    assert [got[k]["n_links"] for k, _ in good] == linked.sum(1).tolist()
     roots = union_find(len(good), list(zip(*np.nonzero(linked))))
-    same = sum(got[k]["component_id"] == good[roots[i]][0] for i, (k, _) in enumerate(good))
-    assert same >= 0.98 * len(good)
+    assert [got[k]["component_id"] for k, _ in good] == [good[r][0] for r in roots]
     for k in range(2000, 2007):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True)
     assert got[None]["component_id"] is None and got[None]["kept"]
@@ -147,6 +145,48 @@ def test_blocks_of_a_long_list(spark, monkeypatch):
     assert all(r["component_id"] == 0 for r in got) and all(r["n_links"] == 399 for r in got)
 
 
+def test_lists_cut_by_a_second_reference_point(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CHUNK", 16)
+    monkeypatch.setattr(pivots, "_TILE", 8)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(600, 8))
+    v = np.concatenate([base, base[:150] + rng.normal(size=(150, 8)) * 0.1, np.repeat(base[:1], 40, 0)])
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    chosen = pivots.describe(d.selectExpr("vec_id AS id", "1L AS weight", "embedding AS vector"), pivots.choose_pivots(d.selectExpr("vec_id AS id", "embedding AS vector"), len(v)))
+    near = {r["id"]: set(r["pivots"]) for r in chosen.collect()}
+    blocks = pivots._lists(chosen, 2)
+    assert blocks.where("second >= 0").count() > 0
+    # whatever shares two meets in a block
+    met = {(a, b) for r in blocks.groupBy("pivot", "second", "__i", "__j").agg({"id": "collect_list"}).collect() for a in r[4] for b in r[4] if a < b}
+    assert {(a, b) for a in near for b in near if a < b and len(near[a] & near[b]) >= 2} <= met
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    linked = np.einsum("ik,jk->ij", x, x) >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r["id"]: r["n_links"] for r in pivots.groups(d).collect()}
+    assert sum(got.values()) >= 0.999 * linked.sum() and all(got[i] <= n for i, n in enumerate(linked.sum(1)))
+
+
+def test_shared_counts_are_exact():
+    """Also of reference points whose numbers agree in their last bits."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    near = np.array([rng.choice(200, 12, replace=False) for _ in range(60)])
+    both = pivots._counts(near[:25], near[25:])
+    assert both.tolist() == [[len(set(a) & set(b)) for b in near[25:].tolist()] for a in near[:25].tolist()]
+    lists = [sorted([5, 69, *range(100, 110)]), sorted([5, 69, *range(110, 120)])]
+    vectors = [[1.0, 0.0], [1.0, 0.01]]
+    table = pa.table({"pivot": [5, 5], "second": [-1, -1], "__i": [0, 0], "__j": [0, 0], "id": [7, 9], "weight": [1, 3], "vector": vectors, "pivots": lists, "k": [0, 0]})
+    ids, links, roots = pivots._block(table, 0.9, 2)
+    assert (ids.tolist(), links.tolist(), roots.tolist()) == ([7, 9], [3, 1], [7, 7])
+
+
+def test_an_id_with_two_vectors(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["id"], r["n_links"], r["component_id"]) for r in pivots.groups(d).collect()}
+    assert got == {(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)} and pivots.groups(d).count() == 6
+
+
 def test_no_vectors(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.groups(d).count() == 0
