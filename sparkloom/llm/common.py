@@ -21,9 +21,11 @@ SALT = 16
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (only where
-    that is unset, as in local tests) a temporary folder that becomes the checkpoint folder."""
+    that is unset and all runs on this machine, as in tests) a temporary folder that becomes the checkpoint folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='loom-')}")
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns as c0, c1, ..., so that columns added within an operator clash with none."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
 def hex_long(text: Column, start: int = 1, digits: int = 8) -> Column:
     """The number that some hex digits of md5(text) spell; every SQL engine can repeat it."""
     return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("long")
@@ -63,7 +70,7 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner")
     return left.join(right, on, how).select(*[left[c] for c in big.columns], *names)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     edges: columns a and b (long). Large-star and small-star steps in turn (Kiveris et al., 2014)
@@ -85,9 +92,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = state(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         star = least(both).withColumn("m", F.least("u", "m")).where("v > u")
         large = star.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -99,8 +104,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     low = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return low.union(roots.join(low.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti"))

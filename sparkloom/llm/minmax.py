@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import Forest, by_group, components, cut, triangle
+from .common import SALT, Forest, by_group, components, cut, numbered, triangle
 
 #: Words of a shingle and least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -209,9 +209,13 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str
     signed = cut(signatures(docs, words, percent, key, text))
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    posted = classes.select("id", "s1", "n", F.explode("bands").alias("band"))
-    buckets = posted.groupBy("band").agg(F.min(F.struct("id", "n")).alias("center"), F.count("*").alias("m")).where("m > 1")
-    members = cut(posted.join(buckets.withColumnRenamed("band", "__band"), F.col("band") == F.col("__band")).selectExpr("band", "id", "s1", "n", "center.id AS center", "center.n AS center_n"))
+    # a band that many documents share is dealt over SALT tasks, with one row for each of them in the lookup table
+    posted = classes.select("id", "s1", "n", F.explode("bands").alias("band"), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
+    posted = posted.repartition("band", "salt")
+    cells = posted.groupBy("band", "salt").agg(F.min(F.struct("id", "n")).alias("center"), F.count("*").alias("m"))
+    buckets = cells.groupBy("band").agg(F.min("center").alias("center"), F.sum("m").alias("m"), F.collect_set("salt").alias("salts")).where("m > 1")
+    buckets = buckets.select(F.col("band").alias("__band"), "center", F.explode("salts").alias("__salt"))
+    members = cut(posted.join(buckets, (F.col("band") == F.col("__band")) & (F.col("salt") == F.col("__salt"))).selectExpr("band", "id", "s1", "n", "center.id AS center", "center.n AS center_n"))
 
     sets = cut(_sets(docs, members.select("id", "s1").distinct(), words, key, text))
     close = F.col("n") * 100 >= F.col("center_n") * percent
@@ -245,7 +249,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str
 
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that aren't their component's first document; columns stay. Rows that
+    """docs without the rows that aren't their component's first document; columns stay, whatever their names. Rows that
     repeat a kept id stay, as they are that document."""
-    dropped = groups(docs, words, percent, key=key, text=text).where("NOT kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(key).cast("long") == F.col("__id"), "left_anti")
+    dropped = groups(docs, words, percent, key=key, text=text).where("NOT kept").select(F.col("id").alias("dropped")).distinct()
+    left = numbered(docs).join(dropped, F.col(f"c{docs.columns.index(key)}").cast("long") == F.col("dropped"), "left_anti")
+    return left.toDF(*docs.columns)

@@ -14,16 +14,25 @@ def text(seed: int, n: int) -> str:
 
 
 #: Columns that clash with names that operators use within or return.
-CLASH = "size long, target double, kept boolean, shard string, score double, ids string, blob string, id long, label int, component_id long, findings string, rate double"
+CLASH = "size long, target double, kept boolean, shard string, score double, ids string, blob string, id long, label int, component_id long, findings string, rate double, __n double, __rate double, __copy long, __at string, __blob string, __findings string, __id long, __key long, c0 long, n long, copy long, dropped long"
 
 
 def documents(spark, rows, clash: bool = True):
     """(doc_id, text, lang, source, n_chars) rows, with further columns of clashing names."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    extra = (None,) * len(CLASH.split(",")) if clash else ()
+    extra = tuple(EXTRA.get(c.split()[1], None) for c in CLASH.split(",")) if clash else ()
     return spark.createDataFrame([tuple(r) + extra for r in rows], schema + (", " + CLASH if clash else ""))
 
 
+#: Values of the further columns, by type: operators must leave them as they are.
+EXTRA = {"double": 7.0, "long": 70, "string": "seven"}
+
+
+def untouched(df) -> bool:
+    """Whether the further columns hold what `documents` put there."""
+    return all(r[n] == EXTRA[kind] for r in df.collect() for n, kind in (c.split() for c in CLASH.split(",")) if kind in EXTRA)
+
+
 def odd_rows():
     """Nulls in every column, empty and long texts, repeated rows, ties."""
     long = text(99, 30_000)

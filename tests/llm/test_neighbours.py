@@ -9,7 +9,7 @@ import pytest
 from sparkloom.llm import minmax, pivots
 from sparkloom.llm.common import by_group, components
 
-from .helpers import documents, odd_rows, text, union_find
+from .helpers import documents, odd_rows, text, union_find, untouched
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (5, 4), (None, 3)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)], [(i, (i * 7) % 91) for i in range(90)]])
@@ -78,7 +78,7 @@ def test_documents(spark, words, percent):
         else:
             assert r["component_id"] == want[r["id"]] and r["kept"] == (want[r["id"]] == r["id"])
     left = minmax.dedup(documents(spark, rows), words, percent)
-    assert left.columns == documents(spark, []).columns
+    assert left.columns == documents(spark, []).columns and untouched(left)
     assert sorted({r["doc_id"] for r in left.collect() if r["doc_id"] is not None}) == sorted(k for k, v in want.items() if k == v)
 
 
