@@ -1,17 +1,19 @@
 """Token ids in binary shards, reached by key through a minimal perfect hash index.
 
-Payload: documents in ascending order of their key are cut into ranges; each range is one file:
-a header, the number of ids before each document, and the raw ids (little-endian, two bytes where
-the vocabulary allows it, else four). Index: keys are dealt by hash into buckets; each bucket is one file that
-holds a minimal perfect hash function (levels of bit arrays: a key belongs to the first level where
-no other key of the bucket falls on its bit; its slot is the number of set bits before it) and, per slot, a fingerprint
-of the key, the shard, the first row there and the number of rows. A look-up hashes the key, counts
-bits, compares the fingerprint and reads one range of one file, whatever the number of documents.
+Payload: documents in ascending order of their key are cut into ranges; a range is written as one or more files of about
+SHARD_BYTES, while it is encoded: the raw ids (little-endian, two bytes where
+the vocabulary allows it, else four), the number of ids before each document, and a footer. Index: keys are dealt by hash into
+buckets; each bucket is one file that holds a minimal perfect hash function (levels of bit arrays: a key belongs to the first
+level where no other key of the bucket falls on its bit; its slot is the number of set bits before it, counted per block of
+bits) and, per slot, a fingerprint of the key and where its segments are listed: runs of rows of one file. A look-up of one
+key reads a header, a block of 64 bytes for each level it tries, a slot, a segment, two offsets and the ids: the same few small
+reads whatever the number of documents. Look-ups of many keys read whole index files, and ranges of the payload.
 
 Files are written under a name of their own try and renamed when whole, so a task may be lost or
 run twice. Null text is the empty text (the end id alone). A null key is a key like others and comes
-first. Rows that repeat a key are stored one after the other and all returned by a look-up. An
-empty table writes no file, and look-ups find nothing. Other columns aren't stored."""
+first. Rows that repeat a key are stored one after the other, possibly over several ranges, and all returned by a look-up. An
+empty table writes no file, and look-ups find nothing. An id that doesn't fit the width is an error. Other columns aren't
+stored."""
 
 from __future__ import annotations
 
@@ -32,35 +34,65 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from ..session import map_arrow
-from .common import cut, lookup_join, new_path
+from .common import by_group, cut, lookup_join, new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Bytes of text that a payload file stands for, and keys of an index file.
+#: Bytes of ids in a payload file, and of text that a range stands for; keys of an index file.
 SHARD_BYTES, BUCKET_KEYS = 32 << 20, 1 << 20
-MAGIC = b"LOOMIDS1"
+#: Greatest number of ranges, and of files in one: the number of a file is range * FILES + its place.
+MAX_RANGES, FILES = 20_000, 1 << 20
+MAGIC = b"LOOMIDS2"
 _U = np.uint64
 
 
+class _Writer:
+    """A file that appears under its name when it is closed."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.at, path = fs.FileSystem.from_uri(folder)
+        self.at.create_dir(path, recursive=True)
+        self.own, self.name = f"{path}/.{name}.{uuid.uuid4().hex}", f"{path}/{name}"
+        self.out = self.at.open_output_stream(self.own)
+        self.write = self.out.write
+
+    def close(self) -> None:
+        self.out.close()
+        try:
+            self.at.move(self.own, self.name)
+        except OSError:  # some stores don't replace: another try of this task was first, with the same rows
+            if self.at.get_file_info(self.name).type != fs.FileType.File:
+                raise
+            self.at.delete_file(self.own)
+
+
 def _put(folder: str, name: str, parts: list[bytes]) -> None:
-    at, path = fs.FileSystem.from_uri(folder)
-    at.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with at.open_output_stream(own) as out:
-        for p in parts:
-            out.write(p)
-    try:
-        at.move(own, f"{path}/{name}")
-    except OSError:  # some stores don't replace: another try of this task was first, with the same rows
-        if at.get_file_info(f"{path}/{name}").type != fs.FileType.File:
-            raise
-        at.delete_file(own)
-
-
-def _get(folder: str, name: str) -> pa.Buffer:
-    at, path = fs.FileSystem.from_uri(folder)
-    with at.open_input_file(f"{path}/{name}") as f:
-        return f.read_buffer()
+    out = _Writer(folder, name)
+    for p in parts:
+        out.write(p)
+    out.close()
+
+
+class _Reader:
+    """Ranges of a file; `bytes` counts what was read."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        at, path = fs.FileSystem.from_uri(folder)
+        self.file = at.open_input_file(f"{path}/{name}")
+        self.size, self.bytes = self.file.size(), 0
+
+    def range(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        self.bytes += n
+        return self.file.read_at(n, at)
+
+    def array(self, at: int, n: int, kind) -> np.ndarray:
+        return np.frombuffer(self.range(at, n * np.dtype(kind).itemsize), kind)
+
+
+def _get(folder: str, name: str) -> bytes:
+    f = _Reader(folder, name)
+    return f.range(0, f.size)
 
 
 # --- minimal perfect hashing ---
@@ -130,7 +162,11 @@ class PerfectHash:
         return out
 
 
-_SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("row", "<u4"), ("rows", "<u4")])
+#: What a slot holds: the key's fingerprint, how many segments it has, and the place of the first.
+_SLOT = np.dtype([("print", "<u4"), ("segments", "<u4"), ("first", "<u8")])
+_SEGMENT = np.dtype([("shard", "<u8"), ("row", "<u4"), ("rows", "<u4")])
+#: Bits of a block: seven words, after the number of bits set before it.
+_BLOCK = 7 * 64
 
 
 def _print(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -141,48 +177,115 @@ def _bucket(h2: np.ndarray, n: int) -> np.ndarray:
     return ((h2 >> _U(32)) % _U(n)).astype(np.int32)
 
 
-def _write_bucket(folder: str, bucket: int, h1, h2, shard, row, rows) -> None:
+def _write_bucket(folder: str, bucket: int, h1, h2, segments: np.ndarray, shard, row, rows) -> None:
+    """Keys (h1, h2) with the number of segments of each, and all segments in the order of the keys."""
     function = PerfectHash.build(h1, h2)
-    table = np.zeros(len(h1), _SLOT)
+    table, listed = np.zeros(len(h1), _SLOT), np.zeros(len(shard), _SEGMENT)
     at = function.slots(h1, h2)
-    for name, x in (("print", _print(h1, h2)), ("shard", shard), ("row", row), ("rows", rows)):
+    for name, x in (("print", _print(h1, h2)), ("segments", segments), ("first", np.cumsum(segments) - segments)):
         table[name][at] = x
-    head = json.dumps({"keys": len(h1), "sizes": function.sizes.tolist(), "words": len(function.words)}).encode()
-    _put(f"{folder}/index", f"{bucket:07d}.mph", [MAGIC, len(head).to_bytes(8, "little"), head, function.words.astype("<u8").tobytes(), table.tobytes()])
+    for name, x in (("shard", shard), ("row", row), ("rows", rows)):
+        listed[name] = x
+    words = np.pad(function.words, (0, -len(function.words) % 7)).reshape(-1, 7)
+    counts = np.bitwise_count(words).sum(1).astype(_U)
+    blocks = np.column_stack([np.cumsum(counts) - counts, words]).astype("<u8")
+    head = np.array([len(function.sizes), len(h1), len(blocks), *function.sizes], "<u8")
+    _put(f"{folder}/index", f"{bucket:07d}.mph", [MAGIC, head.tobytes(), blocks.tobytes(), table.tobytes(), listed.tobytes()])
 
 
 class Bucket:
-    """One index file."""
+    """One index file. `find` reads all of it once, for many keys; `find_one` a few ranges."""
 
     def __init__(self, folder: str, bucket: int) -> None:
-        raw = memoryview(_get(f"{folder}/index", f"{bucket:07d}.mph"))
-        if raw[:8] != MAGIC:
+        self.file = _Reader(f"{folder}/index", f"{bucket:07d}.mph")
+        head = self.file.range(0, 2048)  # levels shrink, so there are some dozens of them
+        if head[:8] != MAGIC:
             raise ValueError("not an index file")
-        n = int.from_bytes(raw[8:16], "little")
-        head, at = json.loads(bytes(raw[16 : 16 + n])), 16 + n
-        self.function = PerfectHash(np.array(head["sizes"], np.int64), np.frombuffer(raw[at : at + 8 * head["words"]], "<u8").astype(_U))
-        self.table = np.frombuffer(raw[at + 8 * head["words"] :], _SLOT)
+        levels, self.keys, self.blocks = (int(x) for x in np.frombuffer(head[8:32], "<u8"))
+        self.sizes = np.frombuffer(head[32 : 32 + 8 * levels], "<u8").astype(np.int64)
+        self.blocks_at = 32 + 8 * levels
+        self.slots_at = self.blocks_at + 64 * self.blocks
+        self.segments_at = self.slots_at + _SLOT.itemsize * self.keys
+        self.function = None
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and their entries."""
+        """The place of the key of each segment that is there, and the segments."""
+        if self.function is None:
+            blocks = self.file.array(self.blocks_at, 8 * self.blocks, "<u8").reshape(-1, 8)
+            self.function = PerfectHash(self.sizes, blocks[:, 1:].ravel().astype(_U))
+            self.table = self.file.array(self.slots_at, self.keys, _SLOT)
+            self.segments = self.file.array(self.segments_at, (self.file.size - self.segments_at) // _SEGMENT.itemsize, _SEGMENT)
         slot = self.function.slots(h1, h2)
+        if not self.keys:
+            return slot[:0], self.segments[:0]
         entries = self.table[np.maximum(slot, 0)]
-        return (slot >= 0) & (entries["print"] == _print(h1, h2)), entries
+        there = np.flatnonzero((slot >= 0) & (entries["print"] == _print(h1, h2)))
+        n, first = entries["segments"][there].astype(np.int64), entries["first"][there].astype(np.int64)
+        return np.repeat(there, n), bpe.gather(self.segments, first, n)
+
+    def find_one(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The segments of one key; none if it isn't there."""
+        base = 0
+        for level, size in enumerate(self.sizes.tolist()):
+            bit = base + int(PerfectHash._bit(h1, h2, level, size)[0])
+            block = self.file.array(self.blocks_at + 64 * (bit // _BLOCK), 8, "<u8")
+            word, shift = divmod(bit % _BLOCK, 64)
+            if int(block[1 + word]) >> shift & 1:
+                below = int(block[1 + word]) & ((1 << shift) - 1)
+                slot = int(block[0]) + int(np.bitwise_count(block[1 : 1 + word]).sum()) + below.bit_count()
+                entry = self.file.array(self.slots_at + _SLOT.itemsize * slot, 1, _SLOT)[0]
+                if entry["print"] != _print(h1, h2)[0]:
+                    break
+                return self.file.array(self.segments_at + _SEGMENT.itemsize * int(entry["first"]), int(entry["segments"]), _SEGMENT)
+            base += size
+        return np.zeros(0, _SEGMENT)
 
 
 class Shard:
-    """One payload file."""
+    """One payload file, of which ranges are read."""
 
     def __init__(self, folder: str, shard: int) -> None:
-        raw = memoryview(_get(f"{folder}/payload", f"{shard:07d}.ids"))
-        if raw[:8] != MAGIC:
+        self.file = _Reader(f"{folder}/payload", _payload_name(shard))
+        foot = self.file.range(self.file.size - 24, 24)
+        if foot[16:] != MAGIC:
             raise ValueError("not a payload file")
-        docs, width = int.from_bytes(raw[8:16], "little"), int.from_bytes(raw[16:24], "little")
-        self.before = np.frombuffer(raw[24 : 24 + 8 * (docs + 1)], "<u8").astype(np.int64)
-        self.ids = np.frombuffer(raw[24 + 8 * (docs + 1) :], f"<u{width}")
+        self.docs, self.width = int.from_bytes(foot[:8], "little"), int.from_bytes(foot[8:16], "little")
+        self.offsets_at = self.file.size - 24 - 8 * (self.docs + 1)
+
+    def rows(self, row: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of n rows, and the number of ids in the file before each of them and the next."""
+        before = self.file.array(self.offsets_at + 8 * row, n + 1, "<u8").astype(np.int64)
+        return self.file.array(int(before[0]) * self.width, int(before[-1] - before[0]), f"<u{self.width}"), before
 
-    def ids_of(self, row: int) -> np.ndarray:
-        return self.ids[self.before[row] : self.before[row + 1]]
+
+def _payload_name(shard: int) -> str:
+    return f"{shard // FILES:05d}-{shard % FILES:07d}.ids"
+
+
+class _Payload:
+    """Writes a range's documents, as one file after the other."""
+
+    def __init__(self, folder: str, number: int, width: int) -> None:
+        self.folder, self.shard, self.width, self.out = folder, number * FILES, width, None
+
+    def add(self, flat: np.ndarray, n: np.ndarray) -> None:
+        if len(flat) and int(flat.max()) >> 8 * self.width:
+            raise ValueError(f"an id doesn't fit {self.width} bytes")
+        if self.out is None:
+            self.out, self.sizes, self.ids = _Writer(f"{self.folder}/payload", _payload_name(self.shard)), [np.zeros(1, np.int64)], 0
+        self.out.write(flat.astype(f"<u{self.width}").tobytes())
+        self.sizes.append(n)
+        self.ids += len(flat)
+
+    def full(self) -> bool:
+        return self.out is not None and self.ids * self.width >= SHARD_BYTES
+
+    def close(self) -> None:
+        before = np.cumsum(np.concatenate(self.sizes))
+        for part in (before.astype("<u8").tobytes(), (len(before) - 1).to_bytes(8, "little"), self.width.to_bytes(8, "little"), MAGIC):
+            self.out.write(part)
+        self.out.close()
+        self.out, self.shard = None, self.shard + 1
 
 
 # --- writing ---
@@ -241,76 +344,94 @@ def _hf(path: str) -> WholeTexts:
     return WholeTexts(bpe.Encoder(merge, bits=22), tokenizer)
 
 
+def largest_id(path: str) -> int:
+    """The greatest id that the vocabulary, added tokens included, can give."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 _encoders: dict[str, WholeTexts] = {}
 
 
-def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text", width: int = 2) -> tuple[str, DataFrame]:
-    """Encode and write all rows of docs; return the folder and its manifest: one row a shard
-    (shard, docs, ids, start: the ids of all shards before it).
+def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text", width: int | None = None) -> tuple[str, DataFrame]:
+    """Encode and write all rows of docs; return the folder and its manifest: one row a file
+    (shard, docs, ids, start: the ids of all files before it). Ids take `width` bytes, by default as many (2 or 4)
+    as the vocabulary needs.
 
     The tokenizers library encodes each slice of a text once per worker's cache; slices are cut as its
     own pre-tokenizer cuts them, and no merge crosses them, so a text's ids are its slices' ids and those of
-    the added tokens in it."""
+    the added tokens in it. Rows are dealt into ranges by key and, within a key, by a hash of the text and their place, so that
+    a key of many rows takes several ranges."""
     spark, path = docs.sparkSession, path or public_tokenizers.path(VOCABULARY)
     folder = folder or new_path(spark, "token-ids")
+    width = width or (2 if max(largest_id(path), end_id) < 1 << 16 else 4)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes, n_docs = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(n_docs, max(least, -(-(n_bytes or 0) // SHARD_BYTES))))
+    parts = max(1, min(n_docs, MAX_RANGES, max(least, -(-(n_bytes or 0) // SHARD_BYTES))))
     buckets = max(1, min(parts, -(-n_docs * 16 // BUCKET_KEYS)), -(-n_docs // BUCKET_KEYS))
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = _hf(path)
-        encoder, ids, sizes, keys = _encoders[path], [], [np.zeros(1, np.int64)], []
-        shard = TaskContext.get().partitionId()
+        encoder, out, keys = _encoders[path], _Payload(folder, TaskContext.get().partitionId(), width), []
+
+        def close() -> pa.RecordBatch:
+            held, total, shard = pa.concat_arrays(keys), out.ids, out.shard
+            keys.clear()
+            out.close()
+            h1, h2 = hash_keys(held)
+            first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))  # rows of a key stand together
+            row = np.flatnonzero(first)
+            count = np.diff(np.append(row, len(held)))
+            cols = [np.full(len(row), shard), _bucket(h2[row], buckets), h1[row].view(np.int64), h2[row].view(np.int64), row, count, np.where(row == 0, total, 0)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shard", "bucket", "h1", "h2", "row", "rows", "ids"])
+
         for b in batches:
+            done = 0
             for run in bpe.pieces(b.column(1).to_pylist()):
                 flat, n = encoder.encode(run)
-                ids.append(np.insert(flat, np.cumsum(n), end_id).astype(f"<u{width}").tobytes())
-                sizes.append(n + 1)
-            keys.append(b.column(0))
-        if not keys:
-            return
-        before = np.cumsum(np.concatenate(sizes))
-        _put(f"{folder}/payload", f"{shard:07d}.ids", [MAGIC, (len(before) - 1).to_bytes(8, "little"), width.to_bytes(8, "little"), before.astype("<u8").tobytes(), *ids])
-        keys = pa.concat_arrays(keys)
-        h1, h2 = hash_keys(keys)
-        first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))  # rows of a key stand together
-        row = np.flatnonzero(first)
-        count = np.diff(np.append(row, len(keys)))
-        cols = [pa.array(np.full(len(row), shard, np.int32)), pa.array(_bucket(h2[row], buckets)), pa.array(h1[row].view(np.int64)), pa.array(h2[row].view(np.int64)), pa.array(row.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(np.where(row == 0, before[-1], 0).astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, ["shard", "bucket", "h1", "h2", "row", "rows", "ids"])
+                out.add(np.insert(flat, np.cumsum(n), end_id), n + 1)
+                keys.append(b.column(0).slice(done, len(run)))
+                done += len(run)
+                if out.full():
+                    yield close()
+        if keys:
+            yield close()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None:
-            return
-        cols = {c: table[c].to_numpy() for c in table.column_names}
-        order = np.argsort(cols["bucket"], kind="stable")
-        ends = np.flatnonzero(np.append(np.diff(cols["bucket"][order]) != 0, True)) + 1
-        for a, z in zip(np.append(0, ends[:-1]), ends):
-            at = order[a:z]
-            h1, h2 = cols["h1"][at].view(_U), cols["h2"][at].view(_U)
-            _write_bucket(folder, int(cols["bucket"][at[0]]), h1, h2, cols["shard"][at], cols["row"][at], cols["rows"][at])
-            yield pa.RecordBatch.from_arrays([pa.array([int(cols["bucket"][at[0]])], pa.int32()), pa.array([len(at)], pa.int64())], ["bucket", "keys"])
-
-    entries = cut(rows.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(map_arrow, payload, "shard int, bucket int, h1 long, h2 long, row long, rows long, ids long"))
-    indexed = entries.repartition(buckets, "bucket").transform(map_arrow, index, "bucket int, keys long").agg(F.sum("keys"), F.count("*")).first()
+        for table in by_group(batches, 1):
+            cols = {c: table[c].to_numpy() for c in table.column_names}
+            bucket, h1, h2 = int(cols["bucket"][0]), cols["h1"].view(_U), cols["h2"].view(_U)
+            at = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+            _write_bucket(folder, bucket, h1[at], h2[at], np.diff(np.append(at, len(h1))), cols["shard"], cols["row"], cols["rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([len(at)], pa.int64())], ["bucket", "keys"])
+
+    kinds = "shard long, bucket long, h1 long, h2 long, row long, rows long, ids long"
+    order = ["key", F.xxhash64("text"), F.monotonically_increasing_id()]
+    dealt = rows.withColumns({"tie": order[1], "place": order[2]}).repartitionByRange(parts, "key", "tie", "place").sortWithinPartitions("key", "tie", "place")
+    entries = cut(dealt.select("key", "text").transform(map_arrow, payload, kinds))
+    listed = entries.drop("ids").select("bucket", "h1", "h2", "shard", "row", "rows").repartition(buckets, "bucket").sortWithinPartitions("bucket", "h1", "h2", "shard")
+    indexed = listed.transform(map_arrow, index, "bucket long, keys long").agg(F.sum("keys"), F.count("*")).first()
     sums = entries.groupBy("shard").agg(F.sum("rows").alias("docs"), F.sum("ids").alias("ids"))
     manifest = cut(sums.selectExpr("shard", "docs", "ids", "sum(ids) OVER (ORDER BY shard) - ids AS start"))
-    head = {"buckets": buckets, "indexed_keys": int(indexed[0] or 0), "bucket_files": int(indexed[1]), "end_id": end_id, "width": width}
+    head = {"buckets": buckets, "ranges": parts, "indexed_keys": int(indexed[0] or 0), "bucket_files": int(indexed[1]), "end_id": end_id, "width": width}
     _put(folder, "head.json", [json.dumps(head).encode()])
     return folder, manifest
 
 
 # --- reading ---
 
+#: Rows of a file that stand together in one task of a look-up.
+TOGETHER = 1024
+
 
 def look_up(spark: SparkSession, folder: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, shard, row, offset, ids): every stored row of each distinct key of `keys`; offset counts
-    the ids before it in its shard. Keys that aren't stored give no row, but for one in 2**32."""
-    buckets = json.loads(bytes(_get(folder, "head.json")))["buckets"]
+    the ids before it in its file. Keys that aren't stored give no row, but for one in 2**32."""
+    head = json.loads(_get(folder, "head.json"))
+    buckets, ranges = head["buckets"], head["ranges"]
     kind = keys.schema[key].dataType.simpleString()
 
     def hashed(batches):
@@ -332,39 +453,32 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame, key: str = "doc_i
                         bucket = None
                 if bucket is None:
                     continue
-                there, found = bucket.find(cols[1][a:z].view(_U), cols[2][a:z].view(_U))
-                at = np.flatnonzero(there)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a + at)), *(pa.array(found[c][at].astype(np.int64)) for c in ("shard", "row", "rows"))], ["key", "shard", "row", "rows"])
+                at, found = bucket.find(cols[1][a:z].view(_U), cols[2][a:z].view(_U))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a + at)), *(pa.array(found[c].astype(np.int64)) for c in ("shard", "row", "rows"))], ["key", "shard", "row", "rows"])
 
     def payload(batches):
         shard, number = None, -1
         for b in batches:
-            cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "row", "rows")}
-            where, row, offset, ids, size = [], [], [], [], 0
-
-            def out():
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-                w = pa.array(where)
-                return pa.RecordBatch.from_arrays([b.column("key").take(w), b.column("shard").take(w), pa.array(row, pa.int64()), pa.array(offset, pa.int64()), lists], ["key", "shard", "row", "offset", "ids"])
-
-            for i, (s, r, n) in enumerate(zip(cols["shard"].tolist(), cols["row"].tolist(), cols["rows"].tolist())):
-                if s != number:
-                    shard, number = Shard(folder, s), s
-                for k in range(r, r + n):
-                    where.append(i)
-                    row.append(k)
-                    offset.append(int(shard.before[k]))
-                    ids.append(shard.ids_of(k))
-                    size += len(ids[-1])
-                    if size > 2_000_000:
-                        yield out()
-                        where, row, offset, ids, size = [], [], [], [], 0
-            if where:
-                yield out()
+            where, row, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "row", "rows"))
+            # entries that follow on one another are read as one range, of bounded size
+            follows = (where[1:] == where[:-1]) & (row[1:] == row[:-1] + n[:-1])
+            starts = np.flatnonzero(np.append(True, ~follows)) if len(where) else np.zeros(0, np.int64)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(where)]):
+                if where[a] != number:
+                    number = int(where[a])
+                    shard = Shard(folder, number)
+                entry = np.repeat(np.arange(a, z), n[a:z])
+                for k in range(0, len(entry), TOGETHER):
+                    of = entry[k : k + TOGETHER]
+                    at = int(row[a]) + k
+                    ids, before = shard.rows(at, len(of))
+                    lists = pa.ListArray.from_arrays(pa.array(before - before[0], pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(of)), pa.array(where[of]), pa.array(np.arange(at, at + len(of))), pa.array(before[:-1]), lists], ["key", "shard", "row", "offset", "ids"])
 
     asked = keys.select(F.col(key).alias("key")).distinct().transform(map_arrow, hashed, f"key {kind}, bucket int, h1 long, h2 long")
-    found = asked.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, entries, f"key {kind}, shard long, row long, rows long")
-    got = found.repartition("shard").sortWithinPartitions("shard", "row").transform(map_arrow, payload, f"key {kind}, shard long, row long, offset long, ids array<int>")
+    found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(map_arrow, entries, f"key {kind}, shard long, row long, rows long")
+    dealt = found.repartition(ranges, "shard", F.floor(F.col("row") / TOGETHER)).sortWithinPartitions("shard", "row")
+    got = dealt.transform(map_arrow, payload, f"key {kind}, shard long, row long, offset long, ids array<int>")
     return got.withColumnRenamed("key", key)
 
 
@@ -390,18 +504,22 @@ def with_starts(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Keyed access from one process."""
+    """Keyed access from one process. `bytes` counts what was read after opening."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.head = folder, json.loads(bytes(_get(folder, "head.json")))
+        self.folder, self.head, self.bytes = folder, json.loads(_get(folder, "head.json")), 0
 
     def get(self, key) -> list[np.ndarray]:
         h1, h2 = hash_keys(pa.array([key], pa.string() if isinstance(key, str) else pa.int64()))
         try:
-            there, entry = Bucket(self.folder, int(_bucket(h2, self.head["buckets"])[0])).find(h1, h2)
+            bucket = Bucket(self.folder, int(_bucket(h2, self.head["buckets"])[0]))
         except FileNotFoundError:
             return []
-        if not there[0]:
-            return []
-        shard = Shard(self.folder, int(entry["shard"][0]))
-        return [shard.ids_of(r) for r in range(int(entry["row"][0]), int(entry["row"][0] + entry["rows"][0]))]
+        out = []
+        for segment in bucket.find_one(h1, h2):
+            shard = Shard(self.folder, int(segment["shard"]))
+            ids, before = shard.rows(int(segment["row"]), int(segment["rows"]))
+            out += np.split(ids, before[1:-1] - before[0])
+            self.bytes += shard.file.bytes
+        self.bytes += bucket.file.bytes
+        return out

@@ -197,6 +197,53 @@ def test_added_tokens_with_conditions():
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_store_of_many_files_and_a_hot_key(spark, monkeypatch):
+    """Files roll over, a key of many rows takes several ranges, one look-up reads little."""
+    import shutil, tempfile  # noqa: E401
+
+    rows = [(i, text(i, 30 + i % 50), "en", "a", 1) for i in range(400)] + [(77, text(i, 40), "en", "a", 1) for i in range(300)] + [(None, "x", "en", "a", 1)] * 40
+    d = documents(spark, rows).repartition(3)
+    folder, manifest = binary.write(d)
+    found = binary.look_up(spark, folder, d).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    assert len({r["shard"] for r in found if r["doc_id"] == 77}) > 1
+    store = binary.Store(folder)
+    ids_of = lambda t: WHOLE.tokenizer.encode(t, add_special_tokens=False).ids + [binary.END_ID]
+    assert store.get(5)[0].tolist() == ids_of(text(5, 35)) and store.bytes < 65536
+    assert Counter(tuple(x.tolist()) for x in store.get(77)) == Counter(tuple(ids_of(r[1])) for r in rows if r[0] == 77)
+    at = f"file://{tempfile.mkdtemp()}"
+    monkeypatch.setattr(binary, "SHARD_BYTES", 64)
+    out, want = binary._Payload(at, 3, 2), []
+    for i in range(20):
+        ids = np.arange(i, 3 * i + 1, dtype=np.uint32)
+        out.add(ids, np.array([len(ids)]))
+        want.append((out.shard, ids.tolist()))
+        if out.full():
+            out.close()
+    if out.out:
+        out.close()
+    assert len({n for n, _ in want}) > 3
+    for n in {n for n, _ in want}:
+        mine = [x for k, x in want if k == n]
+        ids, before = binary.Shard(at, n).rows(0, len(mine))
+        assert [x.tolist() for x in np.split(ids, before[1:-1])] == mine
+    shutil.rmtree(at[7:])
+
+
+def test_width_of_ids(spark, tmp_path):
+    assert binary.largest_id(public_tokenizers.path(binary.VOCABULARY)) == 50256
+    out = binary._Payload(f"file://{tmp_path}", 0, 2)
+    with pytest.raises(ValueError):
+        out.add(np.array([70_000], np.uint32), np.array([1]))
+    d = documents(spark, [(1, "some text", "en", "a", 1)])
+    wide, _ = binary.write(d, width=4)
+    narrow, _ = binary.write(d)
+    assert binary.Store(wide).head["width"] == 4 and binary.Store(narrow).head["width"] == 2
+    assert binary.Store(wide).get(1)[0].tolist() == binary.Store(narrow).get(1)[0].tolist()
+    big, _ = binary.write(d, end_id=70_000)
+    assert binary.Store(big).get(1)[0].tolist()[-1] == 70_000
+
+
 def test_store_of_nothing(spark):
     folder, manifest = binary.write(documents(spark, []))
     assert manifest.count() == 0 and binary.look_up(spark, folder, documents(spark, [])).count() == 0
