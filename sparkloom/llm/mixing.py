@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, lookup_join, unit
+from .common import WORD, cut, lookup_join, numbered, unit
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -26,8 +26,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draw(seed: int) -> Column:
-    return unit(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))))
+def _draw(seed: int, key: str = "doc_id", text: str = "text") -> Column:
+    return unit(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -54,9 +54,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     )
 
 
-def copies(rate: Column, seed: int = SEED) -> Column:
+def copies(rate: Column, seed: int = SEED, key: str = "doc_id", text: str = "text") -> Column:
     """floor(rate), and one more with probability equal to the fraction."""
-    return (F.floor(rate) + F.when(_draw(seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    return (F.floor(rate) + F.when(_draw(seed, key, text) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
@@ -72,9 +72,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, see
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every row of docs as often as it is taken, with the columns of docs."""
     targets = cut(source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, max_repeat))
-    rates = targets.select("source", F.col("rate").alias("__rate"))
-    taken = lookup_join(docs, rates, "source").withColumn("__n", copies(F.col("__rate"), seed)).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, text, source = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))
+    rates = targets.select(F.col("source").alias(source), F.col("rate").alias("rate"))
+    taken = lookup_join(numbered(docs), rates, source).withColumn("n", copies(F.col("rate"), seed, key, text)).where("n > 0")
+    copied = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return copied.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 ORACLE = f"""

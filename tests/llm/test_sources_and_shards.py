@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, sharding
 
-from .helpers import documents, odd_rows, text
+from .helpers import documents, odd_rows, text, untouched
 
 
 def fill(sizes: dict, weights=(1, 2, 3), most=3):
@@ -51,7 +51,7 @@ def test_mix_odd_rows(spark):
         rate = want[p["source"]] / sizes[p["source"]] if sizes[p["source"]] else 0
         assert p["n_copies"] in (int(rate), int(rate + 1e-9), int(rate) + 1) and p["n_copies"] <= 3
     mixed = mixing.mix(d)
-    assert mixed.columns == d.columns
+    assert mixed.columns == d.columns and untouched(mixed)
     taken = Counter((r["doc_id"], r["source"], r["text"]) for r in mixed.collect())
     expect = Counter()
     by = defaultdict(list)
