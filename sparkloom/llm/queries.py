@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard."""
-    return sharding.assign_shards(_read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_bytes", "shard", "shard_bytes")
+    return sharding.assign_shards(_read(spark, sf_dir, "documents"), limit=None, carry=["doc_id"]).select("doc_id", "n_bytes", "shard", "shard_bytes")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every text holds of secrets, by a ledger that starts empty."""
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    """What every text holds of secrets. The first scan fills the ledger, the second finds no unseen blob in it and
+    joins its findings back to all documents."""
+    docs = _read(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark)
+    secrets.update(ledger, docs)
+    found = secrets.scan(docs, ledger)
 
     def count(kind: str):
         return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -5,6 +5,10 @@ blob and rule version, what was found (empty findings included). A scan reads on
 the ledger lacks under the present rules, appends them, and joins findings back to every path that
 holds the blob.
 
+Texts aren't shuffled: of each unseen blob one row is chosen, and the chosen rows' hashes set bits of a bitmap of at most
+2 ** MAX_BITS bits, which is broadcast; a row whose bit is set is scanned where it is read. A bit that is set by chance costs
+a scan and no more, since findings are made unique by blob before they are appended.
+
 Null text is the empty blob, with its path's row kept. Repeated rows and copies share one blob and
 one scan; each row gets the findings. Null paths are paths like others. Texts are scanned whole,
 whatever their length. An empty table gives an empty result. Other columns are carried untouched;
@@ -13,6 +17,7 @@ the added columns are given names that no column of the input has, see `scan`.""
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_arrow, ship
-from .common import cut, new_path
+from ..session import map_arrow
+from .common import cut, new_path, numbered
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "forge", "chat")
@@ -95,17 +100,41 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def update(ledger: Ledger, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan the blobs of docs that the ledger lacks; return (key, blob) of every row.
+#: Bits of the greatest bitmap, as a power of two: 2**20 rows of a word and its place, some 40 MB. Bits for each chosen row.
+MAX_BITS, BITS_A_ROW = 26, 16
+
+
+def _bitmap(chosen: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(word, bits) with the bit of each row of chosen (path, blob), n of them, set; and the power of two of bits."""
+    power = min(MAX_BITS, max(10, math.ceil(math.log2(max(1, n) * BITS_A_ROW))))
+    bit = _bit(power)
+    return chosen.select((bit / 64).cast("int").alias("word"), _one(bit).alias("set")).groupBy("word").agg(F.bit_or("set").alias("set")), power
+
+
+def _bit(power: int) -> Column:
+    return F.pmod(F.xxhash64("path", "blob"), F.lit(1 << power))
 
-    Of each blob one row is read, found by its key and blob, so that copies move no texts."""
+
+def _one(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+
+
+def update(ledger: Ledger, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scan the blobs of docs that the ledger lacks; return (key, blob) of every row."""
     paths = cut(docs.select(F.col(key).alias("path"), blob_of(F.col(text)).alias("blob")))
-    first = paths.groupBy("blob").agg(F.min("path").alias("first"))
-    unseen = first.join(ledger.read().select("blob"), "blob", "left_anti").withColumnRenamed("blob", "want")
-    texts = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    one = texts.join(unseen, F.col("path").eqNullSafe(F.col("first")) & (blob_of(F.col("text")) == F.col("want")), "inner").select(F.col("want").alias("blob"), "text")
-    found = one.transform(map_arrow, _scan_batches, f"blob binary, findings {FINDINGS}")
-    ledger.append(found.dropDuplicates(["blob"]))  # rows that repeat as a whole
+    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    unseen = cut(first.join(ledger.read().select("blob"), "blob", "left_anti"))
+    n = unseen.count()
+    if not n:
+        return paths
+    marks, power = _bitmap(unseen, n)
+    marks = F.broadcast(cut(marks).select(F.col("word").alias("__word"), F.col("set").alias("__set")))
+    texts = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
+    texts = texts.withColumn("bit", _bit(power)).withColumn("word", (F.col("bit") / 64).cast("int"))
+    some = texts.join(marks, (F.col("word") == F.col("__word")) & (F.col("__set").bitwiseAND(_one(F.col("bit"))) != 0), "left_semi")
+    found = some.select("blob", "text").transform(map_arrow, _scan_batches, f"blob binary, findings {FINDINGS}")
+    # rows that fell on a bit by chance, and rows that repeat as a whole, go here
+    ledger.append(found.groupBy("blob").agg(F.first("findings").alias("findings")).join(unseen.select("blob"), "blob", "left_semi"))
     return paths
 
 
@@ -137,13 +166,29 @@ def mask(text: str, findings: list[dict]) -> str:
 
 
 def redact(docs: DataFrame, ledger: Ledger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with all findings masked in their texts; rows, order of columns and null texts stay."""
-    ship(docs.sparkSession)
+    """docs with all findings masked in their texts; rows, columns (whatever their names) and null texts stay.
+
+    Findings are sorted by start, so a fold over them leaves the stretches to mask, overlapping ones together, and
+    what stands between them is put together in the JVM."""
     ledger = ledger or Ledger(docs.sparkSession)
     update(ledger, docs, key, text)
-    some = ledger.read().where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    joined = docs.withColumn("__at", blob_of(F.col(text))).join(some, F.col("__at") == F.col("__blob"), "left")
-    masked = F.udf(lambda t, f: t if not f else mask(t, f), "string", useArrow=True)
-    # only texts with findings travel to Python
-    clean = F.coalesce(masked(F.when(F.col("__findings").isNotNull(), F.col(text)), F.col("__findings")), F.col(text))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    some = ledger.read().where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), _stretches(F.col("findings")).alias("__masks"))
+    at = f"c{docs.columns.index(text)}"
+    joined = numbered(docs).join(some, blob_of(F.col(at)) == F.col("__blob"), "left")
+    masks = F.col("__masks")
+    between = F.transform(masks, lambda m, i: F.concat(F.substring(F.col(at), F.coalesce(F.get(masks, i - 1)["end"], F.lit(0)) + 1, m["start"] - F.coalesce(F.get(masks, i - 1)["end"], F.lit(0))), F.lit(MASK)))
+    clean = F.when(masks.isNull(), F.col(at)).otherwise(F.concat(F.array_join(between, ""), F.substring(F.col(at), F.element_at(masks, -1)["end"] + 1, F.length(at))))
+    return joined.select(*[(clean if f"c{i}" == at else F.col(f"c{i}")).alias(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def _stretches(findings: Column) -> Column:
+    """(start, end) of findings by start, those that overlap as one."""
+    spans = F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(done: Column, f: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], f["end"]).alias("end"))
+        return F.when((F.size(done) == 0) | (f["start"] >= last["end"]), F.concat(done, F.array(f))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    return F.aggregate(spans, none, add)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, hex_long
 
 LIMIT = 64 << 20
+#: Shards that the registered query wants at least: its limit is the bytes of all texts by this number.
+SHARDS = 64
 #: Bits of a hash: 15 hex digits of md5.
 BITS = 60
 STEP = 20
@@ -42,8 +44,9 @@ def _bits(used: int, width: int) -> Column:
     return F.shiftright("__hash", BITS - used - width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns in `carry` (all, if None) with shard, shard_bytes and n_bytes.
+def assign_shards(docs: DataFrame, limit: int | None = LIMIT, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns in `carry` (all, if None) with shard, shard_bytes and n_bytes. A limit of None stands for
+    the bytes of all texts by SHARDS, rounded up.
 
     shard is depth:prefix, the prefix's value in decimal; each round adds such a part after a slash.
     What is carried is kept once in the shared folder, so every row stays the same row in a retry."""
@@ -56,6 +59,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
         .withColumn("__base", F.lit(""))
     )
     out, used, total = None, 0, rows.agg(F.sum("__bytes")).first()[0] or 0
+    limit = limit or max(1, -(-total // SHARDS))
     width = min(STEP, max(4, math.ceil(math.log2(max(1, total / limit))) + 3))
     while True:
         width = min(width, BITS - used)
@@ -90,7 +94,8 @@ WITH rows AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
     ('0x' || substr(md5(coalesce('k' || doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
 paths AS (SELECT r.*, d, h >> ({BITS} - d) AS p FROM rows r, (SELECT unnest(range(0, {BITS} + 1))::INTEGER AS d)),
 buckets AS (SELECT d, p, sum(n_bytes)::BIGINT AS size, count(*) AS n FROM paths GROUP BY d, p),
+capped AS (SELECT greatest(1, (sum(n_bytes) + {SHARDS} - 1) // {SHARDS})::BIGINT AS most FROM rows),
 fits AS (SELECT doc_id, n_bytes, x.d, x.p, size, row_number() OVER (PARTITION BY doc_id ORDER BY x.d) AS k
-  FROM paths x JOIN buckets b ON x.d = b.d AND x.p = b.p WHERE size <= {LIMIT} OR n = 1)
+  FROM paths x JOIN buckets b ON x.d = b.d AND x.p = b.p CROSS JOIN capped WHERE size <= most OR n = 1)
 SELECT doc_id, n_bytes, d::VARCHAR || ':' || p::VARCHAR AS shard, size AS shard_bytes FROM fits WHERE k = 1
 """

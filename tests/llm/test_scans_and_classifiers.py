@@ -8,7 +8,7 @@ import numpy as np
 
 from sparkloom.llm import cotrain, secrets, toxicity
 
-from .helpers import documents, odd_rows, text
+from .helpers import documents, odd_rows, text, untouched
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -58,7 +58,7 @@ def test_redaction(spark):
     rows = odd_rows() + [(100 + i, CASES[i], "en", "a", 1) for i in range(len(CASES))]
     d = documents(spark, rows)
     out = secrets.redact(d)
-    assert out.columns == d.columns
+    assert out.columns == d.columns and untouched(out)
     got = Counter((r["doc_id"], r["text"]) for r in out.collect())
     want = Counter((r[0], secrets.mask(r[1], secrets.find(r[1])) if r[1] is not None else None) for r in rows)
     assert got == want
@@ -66,6 +66,18 @@ def test_redaction(spark):
     assert secrets.redact(documents(spark, [])).count() == 0
 
 
+def test_only_unseen_blobs_are_scanned(spark, monkeypatch):
+    """A bitmap of one word a bit lets few rows by; one that is far too small lets all by, with the same ledger."""
+    rows = [(i, f"{CASES[i % len(CASES)]} {i % 50}", "en", "a", 1) for i in range(400)]
+    d = documents(spark, rows)
+    want = {(r["doc_id"], tuple(map(tuple, r["findings"]))) for r in secrets.scan(d).collect()}
+    assert len(want) == 400
+    monkeypatch.setattr(secrets, "MAX_BITS", 7)
+    ledger = secrets.Ledger(spark)
+    assert {(r["doc_id"], tuple(map(tuple, r["findings"]))) for r in secrets.scan(d, ledger).collect()} == want
+    assert ledger.read().count() == ledger.read().select("blob").distinct().count() == len({r[1] for r in rows})
+
+
 def toxic_rows(n):
     rows, labels = [], []
     bad = ["grumblefox", "snarkwaddle", "vilethorn", "muckrake"]
