@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 TARGET, LONGEST, SHORTEST = 1500, 2200, 200
 
 
+#: A word of a span: letters, digits, underscores and section signs.
+_SPAN_WORD = re.compile(r"[\w§]+")
+
+
 def longest_span(a: str | None, b: str | None, most: int = 400) -> int:
-    """Words of the longest run that both texts hold, at most so many: suffix lengths in one pass over the
+    """Words of the longest run that both texts hold whatever its case, at most so many: suffix lengths in one pass over the
     positions of equal words."""
-    x, y = (a or "").split(), (b or "").split()
+    x, y = _SPAN_WORD.findall((a or "").lower()), _SPAN_WORD.findall((b or "").lower())
     where: dict[str, list[int]] = {}
     for j, w in enumerate(y):
         where.setdefault(w, []).append(j)
@@ -90,6 +94,19 @@ def split_long(text: str, target: int = TARGET) -> list[str]:
     return [" ".join(run).strip() for run in runs if any(run)]
 
 
+def with_runs(docs: DataFrame, text: str, name: str, target: int = TARGET) -> DataFrame:
+    """docs with the runs of sentences of each text."""
+    from ..session import ship
+
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def runs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_long(t or "", target))
+
+    return docs.withColumn(name, runs(text))
+
+
 def pack(paragraphs: list[tuple[int | None, str]], target: int = TARGET) -> list[tuple[str, int | None, int | None]]:
     """(text, first number, last number) of chunks of whole paragraphs.
 

@@ -330,12 +330,14 @@ def p19(t):
     return t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query("p20_jurisdiction")
+@query("p20_jurisdiction", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'state' WHEN 3 THEN 'unknown' ELSE 'federal' END AS jurisdiction FROM part")
 def p20(t):
-    books = t.spark.createDataFrame([("BayBO",), ("VwGO",), ("StVO",), ("XYZ",), ("Foo",)], "book string")
+    """A state book, two known ones, an unknown one and one that only the corpus knows."""
+    books = F.array(*map(F.lit, ("BayBO", "VwGO", "StVO", "XYZ", "Foo")))
+    named = t.part.select("p_partkey", F.element_at(books, (F.col("p_partkey") % 5 + 1).cast("int")).alias("book"))
     corpus = t.spark.createDataFrame([("foo",)], "k string")
-    joined = books.join(F.broadcast(corpus), C.corpus_key_column(F.col("book")) == F.col("k"), "left")
-    return joined.select("book", C.jurisdiction(F.col("book"), F.col("k").isNotNull()).alias("jurisdiction"))
+    joined = named.join(F.broadcast(corpus), C.corpus_key_column(F.col("book")) == F.col("k"), "left")
+    return joined.select("p_partkey", C.jurisdiction(F.col("book"), F.col("k").isNotNull()).alias("jurisdiction"))
 
 
 @query("p21_relatedness", f"WITH {PANEL} SELECT gen, judge, CASE WHEN gen % 5 = length(judge) % 5 THEN 'self' WHEN gen % 3 = length(judge) % 3 THEN 'family' WHEN gen % 2 = length(judge) % 2 THEN 'vendor' ELSE 'unrelated' END AS tier FROM panel GROUP BY ALL")
@@ -387,8 +389,11 @@ def p15(t):
     return t.documents.where(F.col("lang").isin("de")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("p23_provenance")
+@query("p23_provenance", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'amtlich' WHEN 3 THEN 'unmarked' ELSE 'redaktionell' END AS kind FROM documents")
 def p23(t):
-    rows = [("Text (amtlicher Leitsatz)", False), ("Text (redaktioneller Leitsatz)", False), ("Text", True), ("Text", False)]
-    d = t.spark.createDataFrame(rows, "text string, span boolean")
-    return d.select("text", "span", C.provenance(F.col("text"), F.col("span")).alias("kind"))
+    """Texts that end in a mark, by doc_id: official, editorial, a span marked as editorial, none."""
+    k = F.col("doc_id") % 4
+    mark = F.when(k == 0, " (amtlicher Leitsatz)").when(k == 1, " (redaktioneller Leitsatz)").otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), mark)
+    return t.documents.select("doc_id", C.provenance(text, k == 2).alias("kind"))
+

@@ -12,6 +12,7 @@ from ..operators import statistics as S
 from .aggregates import JUDGES, MEDS, PANEL, meds, panel, r
 from .registry import query
 from .statistics import BY_GEN, WIDE, by_gen, wide
+from .texts import SPAN_WORDS, spans_sql, with_cases
 
 def one():
     return Window.partitionBy(F.lit(0))
@@ -144,15 +145,26 @@ def q13(t):
     return once.union(per)
 
 
-@query("q14_leakage")
-def q14(t):
-    """Items whose text runs on in a document: the longest span of each, and of its repeatable control."""
-    from ..operators.overlap import shared_runs
+#: Controls of a text: cases at these distances from its own.
+CONTROLS = (7, 19, 31, 43)
+_CONTROLS = f"SELECT doc_id AS id, c FROM (SELECT DISTINCT doc_id, (doc_id + d) % n AS c, n FROM documents, (SELECT unnest({[0, *CONTROLS]}) AS d), (SELECT max(n) AS n FROM cases)) JOIN cases USING (c)"
+
 
-    found = shared_runs(t.benchmark, t.documents, "item_id", "doc_id", "text", 8)
-    a, b = t.benchmark.select("item_id", F.col("text").alias("a")), t.documents.select("doc_id", F.col("text").alias("b"))
-    spans = Y.with_longest_span(found.join(a, "item_id").join(b, "doc_id"), "a", "b")
-    return spans.groupBy("item_id").agg(F.max("span").alias("longest"), F.countDistinct("doc_id").alias("docs"))
+@query(
+    "q14_leakage",
+    f"WITH {spans_sql(_CONTROLS)}, words AS (SELECT doc_id AS id, len({SPAN_WORDS.format('text')}) AS words, doc_id % (SELECT max(n) FROM cases) AS own FROM documents) "
+    "SELECT id AS doc_id, words, max(span) FILTER (c = own) AS own, max(span) FILTER (c <> own) AS control, max(span) FILTER (c = own) - max(span) FILTER (c <> own) AS excess FROM spans JOIN words USING (id) WHERE words >= 50 GROUP BY id, words",
+)
+def q14(t):
+    """How far each text of 50 words and more runs on in its case's item, and the furthest in other cases' items."""
+    docs, items, n = with_cases(t)
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_§]+"), F.lit(0)))
+    asked = docs.select("doc_id", "text", words.alias("words"), F.col("c").alias("own")).where("words >= 50")
+    cases = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (0, *CONTROLS)]), lambda d: (F.col("doc_id") + d) % max(1, n)))
+    spans = Y.with_longest_span(asked.withColumn("c", F.explode(cases)).join(items, "c"), "text", "b")
+    mine = F.col("c") == F.col("own")
+    out = spans.groupBy("doc_id", "words").agg(F.max(F.when(mine, F.col("span"))).alias("own"), F.max(F.when(~mine, F.col("span"))).alias("control"))
+    return out.withColumn("excess", F.col("own") - F.col("control"))
 
 
 @query("q15_within_knowledge", "WITH g AS (SELECT l_suppkey AS m, o_custkey % 50 AS c, avg(l_quantity) AS x, avg(l_extendedprice) AS y, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) >= 3), d AS (SELECT x - avg(x) OVER (PARTITION BY c) - avg(x) OVER (PARTITION BY m) + avg(x) OVER () AS x, y - avg(y) OVER (PARTITION BY c) - avg(y) OVER (PARTITION BY m) + avg(y) OVER () AS y FROM g) SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM d")

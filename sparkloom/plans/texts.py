@@ -12,28 +12,34 @@ from ..operators import ranking as R
 from .aggregates import r
 from .registry import query
 
-SAMPLE = [
-    (1, "Art. 101 i. V. mit Art. 100 BV und §§ 80, 80a VwGO"),
-    (2, "Art. 2 I GG in Verbindung mit § 35 S. 1 VwVfG; § 5 Abs. 2 Nr. 3 BayBO"),
-    (3, "Art. 10 oder Art. 11 GG9 sowie Art. 12 GG, § 1 Kosten- und"),
-    (4, "kein Zitat"),
-    (5, None),
-]
-
-
-def sample(t):
-    return t.spark.createDataFrame(SAMPLE, "id int, text string")
-
-
-@query("f01_citations")
+def cited(t):
+    """Documents whose texts begin with citations that depend on doc_id: with qualifiers, as a list, with a footnote's number."""
+    n = F.col("doc_id")
+    no = lambda m, k: F.format_string("%d", n % m + k)
+    head = F.concat(
+        F.lit("Art. "), no(200, 1), F.lit(" Abs. 1 GG und §§ "), no(90, 300), F.lit(", "), no(90, 400), F.lit("a VwGO; Art. "), no(30, 500),
+        F.lit(" i. V. m. Art. "), no(30, 600), F.lit(" BV sowie § "), no(50, 700), F.lit(" S. 1 GG9 und § 1 Kosten- und "),
+    )
+    return t.documents.where("doc_id IS NOT NULL").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def cited_sql(columns: str) -> str:
+    """The citations of these texts in order: (pos, form, section, book as found, book made canonical)."""
+    no = lambda m, k: f"(doc_id % {m} + {k})::VARCHAR"
+    rows = [(0, "Art", no(200, 1), "GG", "GG"), (1, "Par", no(90, 300), "VwGO", "VwGO"), (2, "Par", no(90, 400) + " || 'a'", "VwGO", "VwGO"), (3, "Art", no(30, 500), "BV", "BV"), (4, "Art", no(30, 600), "BV", "BV"), (5, "Par", no(50, 700), "GG9", "GG"), (6, "Par", "'1'", "Kosten-", None)]
+    one = " UNION ALL ".join(f"SELECT doc_id, {pos} AS pos, '{form}' AS form, {section} AS section, '{book}' AS book, {chr(39) + clean + chr(39) if clean else 'NULL'} AS clean FROM documents WHERE doc_id IS NOT NULL" for pos, form, section, book, clean in rows)
+    return f"SELECT {columns} FROM ({one})"
+
+
+@query("f01_citations", cited_sql("doc_id, pos, form, section, book"))
 def f01(t):
-    found = C.with_citations(sample(t), clean=False)
-    return found.select("id", F.posexplode("citations").alias("pos", "c")).select("id", "pos", "c.book", "c.section", "c.form", "c.start")
+    found = C.with_citations(cited(t), clean=False)
+    return found.select("doc_id", F.posexplode("citations").alias("pos", "c")).select("doc_id", "pos", "c.form", "c.section", "c.book")
 
 
-@query("f02_canonical")
+@query("f02_canonical", cited_sql("doc_id, string_agg(clean || ' ' || section, ', ' ORDER BY pos) FILTER (clean IS NOT NULL) AS norms") + " GROUP BY doc_id")
 def f02(t):
-    return C.with_citations(sample(t)).select("id", F.transform("citations", lambda c: F.concat_ws(" ", c["book"], c["section"])).alias("norms"))
+    return C.with_citations(cited(t)).select("doc_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(" ", c["book"], c["section"])), ", ").alias("norms"))
 
 
 @query("f03_corpus_key", "SELECT p_partkey, replace(lower(regexp_replace(regexp_replace(trim(p_brand || ' 2013'), '\\s+(?:19|20)\\d\\d$', ''), '\\s+', '', 'g')), '.', '') AS k FROM part")
@@ -41,10 +47,18 @@ def f03(t):
     return t.part.select("p_partkey", C.corpus_key_column(F.concat("p_brand", F.lit(" 2013"))).alias("k"))
 
 
-@query("f04_norm_chain")
+@query(
+    "f04_norm_chain",
+    "SELECT p_partkey, unnest(list_distinct(['baydg 6', 'baydg ' || p_size, 'baydg ' || (p_size + 100), 'vwgo ' || (p_partkey % 190 + 200), 'vwvfg 35', 'bbaug ' || (p_size + 300)])) AS norm FROM part",
+)
 def f04(t):
-    d = t.spark.createDataFrame([(1, ["BayDG Art. 6 Abs. 1, Art. 11 Abs. 1, Art. 14", "VwGO § 47 Abs. 6"]), (2, ["§ 35 VwVfG | BauGB § 34"])], "id int, norm_chain array<string>")
-    return C.with_chain(d).select("id", F.posexplode("norms").alias("pos", "n")).select("id", "pos", "n.book", "n.section")
+    size = lambda k: F.format_string("%d", F.col("p_size") + k)
+    one = F.concat(F.lit("BayDG Art. 6 Abs. 1, Art. "), size(0), F.lit(" Abs. 1, Art. "), size(100))
+    two = F.concat(F.lit("VwGO § "), F.format_string("%d", F.col("p_partkey") % 190 + 200), F.lit(" Abs. 6"))
+    three = F.concat(F.lit("§ 35 VwVfG | BauGB § "), size(300))
+    # an article 6 in the second place would be the first one again
+    d = t.part.select("p_partkey", F.array(one, two, three).alias("norm_chain"))
+    return C.with_chain(d).select("p_partkey", F.explode("norms").alias("n")).select("p_partkey", F.concat_ws(" ", "n.book", "n.section").alias("norm"))
 
 
 @query("f05_norm_of", "SELECT o_orderkey, nullif(regexp_extract('§ ' || o_orderkey || ' X', '(?:§§?|Art\\.?|Artikel)\\s*(\\d+\\s?[a-z]?)', 1), '') AS norm FROM orders")
@@ -69,10 +83,19 @@ def f08(t):
     return t.documents.select("doc_id", F.md5(X.typography(F.replace("text", F.lit("-"), F.lit("–")))).alias("h"))
 
 
-@query("f09_unwrap")
+def _single_feeds(x: str) -> str:
+    once = lambda y: f"regexp_replace({y}, '(^|[^\\n])\\n([^\\n]|$)', '\\1 \\2', 'g')"
+    return once(once(x))
+
+
+_WRAPPED = "'kreisange-' || chr(10) || 'hörigen Nach-' || chr(10) || 'Bar' || chr(10) || text"
+_HYPHENS = f"regexp_replace(regexp_replace({_WRAPPED}, '-\\n(\\p{{Ll}})', '\\1', 'g'), '-\\n(\\p{{Lu}})', '-\\1', 'g')"
+
+
+@query("f09_unwrap", f"SELECT doc_id, md5(trim(regexp_replace({_single_feeds(_HYPHENS)}, '[ \\t]+', ' ', 'g'))) AS h FROM documents")
 def f09(t):
-    d = t.spark.createDataFrame([("kreisange-\nhörigen",), ("Nach-\nBar",), ("a\nb\n\nc",)], "text string")
-    return d.select("text", X.unwrap(F.col("text")).alias("out"))
+    text = F.concat(F.lit("kreisange-\nhörigen Nach-\nBar\n"), "text")
+    return t.documents.select("doc_id", F.md5(X.unwrap(text)).alias("h"))
 
 
 @query("f10_clean_lines", "SELECT doc_id, len(list_distinct(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''))), lambda x: length(x) >= 12), lambda x: lower(x)))) > 8 AS full, least(len(list_distinct(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''))), lambda x: length(x) >= 12), lambda x: lower(x)))), 8)::INT AS n FROM documents")
@@ -91,7 +114,15 @@ def f12(t):
     return t.documents.select("doc_id", F.size(X.sub_queries(F.col("text"))).alias("n"))
 
 
-@query("f13_sentence_groups")
+def sentences_sql(start: str = "\\p{Lu}") -> str:
+    """The parts of texts at white space after a sentence's end and before a start."""
+    return f"string_split(regexp_replace(text, '([.!?])\\s+({start})', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+SENTENCES = f"s AS (SELECT doc_id, list_filter(list_transform({sentences_sql()}, lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)"
+
+
+@query("f13_sentence_groups", f"WITH {SENTENCES} SELECT doc_id, len(s)::INT AS sentences, ceil(len(s) / greatest(1, ceil(len(s) / 6.0)))::INT AS groups FROM s")
 def f13(t):
     return t.documents.select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"), F.size(X.sentence_groups(F.col("text"))).alias("groups"))
 
@@ -101,9 +132,13 @@ def f14(t):
     return t.documents.select("doc_id", F.size(X.paragraphs(F.col("text"))).alias("n"))
 
 
-@query("f14_longest_sentences")
+@query(
+    "f14_longest_sentences",
+    f"WITH {SENTENCES}, k AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, i) AS place FROM k), "
+    "j AS (SELECT doc_id, string_agg(x, '|' ORDER BY place) AS longest FROM o WHERE place <= 3 GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(longest, '') END AS longest FROM documents LEFT JOIN j USING (doc_id)",
+)
 def f14b(t):
-    return t.documents.select("doc_id", X.longest_sentences(F.col("text"), 3).alias("longest"))
+    return t.documents.select("doc_id", F.array_join(X.longest_sentences(F.col("text"), 3), "|").alias("longest"))
 
 
 @query("f15_word_chunks", "SELECT doc_id, least(ceil(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) / 120.0), 12)::INT AS n FROM documents")
@@ -121,15 +156,29 @@ def f18(t):
     return t.pages.select("page_id", X.docket(F.col("url")).alias("k"))
 
 
-@query("f19_clean_html")
+def clean_html_sql(html: str) -> str:
+    """As one expression; an element's end must name its start, which is written out for both kinds."""
+    out = html
+    for kind in ("script", "style"):
+        out = f"regexp_replace({out}, '(?is)<{kind}[^>]*>.*?</{kind}>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query("f19_clean_html", f"SELECT page_id, {clean_html_sql('html')} AS text FROM pages")
 def f19(t):
     return t.pages.select("page_id", X.clean_html(F.col("html")).alias("text"))
 
 
-@query("f20_headnote")
+@query("f20_headnote", "SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 2 THEN ' (x) Ende' ELSE '' END AS out FROM part")
 def f20(t):
-    d = t.spark.createDataFrame([("1. Satz eins (amtlicher Leitsatz) (Rn. 3)",), ("a) Satz",), ("Satz (x) Ende",)], "text string")
-    return d.select("text", X.clean_headnote(F.col("text")).alias("out"))
+    """Names as headnotes: numbered and with closing parentheses, lettered, with one in between."""
+    k = F.col("p_partkey") % 3
+    number = F.when(k == 0, F.concat(F.format_string("%d", F.col("p_size")), F.lit(". "))).when(k == 1, F.lit("a) ")).otherwise(F.lit(" "))
+    end = F.when(k == 0, F.lit(" (amtlicher Leitsatz) (Rn. 3)")).when(k == 1, F.lit(" (Rn. 12)")).otherwise(F.lit(" (x) Ende"))
+    return t.part.select("p_partkey", X.clean_headnote(F.concat(number, "p_name", end)).alias("out"))
 
 
 @query("f21_embed_text", "SELECT doc_id, md5(source || chr(10) || left(text, 4000)) AS h FROM documents")
@@ -156,13 +205,17 @@ def f26(t):
     return a.join(b, "doc_id").where(F.size("a") + F.size("b") > 0).select("doc_id", r(X.jaccard(F.col("a"), F.col("b"))).alias("j"))
 
 
-@query("f27_citation_similarity")
+@query(
+    "f27_citation_similarity",
+    f"WITH a AS ({cited_sql('DISTINCT doc_id, lower(clean) AS book, section')} WHERE clean IS NOT NULL), g AS (SELECT doc_id, book, section FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL), (VALUES ('vwgo', '310'), ('vwgo', '410a'), ('bv', '505')) v(book, section)), "
+    "n AS (SELECT doc_id, count(*) AS found FROM a GROUP BY 1), b AS (SELECT g.doc_id, count(a.book) AS common FROM g LEFT JOIN a USING (doc_id, book, section) GROUP BY 1) SELECT doc_id, round(common / (found + 3 - common), 9) AS similarity FROM n JOIN b USING (doc_id)",
+)
 def f27(t):
-    two = sample(t).select("id", "text", F.lit("§§ 80, 80a VwGO und Art. 100 BV").alias("gold"))
+    two = cited(t).withColumn("gold", F.lit("§§ 310, 410a VwGO und Art. 505 BV"))
     a = C.with_citations(two.withColumn("text", X.spacing(F.col("text"))), "text", "ca")
     both = C.with_citations(a, "gold", "cb")
     key = lambda c: F.array_distinct(F.transform(c, lambda x: F.concat_ws("|", F.lower(x["book"]), F.lower(x["section"]))))
-    return both.select("id", r(X.jaccard(key(F.col("ca")), key(F.col("cb")))).alias("similarity"))
+    return both.select("doc_id", r(X.jaccard(key(F.col("ca")), key(F.col("cb")))).alias("similarity"))
 
 
 @query("f28_precision_recall", "WITH a AS (SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS a FROM orders WHERE o_totalprice < 100000 GROUP BY 1), b AS (SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS b FROM orders WHERE o_totalprice > 80000 GROUP BY 1) SELECT k, round(len(list_intersect(a, b)) / len(a), 9) AS p, round(len(list_intersect(a, b)) / len(b), 9) AS r FROM a JOIN b USING (k)")
@@ -172,14 +225,35 @@ def f28(t):
     return s("o_totalprice < 100000", "a").join(s("o_totalprice > 80000", "b"), "k").select("k", r(p).alias("p"), r(rec).alias("r"))
 
 
-@query("f29_longest_span")
-def f29(t):
-    """The longest span of each item and document that share some run of eight words."""
-    from ..operators.overlap import shared_runs
+#: Each document's case, and the longest run of words that it shares with its case's text: equal words at places i and j
+#: lie on the diagonal i - j, and a run is an unbroken stretch of one.
+SPAN_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_§]+')"
+CASES = "cases AS (SELECT item_id AS c, text AS b, (SELECT count(*) FROM benchmark) AS n FROM benchmark WHERE item_id IS NOT NULL)"
+
+
+def spans_sql(pairs: str) -> str:
+    """pairs: a SELECT of (id, c), all distinct; makes `spans` (id, c, span)."""
+    return (
+        f"{CASES}, pairs AS ({pairs}), wa AS (SELECT doc_id AS id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, {SPAN_WORDS.format('text')} AS w FROM documents)), "
+        f"wb AS (SELECT c, unnest(w) AS w, unnest(range(len(w))) AS j FROM (SELECT c, {SPAN_WORDS.format('b')} AS w FROM cases)), "
+        "hits AS (SELECT p.id, p.c, i, i - j AS d FROM pairs p JOIN wa USING (id) JOIN wb ON wb.c = p.c AND wb.w = wa.w), "
+        "isles AS (SELECT id, c, d, i - row_number() OVER (PARTITION BY id, c, d ORDER BY i) AS k FROM hits), runs AS (SELECT id, c, count(*) AS n FROM isles GROUP BY id, c, d, k), "
+        "spans AS (SELECT p.id, p.c, least(coalesce(max(n), 0), 400)::INT AS span FROM pairs p LEFT JOIN runs USING (id, c) GROUP BY p.id, p.c)"
+    )
 
-    found = shared_runs(t.benchmark, t.documents, "item_id", "doc_id", "text", 8)
-    a, b = t.benchmark.select("item_id", F.col("text").alias("a")), t.documents.select("doc_id", F.col("text").alias("b"))
-    return Y.with_longest_span(found.join(a, "item_id").join(b, "doc_id"), "a", "b").select("item_id", "doc_id", "span")
+
+def with_cases(t):
+    """Documents with the item of their case, by place in turn."""
+    n = t.benchmark.count()
+    docs = t.documents.where("doc_id IS NOT NULL").select("doc_id", "text", (F.col("doc_id") % max(1, n)).alias("c"))
+    return docs, t.benchmark.select(F.col("item_id").alias("c"), F.col("text").alias("b")), n
+
+
+@query("f29_longest_span", f"WITH {spans_sql('SELECT doc_id AS id, c FROM documents JOIN cases ON c = doc_id % n')} SELECT id AS doc_id, c AS item_id, span FROM spans")
+def f29(t):
+    """The longest span of each document and its case's item."""
+    docs, items, _ = with_cases(t)
+    return Y.with_longest_span(docs.join(items, "c"), "text", "b").select("doc_id", F.col("c").alias("item_id"), "span")
 
 
 @query("f30_rouge_l")
@@ -269,13 +343,14 @@ def f25s(t):
     return out.groupBy("style").agg(F.count("*").alias("n"))
 
 
-@query("f16_split_long")
+@query(
+    "f16_split_long",
+    f"WITH RECURSIVE s AS (SELECT doc_id, text, list_transform({sentences_sql('[A-ZÄÖÜ„(§]')}, lambda x: length(x)) AS n FROM documents), "
+    "f AS (SELECT doc_id, 1 AS i, n[1] AS size, 1 AS runs, n FROM s WHERE text <> '' UNION ALL SELECT doc_id, i + 1, CASE WHEN size + 1 + n[i + 1] <= 300 THEN size + 1 + n[i + 1] ELSE n[i + 1] END, runs + (size + 1 + n[i + 1] > 300)::INT, n FROM f WHERE i < len(n)) "
+    "SELECT doc_id, coalesce(max(runs), 0)::INT AS runs FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id",
+)
 def f16(t):
-    from ..session import ship
-
-    ship(t.spark)
-    split = F.udf(lambda x: Y.split_long(x or "", 300), "array<string>", useArrow=True)
-    return t.documents.select("doc_id", F.size(split("text")).alias("runs"))
+    return Y.with_runs(t.documents, "text", "runs", 300).select("doc_id", F.size("runs").alias("runs"))
 
 
 @query("f24_display", "SELECT p_partkey, 'Art. ' || p_size || ' ' || p_brand || ' – ' || p_name || ' – Landesrecht' AS head FROM part")
