@@ -10,7 +10,9 @@ same distance from the end; the toxic one begins with the words that toxic text
 counted over distinct contexts so that copies of a document count once. Words that gain in
 ordinary windows are then added to both, as they are no sign.
 
-Learning uses at most MAX_DOCS labelled documents of each class, the first by a hash of the id. Rows
+Learning uses at most MAX_DOCS labelled documents of each class, the first by a hash of the id; seven tenths of them make
+the dictionaries, the rest calibrates. Contexts, gains and measures are taken where the texts are; only words, counts
+and measures come to the driver, so the texts' lengths don't matter. Rows
 with a null label or id aren't learnt from; several labels of one id count as toxic if one is.
 Null and empty texts have no window and get the score of that; nothing but the text is an input of a score. Without both
 classes among the labels every score is the labelled share of toxic documents (0 without labels).
@@ -20,6 +22,7 @@ gives an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
+from .common import cut
 
 MAX_DOCS = 4000
 WINDOW = 32
@@ -93,20 +97,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def _contexts(docs: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Of each word the number of distinct (word before, word, word after), and their sum."""
-    triples = []
-    for seq in docs:
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in seq), np.uint64, len(seq))
-        if len(ids):
-            padded = np.concatenate([[np.uint64(1 << 40)], ids, [np.uint64(1 << 40)]])
-            h = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (padded[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
-            triples.append(np.stack([ids, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids * np.uint64(0x165667B19E3779F9)]))
-    if not triples:
-        return np.zeros(len(number), np.int64), 0
-    ids, h = np.concatenate(triples, 1)
-    _, first = np.unique(h, return_index=True)
-    return np.bincount(ids[first].astype(np.int64), minlength=len(number)), len(first)
+def contexts(seq: list[bytes]) -> list[tuple[bytes, int]]:
+    """(word, hash of the words before and after it) of a text's words, each once."""
+    padded = [b"", *seq, b""]
+    return list({(w, zlib.crc32(before + b"\0" + after)) for before, w, after in zip(padded, seq, padded[2:])})
 
 
 def _join(ranked: list[bytes], size: int) -> bytes:
@@ -135,64 +129,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return mean, scale, w
 
 
-def train(samples: list[tuple[str | None, int]]) -> Model:
-    """A model of (text, label) rows. Each class is parted: seven tenths for the dictionaries, the
-    rest to calibrate."""
-    share = sum(y for _, y in samples) / len(samples) if samples else 0.0
-    sides = [[words(t) for t, y in samples if y == label] for label in (0, 1)]
-    cut = [max(1, len(s) * 7 // 10) for s in sides]
-    if min(map(len, sides)) < 2:
-        return Model(share)
-    plain, toxic = sides[0][: cut[0]], sides[1][: cut[1]]
-    number: dict[bytes, int] = {}
-    a, na = _contexts(toxic, number)
-    b, nb = _contexts(plain, number)
-    a = np.pad(a, (0, len(number) - len(a)))
+def _excess(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """Words that toxic text has in excess, and the ordinary text's frequent words without these, both most used first.
+    Of each no more than fit a dictionary."""
+
+    def batches(it):
+        for b in it:
+            for y, t in zip(b.column("y").to_pylist(), b.column("__text").to_pylist()):
+                found = contexts(words(t))
+                for a in range(0, len(found), 100_000):
+                    w, h = zip(*found[a : a + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(w), pa.int32()), pa.array(w, pa.binary()), pa.array(h, pa.int64())], ["y", "word", "context"])
+
+    used = sample.transform(map_arrow, batches, "y int, word binary, context long").distinct()
+    counts = cut(used.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")))
+    na, nb = counts.agg(F.sum("a"), F.sum("b")).first()
     if not na or not nb:
-        return Model(share)
-    names = list(number)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (a + b) / (na + nb)
-        g2 = 2 * (np.where(a > 0, a * np.log(a / (na * p)), 0) + np.where(b > 0, b * np.log(b / (nb * p)), 0))
-    over = np.flatnonzero((a >= CONTEXTS) & (a * nb >= RATIO * b * na) & (g2 >= G2))
-    excess = _join([names[i] for i in over[np.argsort(-a[over], kind="stable")]], FREQUENT)
-    usual = np.argsort(-b, kind="stable")[: min(FREQUENT, int((b > 0).sum()))]
-    chosen = set(over.tolist())
-    frequent = _join([names[i] for i in usual if i not in chosen], FREQUENT)
-    if not excess:
-        return Model(share)
-    pair, counts = Pair(excess, frequent), Counter()
-    for seq in plain[:3000]:
-        parts = windows(seq)
-        for w in (parts[i] for i in np.flatnonzero(pair.gains(parts) >= 2)):
-            counts.update(x for x in w.split() if len(x) > 3)
-    ordinary = _join(sorted(counts, key=lambda w: (-counts[w], w)), NO_SIGN) + frequent
-    pair = Pair(excess, ordinary)
-    rest = [(s, y) for y in (0, 1) for s in sides[y][cut[y] :]]
-    x = np.array([features(pair.gains(windows(s))) for s, _ in rest])
-    y = np.array([y for _, y in rest], np.float64)
-    if y.min() == y.max():
-        return Model(share)
-    return Model(share, excess, ordinary, *_logistic(x, y))
+        return [], []
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    p = (a + b) / (na + nb)
+    part = lambda x, n: F.when(x > 0, x * F.log(x / (p * n))).otherwise(0.0)
+    over = (F.col("a") >= CONTEXTS) & (a * nb >= RATIO * b * na) & (2 * (part(a, na) + part(b, nb)) >= G2)
+    marked = counts.where("word <> X''").withColumn("over", over)
+    excess = marked.where("over").orderBy(F.desc("a"), "word").limit(FREQUENT // 2).collect()
+    usual = marked.where("NOT over AND b > 0").orderBy(F.desc("b"), "word").limit(FREQUENT // 2).collect()
+    return [bytes(r.word) for r in excess], [bytes(r.word) for r in usual]
+
+
+def _no_sign(plain: DataFrame, excess: bytes, frequent: bytes) -> list[bytes]:
+    """Words of windows that gain in ordinary text, most frequent first."""
+
+    def batches(it):
+        pair = Pair(excess, frequent)
+        for b in it:
+            counts: Counter = Counter()
+            for t in b.column("__text"):
+                parts = windows(words(t.as_py()))
+                for i in np.flatnonzero(pair.gains(parts) >= 2).tolist():
+                    counts.update(x for x in parts[i].split() if len(x) > 3)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    found = plain.transform(map_arrow, batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in found.orderBy(F.desc("n"), "word").limit(NO_SIGN // 2).collect()]
+
+
+def _measured(rows: DataFrame, excess: bytes, ordinary: bytes) -> list:
+    """(id, y, features) of each row, in a fixed order."""
+
+    def batches(it):
+        pair = Pair(excess, ordinary)
+        for b in it:
+            x = [features(pair.gains(windows(words(t.as_py())))) for t in b.column("__text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    return sorted(rows.transform(map_arrow, batches, "id long, y int, x array<double>").collect(), key=lambda r: (r.id, r.x))
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable, max_docs: int = MAX_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of the labelled rows for which `learnable` (a condition on `id`) holds."""
     marked = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marked = marked.where(learnable).groupBy("id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("id")
-    chosen = [marked.where(F.col("y") == y).orderBy(order, "id").limit(max_docs) for y in (0, 1)]
+    chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_docs) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * max_docs rows
     texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
-    rows = texts.join(chosen, F.col("__id") == F.col("id")).select("id", "y", "__text").collect()
-    rows.sort(key=lambda r: (hash_of(r[0]), r[0], r[2] or ""))
-    return train([(r[2], r[1]) for r in rows])
-
-
-def hash_of(i: int) -> int:
-    import zlib
-
-    return zlib.crc32(b"fold|%d" % i)
+    sample = cut(texts.join(chosen, F.col("__id") == F.col("id")).select("id", "y", "__text"))
+    n, toxic = sample.agg(F.count("*"), F.sum("y")).first()
+    share = (toxic or 0) / n if n else 0.0
+    if not 0 < share < 1:
+        return Model(share)
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold|"), F.col("id").cast("string")).cast("binary")), F.lit(10))
+    first, rest = sample.where(fold < 7), sample.where(fold >= 7)
+    over, usual = _excess(first)
+    excess, frequent = _join(over, FREQUENT), _join(usual, FREQUENT)
+    if not excess:
+        return Model(share)
+    ordinary = _join(_no_sign(first.where("y = 0"), excess, frequent), NO_SIGN) + frequent
+    rows = _measured(rest, excess, ordinary)
+    y = np.array([r.y for r in rows], np.float64)
+    if not len(y) or y.min() == y.max():
+        return Model(share)
+    return Model(share, excess, ordinary, *_logistic(np.array([r.x for r in rows]), y))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

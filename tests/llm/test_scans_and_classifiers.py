@@ -105,6 +105,31 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[9001] == got[None] < 0.5
     again = toxicity.learn(d.repartition(3), lab, F.col("id") % 5 != 0)
     assert again.excess == model.excess and np.array_equal(again.weights, model.weights)
+    twice = toxicity.score(d.union(d), model).collect()
+    assert Counter((r["doc_id"], r["score"]) for r in twice) == Counter({k: 2 for k in got.items()})
+    # brute force: contexts of the learnt part, the words in excess, and what each window gains by the toxic dictionary
+    import math
+    import zlib
+
+    import zstandard
+
+    bad = {b"grumblefox", b"snarkwaddle", b"vilethorn", b"muckrake"}
+    learnt = [(toxicity.words(r[1]), y) for r, (i, _, y) in zip(rows, labels) if i % 5 and zlib.crc32(b"fold|%d" % i) % 10 < 7]
+    used = [{(w, x, z) for s, y in learnt if y == side for x, w, z in zip([b"", *s], s, [*s[1:], b""])} for side in (0, 1)]
+    n0, n1 = map(len, used)
+    counts = [Counter(w for w, _, _ in u) for u in used]
+
+    def g2(w):
+        a, b = counts[1][w], counts[0][w]
+        p = (a + b) / (n0 + n1)
+        return 2 * ((a * math.log(a / (p * n1)) if a else 0) + (b * math.log(b / (p * n0)) if b else 0))
+
+    want = {w for w in counts[1] if counts[1][w] >= toxicity.CONTEXTS and counts[1][w] * n0 >= toxicity.RATIO * counts[0][w] * n1 and g2(w) >= toxicity.G2}
+    assert bad <= want == set(model.excess.split())
+    parts = toxicity.windows(toxicity.words(rows[0][1] + " " + text(8, 90)))
+    size = lambda content, w: len(toxicity._compressor(content).compress(w))
+    assert toxicity.Pair(model.excess, model.ordinary).gains(parts).tolist() == [size(model.ordinary, w) - size(model.excess + model.ordinary, w) for w in parts]
+    assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(model.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS).decompress(toxicity._compressor(model.ordinary).compress(parts[0]), max_output_size=10_000) == parts[0]
     assert toxicity.score(documents(spark, []), model).count() == 0
 
 
