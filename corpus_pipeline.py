@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, cotrain, minmax, mixing, secrets
-from sparkloom.llm.common import new_path
+from sparkloom.llm.common import new_path, remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents. A stage's folder goes when the next one's is whole; the last but one's stays, as
+    the result is read from it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = new_path(spark, f"stage-{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
