@@ -51,7 +51,7 @@ _MARKER = re.compile(r"(?:" + "|".join(sorted(MARKERS, key=len, reverse=True)) +
 #: What may stand between: inner anchors, numbers, marks, small words, separators.
 _TOKEN = re.compile(
     r"\s*(?:(?P<anchor>§§|§|Artikel|Art\.?)|(?P<number>\d+(?:\s?[a-z](?![a-zäöüß.]))?)|(?P<separator>,|;|und\b|bis\b|sowie\b|oder\b)"
-    r"|(?P<mark>(?:Absatz|Abs\.?|Sätze|Satz|S\.|Halbsatz|Halbs\.?|Hs\.?|Nummer|Nrn?\.?|Alt\.?|Var\.?|Fall|Buchst\.?|i\.\s?V\.\s?m(?:\.|it)|iVm|bzw\.|lit\.?|ff?\.|[IVXL]{1,5}\b))|(?P<word>[a-zäöüß]+\)?))"
+    r"|(?P<mark>(?:Absatz|Abs\.?|Sätze|Satz|S\.|Halbsatz|Halbs\.?|Hs\.?|Nummer|Nrn?\.?|Alt\.?|Var\.?|Fall|Buchst\.?|i\.\s?V\.\s?m(?:\.|it)|iVm|bzw\.|lit\.?|ff?\.|[IVXL]{1,5}\b))|(?P<word>[a-z]+\)?))"
 )
 _ROMAN = re.compile(r"[IVXL]{1,5}")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,9 +20,17 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+#: Folders of a stored index, by a hash of the term.
+PARTS = 64
+
+
+def part_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
 class Index:
-    """Postings of a corpus: (term, key, tf, dl), documents per term and the corpus's size. Written once
-    (sources/sinks.py:write_index), it can be partitioned by term; queries then read their terms' partitions alone."""
+    """Postings of a corpus made for one search: (term, key, tf, dl), documents per term and the corpus's size. To search
+    more than once, write it (sources/sinks.py:write_index) and search the StoredIndex."""
 
     def __init__(self, corpus: DataFrame, key: str, text: str) -> None:
         tokens = corpus.select(F.col(key).alias("key"), terms(F.col(text)).alias("t"))
@@ -36,34 +44,59 @@ class Index:
     def postings(words: DataFrame) -> DataFrame:
         return words.groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
 
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        """(term, key, dl, tf, df) of asked terms (distinct). Words that nobody asks for drop out before anything is counted."""
+        tf = self.postings(self.words.join(asked, "term", "left_semi"))
+        return tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
+
+
+class StoredIndex:
+    """An index that write_index wrote: postings are read, not made, and of them only the folders of asked terms."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.table = spark.read.parquet(f"{path}/postings")
+        self.totals = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-def bm25(index: Index, queries: DataFrame, qkey: str, qtext: str, k: int) -> DataFrame:
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        parts = [r[0] for r in asked.select(part_of(F.col("term"))).distinct().collect()]  # at most PARTS numbers
+        return self.table.where(F.col("part").isin(parts)).join(asked, "term", "left_semi").select("term", "key", "dl", "tf", "df")
+
+
+def bm25(index: Index | StoredIndex, queries: DataFrame, qkey: str, qtext: str, k: int) -> DataFrame:
     """(query, key, score, rank): the k best documents of each query; scores rounded to 9 places before
-    they are ordered, ties by key. Words that nobody asks for drop out before anything is counted, so only
-    postings of asked terms are shuffled; a document's length travels with its words."""
+    they are ordered, ties by key. Only postings of asked terms are shuffled; a document's length travels with its words."""
     asked = queries.select(F.col(qkey).alias("query"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("term"))
-    tf = index.postings(index.words.join(asked.select("term").distinct(), "term", "left_semi"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(index.totals))
+    hits = index.of_terms(asked.select("term").distinct()).join(asked, "term").crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query", "key").agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, ["query"], k, F.desc("score"), F.asc("key"))
 
 
+def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """(key, vector): a text's words counted with a sign in `dims` places, both by md5 of the word, so that the vector needs no
+    model and any engine can repeat it. Texts without words, or whose counts cancel out, have none."""
+    words = texts.select(F.col(key).alias("key"), F.explode(terms(F.col(text))).alias("term"))
+    number = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long")
+    signed = words.select("key", (number % dims).cast("int").alias("at"), F.when(F.floor(number / dims) % 2 == 0, 1).otherwise(-1).alias("sign"))
+    sums = signed.groupBy("key", "at").agg(F.sum("sign").cast("double").alias("x")).where("x <> 0")
+    places = sums.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
+    return places.select("key", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(corpus: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
-    """(query, key, score, rank): the k nearest by cosine. The queries go to the corpus, in counted blocks of
+def dense(corpus: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str, k: int, most: int = 10_000, others: bool = True) -> DataFrame:
+    """(query, key, score, rank): the k nearest by cosine; `others`: a query isn't its own neighbour. The queries go to the corpus, in counted blocks of
     at most `most` of them; the best of all blocks' best are the best."""
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
     q = queries.select(F.col(qkey).alias("query"), unit(F.col(vector).cast("array<double>")).alias("qv"))
     c = corpus.select(F.col(key).alias("key"), unit(F.col(vector).cast("array<double>")).alias("cv"))
 
     def nearest(block: DataFrame) -> DataFrame:
-        scored = c.join(F.broadcast(block), F.col("key") != F.col("query")).select("query", "key", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("score"))
+        scored = c.join(F.broadcast(block), (F.col("key") != F.col("query")) if others else F.lit(True)).select("query", "key", F.round(dot(F.col("qv"), F.col("cv")), 9).alias("score"))
         return top_k(scored, ["query"], k, F.desc("score"), F.asc("key"))
 
     n = queries.count()
@@ -139,6 +172,76 @@ def lexical_overlap(query: Column, passage: Column) -> Column:
     return F.size(F.array_intersect(q, p)) / F.greatest(F.size(q), F.lit(1))
 
 
+# --- many configurations at once ---
+
+#: A retrieval configuration: what it searches, with which queries, how lists are merged and what leads them.
+BASELINE = {
+    "corpus": "combined", "mode": "hybrid", "query": "rewriter", "merge": "roundrobin", "drop_structural": True, "rerank": None, "pool": 200, "fusion_w": None,
+    "cite": None, "two_hop": None, "ls_depth": 20, "ls_official": False, "ls_context": 0, "drop_norms": False, "state_share": None,
+}
+CONFIG_SCHEMA = (
+    "config string, corpus string, mode string, query_kind string, merge string, drop_structural boolean, rerank string, pool int, fusion_w double, cite string, two_hop string, "
+    "ls_depth int, ls_official boolean, ls_context int, drop_norms boolean, budget int"
+)
+
+
+def configuration(name: str, changes: dict, k: int) -> tuple:
+    """One row of CONFIG_SCHEMA: the baseline with some entries changed."""
+    if unknown := set(changes) - set(BASELINE):
+        raise ValueError(f"{name}: no such entries as {sorted(unknown)}")
+    c = BASELINE | changes
+    budget = None if c["state_share"] is None else round(k * c["state_share"])
+    return (name, *(c[x] for x in ("corpus", "mode", "query", "merge", "drop_structural", "rerank", "pool", "fusion_w", "cite", "two_hop", "ls_depth", "ls_official", "ls_context", "drop_norms")), budget)
+
+
+def sweep(hits: DataFrame, scores: DataFrame, configs: DataFrame, k: int) -> DataFrame:
+    """(config, query, key, rank): the first k of every configuration (rows of CONFIG_SCHEMA), in one plan whatever their number.
+
+    hits: (query, key, channel, query_kind, list_no, rank from 0, state, structural, official); channels are vector and fts
+    (searches), cite (exact look-ups), hop (keys that found headnotes name) and ls (the headnotes themselves).
+    scores: (query, key, scores map<string, double>) of re-rankers. Keys of cite and hop lead what is searched."""
+    c = F.broadcast(configs)  # a row a configuration
+    search = F.col("channel").isin("vector", "fts")
+    wanted = (
+        F.when(search, (F.col("h.query_kind") == F.col("c.query_kind")) & ((F.col("mode") == "hybrid") | (F.col("mode") == F.col("channel"))) & F.coalesce(F.col("cite") != "only", F.lit(True)) & F.coalesce(F.col("two_hop") != "only", F.lit(True)) & ~F.col("drop_norms"))
+        .when(F.col("channel") == "cite", F.col("cite").isNotNull() & ~F.col("drop_norms"))
+        .when(F.col("h.query_kind") != F.col("c.query_kind"), False)
+        .when(F.col("channel") == "hop", F.col("two_hop").isNotNull() & (F.col("rank") < F.col("ls_depth")) & (~F.col("ls_official") | F.col("official")) & ~F.col("drop_norms"))
+        .otherwise(F.col("rank") < F.col("ls_context"))
+    )
+    allowed = ((F.col("corpus") == "combined") | ~F.col("state")) & (~F.col("drop_structural") | ~F.col("structural"))
+    met = hits.alias("h").join(c.alias("c"), wanted & allowed)
+    weight = F.when(F.col("fusion_w").isNull(), 1.0).when(F.col("channel") == "vector", F.col("fusion_w")).otherwise(1 - F.col("fusion_w"))
+    lead = F.when(F.col("channel") == "cite", 0).when(F.col("channel") == "hop", 1).when(F.col("channel") == "ls", 2).otherwise(3)
+    place = F.when(F.col("channel") == "fts", 100).otherwise(0) + F.col("list_no")
+    order = F.when(F.col("merge") == "roundrobin", F.col("rank") * 1000 + place).when(F.col("merge") == "concat", place * 1000 + F.col("rank")).otherwise(0)
+    kept = ["merge", "rerank", "pool", "budget"]
+    keyed = met.groupBy("config", "query", "key", *kept).agg(
+        F.min(F.struct(lead.alias("lead"), F.when(search, 0).otherwise(F.col("rank")).alias("rank"))).alias("lead"),
+        # whole numbers add up alike in any order
+        F.sum(F.when(search, F.round(weight * 1e12 / (RRF + F.col("rank"))).cast("long")).otherwise(0)).alias("score"), F.min(F.when(search, order)).alias("order"), F.max("state").alias("state"),
+    )
+    by = ["config", "query"]
+    merged = F.when(F.col("merge") == "rrf", -F.col("score")).otherwise(0)
+    first = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("lead", merged, "order", "key"))).where("place <= pool")
+    scored = first.join(scores, ["query", "key"], "left")
+    again = F.when(F.col("rerank").isNull(), 0.0).otherwise(-F.coalesce(F.col("scores")[F.col("rerank")], F.lit(0.0)))
+    second = scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(again, "place")))
+    in_kind = F.row_number().over(Window.partitionBy(*by, "state").orderBy("place"))
+    routed = second.withColumn("in_kind", in_kind).where("budget IS NULL OR NOT state OR in_kind <= budget")
+    front = F.when(F.col("budget").isNotNull() & F.col("state"), 0).otherwise(1)
+    return top_k(routed, by, k, front, F.asc("place")).select("config", "query", "key", "rank")
+
+
+def recall_of_configs(ranked: DataFrame, gold: DataFrame, configs: DataFrame, ks: list[int]) -> DataFrame:
+    """(config, k, hits, gold, cases_with_hit): found and wanted keys, and queries with at least one, of every configuration."""
+    wanted = gold.select("query", "key").distinct().crossJoin(F.broadcast(configs.select("config")))
+    found = wanted.join(ranked, ["config", "query", "key"], "left")
+    case = found.groupBy("config", "query").agg(F.count("*").alias("g"), *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks])
+    swept = case.select("config", "g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in ks])).alias("x"))
+    return swept.groupBy("config", "x.k").agg(F.sum("x.h").alias("hits"), F.sum("g").alias("gold"), F.count_if(F.col("x.h") > 0).alias("cases_with_hit"))
+
+
 # --- evaluation ---
 
 

@@ -117,11 +117,15 @@ def closed_form_se(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.sqrt(F.var_pop(value) / F.count(value)).alias("se"))
 
 
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with its rows' places by a distinct number (__i, from 1) and their number (__n), in ordered parts, not in one task."""
+    return with_average_rank(df, key, [], "__i", total="__n").withColumn("__i", F.col("__i").cast("long"))
+
+
 def corr_interval(df: DataFrame, key: str, x: str, y: str, replicates: int = 200, seed: int = 7) -> DataFrame:
     """(low, high): percentile interval of Pearson's r, pairs resampled together; replicates with fewer
     than three distinct x don't count."""
-    every = Window.partitionBy(F.lit(0))
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), (F.row_number().over(every.orderBy(key)) - 1).alias("i"), F.count("*").over(every).alias("n"))
+    rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key).select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col("__i") - 1).alias("i"), F.col("__n").alias("n"))
     reps = rows.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = reps.select("rep", draw(seed, F.col("n"), F.col("rep"), F.col("i")).alias("i")).join(rows.select("i", "x", "y"), "i")
     each = drawn.groupBy("rep").agg(F.corr("x", "y").alias("r"), F.countDistinct("x").alias("k")).where("k > 2")
@@ -140,8 +144,7 @@ def cluster_interval(df: DataFrame, cluster: str, stat: Column, replicates: int
 
 def permutation_p(df: DataFrame, key: str, x: str, y: str, rounds: int = 200, seed: int = 7, two_sided: bool = True) -> DataFrame:
     """(r, p): share of permutations of y with an r at least as far out, the seen one counted."""
-    one = Window.partitionBy(F.lit(0))
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.row_number().over(one.orderBy(key)).alias("i"))
+    rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col("__i").alias("i"))
     reps = rows.select("key", "y", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("rep"))
     order = Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("key").cast("string"))))
     shuffled = reps.select("rep", "y", F.row_number().over(order).alias("i"))
@@ -300,9 +303,11 @@ def out_of_sample(scores: DataFrame, stored: DataFrame, score: str, value: str,
     return out.select(score, F.col("p").alias("percentile"), (F.element_at("q", i + 1) + (F.element_at("q", i + 2) - F.element_at("q", i + 1)) * (F.col("p") - i)).alias("moved"))
 
 
-def bootstrap_se_seeded(df: DataFrame, by: list[str], value: str, replicates: int = 10_000, seed: int = 0, ddof: int = 0) -> DataFrame:
-    """(by, n, se) with a generator seeded anew for each group: repeatable, but for no SQL engine. The
-    groups are models: a few hundred values each. Draws are made in blocks, so memory stays bounded."""
+def bootstrap_se_seeded(df: DataFrame, by: list[str], value: str, replicates: int = 10_000, seed: int = 0, ddof: int = 0, shared: bool = False) -> DataFrame:
+    """(by, n, se) with a seeded generator: repeatable, but for no SQL engine. The groups are models: a few hundred values
+    each, drawn from in blocks, so memory stays bounded. The generator is seeded anew for each group; or it is
+    `shared`: then it runs on from group to group in their order, so that one task takes all groups, one at a time, and a
+    group of fewer than two values has no error and draws nothing."""
     import numpy as np
     import pandas as pd
 
@@ -310,12 +315,35 @@ def bootstrap_se_seeded(df: DataFrame, by: list[str], value: str, replicates: in
 
     ship(df.sparkSession)
 
-    def se(key, f):
-        x = f[value].dropna().to_numpy(float)
-        rng, means, block = np.random.default_rng(seed), [], max(1, 2_000_000 // max(1, len(x)))
-        for at in range(0, replicates if len(x) else 0, block):
+    def error(x, rng):
+        means, block = [], max(1, 2_000_000 // max(1, len(x)))
+        for at in range(0, replicates if len(x) >= (2 if shared else 1) else 0, block):
             means.append(x[rng.integers(0, len(x), (min(block, replicates - at), len(x)))].mean(1))
-        return pd.DataFrame([(*key, len(x), float(np.concatenate(means).std(ddof=ddof)) if means else None)], columns=[*by, "n", "se"])
+        return float(np.concatenate(means).std(ddof=ddof)) if means else None
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, value).groupBy(*by).applyInPandas(se, f"{kinds}, n long, se double")
+    def one(key, f):
+        x = f[value].dropna().to_numpy(float)
+        return pd.DataFrame([(*key, len(x), error(x, np.random.default_rng(seed)))], columns=[*by, "n", "se"])
+
+    def in_order(frames):
+        rng, key, held = np.random.default_rng(seed), None, []
+
+        def close():
+            x = np.array(held, float)
+            return pd.DataFrame([(*key, len(x), error(x, rng))], columns=[*by, "n", "se"])
+
+        for f in frames:
+            for *k, x in f[[*by, value]].itertuples(index=False):
+                if k != key:
+                    if key is not None:
+                        yield close()
+                    key, held = k, []
+                if x == x and x is not None:
+                    held.append(x)
+        if key is not None:
+            yield close()
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", n long, se double"
+    if shared:
+        return df.select(*by, value).repartition(1).sortWithinPartitions(*by, value).mapInPandas(in_order, kinds)
+    return df.select(*by, value).groupBy(*by).applyInPandas(one, kinds)

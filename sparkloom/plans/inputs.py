@@ -13,6 +13,7 @@ from ..streaming import panel_stream as E
 from . import jobs as U
 from .aggregates import PANEL, panel, r
 from .registry import query
+from .texts import clean_html_sql
 
 LAW = """<dokumente><norm><metadaten><jurabk>VwGO</jurabk><enbez>§ 42</enbez><titel>Anfechtung</titel></metadaten><textdaten><P>Durch Klage kann begehrt werden.</P></textdaten></norm>
 <norm><metadaten><jurabk>VwGO</jurabk></metadaten><textdaten></textdaten></norm><norm><metadaten></metadaten><textdaten><P>Ohne Namen</P></textdaten></norm></dokumente>"""
@@ -30,44 +31,44 @@ def _text_files(t, files: dict[str, str | bytes]) -> str:
     return base
 
 
-@query("s01_law_scan")
+@query("s01_law_scan", "SELECT * FROM (VALUES ('Durch Klage kann begehrt werden.', 'VwGO § 42: Anfechtung', 'vwgo.xml', 'VwGO', '§ 42'), ('Ohne Namen', '', 'vwgo.xml', 'unknown', 'unknown')) v(text, title, filename, law_book, paragraph)")
 def s01(t):
     return C.parse_laws(t.spark, _text_files(t, {"a/vwgo.xml": LAW}))
 
 
-@query("s02_first_snapshot")
+@query("s02_first_snapshot", "SELECT * FROM (VALUES ('Durch Klage kann begehrt werden.', 'VwGO § 42: Anfechtung', '1.xml', 'VwGO', '§ 42'), ('Ohne Namen', '', '1.xml', 'unknown', 'unknown')) v(text, title, filename, law_book, paragraph)")
 def s02(t):
     return C.first_snapshot(C.parse_laws(t.spark, _text_files(t, {"a/1.xml": LAW, "b/2.xml": LAW})))
 
 
-@query("s05_page_headers")
+@query("s05_page_headers", "SELECT * FROM (VALUES (1, 'a|b'), (2, 'same/a|same/b'), (3, 'x/Kopfzeile')) v(id, pages)")
 def s05(t):
     pages = [(1, [["x", "Kopfzeile", "a"], ["y", "Kopfzeile", "b"]]), (2, [["same", "a"], ["same", "b"]]), (3, [["x", "Kopfzeile"]])]
     d = t.spark.createDataFrame(pages, "id int, pages array<array<string>>")
-    return d.select("id", C.without_headers(F.col("pages")).alias("pages"))
+    return d.select("id", F.array_join(F.transform(C.without_headers(F.col("pages")), lambda p: F.array_join(p, "/")), "|").alias("pages"))
 
 
-@query("s08_hit_list")
+@query("s08_hit_list", "SELECT unnest(['AB1', 'C2']) AS doknr")
 def s08(t):
     d = t.spark.createDataFrame([('<a href="?doc.id=AB1">x</a><a href="?doc.id=AB1"></a><a href="?doc.id=C2">',)], "html string")
     return d.select(F.explode(C.hit_list(F.col("html"))).alias("doknr"))
 
 
-@query("s09_decision_xml")
+@query("s09_decision_xml", "SELECT 'VGH' AS court, '2020-01-02' AS date, '1 B 2' AS file_number, 'VwGO § 1' AS norms, 'Eins|Zwei' AS paragraphs")
 def s09(t):
     xml = "<d><gertyp>VGH</gertyp><entsch-datum>2020-01-02</entsch-datum><aktenzeichen>1 B 2</aktenzeichen><norm>VwGO § 1</norm><absatz>Eins</absatz><absatz>Zwei</absatz></d>"
     d = t.spark.createDataFrame([(xml,)], "xml string")
-    return d.select(*[c.alias(n) for n, c in C.decision_xml(F.col("xml")).items()])
+    return d.select(*[(F.array_join(c, "|") if n in ("norms", "paragraphs") else c).alias(n) for n, c in C.decision_xml(F.col("xml")).items()])
 
 
-@query("s10_decision_json")
+@query("s10_decision_json", "SELECT 'd1' AS doc_id, 'VG' AS court, '2021-02-03' AS date, 'M 1 K 20.1' AS file_number, 'm1k201' AS az_key, 'Urteil' AS doktyp, 'VwGO § 42' AS norm_chain, 'Eins' || chr(10) || 'Zwei' AS text")
 def s10(t):
     row = {"id": "d1", "court": "VG", "date": "03.02.2021", "file_number": "M 1 K 20.1", "type": "Urteil", "norms": ["VwGO § 42"], "paragraphs": [{"rd": 1, "text": "Eins"}, {"rd": None, "text": "Zwei"}]}
     d = C.parse_decisions(t.spark, _text_files(t, {"d.json": json.dumps(row)}))
-    return d.drop("paragraphs")
+    return d.drop("paragraphs").withColumn("norm_chain", F.array_join("norm_chain", "|"))
 
 
-@query("s07_zip_scan")
+@query("s07_zip_scan", "SELECT * FROM (VALUES ('whole.zip', 'a.xml', 344), ('broken.zip', 'a.xml', 344)) v(archive, member, n)")
 def s07(t):
     import io
     import zipfile
@@ -81,7 +82,11 @@ def s07(t):
     return found.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", F.length("content").alias("n"))
 
 
-@query("s12_norm_pages")
+_HEAD = clean_html_sql("coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")
+_BODY = clean_html_sql("regexp_replace(html, '(?is)<head.*?</head>', ' ', 'g')")
+
+
+@query("s12_norm_pages", f"SELECT page_id, regexp_replace({_HEAD}, '^(?:§|Art\\.?)\\s*\\d+\\s?[a-z]?\\s+', '') AS heading, length({_BODY})::INT AS n FROM pages")
 def s12(t):
     head, text = C.norm_page(F.col("html"))
     return t.pages.select("page_id", head.alias("heading"), F.length(text).alias("n"))
@@ -113,7 +118,7 @@ def s16(t):
     return C.read_csv(t.spark, path, "r_regionkey int, r_name string")
 
 
-@query("s17_seat_lines")
+@query("s17_seat_lines", "SELECT * FROM (VALUES (1, 0.5::DOUBLE, NULL), (3, NULL, 'x')) v(index, score, error)")
 def s17(t):
     lines = '{"index": 1, "model": "a", "score": 0.5}\n\n{"index": 2, "model": "a", "sco\n{"index": 3, "model": "a", "error": "x"}\n'
     return C.read_seat(t.spark, _text_files(t, {"seat.jsonl": lines}), ["index", "score", "error"])
@@ -169,7 +174,7 @@ def k02(t):
     path = K.scratch(t.spark, "k")
     K.replace(t.customer.select("c_custkey"), path)
     K.replace(t.customer.where("c_nationkey = 3").select("c_custkey"), path)
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(K.current(t.spark, path))
 
 
 @query("k03_append_lines", "SELECT c_custkey, c_mktsegment AS model FROM customer")
@@ -180,13 +185,21 @@ def k03(t):
     return t.spark.read.schema("c_custkey long, model string").json(path)
 
 
-@query("k04_index_tables", "SELECT count(*) AS docs FROM documents")
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+@query(
+    "k04_index_tables",
+    f"WITH tok AS (SELECT doc_id AS key, {_TOKENS} AS t FROM documents), tf AS (SELECT key, len(t) AS dl, unnest(t) AS term FROM tok) SELECT term, count(DISTINCT key) AS df, count(*)::BIGINT AS words, sum(DISTINCT key)::BIGINT AS keys, (SELECT count(*) FROM documents) AS docs FROM tf GROUP BY term",
+)
 def k04(t):
+    """The stored postings of every term, and the stored lengths."""
     from ..operators.search import Index
 
     path = K.scratch(t.spark, "k")
     K.write_index(Index(t.documents, "doc_id", "text"), path)
-    return t.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("docs"))
+    stored = t.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("words"), F.sum("key").alias("keys"))
+    return stored.crossJoin(F.broadcast(t.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("docs"))))
 
 
 @query("k05_widening_append", "SELECT n_nationkey AS k, NULL::VARCHAR AS extra FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
@@ -194,7 +207,7 @@ def k05(t):
     path = K.scratch(t.spark, "k")
     K.append_widening(t.nation.select(F.col("n_nationkey").alias("k")), path)
     K.append_widening(t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("extra")), path)
-    return t.spark.read.parquet(path)
+    return K.widened(t.spark, path)
 
 
 @query("k06_side_file", "SELECT doc_id, n_chars FROM documents")
@@ -215,13 +228,17 @@ def k07(t):
 def k08(t):
     path = K.scratch(t.spark, "k")
     K.merge_verified([t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))], path)
-    return t.spark.read.schema("k long, v double").json(path)
+    return t.spark.read.schema("k long, v double").json(K.current(t.spark, path))
 
 
 # --- jobs ---
 
 
-@query("u01_generate")
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+_SHARE = "((200 * len(list_distinct(w)) + len(w)) // (2 * len(w)) / 100.0)"
+
+
+@query("u01_generate", f"WITH w AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w FROM conversations WHERE role = 'user') SELECT conv_id, turn, '<think>' || len(w) || ' words</think> [[' || {_SHARE} || ']]' AS answer, len(w) AS prompt_tokens FROM w")
 def u01(t):
     return U.generate(t.conversations.where("role = 'user'"), ["conv_id", "turn"], "text").select("conv_id", "turn", "answer", "prompt_tokens")
 
@@ -237,7 +254,10 @@ def u03b(t):
     return t.events.groupBy("user_id").agg(r(U.panel_cost(F.when(F.col("value") >= 5, F.col("value")), F.col("event_type") == "purchase"), 6).alias("cost"))
 
 
-@query("u06_judge")
+_SEATS = "(SELECT unnest(['seat one', 'seat two']) AS seat)"
+
+
+@query("u06_judge", f"WITH w AS (SELECT conv_id, turn, {_WORDS.format('seat || chr(10) || text')} AS w FROM conversations, {_SEATS} WHERE role = 'assistant' AND trim(text) <> '') SELECT conv_id, turn, min({_SHARE}) AS low, count(*) AS n FROM w GROUP BY conv_id, turn")
 def u06(t):
     j = U.judge(t.conversations.where("role = 'assistant'"), ["conv_id", "turn"], "text", ["seat one", "seat two"])
     return j.groupBy("conv_id", "turn").agg(F.min("score").alias("low"), F.count("score").alias("n"))
@@ -281,7 +301,12 @@ def u04(t):
     return t.spark.createDataFrame([(U.reassemble(lines),)], "text string")
 
 
-@query("u07_evaluate")
+@query(
+    "u07_evaluate",
+    f"WITH q AS (SELECT item_id, {_WORDS.format(chr(39) + 'Answer the question. ' + chr(39) + ' || text')} AS w FROM benchmark), a AS (SELECT item_id, len(w) AS n, '<think>' || len(w) || ' words</think> [[' || {_SHARE} || ']]' AS answer FROM q), "
+    f"j AS (SELECT item_id, answer, n, seat, {_WORDS.format('seat || chr(10) || answer')} AS w FROM a, (SELECT unnest(['a', 'b']) AS seat)) "
+    f"SELECT item_id, answer, any_value(n) AS prompt_tokens, 4 AS completion_tokens, NULL::DOUBLE AS reported_cost, 'stop' AS finish_reason, NULL::VARCHAR AS error, 'stub' AS model, max({_SHARE}) FILTER (seat = 'a') AS a, max({_SHARE}) FILTER (seat = 'b') AS b, min({_SHARE}) AS score FROM j GROUP BY item_id, answer",
+)
 def u07(t):
     tasks = t.benchmark.select("item_id", "text")
     return U.evaluate(tasks, "item_id", "text", "stub", ["a", "b"])

@@ -11,7 +11,7 @@ from ..operators import ranking as R
 from ..operators import statistics as S
 from .aggregates import JUDGES, MEDS, PANEL, meds, panel, r
 from .registry import query
-from .statistics import BY_GEN, WIDE, by_gen, wide
+from .statistics import BY_GEN, WIDE, by_gen, debiased_sql, wide
 from .texts import SPAN_WORDS, spans_sql, with_cases
 
 def one():
@@ -63,7 +63,11 @@ def q04(t):
     return essay.union(model).select("level", "n", r("r").alias("pearson"))
 
 
-@query("q05_bias_leaderboard")
+@query(
+    "q05_bias_leaderboard",
+    f"WITH {debiased_sql('CASE WHEN gen = 3 THEN 2.5 ELSE 0 END')}, c AS (SELECT gen, case_id, median(score) AS a, median(debiased) AS b FROM moved GROUP BY ALL), g AS (SELECT gen, round(avg(a), 9) AS score, round(avg(b), 9) AS debiased FROM c GROUP BY gen) "
+    "SELECT gen, score, debiased, rank() OVER (ORDER BY score DESC) AS place, rank() OVER (ORDER BY debiased DESC) AS place_debiased FROM g",
+)
 def q05(t):
     effect = t.spark.createDataFrame([(j, 3, 2.5) for j in JUDGES], "judge string, gen long, effect double")
     d = S.debias(panel(t), effect)

@@ -37,6 +37,16 @@ def r01(t):
     return bm25(t).select("query", "key", r("score", 6).alias("score"))
 
 
+@query("r01_stored_index", f"WITH {BM25} SELECT query, key, round(score, 6) AS score FROM ranked")
+def r01_stored(t):
+    """The same search over postings that were written before."""
+    from ..sources import sinks as K
+
+    path = K.scratch(t.spark, "index")
+    K.write_index(S.Index(t.documents, "doc_id", "text"), path)
+    return S.bm25(S.StoredIndex(t.spark, path), t.benchmark, "item_id", "text", 10).select("query", "key", r("score", 6).alias("score"))
+
+
 UNIT = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
 DENSE = UNIT + ", d AS (SELECT q.vec_id AS query, c.vec_id AS key, round(list_dot_product(list_transform(q.e, lambda x: x / q.n), list_transform(c.e, lambda x: x / c.n)), 9) AS score FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id), nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM d) WHERE rank <= 10)"
 
@@ -100,12 +110,34 @@ def r04(t):
     return R.top_k(pool, ["query"], 10, F.asc("rank"), rank="k").select("query", "key", "k")
 
 
-@query("r03_hybrid", f"WITH {BM25}, merged AS (SELECT query, key, 1 AS list_no, rank - 1 AS rank FROM ranked UNION ALL SELECT b.item_id, d.doc_id, 0, row_number() OVER (PARTITION BY b.item_id ORDER BY d.n_chars DESC, d.doc_id) - 1 FROM benchmark b JOIN documents d ON d.doc_id % 200 = b.item_id), f AS (SELECT query, key, round(sum(1.0 / (60 + rank)), 12) AS score, min((list_no, rank)) AS seen FROM merged GROUP BY ALL) SELECT query, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, key) AS rank FROM f) WHERE rank <= 10")
+def hashed_sql(name: str, table: str, key: str) -> str:
+    """(key, at, x, n): a text's words with signs in 64 places, and the vector's length."""
+    number = "('0x' || substr(md5(term), 1, 6))::BIGINT"
+    return (
+        f"{name}_x AS (SELECT key, {number} % 64 AS at, sum(CASE WHEN {number} // 64 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {key} AS key, unnest({TOKENS}) AS term FROM {table}) GROUP BY ALL HAVING x <> 0), "
+        f"{name} AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY key)) AS n FROM {name}_x)"
+    )
+
+
+HYBRID = (
+    f"{BM25}, {hashed_sql('hq', 'benchmark', 'item_id')}, {hashed_sql('hd', 'documents', 'doc_id')}, "
+    "near AS (SELECT q.key AS query, d.key AS key, round(sum(q.x * d.x) / (any_value(q.n) * any_value(d.n)), 9) AS score FROM hq q JOIN hd d ON q.at = d.at GROUP BY 1, 2), "
+    "nearest AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM near QUALIFY rank <= 10), "
+    "merged AS (SELECT query, key, 0 AS list_no, rank - 1 AS rank FROM nearest UNION ALL SELECT query, key, 1, rank - 1 FROM ranked)"
+)
+
+
+def two_channels(t, k=10):
+    """(query, key, list_no, rank from 0): every item's nearest documents by hashed vectors, and its best by BM25."""
+    side = lambda found, no: found.select("query", "key", F.lit(no).alias("list_no"), (F.col("rank") - 1).alias("rank"))
+    items = S.hashed_vectors(t.benchmark, "item_id", "text").withColumnRenamed("key", "query")
+    near = S.dense(S.hashed_vectors(t.documents, "doc_id", "text"), items, "key", "query", "vector", k, others=False)
+    return side(near, 0).union(side(bm25(t, k), 1))
+
+
+@query("r03_hybrid", f"WITH {HYBRID}, f AS (SELECT query, key, round(sum(1.0 / (60 + rank)), 12) AS score, min((list_no, rank)) AS seen FROM merged GROUP BY ALL) SELECT query, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, key) AS rank FROM f) WHERE rank <= 10")
 def r03(t):
-    lexical = bm25(t).select("query", "key", F.lit(1).alias("list_no"), (F.col("rank") - 1).alias("rank"))
-    d = t.documents.select((F.col("doc_id") % 200).alias("query"), F.col("doc_id").alias("key"), "n_chars").join(F.broadcast(t.benchmark.select(F.col("item_id").alias("query"))), "query")
-    other = R.top_k(d, ["query"], 10**9, F.desc("n_chars"), F.asc("key")).select("query", "key", F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("rank"))
-    return S.rrf(lexical.union(other), 10).select("query", "key", "rank")
+    return S.rrf(two_channels(t), 10).select("query", "key", "rank")
 
 
 OVERLAP = f"len(list_intersect(list_distinct({TOKENS.replace('text', 'b.text')}), {TOKENS.replace('text', 'd.text')})) / greatest(len(list_distinct({TOKENS.replace('text', 'b.text')})), 1)"
@@ -169,53 +201,167 @@ def r15(t):
     return S.two_hop(lists(t).where("list_no = 0"), chains, 15).select("query", "key", "rank")
 
 
-@query("r16_draft_queries")
+DRAFTS = (
+    f"w AS (SELECT item_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark), "
+    "d AS (SELECT item_id, unnest(range(least(ceil(len(w) / 10.0)::INT, 12))) AS i, ceil(len(w) / 10.0)::INT AS n, w FROM w), "
+    "drafts AS (SELECT item_id * 100 + i AS query, array_to_string(list_slice(w, c * 10 + 1, c * 10 + 10), ' ') AS text FROM (SELECT *, CASE WHEN n > 12 THEN round_even(i * (n - 1) / 11.0, 0)::INT ELSE i END AS c FROM d))"
+)
+_FOUND = bm25_sql("SELECT query, text FROM drafts", 20)
+
+
+@query(
+    "r16_draft_queries",
+    f"WITH {DRAFTS}, {_FOUND}, l AS (SELECT query // 100 AS item, query % 100 AS list_no, key, rank - 1 AS rank FROM ranked), f AS (SELECT item, key, min((rank, list_no)) AS seen FROM l GROUP BY ALL), "
+    "m AS (SELECT item, key, row_number() OVER (PARTITION BY item ORDER BY seen, key) AS place FROM f QUALIFY place <= 10), "
+    f"g AS (SELECT q.query AS item, key FROM (SELECT * FROM ({bm25_sql(ITEMS, 10).replace('tok AS', 'WITH tok AS')} SELECT query, key FROM ranked)) q), "
+    "h AS (SELECT g.item, count(m.key) AS hits, count(*) AS gold FROM g LEFT JOIN m USING (item, key) GROUP BY g.item), "
+    f"q AS (SELECT item_id AS item, len(list_distinct({TOKENS})) / len({TOKENS}) AS quality FROM benchmark) "
+    "SELECT count(*) AS drafts, sum(hits)::BIGINT AS hits, sum(gold)::BIGINT AS gold, round(avg(hits / gold), 9) AS recall, round(corr(hits / gold, quality), 9) AS r FROM h JOIN q USING (item)",
+)
 def r16(t):
-    """Items' texts as drafts: their chunks are queries, taken in turn."""
+    """Drafts as queries: an item's text in chunks that are searched and taken in turn; their recall of what the whole text
+    finds, and its correlation with the draft's quality (the share of distinct words)."""
     chunks = t.benchmark.select("item_id", F.posexplode(X.word_chunks(F.col("text"), 10)).alias("list_no", "text")).withColumn("q", F.col("item_id") * 100 + F.col("list_no"))
     found = S.bm25(S.Index(t.documents, "doc_id", "text"), chunks, "q", "text", 20)
     ranked = found.select(F.floor(F.col("query") / 100).alias("query"), (F.col("query") % 100).alias("list_no"), "key", (F.col("rank") - 1).alias("rank"))
-    return S.round_robin(ranked, 10).select("query", "key", "rank")
-
-
-CONFIGS = {
-    "rrf": {"merge": "rrf"},
-    "round_robin": {"merge": "round_robin"},
-    "weighted": {"merge": "weighted", "weight": 0.75},
-    "key_first": {"merge": "channels"},
-    "routed": {"merge": "rrf", "state_share": 0.4},
-}
+    merged = S.round_robin(ranked, 10).select("query", "key", "rank")
+    wanted = bm25(t).select("query", "key")
+    case = wanted.join(merged, ["query", "key"], "left").groupBy("query").agg(F.count("rank").alias("hits"), F.count("*").alias("gold"))
+    words = S.terms(F.col("text"))
+    quality = t.benchmark.select(F.col("item_id").alias("query"), (F.size(F.array_distinct(words)) / F.size(words)).alias("quality"))
+    recall = F.col("hits") / F.col("gold")
+    return case.join(quality, "query").agg(F.count("*").alias("drafts"), F.sum("hits").alias("hits"), F.sum("gold").alias("gold"), r(F.avg(recall)).alias("recall"), r(F.corr(recall, F.col("quality"))).alias("r"))
+
+
+# --- sweeps over configurations ---
+
+#: The configurations that are compared, each with what it changes in the baseline.
+VARIANTS = {
+    "baseline": {},
+    "corpus_federal": {"corpus": "federal"}, "corpus_federal_rrf": {"corpus": "federal", "merge": "rrf"},
+    "mode_fts": {"mode": "fts"}, "mode_vector": {"mode": "vector"}, "dense_rrf": {"mode": "vector", "merge": "rrf"}, "bm25_rrf": {"mode": "fts", "merge": "rrf"},
+    "query_facts": {"query": "facts"}, "query_sentences": {"query": "sentences"}, "query_paragraphs": {"query": "paragraphs"},
+    "query_rubric_CEILING": {"query": "rubric"}, "query_solution_CEILING": {"query": "solution"}, "rw_citations": {"query": "rw_citations"}, "rw_statute": {"query": "rw_statute"},
+    "merge_concat": {"merge": "concat"}, "merge_rrf": {"merge": "rrf"},
+    "rerank_bge": {"merge": "rrf", "rerank": "bge"}, "rerank_pool100": {"merge": "rrf", "rerank": "bge", "pool": 100}, "rerank_pool400": {"merge": "rrf", "rerank": "bge", "pool": 400},
+    "rerank_gte": {"merge": "rrf", "rerank": "gte"}, "rerank_innkube": {"merge": "rrf", "rerank": "innkube"}, "rerank_qwen3": {"merge": "rrf", "rerank": "qwen3"},
+    "rerank_mxbai": {"merge": "rrf", "rerank": "mxbai"}, "rerank_jinav2": {"merge": "rrf", "rerank": "jinav2"},
+    "cite_only": {"cite": "only"}, "cite_then_search": {"merge": "rrf", "cite": "first"},
+    "ls_only": {"two_hop": "only"}, "ls_q_leitsatz": {"two_hop": "only", "query": "rw_leitsatz"}, "ls_q_statute": {"two_hop": "only", "query": "rw_statute"},
+    "ls_q_rubric_CEILING": {"two_hop": "only", "query": "rubric"}, "ls_q_facts": {"two_hop": "only", "query": "facts"},
+    "ls_then_search": {"merge": "rrf", "two_hop": "first"}, "ls_deep50": {"merge": "rrf", "two_hop": "first", "ls_depth": 50}, "ls_shallow10": {"merge": "rrf", "two_hop": "first", "ls_depth": 10},
+    "ls_amtlich": {"merge": "rrf", "two_hop": "first", "ls_official": True}, "cite_ls_search": {"merge": "rrf", "cite": "first", "two_hop": "first"},
+    "state_share40": {"merge": "rrf", "state_share": 0.4}, "state_share60": {"merge": "rrf", "state_share": 0.6},
+    "fusion_w25": {"merge": "rrf", "fusion_w": 0.25}, "fusion_w50": {"merge": "rrf", "fusion_w": 0.50}, "fusion_w75": {"merge": "rrf", "fusion_w": 0.75}, "fusion_w90": {"merge": "rrf", "fusion_w": 0.90},
+    "nostructural": {"drop_structural": False},
+}
+#: The pipelines that answers are generated under.
+PRESETS = {
+    "roundrobin": {}, "dense": {"merge": "rrf", "mode": "vector"}, "bm25": {"merge": "rrf", "mode": "fts"}, "cite_only": {"merge": "rrf", "cite": "only"}, "rrf": {"merge": "rrf"},
+    "rerank": {"merge": "rrf", "rerank": "innkube"}, "cite_rrf": {"merge": "rrf", "cite": "first"}, "cite_ls_rrf": {"merge": "rrf", "cite": "first", "two_hop": "first"},
+    "ls_rrf": {"merge": "rrf", "two_hop": "first"}, "ls_text": {"merge": "rrf", "two_hop": "first", "ls_context": 10, "drop_norms": True},
+    "cite_ls_mixed": {"merge": "rrf", "cite": "first", "two_hop": "first", "ls_context": 10},
+}
+#: Kinds of queries: how a supplier's line items are dealt into the lists of its sub-queries.
+KINDS = {
+    "rewriter": "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END", "facts": "0", "sentences": "CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END", "paragraphs": "l_linenumber % 4",
+    "rubric": "l_linenumber", "solution": "CASE WHEN l_quantity < 25 THEN 0 ELSE 1 END", "rw_citations": "l_linenumber % 2", "rw_statute": "l_linenumber % 3", "rw_leitsatz": "CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END",
+}
+#: What re-rankers say of a supplier's part, in the models' place.
+SCORERS = {"bge": "max(l_extendedprice)", "gte": "max(l_quantity)", "qwen3": "max(l_tax)", "mxbai": "max(l_discount)", "jinav2": "max(l_orderkey % 97)", "innkube": "max(l_linenumber)"}
+FLAGS = "l_partkey % 4 = 0 AS state, l_partkey % 17 = 0 AS structural, l_linenumber % 2 = 1 AS official"
+DEPTH = 20
+
+
+def _channels() -> list[tuple[str, str, str, str, str, int, bool]]:
+    """(channel, list number, condition, order, key, depth, by kind of query) of each channel's list."""
+    last = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"  # line items may share a number
+    turned = f"(l_orderkey + l_linenumber) % (7 + kind_no), {last}"
+    return [
+        ("vector", "list_no", "true", f"l_extendedprice DESC, {last}", "l_partkey", 20, True),
+        ("fts", "list_no", "true", f"l_quantity DESC, {last}", "l_partkey", 20, True),
+        ("cite", "0", "l_discount >= 0.09", last, "l_partkey", 10, False),
+        ("hop", "0", "l_tax >= 0.07", turned, "l_partkey", 50, True),
+        ("ls", "0", "l_tax >= 0.07", turned, "-l_orderkey", 50, True),
+    ]
+
+
+def _hits_select(channel, number, condition, order, key, depth, by_kind) -> str:
+    kind = "query_kind" if by_kind else "'' AS query_kind"
+    part = "l_suppkey" + (", query_kind" if by_kind else "") + (", list_no" if number == "list_no" else "")
+    source = "kinds" if by_kind else "lineitem"
+    ranked = f"SELECT l_suppkey AS query, {key} AS key, '{channel}' AS channel, {kind}, CAST({number} AS INT) AS list_no, row_number() OVER (PARTITION BY {part} ORDER BY {order}) - 1 AS rank, {FLAGS} FROM {source} WHERE {condition}"
+    return f"SELECT * FROM ({ranked}) x WHERE rank < {depth}"
+
+
+def _kinds_select() -> str:
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS query_kind, {i} AS kind_no, {e} AS list_no FROM lineitem" for i, (k, e) in enumerate(KINDS.items()))
+
+
+def sweep_tables(t):
+    """(hits, scores) of operators/search.py:sweep, of line items: the lists once, whatever the number of configurations."""
+    import uuid
+
+    from ..sources import sinks as K
+
+    run = lambda sql, **views: t.spark.sql(sql, **views)
+    kinds = run(_kinds_select().replace("FROM lineitem", "FROM {lineitem}"), lineitem=t.lineitem)
+    hits = None
+    for c in _channels():
+        one = run(_hits_select(*c).replace("FROM kinds", "FROM {kinds}").replace("FROM lineitem", "FROM {lineitem}"), **({"kinds": kinds} if c[-1] else {"lineitem": t.lineitem}))
+        hits = one if hits is None else hits.union(one)
+    scores = t.lineitem.groupBy(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("key")).agg(F.create_map(*[x for n, e in SCORERS.items() for x in (F.lit(n), F.expr(f"CAST({e} AS DOUBLE)"))]).alias("scores"))
+    path = K.scratch(t.spark, f"hits-{uuid.uuid4().hex[:6]}")
+    hits.write.parquet(path)
+    return t.spark.read.parquet(path), scores
+
+
+def configs_of(t, named: dict, k: int):
+    return t.spark.createDataFrame([S.configuration(n, c, k) for n, c in named.items()], S.CONFIG_SCHEMA)
+
+
+def sweep(t, named: dict):
+    hits, scores = sweep_tables(t)
+    configs = configs_of(t, named, DEPTH)
+    return S.recall_of_configs(S.sweep(hits, scores, configs, DEPTH), gold(t), configs, KS)
+
+
+def sweep_sql(named: dict) -> str:
+    def value(x) -> str:
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+
+    names = ", ".join(c.split()[0] for c in S.CONFIG_SCHEMA.split(", "))
+    rows = ", ".join("(" + ", ".join(map(value, S.configuration(n, c, DEPTH))) + ")" for n, c in named.items())
+    hits = " UNION ALL ".join(_hits_select(*c) for c in _channels())
+    scorer = "CASE rerank " + " ".join(f"WHEN '{n}' THEN {n}" for n in SCORERS) + " END"
+    return (
+        f"WITH kinds AS ({_kinds_select()}), hits AS ({hits}), scores AS (SELECT l_suppkey AS query, l_partkey AS key, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in SCORERS.items())} FROM lineitem GROUP BY ALL), configs({names}) AS (VALUES {rows}), {GOLD}, "
+        "met AS (SELECT c.*, h.query, h.key, h.channel, h.list_no, h.rank, h.state, channel IN ('vector', 'fts') AS searched FROM hits h JOIN configs c ON (corpus = 'combined' OR NOT state) AND (NOT drop_structural OR NOT structural) AND CASE "
+        "WHEN channel IN ('vector', 'fts') THEN h.query_kind = c.query_kind AND mode IN ('hybrid', channel) AND cite IS DISTINCT FROM 'only' AND two_hop IS DISTINCT FROM 'only' AND NOT drop_norms "
+        "WHEN channel = 'cite' THEN cite IS NOT NULL AND NOT drop_norms WHEN h.query_kind <> c.query_kind THEN false "
+        "WHEN channel = 'hop' THEN two_hop IS NOT NULL AND rank < ls_depth AND (NOT ls_official OR official) AND NOT drop_norms ELSE rank < ls_context END), "
+        "keyed AS (SELECT config, query, key, merge, rerank, pool, budget, min((CASE channel WHEN 'cite' THEN 0 WHEN 'hop' THEN 1 WHEN 'ls' THEN 2 ELSE 3 END, CASE WHEN searched THEN 0 ELSE rank END)) AS lead, "
+        "sum(CASE WHEN searched THEN round(CASE WHEN fusion_w IS NULL THEN 1.0::DOUBLE WHEN channel = 'vector' THEN fusion_w::DOUBLE ELSE 1 - fusion_w::DOUBLE END * 1e12 / (60 + rank))::BIGINT ELSE 0 END) AS score, "
+        "min(CASE WHEN searched THEN CASE merge WHEN 'roundrobin' THEN rank * 1000 + CASE channel WHEN 'fts' THEN 100 ELSE 0 END + list_no WHEN 'concat' THEN (CASE channel WHEN 'fts' THEN 100 ELSE 0 END + list_no) * 1000 + rank ELSE 0 END END) AS place_in, max(state) AS state "
+        "FROM met GROUP BY ALL), "
+        "one AS (SELECT *, row_number() OVER (PARTITION BY config, query ORDER BY lead, CASE merge WHEN 'rrf' THEN -score ELSE 0 END, place_in NULLS FIRST, key) AS place FROM keyed QUALIFY place <= pool), "
+        f"two AS (SELECT o.* EXCLUDE (place), row_number() OVER (PARTITION BY config, o.query ORDER BY CASE WHEN rerank IS NULL THEN 0 ELSE -coalesce({scorer}, 0) END, place) AS place FROM one o LEFT JOIN scores s ON s.query = o.query AND s.key = o.key), "
+        "three AS (SELECT *, row_number() OVER (PARTITION BY config, query, state ORDER BY place) AS in_kind FROM two QUALIFY budget IS NULL OR NOT state OR in_kind <= budget), "
+        f"final AS (SELECT config, query, key, row_number() OVER (PARTITION BY config, query ORDER BY CASE WHEN budget IS NOT NULL AND state THEN 0 ELSE 1 END, place) AS rank FROM three QUALIFY rank <= {DEPTH}), "
+        f"c AS (SELECT config, k, g.query, count(*) AS gold, count(rank) FILTER (rank <= k) AS hits FROM configs CROSS JOIN (SELECT DISTINCT query, key FROM gold) g CROSS JOIN (SELECT unnest({KS}) AS k) LEFT JOIN final USING (config, query, key) GROUP BY ALL) "
+        "SELECT config, k, sum(hits)::BIGINT AS hits, sum(gold)::BIGINT AS gold, count(*) FILTER (hits > 0) AS cases_with_hit FROM c GROUP BY config, k"
+    )
 
 
-@query("r18_config_sweep", f"WITH {FUSED}, {GOLD}, c AS (SELECT query, count(*) AS g, count(rank) AS h FROM gold LEFT JOIN fused USING (query, key) GROUP BY query) SELECT 'rrf' AS config, 20 AS k, sum(h)::BIGINT AS hits, sum(g)::BIGINT AS gold FROM c")
+@query("r18_config_sweep", sweep_sql(VARIANTS))
 def r18(t):
-    return sweep(t, {"rrf": CONFIGS["rrf"]}, [20])
+    """Recall of all configurations at each depth."""
+    return sweep(t, VARIANTS)
 
 
-@query("r19_presets")
+@query("r19_presets", sweep_sql(PRESETS))
 def r19(t):
-    return sweep(t, CONFIGS, KS)
-
-
-def sweep(t, configs: dict, ks: list[int]):
-    """(config, k, hits, gold): the lists are made once; every configuration is a fusion of them, and all
-    are scored in one aggregation."""
-    base, out = lists(t), None
-    for name, c in configs.items():
-        merged = {
-            "rrf": lambda: S.rrf(base, 20),
-            "round_robin": lambda: S.round_robin(base, 20),
-            "weighted": lambda c=c: S.weighted_rrf(base.where("list_no < 2"), c["weight"], 20),
-            "channels": lambda: S.by_channel(base.withColumnRenamed("list_no", "channel"), 20),
-        }[c["merge"]]()
-        if share := c.get("state_share"):
-            merged = S.route(merged, F.col("key") % 4 == 0, 20, share)
-        part = merged.select(F.lit(name).alias("config"), "query", "key", "rank")
-        out = part if out is None else out.union(part)
-    wanted = gold(t).select("query", "key").distinct()
-    cross = wanted.crossJoin(F.broadcast(t.spark.createDataFrame([(n, k) for n in configs for k in ks], "config string, k int")))
-    hit = cross.join(out, ["config", "query", "key"], "left")
-    return hit.groupBy("config", "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"), F.count("*").alias("gold"))
+    return sweep(t, PRESETS)
 
 
 @query("r20_corpus_guard", "SELECT 'embedding' AS column_name, true AS there")
@@ -229,7 +375,13 @@ def check_corpus(df, needed: set[str]) -> bool:
     return True
 
 
-@query("r14_ablation_junk")
+@query(
+    "r14_ablation_junk",
+    f"WITH {LISTS}, c AS (SELECT l_suppkey AS query, l_partkey AS key, count(*) AS n, min((l_orderkey, l_linenumber)) AS seen FROM lineitem GROUP BY 1, 2), o AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY n DESC, seen) AS rank FROM c QUALIFY rank <= 10), "
+    "j AS (SELECT query, key, min(rank) AS rank FROM lists WHERE list_no = 2 GROUP BY ALL), f AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY rank, key) AS place FROM j WHERE (query, key) NOT IN (SELECT (query, key) FROM o)), "
+    "s AS (SELECT query, count(*) AS n FROM o GROUP BY query), m AS (SELECT query, key, rank * 2 - 1 AS place FROM o UNION ALL SELECT f.query, key, place * 2 FROM f JOIN s USING (query) WHERE place <= n) "
+    "SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY place) AS rank FROM m",
+)
 def r14_junk(t):
     junk = lists(t).where("list_no = 2").groupBy("query", "key").agg(F.min("rank").alias("rank"))
     return S.ablate(oracle_context(t).select("query", "key", "rank"), "junk", junk).select("query", "key", "rank")

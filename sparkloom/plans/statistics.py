@@ -81,10 +81,16 @@ def m04_pearson(t):
     return S.pearson(wide(t), "view", "error", ["gen"]).select("gen", "n", r("r").alias("r"))
 
 
-@query("m05_p_values")
+@query(
+    "m05_p_values",
+    # the density of Student's t, by Simpson's rule between 0 and |t|
+    f"WITH {BY_GEN}, c AS (SELECT count(*) AS n, corr(view, error) AS r FROM g), t AS (SELECT n, r, n - 2 AS df, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c), "
+    "f AS (SELECT CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * k / 4000.0) ** 2 / df, -(df + 1) / 2.0) AS y FROM t, range(4001) u(k)) "
+    "SELECT n, round(r, 9) AS r, round(1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * (SELECT sum(y) FROM f) * t / 12000.0, 9) AS p FROM t",
+)
 def m05(t):
     row = S.pearson(by_gen(t), "view", "error").first()
-    return t.spark.createDataFrame([(row["n"], row["r"], S.corr_p(row["r"], row["n"]))], "n long, r double, p double")
+    return t.spark.createDataFrame([(row["n"], round(row["r"], 9), round(S.corr_p(row["r"], row["n"]), 9))], "n long, r double, p double")
 
 
 @query(
@@ -189,10 +195,24 @@ def m16(t):
     return permutation_effect(panel(t), rounds=LABEL_REPS)
 
 
-@query("m17_debias")
+def debiased_sql(effect: str) -> str:
+    """effect: a CASE over judge and gen; makes `moved` (gen, case_id, judge, score, debiased)."""
+    read = lambda p: f"(q[least(floor({p}), 99)::INT + 1] + (q[least(floor({p}), 99)::INT + 2] - q[least(floor({p}), 99)::INT + 1]) * ({p} - least(floor({p}), 99)))"
+    return (
+        f"{PANEL}, q AS (SELECT judge, quantile_cont(score, {[i / 100 for i in range(101)]}) AS q FROM panel GROUP BY judge), "
+        "k AS (SELECT *, CASE WHEN score IS NOT NULL THEN (rank() OVER (PARTITION BY judge ORDER BY score) + (count(*) OVER (PARTITION BY judge, score) - 1) / 2.0) / count(score) OVER (PARTITION BY judge) * 100 END AS p FROM panel), "
+        f"e AS (SELECT k.*, q, ({effect})::DOUBLE AS e FROM k JOIN q USING (judge)), m AS (SELECT *, least(greatest(p - e, 0.01), 100.0)::DOUBLE AS pa, least(greatest(p, 0.01), 100.0)::DOUBLE AS pb FROM e), "
+        f"moved AS (SELECT gen, case_id, judge, score, CASE WHEN e = 0 THEN score ELSE score + {read('pa')} - {read('pb')} END AS debiased FROM m)"
+    )
+
+
+_TWO = "CASE WHEN judge = 'view' AND gen = 1 THEN 5 WHEN judge = 'error' AND gen = 2 THEN -3 ELSE 0 END"
+
+
+@query("m17_debias", f"WITH {debiased_sql(_TWO)} SELECT gen, case_id, judge, round(score, 9) AS score, round(debiased, 9) AS debiased FROM moved")
 def m17(t):
     effect = t.spark.createDataFrame([("view", 1, 5.0), ("error", 2, -3.0)], "judge string, gen long, effect double")
-    return S.debias(panel(t), effect)
+    return S.debias(panel(t), effect).select("gen", "case_id", "judge", r("score").alias("score"), r("debiased").alias("debiased"))
 
 
 @query("m17_debias_identity", f"WITH {PANEL} SELECT count(*) AS n, 0::BIGINT AS moved FROM panel WHERE NOT (judge = 'view' AND gen = 1)")
@@ -288,7 +308,7 @@ def m28(t):
     return S.out_of_sample(asked, stored, "s", "score", 0.0).select("s", r(F.when(F.col("percentile") <= 0.01, 0.0).otherwise(F.col("percentile"))).alias("percentile"))
 
 
-@query("m27_scale_search")
+@query("m27_scale_search", "WITH s AS (SELECT 0.2 + i * 0.001::DOUBLE AS s FROM range(29801) t(i)), f AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM s WHERE round(least(1.0, 10.0::DOUBLE / s), 2) = 0.5 AND round(least(1.0, 20.0::DOUBLE / s), 2) = 1.0) SELECT round(s, 3) AS scale FROM f WHERE i = n // 2")
 def m27(t):
     from ..plans.render import fit_scale
 
@@ -298,4 +318,4 @@ def m27(t):
 
 @query("m01b_seeded_bootstrap")
 def m01b(t):
-    return S.bootstrap_se_seeded(meds(t), ["gen"], "med", REPS, 20260909, 1)
+    return S.bootstrap_se_seeded(meds(t), ["gen"], "med", REPS, 20260909, 1, True)

@@ -235,7 +235,45 @@ def test_replace_and_widen(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     sinks.append_widening(spark.range(2), path)
     sinks.append_widening(spark.range(2, 3).withColumn("x", F.lit("a")), path)
-    assert sorted((r["id"], r["x"]) for r in spark.read.parquet(path).collect()) == [(0, None), (1, None), (2, "a")]
+    assert sorted((r["id"], r["x"]) for r in sinks.widened(spark, path).collect()) == [(0, None), (1, None), (2, "a")]
+    path = f"file://{tmp_path}/versions"
+    for n in (2, 3, 4):
+        sinks.replace(spark.range(n), path)
+        seen = sinks.current(spark, path)
+        assert spark.read.parquet(seen).count() == n
+    assert len([p for p in (tmp_path / "versions").iterdir() if p.name.startswith("v-")]) == 2  # the one before stays
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, f"file://{tmp_path}/none")
+
+
+def test_verified_merge_notices_a_difference(spark, tmp_path):
+    a, b = spark.range(3), spark.createDataFrame([(1, None), (1, "x")], "id long, s string")
+    sinks.merge_verified([a, b], f"file://{tmp_path}/m")
+    whole = a.unionByName(b, allowMissingColumns=True)
+    assert sinks._fingerprint(whole) == sinks._fingerprint(whole.repartition(3))
+    assert sinks._fingerprint(whole) != sinks._fingerprint(whole.union(whole.limit(1)))
+    assert sinks._fingerprint(b) != sinks._fingerprint(b.fillna("y"))
+
+
+def test_shared_generator_runs_on(spark):
+    import numpy as np
+
+    groups = {1: [1.0, 2.0, 4.0], 2: [3.0], 3: [5.0, 5.5, 7.0, 9.0], 4: [2.0, float("nan"), 8.0]}
+    d = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g long, x double")
+    got = {r["g"]: (r["n"], r["se"]) for r in M.bootstrap_se_seeded(d.repartition(4), ["g"], "x", 50, 9, 1, True).collect()}
+    rng = np.random.default_rng(9)
+    for g, v in groups.items():
+        x = np.array([y for y in v if y == y])
+        want = float(x[rng.integers(0, len(x), (50, len(x)))].mean(1).std(ddof=1)) if len(x) > 1 else None
+        assert got[g] == (len(x), want if want is None else pytest.approx(want))
+
+
+def test_sweep_rejects_unknown_entries():
+    from sparkloom.operators import search as S
+
+    with pytest.raises(ValueError):
+        S.configuration("odd", {"mergee": "rrf"}, 20)
+    assert S.configuration("s", {"state_share": 0.125}, 20)[-1] == 2  # half to even
 
 
 def test_zip_with_broken_directory():
