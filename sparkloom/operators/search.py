@@ -166,6 +166,68 @@ def rerank(pool: DataFrame, score: Column, k: int) -> DataFrame:
     return top_k(pool.drop("rank").withColumn("score", F.round(score, 9)), ["query"], k, F.desc("score"), F.asc("key"))
 
 
+class Untrained(Exception):
+    """A model whose scoring head holds no learnt weights."""
+
+
+def checked(load):
+    """load(), refused with Untrained if anything says meanwhile, by a log, that weights are newly initialized: such a
+    model's scores would be random numbers."""
+    import logging
+
+    said: list[str] = []
+
+    class Listener(logging.Handler):
+        def emit(self, record: logging.LogRecord) -> None:
+            said.append(record.getMessage())
+
+    listener, loggers = Listener(logging.WARNING), [logging.getLogger(), *(x for x in logging.Logger.manager.loggerDict.values() if isinstance(x, logging.Logger) and not x.propagate)]
+    for x in loggers:
+        x.addHandler(listener)
+    try:
+        model = load()
+    finally:
+        for x in loggers:
+            x.removeHandler(listener)
+    if bad := [m for m in said if "newly initialized" in m]:
+        raise Untrained(bad[0])
+    return model
+
+
+#: Characters of a passage's text that a re-ranker reads after the title.
+PASSAGE = 1200
+
+
+def with_scores(pool: DataFrame, load, query: str, title: str, text: str, name: str = "score", pairs: int = 256) -> DataFrame:
+    """pool with a re-ranker's scores. load() gives, once a task, a function of a list of (query, passage) pairs to their
+    scores: a cross-encoder, a yes-or-no reading of a language model, or a client of a service. Passages are title and text,
+    cut to PASSAGE characters; pairs go to the model in lists of at most `pairs`."""
+    from ..session import ship
+
+    ship(pool.sparkSession)
+    columns = pool.columns
+
+    def batches(frames):
+        model = None
+        for f in frames:
+            model = model or checked(load)
+            asked = list(zip(f["__query"], f["__passage"]))
+            scores = [float(x) for a in range(0, len(asked), pairs) for x in model(asked[a : a + pairs])]
+            yield f[columns].assign(**{name: scores})
+
+    passage = F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), F.substring(F.coalesce(F.col(text), F.lit("")), 1, PASSAGE))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema)
+    return pool.withColumns({"__query": F.coalesce(F.col(query), F.lit("")), "__passage": passage}).mapInPandas(batches, f"{kinds}, `{name}` double")
+
+
+def lexical_model():
+    """A model without weights, for with_scores: the share of the query's terms that the passage holds."""
+    import re
+
+    cut = lambda t: {x for x in re.split(r"[^\w]+|_+", t.lower()) if x}
+    return lambda pairs: [len(cut(q) & cut(p)) / max(1, len(cut(q))) for q, p in pairs]
+
+
 def lexical_overlap(query: Column, passage: Column) -> Column:
     """A stand-in scorer without a model: share of the query's terms in the passage."""
     q, p = F.array_distinct(terms(query)), terms(passage)

@@ -17,6 +17,7 @@ def p_value(p: float | None) -> str:
     return "<0.001" if p < 0.001 else f"{p:.3f}"
 
 
+# LaTeX's special characters.
 _SPECIAL = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}
 
 

@@ -149,6 +149,17 @@ def r09(t):
     return S.rerank(pool, S.lexical_overlap(F.col("q"), F.col("d")), 5).select("query", "key", F.col("rank").alias("k"))
 
 
+PASSAGE_OVERLAP = OVERLAP.replace("lower(d.text)", "lower(d.source || chr(10) || left(d.text, 1200))")
+
+
+@query("r09b_reranker", f"WITH {BM25} SELECT query, key, round(s, 9) AS score, k FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS k FROM (SELECT query, key, {PASSAGE_OVERLAP} AS s FROM ranked JOIN benchmark b ON b.item_id = query JOIN documents d ON d.doc_id = key)) WHERE k <= 5")
+def r09b(t):
+    """The pool's pairs of query and passage scored in batches by a model that each task loads."""
+    pool = bm25(t).select("query", "key").join(t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("q")), "query").join(t.documents.select(F.col("doc_id").alias("key"), "source", F.col("text").alias("d")), "key")
+    scored = S.with_scores(pool.withColumn("rank", F.lit(0)), S.lexical_model, "q", "source", "d", "model")
+    return S.rerank(scored, F.col("model"), 5).select("query", "key", "score", F.col("rank").alias("k"))
+
+
 @query("r10_key_first", f"WITH {LISTS}, f AS (SELECT query, key, min((list_no, rank)) AS seen FROM lists GROUP BY ALL) SELECT query, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seen, key) AS rank FROM f) WHERE rank <= 20")
 def r10(t):
     return S.by_channel(lists(t).withColumnRenamed("list_no", "channel"), 20).select("query", "key", "rank")

@@ -255,6 +255,20 @@ def test_verified_merge_notices_a_difference(spark, tmp_path):
     assert sinks._fingerprint(b) != sinks._fingerprint(b.fillna("y"))
 
 
+def test_untrained_rerankers_are_refused(spark):
+    import logging
+
+    def untrained():
+        logging.getLogger("some.library").warning("Some weights were newly initialized: ['score.weight']")
+        return lambda pairs: [0.0] * len(pairs)
+
+    with pytest.raises(S.Untrained):
+        S.checked(untrained)
+    assert S.checked(S.lexical_model)([("a b", "b c"), ("", "x")]) == [0.5, 0.0]
+    pool = spark.createDataFrame([(1, 7, "a b", None, "b" * 1300), (1, 8, None, "t", None)], "query long, key long, q string, t string, d string")
+    assert sorted(r["s"] for r in S.with_scores(pool, S.lexical_model, "q", "t", "d", "s").collect()) == [0.0, 0.0]
+
+
 def test_shared_generator_runs_on(spark):
     import numpy as np
 
