@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scans as C
 from ..sources import sinks as K
+from ..sources import staging as G
 from ..streaming import panel_stream as E
 from . import jobs as U
 from .aggregates import PANEL, panel, r
@@ -159,6 +160,88 @@ def s24(t):
     return C.with_endpoint(t.nation.select(F.col("n_name").alias("model")), known, "remote")
 
 
+# --- staging, with services that are functions ---
+
+
+def make_pdf(pages: list[list[str]]) -> bytes:
+    """A small PDF: a font, a page object and a deflated content for each page."""
+    import zlib
+
+    escaped = lambda x: x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+    body, kids = [], []
+    for i, lines in enumerate(pages):
+        shown = "BT /F1 12 Tf 72 720 Td " + " 0 -14 Td ".join(f"({escaped(x)}) Tj" for x in lines) + " ET"
+        data = zlib.compress(shown.encode("latin-1"))
+        kids.append(f"{10 + 2 * i} 0 R")
+        body += [f"{10 + 2 * i} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >>\nendobj\n".encode(), f"{11 + 2 * i} 0 obj\n<< /Length {len(data)} /Filter /FlateDecode >>\nstream\n".encode() + data + b"\nendstream\nendobj\n"]
+    head = f"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(pages)} >>\nendobj\n"
+    return head.encode() + b"".join(body) + b"%%EOF\n"
+
+
+@query(
+    "s04_pdf_lines",
+    "SELECT 'n' || n_nationkey || '.pdf' AS filename, unnest([1, 1, 2, 2]) AS page, unnest([1, 2, 1, 2]) AS line, unnest(['Head', n_name || ' (' || n_regionkey || ')', 'Head', 'Page 2 of ' || n_nationkey]) AS text FROM nation",
+)
+def s04(t):
+    rows = t.nation.select("n_nationkey", "n_name", "n_regionkey").collect()
+    files = {f"n{k}.pdf": make_pdf([["Head", f"{name} ({region})"], ["Head", f"Page 2 of {k}"]]) for k, name, region in rows}
+    found = G.read_pdfs(t.spark, _text_files(t, files)).select("filename", F.posexplode("pages").alias("page", "lines"))
+    return found.select("filename", (F.col("page") + 1).alias("page"), F.posexplode("lines").alias("line", "text")).withColumn("line", F.col("line") + 1)
+
+
+@query("s06_crawl", "SELECT n_nationkey::VARCHAR AS key, page, 'D' || n_nationkey || 'P' || page || 'X' || i AS hit FROM nation, (SELECT unnest([1, 2, 3]) AS page), (SELECT unnest([0, 1]) AS i) WHERE page <= n_nationkey % 4")
+def s06(t):
+    """A portal whose keys have up to three pages; a page beyond them repeats the last. The first run is refused halfway."""
+    keys, path, asked = [str(r[0]) for r in t.nation.select("n_nationkey").orderBy("n_nationkey").collect()], K.scratch(t.spark, "crawl"), []
+
+    def fetch(key: str, page: int) -> tuple[int, str]:
+        asked.append(key)
+        if len(asked) == 20:
+            return 429, ""
+        if len(asked) % 7 == 0:
+            return 502, ""
+        last = int(key) % 4
+        return 200, "".join(f'<a href="?doc.id=D{key}P{min(page, last)}X{i}">' for i in range(2)) if last else ""
+
+    import re
+
+    parse = lambda html: re.findall(r"doc\.id=([A-Za-z0-9]+)", html)
+    for _ in range(2):
+        try:
+            found = G.crawl(t.spark, keys, fetch, parse, path, sleep=lambda s: None)
+        except G.Blocked:
+            continue
+    return found
+
+
+@query("s11_fetch_once", "SELECT 'a.zip' AS archive, 'a.xml' AS member, true AS fetched, false AS again, 1 AS calls")
+def s11(t):
+    """A pinned archive, fetched once and read."""
+    import hashlib
+    import io
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("a.xml", LAW)
+    calls, base = [], K.scratch(t.spark, "fetched")
+    fetch = lambda: calls.append(1) or b.getvalue()
+    first, again = (G.fetch_once(t.spark, f"{base}/a.zip", fetch, hashlib.sha256(b.getvalue()).hexdigest()) for _ in range(2))
+    found = C.read_zips(t.spark, base).select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member")
+    return found.select("*", F.lit(first).alias("fetched"), F.lit(again).alias("again"), F.lit(len(calls)).alias("calls"))
+
+
+@query("s23_catalogue", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def s23(t):
+    rows = [{"id": k, "name": n, "other": 1} for k, n in t.nation.select("n_nationkey", "n_name").collect()]
+
+    def fetch(name: str | None) -> str:
+        at = int(name or 0)
+        return json.dumps({"data": rows[at : at + 10], "next": str(at + 10) if at + 10 < len(rows) else None})
+
+    return G.read_catalogue(t.spark, fetch, "id int, name string")
+
+
 # --- sinks ---
 
 
@@ -321,6 +404,111 @@ def u10(t):
     return t.spark.read.schema("n int, model string").parquet(path)
 
 
+def _scripted(outcomes: list):
+    """A call that gives these outcomes in turn: responses, or exceptions to raise."""
+    left = iter(outcomes)
+
+    def call():
+        x = next(left)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    return call
+
+
+@query(
+    "u02_retry",
+    "SELECT * FROM (VALUES ('at once', 'ok', NULL, 0.0), ('bad request', NULL, 'bad request: 400', 0.0), ('third time', 'ok', NULL, 3.0), ('never', NULL, 'finish error', 15.0), ('no tokens', 'ok', NULL, 1.0), ('rate limited', 'ok', NULL, 100.0), ('too long a wait', NULL, 'rate limit', 3600.0)) v(kind, answer, error, slept)",
+)
+def u02(t):
+    """Retries (U2) and waits for a rate limit, which count as no attempt (U13), by scripted services."""
+    ok, failed, empty = U.Response("ok", 1, 1), U.Response("x", 1, 1, finish_reason="error"), U.Response("x", 1, 0)
+    scripts = {
+        "at once": [ok], "bad request": [U.BadRequest("400")], "third time": [OSError("a"), OSError("b"), ok], "never": [failed] * 4, "no tokens": [empty, ok],
+        "rate limited": [U.RateLimited(50.0)] * 2 + [ok], "too long a wait": [U.RateLimited(7000.0), U.RateLimited(7000.0)],
+    }
+    rows = []
+    for kind, outcomes in scripts.items():
+        slept: list[float] = []
+        answer, error = U.Retry().call(_scripted(outcomes), slept.append)
+        rows.append((kind, answer.text if answer else None, error, float(sum(slept))))
+    return t.spark.createDataFrame(rows, "kind string, answer string, error string, slept double")
+
+
+@query(
+    "u11_prompts",
+    "SELECT kind, item_id, md5(instruction || chr(10) || chr(10) || coalesce('[1] ' || lang, '') || chr(10) || chr(10) || text) AS prompt FROM (SELECT b.item_id, b.text, d.lang FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id), (VALUES ('plain', 'Answer the question.'), ('cited', 'Answer and cite the norms you use.'), ('judge', 'Rate the answer from 0 to 1 as [[n]].')) v(kind, instruction)",
+)
+def u11(t):
+    """Every kind of prompt (U5, U11) over every item, with a context where there is one."""
+    tasks = t.benchmark.join(t.documents.select(F.col("doc_id").alias("item_id"), "lang"), "item_id", "left")
+    context = F.concat(F.lit("[1] "), "lang")
+    out = None
+    for kind in U.PROMPTS:
+        part = tasks.select(F.lit(kind).alias("kind"), "item_id", F.md5(U.prompt_of(kind, context, F.col("text"))).alias("prompt"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(
+    "u12_successful_only",
+    "SELECT count(*) AS work, count(*) FILTER (conv_id % 3 = 0) AS kept, count(*) FILTER (conv_id % 3 <> 0) AS again, 0 AS left_over FROM conversations WHERE role = 'user'",
+)
+def u12(t):
+    """A table in which a third of the rows succeeded, a third failed and a third are blank: only the latter two run again (U12,
+    U15)."""
+    path, work = K.scratch(t.spark, "job"), t.conversations.where("role = 'user'").select("conv_id", "turn", "text")
+    third = F.col("conv_id") % 3
+    before = work.select("conv_id", "turn", F.when(third == 0, "kept").when(third == 2, " ").alias("answer"), F.lit(1).cast("long").alias("prompt_tokens"), F.lit(1).cast("long").alias("completion_tokens"), F.lit(None).cast("double").alias("reported_cost"), F.lit("stop").alias("finish_reason"), F.when(third == 1, "failed").alias("error"))
+    before.write.parquet(path)
+    left = U.run_resumable(work, ["conv_id", "turn"], "text", path)
+    good = U.successful(t.spark.read.parquet(path))
+    return good.agg(F.count("*").alias("work"), F.count_if(F.col("answer") == "kept").alias("kept"), F.count_if(F.col("answer") != "kept").alias("again")).withColumn("left_over", F.lit(left))
+
+
+def _stumbling(prompt: str) -> U.Response:
+    """A service that never answers prompts whose length is a multiple of seven."""
+    if len(prompt) % 7 == 0:
+        raise U.BadRequest("400")
+    return U.stub(prompt)
+
+
+@query("u14_rounds", "SELECT count(*) FILTER (length(text) % 7 = 0) AS holes, count(*) FILTER (length(text) % 7 <> 0) AS answered, count(*) + count(*) FILTER (length(text) % 7 = 0) AS calls, count(*) FILTER (length(text) % 7 = 0) <= 5 AS final FROM conversations WHERE role = 'user'")
+def u14(t):
+    """Two rounds over what is missing; final only with five holes at most."""
+    path, work = K.scratch(t.spark, "job"), t.conversations.where("role = 'user'").select("conv_id", "turn", "text")
+    holes = U.run_resumable(work, ["conv_id", "turn"], "text", path, _stumbling, rounds=2)
+    got = t.spark.read.parquet(path)
+    return got.agg(F.lit(holes).cast("long").alias("holes"), F.count_if(F.col("error").isNull()).alias("answered"), F.count("*").alias("calls"), F.lit(holes <= 5).alias("final"))
+
+
+@query(
+    "u18_supervisor",
+    "SELECT * FROM (VALUES (1, 'a,b', false, 'running,running,waiting'), (2, 'c', false, 'complete,running,running'), (3, 'b', false, 'complete,running,running'), (4, '', false, 'complete,complete,running'), (5, '', true, 'complete,complete,complete'), (6, 'x', false, 'running'), (7, 'x', false, 'running'), (8, '', false, 'given up')) v(step, launched, merge, states)",
+)
+def u18(t):
+    """Three seats on two slots until all are complete, and one that fails until it is given up."""
+    rows = []
+
+    def step(seats, holes, alive, launches=3):
+        for s in seats:
+            s.holes = holes.get(s.name, s.holes)
+        now, merge = U.supervise(seats, alive, 2, launches)
+        rows.append((len(rows) + 1, ",".join(now), merge, ",".join(s.state for s in seats)))
+
+    three = [U.Seat("a", 4), U.Seat("b", 4), U.Seat("c", 4)]
+    step(three, {}, {})
+    step(three, {"a": 0}, {"b": True})
+    step(three, {}, {"c": True})  # b's process ended with holes
+    step(three, {"b": 0}, {"b": True, "c": True})
+    step(three, {"c": 0}, {})
+    one = [U.Seat("x", 1)]
+    for _ in range(3):
+        step(one, {}, {}, 2)
+    return t.spark.createDataFrame(rows, "step int, launched string, merge boolean, states string")
+
+
 # --- streams (an extension) ---
 
 

@@ -192,3 +192,33 @@ def evaluate(tasks: DataFrame, key: str, question: str, model: str, seats: list[
 def overwrite_models(results: DataFrame, path: str) -> None:
     """Replace the partitions of the models in results, and no others."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+
+
+# --- a supervisor of seats ---
+
+
+@dataclass
+class Seat:
+    """A seat's job: waiting, running, complete or given up; how often it was launched and what it still lacks."""
+
+    name: str
+    holes: int
+    state: str = "waiting"
+    launches: int = 0
+
+
+def supervise(seats: list[Seat], alive: dict[str, bool], slots: int, launches: int) -> tuple[list[str], bool]:
+    """One step: (seats to launch now, whether all are complete and may be merged).
+
+    A seat without holes is complete, whatever its process does. A running seat whose process ended with holes waits for
+    another launch, or is given up after `launches` of them. Free slots go to waiting seats in order."""
+    for s in seats:
+        if s.holes == 0:
+            s.state = "complete"
+        elif s.state == "running" and not alive.get(s.name, False):
+            s.state = "waiting" if s.launches < launches else "given up"
+    free = slots - sum(s.state == "running" for s in seats)
+    now = [s for s in seats if s.state == "waiting"][: max(0, free)]
+    for s in now:
+        s.state, s.launches = "running", s.launches + 1
+    return [s.name for s in now], all(s.state == "complete" for s in seats)

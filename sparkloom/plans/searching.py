@@ -255,7 +255,7 @@ VARIANTS = {
     "query_rubric_CEILING": {"query": "rubric"}, "query_solution_CEILING": {"query": "solution"}, "rw_citations": {"query": "rw_citations"}, "rw_statute": {"query": "rw_statute"},
     "merge_concat": {"merge": "concat"}, "merge_rrf": {"merge": "rrf"},
     "rerank_bge": {"merge": "rrf", "rerank": "bge"}, "rerank_pool100": {"merge": "rrf", "rerank": "bge", "pool": 100}, "rerank_pool400": {"merge": "rrf", "rerank": "bge", "pool": 400},
-    "rerank_gte": {"merge": "rrf", "rerank": "gte"}, "rerank_innkube": {"merge": "rrf", "rerank": "innkube"}, "rerank_qwen3": {"merge": "rrf", "rerank": "qwen3"},
+    "rerank_gte": {"merge": "rrf", "rerank": "gte"}, "rerank_remote": {"merge": "rrf", "rerank": "remote"}, "rerank_qwen3": {"merge": "rrf", "rerank": "qwen3"},
     "rerank_mxbai": {"merge": "rrf", "rerank": "mxbai"}, "rerank_jinav2": {"merge": "rrf", "rerank": "jinav2"},
     "cite_only": {"cite": "only"}, "cite_then_search": {"merge": "rrf", "cite": "first"},
     "ls_only": {"two_hop": "only"}, "ls_q_leitsatz": {"two_hop": "only", "query": "rw_leitsatz"}, "ls_q_statute": {"two_hop": "only", "query": "rw_statute"},
@@ -269,7 +269,7 @@ VARIANTS = {
 #: The pipelines that answers are generated under.
 PRESETS = {
     "roundrobin": {}, "dense": {"merge": "rrf", "mode": "vector"}, "bm25": {"merge": "rrf", "mode": "fts"}, "cite_only": {"merge": "rrf", "cite": "only"}, "rrf": {"merge": "rrf"},
-    "rerank": {"merge": "rrf", "rerank": "innkube"}, "cite_rrf": {"merge": "rrf", "cite": "first"}, "cite_ls_rrf": {"merge": "rrf", "cite": "first", "two_hop": "first"},
+    "rerank": {"merge": "rrf", "rerank": "remote"}, "cite_rrf": {"merge": "rrf", "cite": "first"}, "cite_ls_rrf": {"merge": "rrf", "cite": "first", "two_hop": "first"},
     "ls_rrf": {"merge": "rrf", "two_hop": "first"}, "ls_text": {"merge": "rrf", "two_hop": "first", "ls_context": 10, "drop_norms": True},
     "cite_ls_mixed": {"merge": "rrf", "cite": "first", "two_hop": "first", "ls_context": 10},
 }
@@ -279,7 +279,7 @@ KINDS = {
     "rubric": "l_linenumber", "solution": "CASE WHEN l_quantity < 25 THEN 0 ELSE 1 END", "rw_citations": "l_linenumber % 2", "rw_statute": "l_linenumber % 3", "rw_leitsatz": "CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END",
 }
 #: What re-rankers say of a supplier's part, in the models' place.
-SCORERS = {"bge": "max(l_extendedprice)", "gte": "max(l_quantity)", "qwen3": "max(l_tax)", "mxbai": "max(l_discount)", "jinav2": "max(l_orderkey % 97)", "innkube": "max(l_linenumber)"}
+SCORERS = {"bge": "max(l_extendedprice)", "gte": "max(l_quantity)", "qwen3": "max(l_tax)", "mxbai": "max(l_discount)", "jinav2": "max(l_orderkey % 97)", "remote": "max(l_linenumber)"}
 FLAGS = "l_partkey % 4 = 0 AS state, l_partkey % 17 = 0 AS structural, l_linenumber % 2 = 1 AS official"
 DEPTH = 20
 
