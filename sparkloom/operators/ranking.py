@@ -24,12 +24,36 @@ def leave_one_out(value: str, by: list[str]) -> Column:
     return F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / (n - 1))
 
 
-def demeaned(value: str, *sides: list[str]) -> Column:
-    """value less the mean of each side, plus the grand mean once for each side beyond the first."""
-    out = F.col(value)
-    for side in sides:
-        out = out - F.avg(value).over(Window.partitionBy(*side))
-    return out + (len(sides) - 1) * F.avg(value).over(Window.partitionBy(F.lit(0))) if len(sides) > 1 else out
+def with_demeaned(df: DataFrame, values: list[str], *sides: list[str]) -> DataFrame:
+    """df with each value less the mean of each side, plus the grand mean once for each side beyond the first. Means are
+    combined before they are shuffled and come back by plain joins; the grand ones are one row."""
+    out = df
+    for i, side in enumerate(sides):
+        means = df.groupBy(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(side)]).agg(*[F.avg(v).alias(f"__m{i}_{v}") for v in values])
+        on = F.lit(True)
+        for j, k in enumerate(side):
+            on = on & out[k].eqNullSafe(means[f"__k{j}"])
+        out = out.join(means, on).drop(*[f"__k{j}" for j in range(len(side))])
+    out = out.crossJoin(F.broadcast(df.agg(*[F.avg(v).alias(f"__g_{v}") for v in values])))
+    less = lambda v: F.col(v) - sum((F.col(f"__m{i}_{v}") for i in range(len(sides))), F.lit(0.0)) + (len(sides) - 1) * F.col(f"__g_{v}")
+    return out.select(*[less(c).alias(c) if c in values else c for c in df.columns])
+
+
+def with_row_number(df: DataFrame, by: list[str], order: list[str], name: str, path: str) -> DataFrame:
+    """df with each row's place (from 1) within few, large groups, in an order that leaves no ties. Rows are dealt into ordered
+    ranges, written at `path` with their range's number, and counted; a place is the rows of the group's earlier ranges
+    (a sum over as many counts as there are ranges) and the place within the range."""
+    dealt = df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    counts = kept.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(by)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    on = F.col("__range") == F.col("__r")
+    for j, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
+    return kept.join(F.broadcast(before), on).withColumn(name, (F.col("__before") + within).cast("long")).select(*df.columns, name)
 
 
 def rolling_mean(value: str, by: list[str], order: list[str], width: int = 15, least: int = 5) -> Column:

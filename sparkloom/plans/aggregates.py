@@ -278,7 +278,9 @@ def w04(t):
 
 @query("w05_demean", f"WITH {MEDS} SELECT gen, case_id, round(med - avg(med) OVER (PARTITION BY case_id), 9) AS one_way, round(med - avg(med) OVER (PARTITION BY case_id) - avg(med) OVER (PARTITION BY gen) + avg(med) OVER (), 9) AS two_way FROM meds")
 def w05(t):
-    return meds(t).select("gen", "case_id", r(R.demeaned("med", ["case_id"])).alias("one_way"), r(R.demeaned("med", ["case_id"], ["gen"])).alias("two_way"))
+    both = R.with_demeaned(meds(t).select("gen", "case_id", "med", F.col("med").alias("one")), ["one"], ["case_id"])
+    both = R.with_demeaned(both, ["med"], ["case_id"], ["gen"])
+    return both.select("gen", "case_id", r("one").alias("one_way"), r("med").alias("two_way"))
 
 
 @query("w06_leave_one_out", f"WITH {PANEL} SELECT gen, case_id, judge, round(CASE WHEN count(*) OVER w > 1 THEN (sum(score) OVER w - score) / (count(*) OVER w - 1) END, 9) AS others FROM panel WINDOW w AS (PARTITION BY gen, case_id)")

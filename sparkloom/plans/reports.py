@@ -175,7 +175,7 @@ def q14(t):
 def q15(t):
     j = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     g = j.groupBy(F.col("l_suppkey").alias("m"), (F.col("o_custkey") % 50).alias("c")).agg(F.avg("l_quantity").alias("x"), F.avg("l_extendedprice").alias("y"), F.count("*").alias("n")).where("n >= 3")
-    d = g.select(R.demeaned("x", ["c"], ["m"]).alias("x"), R.demeaned("y", ["c"], ["m"]).alias("y"))
+    d = R.with_demeaned(g, ["x", "y"], ["c"], ["m"])
     return d.agg(F.count("*").alias("n"), r(F.corr("x", "y"), 6).alias("r"))
 
 

@@ -175,10 +175,11 @@ def unzip(blob: bytes) -> list[tuple[str, bytes]]:
 
 def graph(edges: DataFrame, src: str, dst: str, src_kind: str, dst_kind: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): vertices (kind, name) with dense numbers within each kind."""
-    from pyspark.sql.window import Window
+    from ..operators.ranking import with_row_number
+    from .sinks import scratch
 
     names = edges.select(F.lit(src_kind).alias("kind"), F.col(src).cast("string").alias("name")).union(edges.select(F.lit(dst_kind).alias("kind"), F.col(dst).cast("string").alias("name"))).distinct()
-    vertices = names.withColumn("id", (F.row_number().over(Window.partitionBy("kind").orderBy("name")) - 1).cast("long"))
+    vertices = with_row_number(names, ["kind"], ["name"], "id", scratch(edges.sparkSession, "vertices")).withColumn("id", F.col("id") - 1)
     s, d = (vertices.where(F.col("kind") == k).select(F.col("name").alias(f"{c}_name"), F.col("id").alias(c)) for k, c in ((src_kind, "src"), (dst_kind, "dst")))
     e = edges.join(s, F.col(src).cast("string") == F.col("src_name")).join(d, F.col(dst).cast("string") == F.col("dst_name"))
     return vertices, e.select("src", "dst")
