@@ -314,6 +314,21 @@ def k08(t):
     return t.spark.read.schema("k long, v double").json(K.current(t.spark, path))
 
 
+@query(
+    "k09_latex",
+    "WITH g AS (SELECT n_name AS name, count(c_custkey) AS n, round(avg(c_acctbal), 1) AS m FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name), l AS (SELECT row_number() OVER (ORDER BY name) + 4 AS line, "
+    "replace(name, '_', '\\_') || ' & ' || n || ' & ' || CASE WHEN m IS NULL THEN '--' ELSE printf('%.1f', m) END || ' \\\\' AS text FROM g), c AS (SELECT count(*) AS n FROM g) "
+    "SELECT line, text FROM l UNION ALL SELECT * FROM (VALUES (1, '\\begin{tabular}{lrr}'), (2, '\\toprule'), (3, 'Nation & Customers & Balance \\\\'), (4, '\\midrule')) v(line, text) UNION ALL SELECT n + 5, '\\bottomrule' FROM c UNION ALL SELECT n + 6, '\\end{tabular}' FROM c UNION ALL SELECT n + 7, '% by nation' FROM c",
+)
+def k09(t):
+    """A table of rows already aggregated, as LaTeX, line by line."""
+    from .render import table
+
+    g = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("n"), F.round(F.avg("c_acctbal"), 1).alias("m")).orderBy("name")
+    lines = table([x.asDict() for x in g.collect()], [("name", "Nation"), ("n", "Customers"), ("m", "Balance")], "by nation").split("\n")
+    return t.spark.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
 # --- jobs ---
 
 

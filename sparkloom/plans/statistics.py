@@ -135,15 +135,25 @@ def m09(t):
 @query(
     "m10_agreement_table",
     f"WITH {PANEL}, p AS (SELECT a.judge AS a, b.judge AS b, a.score AS x, b.score AS y FROM panel a JOIN panel b USING (gen, case_id) WHERE a.judge < b.judge), "
-    "k AS (SELECT a, b, x, y, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM p) "
-    "SELECT a, b, count(*) AS n, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman, round(avg(abs(x - y)), 9) AS apart FROM k GROUP BY ALL",
+    "k AS (SELECT a, b, x, y, round_even(x / 10, 0) AS u, round_even(y / 10, 0) AS v, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM p), "
+    "g AS (SELECT a, b, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS rho, avg(abs(x - y)) AS apart, 1 - avg((u - v) ** 2) / (var_pop(u) + var_pop(v) + (avg(u) - avg(v)) ** 2) AS kappa FROM k GROUP BY ALL), "
+    "t AS (SELECT *, n - 2 AS df, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM g), "
+    # the density of Student's t, by Simpson's rule between 0 and |t|
+    "f AS (SELECT a, b, sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * k / 4000.0) ** 2 / df, -(df + 1) / 2.0)) AS y FROM t, range(4001) u(k) GROUP BY a, b) "
+    "SELECT a, b, n, round(r, 9) AS pearson, round(1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * y * t / 12000.0, 7) AS p, round(rho, 9) AS spearman, round(kappa, 9) AS kappa, round(apart, 9) AS apart FROM t JOIN f USING (a, b)",
 )
 def m10(t):
+    """Every pair of judges: correlations, the p-value of Pearson's, quadratic kappa on the grid, mean distance. The p-values are
+    taken on the driver, of one row a pair."""
     p = panel(t)
     a, b = (p.select("gen", "case_id", F.col("judge").alias(c), F.col("score").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     pairs = a.join(b, ["gen", "case_id"]).where("a < b")
     k = pairs.select("a", "b", "x", "y", R.average_rank("x", ["a", "b"]).alias("rx"), R.average_rank("y", ["a", "b"]).alias("ry"))
-    return k.groupBy("a", "b").agg(F.count("*").alias("n"), r(F.corr("x", "y")).alias("pearson"), r(F.corr("rx", "ry")).alias("spearman"), r(F.avg(F.abs(F.col("x") - F.col("y")))).alias("apart"))
+    g = k.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), r(F.corr("rx", "ry")).alias("spearman"), r(F.avg(F.abs(F.col("x") - F.col("y")))).alias("apart"))
+    kappa = S.qwk_moments(k.withColumns({"x": F.col("x") / 10, "y": F.col("y") / 10}), "x", "y", ["a", "b"]).select("a", "b", r("kappa").alias("kappa"))
+    rows = g.join(kappa, ["a", "b"]).collect()
+    out = [(x["a"], x["b"], x["n"], round(x["pearson"], 9), round(S.corr_p(x["pearson"], x["n"]), 7), x["spearman"], x["kappa"], x["apart"]) for x in rows if x["pearson"] is not None]
+    return t.spark.createDataFrame(out, "a string, b string, n long, pearson double, p double, spearman double, kappa double, apart double")
 
 
 @query(
