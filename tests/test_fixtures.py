@@ -247,7 +247,7 @@ def test_replace_and_widen(spark, tmp_path):
 
 
 def test_verified_merge_notices_a_difference(spark, tmp_path):
-    a, b = spark.range(3), spark.createDataFrame([(1, None), (1, "x")], "id long, s string")
+    a, b = spark.range(3).select("id"), spark.createDataFrame([(1, None), (1, "x")], "id long, s string")
     sinks.merge_verified([a, b], f"file://{tmp_path}/m")
     whole = a.unionByName(b, allowMissingColumns=True)
     assert sinks._fingerprint(whole) == sinks._fingerprint(whole.repartition(3))
