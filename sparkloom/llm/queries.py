@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, cotrain, fertility, minmax, mixing, pivots, secrets, sharding, toxicity
+from . import binary, bpe, cotrain, fertility, minmax, mixing, packing, pivots, secrets, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.with_starts(found, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its sequence."""
+    return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_minmax": op2_minmax,
@@ -93,5 +98,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store,
     "op10_mixing": op10_mixing,
+    "op11_packing": op11_packing,
 }
 ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
