@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, cotrain, fertility, minmax, mixing, packing, pivots, secrets, sharding, toxicity
+from . import binary, bpe, cotrain, fertility, minmax, mixing, packing, pivots, secrets, sharding, toxicity, tput
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
 
 
+def op12_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's 20 best documents."""
+    return tput.best(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 20)
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_minmax": op2_minmax,
@@ -99,5 +104,6 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_mixing": op10_mixing,
     "op11_packing": op11_packing,
+    "op12_tput": op12_tput,
 }
-ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE, "op12_tput": tput.ORACLE}

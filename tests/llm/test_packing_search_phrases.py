@@ -106,3 +106,39 @@ def test_sequences_hold_the_ids(spark, folder):
     for r in packed.collect():
         assert by_id[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]] == r["ids"]
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+# --- search and phrases: the SQL over odd tables and over sf0.01 ---
+
+
+def by_sql(folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet" + ("/*.parquet')" if folder.startswith("/tmp") else "')"))
+    cur = con.execute(queries.ORACLES[name])
+    names = sorted(d[0] for d in cur.description)
+    at = [[d[0] for d in cur.description].index(n) for n in names]
+    return names, sorted(str([r[i] for i in at]) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("where", ["odd", "sf0.01"])
+def test_op12(spark, folder, where):
+    at = folder.removeprefix("file://") if where == "odd" else f"/root/testdata/{where}"
+    got = queries.QUERIES["op12_tput"](spark, at)
+    names, want = by_sql(at, "op12_tput")
+    assert sorted(got.columns) == names
+    assert sorted(str([r[n] for n in names]) for r in got.collect()) == want and len(want) > 100
+
+
+def test_search_without_asked_terms_and_on_empty_tables(spark, folder, monkeypatch):
+    from sparkloom.llm import tput
+
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    plain = sorted(map(str, tput.best(docs, items, 5).collect()))
+    monkeypatch.setattr(tput, "ASKED_BYTES", 0)
+    monkeypatch.setattr(tput, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(tput, "HEAD", 3)
+    assert sorted(map(str, tput.best(docs, items, 5).collect())) == plain
+    assert tput.best(docs.limit(0), items).count() == 0 == tput.best(docs, items.limit(0)).count()
