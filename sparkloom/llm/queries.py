@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, cotrain, fertility, minmax, mixing, packing, pivots, secrets, sharding, toxicity, tput
+from . import binary, bpe, cotrain, fertility, minmax, mixing, packing, phrases, pivots, secrets, sharding, toxicity, tput
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,6 +92,11 @@ def op12_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tput.best(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 20)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's strongest phrases."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_minmax": op2_minmax,
@@ -105,5 +110,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_packing": op11_packing,
     "op12_tput": op12_tput,
+    "op13_phrases": op13_phrases,
 }
-ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE, "op12_tput": tput.ORACLE}
+ORACLES = {"op4_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE, "op12_tput": tput.ORACLE, "op13_phrases": phrases.ORACLE}

@@ -14,7 +14,7 @@ from .helpers import documents, odd_rows, text
 
 
 def some_rows():
-    return [(100 + i, text(i, 1 + i * 37 % 900), ("en", "de", None)[i % 3], "a", 1) for i in range(60)] + odd_rows()
+    return [(100 + i, text(i, 1 + i * 37 % 900), ("en", "de", None)[i % 3], "a", 1) for i in range(60)] + [(200 + i, "Alpha beta, gamma delta;\tepsilon alpha beta gamma" + " !" * (i % 2), None, "b", 1) for i in range(40)] + odd_rows()
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +142,23 @@ def test_search_without_asked_terms_and_on_empty_tables(spark, folder, monkeypat
     monkeypatch.setattr(tput, "HEAD", 3)
     assert sorted(map(str, tput.best(docs, items, 5).collect())) == plain
     assert tput.best(docs.limit(0), items).count() == 0 == tput.best(docs, items.limit(0)).count()
+
+
+@pytest.mark.parametrize("where", ["odd", "sf0.01"])
+def test_op13(spark, folder, where):
+    at = folder.removeprefix("file://") if where == "odd" else f"/root/testdata/{where}"
+    got = queries.QUERIES["op13_phrases"](spark, at)
+    names, want = by_sql(at, "op13_phrases")
+    assert sorted(got.columns) == names
+    assert sorted(str([r[n] for n in names]) for r in got.collect()) == want and (len(want) > 20 or where == "odd")
+
+
+def test_phrases_by_hashes_and_in_parts(spark, folder, monkeypatch):
+    from sparkloom.llm import phrases
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = sorted(map(str, phrases.collocations(docs, least=5).collect()))
+    for name, value in (("LIMIT", 40), ("CHUNK", 500), ("VOCABULARY_BYTES", 0)):
+        monkeypatch.setattr(phrases, name, value)
+        assert sorted(map(str, phrases.collocations(docs, least=5).collect())) == plain
+    assert len(plain) > 15 and phrases.collocations(docs.limit(0)).count() == 0
