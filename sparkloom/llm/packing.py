@@ -187,8 +187,8 @@ class Plan:
 _ENCODED = "key {}, ids binary, n long, tail int, tail_rank long, wholes long, whole_rank long, part int"
 
 
-def _encode(docs: DataFrame, path: str, end_id: int, width: int, key: str, text: str) -> DataFrame:
-    """Written once: ids as little-endian 32-bit integers, and each row's place among those of its part whose tails are as long."""
+def _encode(docs: DataFrame, path: str, end_id: int, width: int, key: str, text: str, number: str) -> DataFrame:
+    """Written once: ids as little-endian integers of a kind, and each row's place among those of its part whose tails are as long."""
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def _encode(docs: DataFrame, path: str, end_id: int, width: int, key: str, text:
             done = 0
             for run in bpe.pieces(b.column(1).to_pylist()):
                 flat, n = encoder.encode(run)
-                flat, n = np.insert(flat, np.cumsum(n), end_id).astype("<u4"), n + 1
+                flat, n = np.insert(flat, np.cumsum(n), end_id).astype(number), n + 1
                 ends = np.cumsum(n)
                 whole, tail = np.divmod(n, width)
                 order = np.argsort(tail, kind="stable")
@@ -211,7 +211,7 @@ def _encode(docs: DataFrame, path: str, end_id: int, width: int, key: str, text:
                 before[order] = wholes[tail[order]] + summed - summed[first]
                 tails += np.bincount(tail, minlength=width)
                 wholes += np.bincount(tail, weights=whole, minlength=width).astype(np.int64)
-                offsets = pa.array(np.append(0, ends * 4).astype(np.int32)).buffers()[1]
+                offsets = pa.array(np.append(0, ends * flat.itemsize).astype(np.int32)).buffers()[1]
                 ids = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(flat)])
                 cols = [pa.array(x.astype(t)) for x, t in ((n, np.int64), (tail, np.int32), (rank, np.int64), (whole, np.int64), (before, np.int64), (np.full(len(n), part), np.int32))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(run)), ids, *cols], ["key", "ids", "n", "tail", "tail_rank", "wholes", "whole_rank", "part"])
@@ -229,7 +229,8 @@ def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None, end_id: i
     if width < 2 or width & (width - 1):
         raise ValueError("the width of sequences must be a power of two")
     path = path or public_tokenizers.path(VOCABULARY)
-    encoded = _encode(docs, path, end_id, width, key, text)
+    number = "<u2" if max(binary.largest_id(path), end_id) < 1 << 16 else "<u4"
+    encoded = _encode(docs, path, end_id, width, key, text, number)
     counts = encoded.groupBy("part", "tail").agg(F.count("*").alias("n"), F.sum("wholes").alias("w"))
     # at most `width` rows
     totals = {r["tail"]: (r["n"], r["w"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()}
@@ -270,7 +271,7 @@ def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None, end_id: i
         order = np.lexsort((start, k))
         k, start, length, sequence, offset = k[order], start[order], length[order], sequence[order], offset[order]
         held = b.column("ids")
-        flat = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in held]) if len(held) else np.zeros(0, "<u4")  # pieces follow one another as the ids do
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), number) for x in held]).astype("<u4") if len(held) else np.zeros(0, "<u4")  # pieces follow one another as the ids do
         ends = np.cumsum(length)
         crc = [zlib.crc32(flat[e - m : e]) for e, m in zip(ends.tolist(), length.tolist())]
         cols = [b.column("key").take(pa.array(k)), *(pa.array(x.astype(np.int64)) for x in (start, length, np.array(crc, np.int64), n[k], sequence, offset))]
