@@ -2,8 +2,9 @@
 
 The words of each source are summed; the targets follow by filling all sources in proportion to
 their weights, none beyond `max_repeat` times its size; target / size is the rate at which a
-source repeats. A document is taken floor(rate) times, and once more if a number in [0, 1) drawn
-from a hash of its id is below the rate's fraction.
+source repeats. A document is taken floor(rate) times, and once more if a number drawn from a hash of its id
+is among the source's lowest, so many as hold the rate's fraction of its words: a draw with that probability, but not an
+independent one, so that a source's words come within one document of its target.
 
 Null text counts as no words and is taken with its source's rate; a null source is a source of its
 own, last in order; a document without id draws by its text. Repeated rows draw alike. An empty
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, lookup_join, numbered, unit
+from .common import WORD, cut, hex_long, lookup_join, numbered
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -27,7 +28,7 @@ def n_words(text: Column) -> Column:
 
 
 def _draw(seed: int, key: str = "doc_id", text: str = "text") -> Column:
-    return unit(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))))
+    return hex_long(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -54,27 +55,62 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     )
 
 
-def copies(rate: Column, seed: int = SEED, key: str = "doc_id", text: str = "text") -> Column:
-    """floor(rate), and one more with probability equal to the fraction."""
-    return (F.floor(rate) + F.when(_draw(seed, key, text) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+#: A draw's bits, and those of them by which draws are summed first.
+BITS, COARSE = 32, 16
+
+
+def with_cutoffs(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with a cutoff a source: draws up to it give one more copy.
+
+    The copies' words up to a draw are a sum in order of the draws, and the cutoff is where this sum is nearest to the fraction's
+    share of the source. The draws are in no order of size, so about the fraction of the documents lies below, and no document's
+    copy is more likely than another's; but the words come near the target whatever the documents' sizes are. Draws are summed by their first COARSE bits,
+    and then one by one in the cell that the share falls into, so no source is ever in one task.
+
+    sizes: (source, draw, size); targets: (source, source_size, target, rate), a row a source."""
+    goal = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    wanted = cut(targets.select("source", goal.alias("goal")))
+
+    def first_to_reach(sums: DataFrame, before: Column, place: str) -> DataFrame:
+        """(source, place, upto, below): where the sum in order of the place first reaches the goal."""
+        upto = before + F.sum("words").over(Window.partitionBy("source").orderBy(place))
+        reached = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("goal"))
+        return reached.groupBy("source").agg(F.min_by(F.struct(F.col(place), "upto", (F.col("upto") - F.col("words")).alias("below")), place).alias("x")).select("source", "x.*")
+
+    cell = F.shiftright("draw", BITS - COARSE)
+    coarse = lookup_join(sizes.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words")), wanted, "source")
+    at = cut(first_to_reach(coarse, F.lit(0), "cell").select("source", F.col("cell").alias("__cell"), F.col("below").alias("__below")))
+    inside = lookup_join(sizes, at, "source").where(cell == F.col("__cell"))
+    fine = lookup_join(inside.groupBy("source", "draw", "__below").agg(F.sum("size").alias("words")), wanted, "source")
+    found = first_to_reach(fine, F.col("__below"), "draw")
+    near = lookup_join(found, wanted, "source")
+    nearer = (F.col("upto") - F.col("goal")) < (F.col("goal") - F.col("below"))
+    cutoffs = cut(near.select("source", (F.col("draw") - F.when(nearer, 0).otherwise(1)).alias("cutoff")))
+    return lookup_join(targets, cutoffs, "source", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-1)))
+
+
+def copies(rate: Column, draw: Column, cutoff: Column) -> Column:
+    """floor(rate), and one more up to the cutoff."""
+    return (F.floor(rate) + F.when(draw <= cutoff, 1).otherwise(0)).cast("int")
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, rate, n_copies.
-    The text is read once; the sizes are kept in the shared folder for the second use."""
-    key = F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")  # needed only to draw without an id
-    sizes = cut(docs.select("doc_id", key, "source", n_words(F.col("text")).alias("size")))
+    The text is read once; the sizes are kept in the shared folder for the other uses."""
+    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _draw(seed).alias("draw")))
     targets = cut(source_targets(sizes, weights, max_repeat))
-    plan = lookup_join(sizes, targets, "source")
-    return plan.select("doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("rate"), seed).alias("n_copies"))
+    plan = lookup_join(sizes, cut(with_cutoffs(sizes, targets)), "source")
+    return plan.select("doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("rate"), F.col("draw"), F.col("cutoff")).alias("n_copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: every row of docs as often as it is taken, with the columns of docs."""
-    targets = cut(source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, max_repeat))
+    """The mixed corpus: every row of docs as often as it is taken, with the columns of docs. Texts aren't shuffled: what a
+    document's source says decides, with the document's own draw."""
+    sizes = cut(docs.select("source", n_words(F.col("text")).alias("size"), _draw(seed).alias("draw")))
+    targets = cut(source_targets(sizes, weights, max_repeat))
     key, text, source = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))
-    rates = targets.select(F.col("source").alias(source), F.col("rate").alias("rate"))
-    taken = lookup_join(numbered(docs), rates, source).withColumn("n", copies(F.col("rate"), seed, key, text)).where("n > 0")
+    rates = cut(with_cutoffs(sizes, targets).select(F.col("source").alias(source), "rate", "cutoff"))
+    taken = lookup_join(numbered(docs), rates, source).withColumn("n", copies(F.col("rate"), _draw(seed, key, text), F.col("cutoff"))).where("n > 0")
     copied = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return copied.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
@@ -91,9 +127,12 @@ flagged AS (SELECT *, bound * weight_left <= w * words_left AS is_full FROM orde
 shared AS (SELECT *, (sum(source_size) OVER () - sum(CASE WHEN is_full THEN bound ELSE 0 END) OVER ())::DOUBLE AS rest,
   (sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ())::DOUBLE AS open_weight FROM flagged),
 targets AS (SELECT source, source_size, CASE WHEN is_full THEN bound::DOUBLE ELSE w * (rest / open_weight) END AS target FROM shared),
-rated AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}|' || k), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+rated AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, ('0x' || substr(md5('{SEED}|' || k), 1, 8))::BIGINT AS draw
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+sums AS (SELECT source, draw, any_value((rate - floor(rate)) * source_size) AS goal, sum(size)::BIGINT AS words FROM rated GROUP BY source, draw),
+upto AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY draw) AS upto FROM sums),
+reached AS (SELECT * FROM upto WHERE upto >= goal QUALIFY row_number() OVER (PARTITION BY source ORDER BY draw) = 1),
+cutoffs AS (SELECT source, draw - CASE WHEN upto - goal < goal - (upto - words) THEN 0 ELSE 1 END AS cutoff FROM reached)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw <= coalesce(cutoff, -1) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated r LEFT JOIN cutoffs c ON r.source IS NOT DISTINCT FROM c.source
 """

@@ -48,7 +48,8 @@ def assign_shards(docs: DataFrame, limit: int | None = LIMIT, key: str = "doc_id
     """The columns in `carry` (all, if None) with shard, shard_bytes and n_bytes. A limit of None stands for
     the bytes of all texts by SHARDS, rounded up.
 
-    shard is depth:prefix, the prefix's value in decimal; each round adds such a part after a slash.
+    shard is depth:prefix, all bits' number and their value in decimal, however many rounds it took; a slash stands only where
+    all bits of a hash are used up and a new hash begins.
     What is carried is kept once in the shared folder, so every row stays the same row in a retry."""
     carry = list(docs.columns) if carry is None else carry
     keep = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
@@ -56,7 +57,7 @@ def assign_shards(docs: DataFrame, limit: int | None = LIMIT, key: str = "doc_id
     rows = cut(
         docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"), hex_long(keyed, 1, 15).alias("__hash"))
         .withColumn("__uid", F.monotonically_increasing_id())
-        .withColumn("__base", F.lit(""))
+        .withColumns({"__base": F.lit(""), "__done": F.lit("")})
     )
     out, used, total = None, 0, rows.agg(F.sum("__bytes")).first()[0] or 0
     limit = limit or max(1, -(-total // SHARDS))
@@ -66,17 +67,18 @@ def assign_shards(docs: DataFrame, limit: int | None = LIMIT, key: str = "doc_id
         table = cut(_directory(rows, used, width, limit))
         n = table.count()
         joined = rows.withColumn("__cell", _bits(used, width)).join(F.broadcast(table) if n <= BROADCAST_ROWS else table, ["__base", "__cell"])
-        label = F.concat("__base", F.when(F.col("__base") == "", "").otherwise("/"), F.col("__depth"), F.lit(":"), F.expr(f"shiftright(__cell, {width} - __depth)"))
+        label = F.concat("__done", F.col("__depth") + used, F.lit(":"), F.expr(f"shiftright(__hash, CAST({BITS - used} - __depth AS INT))"))
         done = joined.where("__depth IS NOT NULL").select(
             *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], label.alias("__shard"), F.col("__size").alias("__shard_bytes"), F.col("__bytes").alias("__n_bytes")
         )
         out = done if out is None else out.union(done)
         if not table.where("__depth IS NULL").limit(1).count():
             break
-        base = F.concat("__base", F.when(F.col("__base") == "", "").otherwise("/"), F.lit(f"{width}:"), F.col("__cell"))
-        rows = joined.where("__depth IS NULL").withColumn("__base", base).select(*[f"c{i}" for i in range(len(carry))], "__bytes", "__hash", "__uid", "__base")
+        base = F.concat("__base", F.lit(f"/{width}:"), F.col("__cell"))
+        rows = joined.where("__depth IS NULL").withColumn("__base", base).select(*[f"c{i}" for i in range(len(carry))], "__bytes", "__hash", "__uid", "__base", "__done")
         used, width = used + width, STEP
         if used >= BITS:  # one key, or a clash of all bits: go on with the rows' own hashes
+            rows = rows.withColumn("__done", F.concat("__done", F.lit(f"{BITS}:"), F.col("__hash"), F.lit("/")))
             rows, used = rows.withColumn("__hash", hex_long(F.concat("__base", F.lit("|"), F.col("__uid")), 1, 15)), 0
         rows = cut(rows)
     names = {"__shard": "shard", "__shard_bytes": "shard_bytes", "__n_bytes": "n_bytes"}
