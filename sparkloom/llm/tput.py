@@ -5,8 +5,8 @@ holds a third of all postings lies in many files. A document's score for a query
 repeats * weight * impact, all whole numbers, so a query's lists are the index's, scaled.
 
 1. The first HEAD postings of every list give partial scores; the k-th best of a query is a lower bound.
-2. A document that isn't in the answer by its heads must have, in one of the query's m lists, at least the bound by m: each list is read down
-   to that. Partial scores give a better bound, and what a document may still get in lists where it wasn't seen an upper one;
+2. All lists of a query are read down to one level of score: a document that stays below it everywhere can't reach the bound. (The level is the bound by the number
+   of lists, or higher where lists end below it: their ends are added, and the others share what is left.) Partial scores give a better bound, and what a document may still get in lists where it wasn't seen an upper one;
    candidates are those whose upper bound reaches the lower.
 3. The candidates' missing postings are looked up. The k best exact scores are the answer; no threshold drops one that is
    level with the k-th, so the result is that of scoring every document.
@@ -134,23 +134,34 @@ def search(index: Index, asked: DataFrame, k: int = 20) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))
     heads = index.postings.join(_hint(lists.select("term").distinct()), "term", "left_semi").withColumn("place", place).where(F.col("place") <= HEAD)
     seen = heads.join(_hint(lists), "term").groupBy("q", "row").agg(F.sum(F.col("factor") * F.col("impact")).alias("score"))
-    bounds = _kth(seen, k)
-    # 2. each list down to the bound by the number of lists; `rest` is the most that a posting below can give
-    many = lists.groupBy("q").agg(F.count("*").alias("m"))
-    least = F.greatest(F.lit(1), _div(F.coalesce("bound", F.lit(0)) + F.col("factor") * F.col("m") - 1, F.col("factor") * F.col("m")))
-    limits = lists.join(many, "q").join(bounds, "q", "left").withColumn("least", least)
+    bounds = cut(_kth(seen, k))
+    # 2. all lists down to one level of score: where those that end below it count in full, the levels add up to the bound. `rest` is
+    # the most that a posting below can give
+    cap = F.col("factor") * F.col("most")
+    by_cap = Window.partitionBy("q").orderBy("cap", "term")
+    levels = lists.join(bounds, "q", "left").select("q", F.coalesce("bound", F.lit(0)).alias("bound"), "term", cap.alias("cap"))
+    levels = levels.withColumns({
+        "before": F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "place": F.row_number().over(by_cap), "m": F.count("*").over(Window.partitionBy("q")),
+    })
+    open_ = F.col("m") - F.col("place") + 1
+    level = levels.where(F.col("bound") - F.col("before") <= F.col("cap") * open_).groupBy("q").agg(F.min_by(F.struct((F.col("bound") - F.col("before")).alias("part"), open_.alias("lists")), "place").alias("level"))
+    by = F.col("factor") * F.col("level.lists")
+    least = F.greatest(F.lit(1), _div(F.col("level.part") + by - 1, by))
+    limits = lists.join(level, "q").withColumn("least", least)
     limits = cut(limits.select("q", "term", "factor", "least", (F.col("factor") * F.least(F.col("most"), F.col("least") - 1)).alias("rest"), (F.col("most") >= F.col("least")).alias("reached")))
-    # queries by term, so that a posting meets only those whose limit it reaches
-    wanted = limits.where("reached").groupBy("term").agg(F.min("least").alias("lowest"), F.collect_list(F.struct("q", "factor", "least", "rest")).alias("queries"))
-    read = index.postings.join(_hint(wanted), "term").where("impact >= lowest")
-    met = read.select("row", "id", "impact", F.explode(F.filter("queries", lambda x: F.col("impact") >= x["least"])).alias("x"))
-    gain = F.col("x.factor") * F.col("impact")
-    partial = met.groupBy(F.col("x.q").alias("q"), "row").agg(F.sum(gain).alias("score"), F.sum(gain - F.col("x.rest")).alias("more"), F.first("id").alias("id"))
-    partial = cut(partial)
-    total = limits.groupBy("q").agg(F.sum("rest").alias("all_rest"))
-    better = _kth(partial, k)
+    wanted = limits.where("reached")
+    lowest = wanted.groupBy("term").agg(F.min("least").alias("lowest"))
+    read = index.postings.join(_hint(lowest), "term").where("impact >= lowest").select("row", "id", "term", "impact")
+    # postings meet by document before they meet the queries, so that what they give is added up where it is made
+    met = read.repartition("row").join(_hint(wanted), "term").where("impact >= least")
+    gain = F.col("factor") * F.col("impact")
+    partial = met.groupBy("row", "q").agg(F.sum(gain).alias("score"), F.sum(gain - F.col("rest")).alias("more"), F.first("id").alias("id"))
+    total = limits.groupBy("q").agg(F.sum("rest").alias("all_rest")).join(bounds, "q", "left")
     upper = F.col("more") + F.col("all_rest")
-    candidates = partial.join(_hint(total), "q").join(_hint(better), "q", "left").where(F.col("bound").isNull() | (upper >= F.col("bound")))
+    possible = cut(partial.join(_hint(cut(total)), "q").where(F.col("bound").isNull() | (upper >= F.col("bound"))).select("q", "row", "id", "score", upper.alias("upper")))
+    better = _kth(possible, k)
+    candidates = possible.join(_hint(better), "q", "left").where(F.col("bound").isNull() | (F.col("upper") >= F.col("bound")))
     candidates = cut(candidates.select("q", "row", "id", "score"))
     # 3. what the candidates have below the limits
     side = _hint(candidates.select("q", "row"))
