@@ -6,9 +6,9 @@ text's tokens in bits. Each language (or, for texts without one, the script of m
 band for each measure and length: the quartiles over all its texts of the corpus with about as many tokens (a power of two up
 to the next), widened by a multiple of their distance. A text outside a band is rejected.
 
-A length of which a group has fewer than MIN_GROUP texts takes the band of the group's nearest length with enough, wider for each
-doubling between them; a group without any takes the bands over all groups, twice as wide as languages differ.
-Only where no length has MIN_GROUP texts in the whole corpus is there no band.
+Small groups are held by prior counts, not by a switch: to the counts of a group and length come PRIOR texts distributed as all groups' texts of that
+length are, and to these PRIOR texts distributed as all texts. So a band moves from the pooled one to the group's own as its texts grow in number,
+without a step, and every text with a token has one.
 
 The quartiles come from counts per group, length and bin, so they are exact for binned measures, the same in every
 run, and no group meets in one task before it is a few hundred counts a length.
@@ -40,10 +40,10 @@ VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
-#: Too few texts to tell.
-MIN_GROUP = 50
-#: measure -> (width of a bin, quartile distances allowed below, above, least quartile distance, what a doubling of the length may add).
-BANDS = {"chars_per_token": (0.01, 4, 4, 0.03, 0.0), "byte_share": (0.005, None, 4, 0.01, 0.0), "entropy": (0.05, 4, 4, 0.2, 1.0)}
+#: Texts that a pooled distribution counts for.
+PRIOR = 50
+#: measure -> (width of a bin, quartile distances allowed below, above, least quartile distance).
+BANDS = {"chars_per_token": (0.01, 4, 4, 0.03), "byte_share": (0.005, None, 4, 0.01), "entropy": (0.05, 4, 4, 0.2)}
 
 
 def size():
@@ -191,27 +191,30 @@ def bands(measured: DataFrame, rules: dict = BANDS) -> DataFrame:
     bins = [F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / w).cast("long").alias("bin"), F.lit(w).alias("width")) for m, (w, *_) in rules.items()]
     each = measured.where("n_tokens > 0").select("group", size().alias("size"), F.explode(F.array(*bins)).alias("x"))
     counts = cut(each.groupBy("group", "size", "x.measure", "x.bin", "x.width").count())
-    pooled = counts.groupBy("size", "measure", "bin", "width").agg(F.sum("count").alias("count")).withColumn("group", F.lit(None).cast("string"))
+    total = lambda *by: F.sum("count").over(Window.partitionBy(*by))
+    every = counts.groupBy("measure", "bin", "width").agg(F.sum("count").alias("count"))
+    every = every.select("measure", "bin", "width", (F.col("count") * PRIOR / total("measure")).alias("count"))
+    own = counts.groupBy("size", "measure", "bin", "width").agg(F.sum("count").cast("double").alias("count"))
+    sizes = counts.select("size").distinct()  # a few dozen
+    pooled = own.unionByName(every.crossJoin(F.broadcast(sizes))).groupBy("size", "measure", "bin", "width").agg(F.sum("count").alias("count"))
+    pooled = cut(pooled.select("size", "measure", "bin", "width", (F.col("count") * PRIOR / total("size", "measure")).alias("count")))
+    groups = counts.select("group", "size").distinct()
+    mixed = counts.withColumn("count", F.col("count").cast("double")).unionByName(pooled.join(groups, "size")).groupBy("group", "size", "measure", "bin", "width").agg(F.sum("count").alias("count"))
     by = Window.partitionBy("group", "size", "measure")
     upto = F.sum("count").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.unionByName(pooled).withColumn("upto", upto).withColumn("n", F.sum("count").over(by))
-    quarter = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), (F.col("bin") + 0.5) * F.col("width")))
-    quartiles = ranked.where(F.col("n") >= MIN_GROUP).groupBy("group", "size", "measure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
-    known = cut(quartiles.groupBy("group", F.col("size").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q3")))).alias("q")))
-    asked = counts.select("group", "size").distinct()
-    # the pooled lengths are a few dozen at most
-    found = asked.join(known, "group").withColumn("wider", F.lit(1.0))
-    found = found.unionByName(asked.crossJoin(F.broadcast(known.where("group IS NULL").drop("group"))).withColumn("wider", F.lit(2.0)))
-    apart = F.abs(F.col("size") - F.col("of"))
-    best = found.groupBy("group", "size").agg(F.min_by(F.struct("of", "q", "wider"), F.struct("wider", apart, "of")).alias("b")).select("group", "size", "b.*")
+    # sums of fractions are rounded, so that a quartile doesn't hang on their last digit
+    share = F.round(upto / F.sum("count").over(by), 9)
+    quarter = lambda q: F.min(F.when(F.col("share") >= q, (F.col("bin") + 0.5) * F.col("width")))
+    quartiles = mixed.withColumn("share", share).groupBy("group", "size", "measure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
+    known = quartiles.groupBy("group", "size").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q3")))).alias("q"))
     out = []
-    for m, (_, below, above, least, added) in rules.items():
+    for m, (_, below, above, least) in rules.items():
         q1, q3 = F.col("q")[m]["q1"], F.col("q")[m]["q3"]
-        wide = F.greatest(q3 - q1, F.lit(least)) * F.col("wider") * F.pow(F.lit(2.0), apart / 2)
+        wide = F.greatest(q3 - q1, F.lit(least))
         none = F.lit(None).cast("double")
-        out.append((q1 - wide * below - apart * added if below is not None else none).alias(f"{m}_low"))
-        out.append((q3 + wide * above + apart * added if above is not None else none).alias(f"{m}_high"))
-    return best.select("group", "size", *out)
+        out.append((q1 - wide * below if below is not None else none).alias(f"{m}_low"))
+        out.append((q3 + wide * above if above is not None else none).alias(f"{m}_high"))
+    return known.select("group", "size", *out)
 
 
 def judge(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: dict = BANDS) -> DataFrame:

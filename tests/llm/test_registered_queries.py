@@ -102,36 +102,52 @@ def test_op5(spark, folder):
 
 
 def bands_by_hand(measured):
-    """Rejected ids: quartiles of binned measures among texts of a language and length, wider where they are borrowed."""
-    group = {m["doc_id"]: m["group"] for m in measured}
-    size = {m["doc_id"]: m["n_tokens"].bit_length() for m in measured if m["n_tokens"] > 0}
-    by_id = {m["doc_id"]: m for m in measured}
-
-    def quartiles(ids, m, width):
-        bins = sorted(int(np.floor(by_id[i][m] / width)) for i in ids)
-        at = lambda q: (bins[int(np.ceil(q * len(bins))) - 1] + 0.5) * width
-        return at(0.25), at(0.75)
-
-    places: dict = {}
-    for i, s in size.items():
-        for g in (group[i], None):
-            places.setdefault((g, s), []).append(i)
-    known = {p: ids for p, ids in places.items() if len(ids) >= fertility.MIN_GROUP}
+    """Rejected ids: quartiles of binned measures among texts of a language and length, with prior counts of all languages' texts of the
+    length, which have prior counts of all texts."""
+    told = [m for m in measured if m["n_tokens"] > 0]
+    size = lambda m: m["n_tokens"].bit_length()
     out = set()
-    for i, s in size.items():
-        options = [(1.0, abs(s - z), z, g) for g, z in known if g == group[i]] + [(2.0, abs(s - z), z, g) for g, z in known if g is None]
-        if not options:
-            continue
-        wider, apart, z, g = min(options, key=lambda o: o[:3])
-        for m, (width, below, above, least, added) in fertility.BANDS.items():
-            q1, q3 = quartiles(known[g, z], m, width)
-            wide = max(q3 - q1, least) * wider * 2 ** (apart / 2)
-            value = by_id[i][m]
-            if (below is not None and value < q1 - wide * below - apart * added) or (above is not None and value > q3 + wide * above + apart * added):
-                out.add(i)
+    for name, (width, below, above, least) in fertility.BANDS.items():
+        place = lambda m: int(np.floor(m[name] / width))
+
+        def with_prior(texts, prior):
+            mixed = Counter(map(place, texts))
+            total = sum(prior.values())
+            for b, n in prior.items():
+                mixed[b] += n * fertility.PRIOR / total
+            return mixed
+
+        def quartiles(mixed):
+            total, upto, found = sum(mixed.values()), 0.0, []
+            for b in sorted(mixed):
+                upto += mixed[b]
+                while len(found) < 2 and round(upto / total, 9) >= (0.25, 0.75)[len(found)]:
+                    found.append((b + 0.5) * width)
+            return found
+
+        every = Counter(map(place, told))
+        pooled = {s: with_prior([m for m in told if size(m) == s], every) for s in set(map(size, told))}
+        for g, s in {(m["group"], size(m)) for m in told}:
+            own = [m for m in told if m["group"] == g and size(m) == s]
+            q1, q3 = quartiles(with_prior(own, pooled[s]))
+            wide = max(q3 - q1, least)
+            out |= {m["doc_id"] for m in own if (below is not None and m[name] < q1 - wide * below) or (above is not None and m[name] > q3 + wide * above)}
     return out
 
 
+def test_op6_bands_move_without_a_step(spark):
+    """Texts of a language one by one: its band goes from the pooled one to its own, never by much."""
+    rows = [(f"l{i % 3}", 100, 4.0 + 0.01 * (i % 7)) for i in range(300)]
+    last = None
+    for n in (40, 48, 49, 50, 51, 60):
+        mine = [("x", 100, 3.0 + 0.01 * (i % 5)) for i in range(n)]
+        d = spark.createDataFrame([(g, t, c, 0.0, 5.0) for g, t, c in rows + mine], "group string, n_tokens long, chars_per_token double, byte_share double, entropy double")
+        low = fertility.bands(d).where("group = 'x'").first()["chars_per_token_low"]
+        assert last is None or abs(low - last) < 2.0
+        last = low
+    assert last < 3.0
+
+
 def test_op6(spark, folder):
     columns, got = by_id(spark, folder, "op6_fertility")
     assert columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
