@@ -7,6 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """df as one side of a join: broadcast if it has at most BROADCAST_ROWS rows, else merged, so that the planner doesn't broadcast the
+    other side, whose rows it may underestimate (an explode's factor is unknown to it)."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS else df.hint("merge")
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; `right` is broadcast if counted to be small."""
+    renamed = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return left.join(counted(renamed), on, how).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def cumulated(df: DataFrame, by: list[str], value: str, weight: Column | None = None, parts: int = 64) -> DataFrame:
+    """(by, value, n, before, total): a group's distinct values, each with its weight (rows, by default), that of all lower ones and that
+    of all. Values are counted first; a group's values are dealt into ordered parts at approximate quantiles, so that a running sum is
+    the earlier parts' (at most `parts` sums a group) and the part's own: no group is in one task, and sums are exact whatever the quantiles."""
+    keys = [*by, "__one"]
+    base = df.where(F.col(value).isNotNull()).withColumn("__one", F.lit(0))
+    distinct = base.groupBy(*keys, value).agg((F.sum(weight) if weight is not None else F.count("*")).alias("n"))
+    cuts = distinct.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("__q"))
+    placed = join_same(distinct, cuts, keys).withColumn("__part", F.size(F.filter("__q", lambda q: q < F.col(value)))).drop("__q")
+    w = Window.partitionBy(*keys)
+    sums = placed.groupBy(*keys, "__part").agg(F.sum("n").alias("__s"))
+    earlier = w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).withColumn("total", F.sum("__s").over(w)).drop("__s")
+    within = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_same(placed, sums, [*keys, "__part"])
+    return out.withColumn("before", F.col("__before") + F.coalesce(F.sum("n").over(within), F.lit(0))).select(*by, value, "n", "before", "total")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], name: str = "q") -> DataFrame:
+    """(by, name): exact quantiles of a value, interpolated between neighbours, in the order of `probs`. A value knows from its running
+    count which of them it is next to, so that only these few rows of a group meet."""
+    rows = cumulated(df, by, value)
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    here = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    place = lambda p: p * (F.col("total") - 1)
+    sides = F.transform(at, lambda p, i: F.struct(i.alias("i"), here(F.floor(place(p))).alias("low"), here(F.ceil(place(p))).alias("high"), (place(p) - F.floor(place(p))).alias("part")))
+    hits = rows.select(*by, F.col(value).cast("double").alias("__v"), F.explode(F.filter(sides, lambda s: s["low"] | s["high"])).alias("s"))
+    side = lambda which: F.max(F.when(F.col(f"s.{which}"), F.col("__v")))
+    each = hits.groupBy(*by, F.col("s.i").alias("i")).agg((side("low") + (side("high") - side("low")) * F.max("s.part")).alias("x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
+
+
 def average_rank(value: str, by: list[str], descending: bool = False) -> Column:
     """Rank with ties at their mean."""
     order = F.col(value).desc() if descending else F.col(value).asc()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import average_rank, with_average_rank
+from .ranking import average_rank, counted, cumulated, quantiles, with_average_rank, with_demeaned
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, step: float) -> DataFrame:
@@ -98,17 +98,28 @@ def draw(seed: int, n: Column, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
+#: Parts into which replicates are dealt.
+BLOCKS = 32
+
+
+def replicated(rows: DataFrame, replicates: int) -> DataFrame:
+    """rows once for each replicate `rep`, dealt into BLOCKS parts of replicates, however few the rows are."""
+    blocks = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).repartition(BLOCKS, "__b")
+    size = -(-replicates // BLOCKS)
+    return blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("rep", F.col("rep") + F.col("__b") * size).where(F.col("rep") < replicates).drop("__b")
+
+
 def bootstrap_se(df: DataFrame, by: list[str], key: str, value: str, replicates: int = 200, seed: int = 7) -> DataFrame:
     """(by, n, se): population deviation of the means of resampled rows.
 
-    A draw is a row number, so it joins to the values on (by, number): replicates * rows narrow rows,
-    no value sets are collected."""
+    A draw is a row number, looked up in the group's numbered values where it is made (these are broadcast while they are few, after
+    counting), so what is shuffled is a sum a replicate."""
     w = Window.partitionBy(*by)
     numbered = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), (F.row_number().over(w.orderBy(key)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    reps = numbered.select(*by, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     group = F.concat_ws(",", *[F.col(c).cast("string") for c in by])
-    drawn = reps.withColumn("__j", draw(seed, F.col("__n"), group, F.col("rep"), F.col("__i")))
-    means = drawn.join(numbered.select(*by, F.col("__i").alias("__j"), "__v"), [*by, "__j"]).groupBy(*by, "rep").agg(F.avg("__v").alias("m"), F.first("__n").alias("n"))
+    drawn = replicated(numbered.select(*by, "__i", "__n"), replicates).withColumn("__j", draw(seed, F.col("__n"), group, F.col("rep"), F.col("__i")))
+    values = numbered.select(*by, F.col("__i").alias("__j"), "__v")
+    means = drawn.join(counted(values), [*by, "__j"]).groupBy(*by, "rep").agg(F.avg("__v").alias("m"), F.first("__n").alias("n"))
     return means.groupBy(*by).agg(F.first("n").alias("n"), F.stddev_pop("m").alias("se"))
 
 
@@ -126,19 +137,20 @@ def corr_interval(df: DataFrame, key: str, x: str, y: str, replicates: int = 200
     """(low, high): percentile interval of Pearson's r, pairs resampled together; replicates with fewer
     than three distinct x don't count."""
     rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key).select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col("__i") - 1).alias("i"), F.col("__n").alias("n"))
-    reps = rows.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = reps.select("rep", draw(seed, F.col("n"), F.col("rep"), F.col("i")).alias("i")).join(rows.select("i", "x", "y"), "i")
-    each = drawn.groupBy("rep").agg(F.corr("x", "y").alias("r"), F.countDistinct("x").alias("k")).where("k > 2")
+    drawn = replicated(rows.select("i", "n"), replicates).select("rep", draw(seed, F.col("n"), F.col("rep"), F.col("i")).alias("i")).join(counted(rows.select("i", "x", "y")), "i")
+    # a third value lies between the least and the greatest; sums tell, without sets of values
+    low, high, n = F.min("x"), F.max("x"), F.count("*")
+    between = (low + high) * F.sum("x") - F.sum(F.col("x") * F.col("x")) - n * low * high
+    each = drawn.groupBy("rep").agg(F.corr("x", "y").alias("r"), (between > 1e-9 * n * (high - low) * (high - low)).alias("three")).where("three")
     return each.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
 
 
-def cluster_interval(df: DataFrame, cluster: str, stat: Column, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """(low, high) of an aggregate when whole clusters are resampled."""
-    w = Window.partitionBy(F.lit(0))
-    names = df.select(cluster).distinct().select(F.col(cluster).alias("__c"), (F.row_number().over(w.orderBy(cluster)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    reps = names.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = reps.select("rep", draw(seed, F.col("n"), F.col("rep"), F.col("i")).alias("i")).join(names.select("i", "__c"), "i")
-    each = drawn.join(df, F.col("__c") == F.col(cluster)).groupBy("rep").agg(stat.alias("s"))
+def cluster_interval(df: DataFrame, cluster: str, value: Column, replicates: int = 200, seed: int = 7) -> DataFrame:
+    """(low, high) of the mean of a value when whole clusters are resampled: a cluster is its sum and count, so rows aren't drawn."""
+    sums = df.groupBy(F.col(cluster).alias("__c")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s"), F.count(value).alias("k"))
+    names = with_average_rank(sums, "__c", [], "__i", total="n").select((F.col("__i") - 1).cast("long").alias("i"), "n", "s", "k")
+    drawn = replicated(names.select("i", "n"), replicates).select("rep", draw(seed, F.col("n"), F.col("rep"), F.col("i")).alias("i")).join(counted(names.select("i", "s", "k")), "i")
+    each = drawn.groupBy("rep").agg((F.sum("s") / F.sum("k")).alias("s"))
     return each.agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
 
 
@@ -169,8 +181,8 @@ def slope(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFra
 def clustered_slope(df: DataFrame, x: str, y: str, within: list[str], cluster: str, params: int = 1) -> DataFrame:
     """(n, clusters, slope, se): slope of values less the means of `within`, with errors clustered
     and scaled by G/(G-1) * (n-1)/(n-k)."""
-    w = Window.partitionBy(*within)
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(cluster).alias("c"), (F.col(x) - F.avg(x).over(w)).alias("x"), (F.col(y) - F.avg(y).over(w)).alias("y"))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*within, F.col(cluster).alias("c"), F.col(x).alias("x"), F.col(y).alias("y"))
+    d = with_demeaned(d, ["x", "y"], within).select("c", "x", "y")
     sums = d.agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"))
     each = d.crossJoin(F.broadcast(sums)).groupBy("c", "n", "xx", "slope").agg(F.sum(F.col("x") * (F.col("y") - F.col("slope") * F.col("x"))).alias("u"))
     g, n = F.count("*"), F.col("n")
@@ -274,9 +286,9 @@ def debias(panel: DataFrame, effect: DataFrame, judge: str = "judge", score: str
     row's effect (columns of `effect` with judge and gen; missing is 0), clipped to (0.01, 100), read back by
     linear interpolation between the judge's percentiles. Rows without effect keep their score."""
     grid_ = [i / points for i in range(points + 1)]
-    q = panel.groupBy(judge).agg(F.percentile(score, grid_).alias("__q"))
+    q = quantiles(panel, [judge], score, grid_, "__q")
     keys = [c for c in effect.columns if c != "effect"]
-    ranked = with_average_rank(panel, score, [judge], "__r", total="__n").withColumn("__p", F.col("__r") / F.col("__n") * 100).join(F.broadcast(effect), keys, "left").join(F.broadcast(q), judge)
+    ranked = with_average_rank(panel, score, [judge], "__r", total="__n").withColumn("__p", F.col("__r") / F.col("__n") * 100).join(counted(effect), keys, "left").join(counted(q), judge)
 
     def read(p: Column) -> Column:
         at = p / 100 * points
@@ -291,16 +303,17 @@ def debias(panel: DataFrame, effect: DataFrame, judge: str = "judge", score: str
 
 
 def out_of_sample(scores: DataFrame, stored: DataFrame, score: str, value: str, effect: float) -> DataFrame:
-    """Each score's mean-kind percentile among stored values, less the effect, read back linearly."""
-    values = stored.where(F.col(value).isNotNull())
-    n = values.agg(F.count("*").alias("n"), F.percentile(value, [i / 100 for i in range(101)]).alias("q"))
-    s = scores.select(score).distinct()
-    below = s.join(values, F.col(value) < F.col(score), "left").groupBy(score).agg(F.count(value).alias("lt"))
-    upto = s.join(values, F.col(value) <= F.col(score), "left").groupBy(score).agg(F.count(value).alias("le"))
-    p = F.least(F.greatest((F.col("lt") + F.col("le")) / (2 * F.col("n")) * 100 - effect, F.lit(0.01)), F.lit(100.0))
+    """Each score's mean-kind percentile among stored values, less the effect, read back linearly. Scores and values are merged in
+    one order: a score counts nothing itself, so what lies below it and up to it are the stored values' running counts."""
+    merged = scores.select(F.col(score).cast("double").alias("v"), F.lit(0).alias("w"))
+    merged = merged.unionByName(stored.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("w")))
+    ranks = cumulated(merged, [], "v", F.col("w"))
+    asked = scores.select(F.col(score).cast("double").alias("v")).distinct()
+    q = quantiles(stored, [], value, [i / 100 for i in range(101)])
+    p = F.least(F.greatest((2 * F.col("before") + F.col("n")) / (2 * F.col("total")) * 100 - effect, F.lit(0.01)), F.lit(100.0))
     i = F.least(F.floor("p"), F.lit(99)).cast("int")
-    out = below.join(upto, score).crossJoin(F.broadcast(n)).withColumn("p", p)
-    return out.select(score, F.col("p").alias("percentile"), (F.element_at("q", i + 1) + (F.element_at("q", i + 2) - F.element_at("q", i + 1)) * (F.col("p") - i)).alias("moved"))
+    out = ranks.join(asked, "v", "left_semi").withColumn("p", p).crossJoin(F.broadcast(q))  # one row
+    return out.select(F.col("v").alias(score), F.col("p").alias("percentile"), (F.element_at("q", i + 1) + (F.element_at("q", i + 2) - F.element_at("q", i + 1)) * (F.col("p") - i)).alias("moved"))
 
 
 def bootstrap_se_seeded(df: DataFrame, by: list[str], value: str, replicates: int = 10_000, seed: int = 0, ddof: int = 0, shared: bool = False) -> DataFrame:

@@ -145,8 +145,8 @@ def a15(t):
 
 @query("a16_percentiles", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_quantity, {p / 100}), 9) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM lineitem GROUP BY l_returnflag")
 def a16(t):
-    p = F.percentile("l_quantity", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("p")
-    return t.lineitem.groupBy("l_returnflag").agg(p).select("l_returnflag", *[r(F.col("p")[i]).alias(f"p{q}") for i, q in enumerate((5, 25, 50, 75, 95))])
+    q = R.quantiles(t.lineitem, ["l_returnflag"], "l_quantity", [p / 100 for p in (5, 25, 50, 75, 95)], "p")
+    return q.select("l_returnflag", *[r(F.col("p")[i]).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
 
 
 @query(

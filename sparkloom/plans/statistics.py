@@ -65,7 +65,7 @@ def m02(t):
     "e AS (SELECT rep, avg(view - error) AS s FROM d JOIN c USING (i) JOIN wide USING (gen) GROUP BY rep) SELECT round(quantile_cont(s, 0.025), 9) AS low, round(quantile_cont(s, 0.975), 9) AS high FROM e",
 )
 def m03(t):
-    return S.cluster_interval(wide(t), "gen", F.avg(F.col("view") - F.col("error")), REPS, SEED).select(r("low").alias("low"), r("high").alias("high"))
+    return S.cluster_interval(wide(t), "gen", F.col("view") - F.col("error"), REPS, SEED).select(r("low").alias("low"), r("high").alias("high"))
 
 
 RANKS = "k AS (SELECT rank() OVER (ORDER BY view) + (count(*) OVER (PARTITION BY view) - 1) / 2.0 AS x, rank() OVER (ORDER BY error) + (count(*) OVER (PARTITION BY error) - 1) / 2.0 AS y FROM wide WHERE view IS NOT NULL AND error IS NOT NULL)"

@@ -16,6 +16,12 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # the driver keeps plans and metrics of past queries even without its pages; a hundred exchanges a query fill it
+        "spark.sql.ui.retainedExecutions": "20",
+        "spark.ui.retainedJobs": "100",
+        "spark.ui.retainedStages": "200",
+        "spark.ui.retainedTasks": "5000",
+        "spark.sql.maxPlanStringLength": "20000",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
