@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import ranking as R
 from ..operators import search as S
+from ..operators import vectors as V
 from .aggregates import r
 from .registry import query
 
@@ -52,8 +53,11 @@ DENSE = UNIT + ", d AS (SELECT q.vec_id AS query, c.vec_id AS key, round(list_do
 
 
 def dense(t, k=10):
-    """Every hundredth vector asks."""
-    return S.dense(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "vec_id", "embedding", k)
+    """Every hundredth vector asks; cells of the index are read until no other can hold a nearer one."""
+    from ..sources import sinks as K
+
+    index = V.CellIndex(t.embeddings, "vec_id", "embedding", K.scratch(t.spark, "cells"))
+    return index.search(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", k, lambda name: K.scratch(t.spark, name))
 
 
 @query("r02_dense", f"WITH {DENSE} SELECT query, key, round(score, 6) AS score FROM nearest")

@@ -339,3 +339,50 @@ def test_filters_reach_the_scan(spark):
     d = scans.read_table(spark, "/root/testdata/sf0.01/documents.parquet").where("lang = 'de'").select("doc_id")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,de)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_cells_of_clustered_vectors(spark, tmp_path):
+    """The index gives what comparing all pairs gives, and reads few cells where vectors lie in clusters."""
+    import numpy as np
+
+    from sparkloom.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 3
+    x = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 8)) * 0.1
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8)]
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    index = V.CellIndex(d, "id", "v", str(tmp_path / "cells"))
+    got = index.search(d.where("id % 50 = 0"), "id", "v", 5, lambda name: str(tmp_path / name)).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, 600, 50):
+        scores = sorted((-round(float(u[q] @ u[i]), 9), i) for i in range(600) if i != q)[:5]
+        want |= {(q, i, rank + 1) for rank, (_, i) in enumerate(scores)}
+    assert {(r["query"], r["key"], r["rank"]) for r in got} == want
+    assert max(r["cells_read"] for r in got) < len(index.numbers)
+    empty = d.limit(0)
+    assert V.CellIndex(empty, "id", "v", str(tmp_path / "none")).search(d, "id", "v", 5, lambda name: str(tmp_path / f"n-{name}")).count() == 0
+
+
+def test_running_counts_and_quantiles(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import ranking as R
+    from sparkloom.operators import statistics as S
+
+    rng = np.random.default_rng(4)
+    values = {"hot": rng.integers(0, 50, 3000).astype(float), None: rng.normal(size=70), "one": np.array([2.5])}
+    d = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("hot", None), ("none", None)], "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {r["g"]: r["q"] for r in R.quantiles(d, ["g"], "v", probs).collect()}
+    assert got.keys() == values.keys()
+    for g, vs in values.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
+    for r in R.cumulated(d, ["g"], "v").collect():
+        assert r["before"] == (values[r["g"]] < r["v"]).sum() and r["n"] == (values[r["g"]] == r["v"]).sum() and r["total"] == len(values[r["g"]])
+    asked = [-1.0, 0.0, 7.0, 7.5, 60.0]
+    out = S.out_of_sample(spark.createDataFrame([(a,) for a in asked], "s double"), d.where("g = 'hot'"), "s", "v", 0.0).collect()
+    hot = values["hot"]
+    assert {r["s"]: round(r["percentile"], 9) for r in out} == {a: round(max(0.01, ((hot < a).mean() + (hot <= a).mean()) * 50), 9) for a in asked}
