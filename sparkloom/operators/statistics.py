@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,13 +55,70 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
 
 
-def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Tau-b over pairs of rows. The pairs are quadratic in the rows, which are models: tens, not documents."""
-    a = df.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = df.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    sx, sy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    p = a.join(b, F.col("ka") < F.col("kb")).select(sx.alias("sx"), sy.alias("sy"))
-    return p.agg((F.sum(F.col("sx") * F.col("sy")) / F.sqrt(F.sum(F.abs("sx")) * F.sum(F.abs("sy")))).alias("tau"))
+def inversions(y: np.ndarray, w: np.ndarray) -> int:
+    """Sum of w[i] * w[j] over i < j with y[i] > y[j]: two such values part at one bit of their ranks, so each bit adds, in groups that agree in
+    the bits above, the weight of ones before each zero."""
+    ranks = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(ranks.max(initial=0)).bit_length()):
+        order = np.argsort(ranks >> (bit + 1), kind="stable")
+        group, one, weight = ranks[order] >> (bit + 1), (ranks[order] >> bit) & 1, w[order]
+        ones = np.cumsum(weight * one)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        before = np.repeat(ones[first] - (weight * one)[first], np.diff(np.append(first, len(order))))
+        total += int((weight * (1 - one) * (ones - before)).sum())
+    return total
+
+
+#: Distinct pairs of values that a range of Kendall's tau is made for, and the greatest number of ranges.
+RANGE_ROWS, MOST_RANGES = 50_000, 1_000
+
+
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, tau): tau-b over rows with both values, in n log n.
+
+    Equal pairs of values become one with a weight. Both values are cut into ordered ranges (equal values in one). Pairs of rows in different ranges of both are
+    counted from the grid of ranges, at most MOST_RANGES squared sums; those in one range of x are inversions there; those in one range of y but
+    different ones of x are inversions of y's range, in order of x's. No pair of rows is made."""
+    import pandas as pd
+
+    from ..session import ship
+
+    spark = df.sparkSession
+    ship(spark)
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
+    parts = min(MOST_RANGES, max(1, cells.count() // RANGE_ROWS))
+    probs = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = cells.agg(F.percentile_approx("x", probs, 10_000).alias("qx"), F.percentile_approx("y", probs, 10_000).alias("qy"))
+    place = lambda q, v: F.size(F.filter(q, lambda c: c < F.col(v))).cast("int")
+    placed = cells.crossJoin(F.broadcast(cuts)).select("x", "y", "w", place("qx", "x").alias("px"), place("qy", "y").alias("py"))  # one row of cuts
+
+    def within_x(f):
+        f = f.sort_values(["x", "y"])
+        return pd.DataFrame({"d": [inversions(f["y"].to_numpy(), f["w"].to_numpy())]})
+
+    def across_x(f):
+        # rows of one range of x are in order of y, so they are no inversions of each other
+        f = f.sort_values(["px", "y"])
+        return pd.DataFrame({"d": [inversions(f["y"].to_numpy(), f["w"].to_numpy())]})
+
+    near = placed.groupBy("px").applyInPandas(within_x, "d long").unionAll(placed.groupBy("py").applyInPandas(across_x, "d long")).agg(F.coalesce(F.sum(F.col("d").cast("decimal(38,0)")), F.lit(0)).alias("near"))
+    # cells of the grid with a lower range of x and a higher one of y
+    grid = placed.groupBy("px", "py").agg(F.sum("w").alias("w"))
+    counts = np.zeros((len(probs) + 1,) * 2)
+    for r in grid.collect():
+        counts[r["px"], r["py"]] = r["w"]
+    above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts  # of the same range of x, higher ranges of y
+    far = sum(int(v) for v in (counts[1:] * np.cumsum(above, 0)[:-1]).ravel())
+    pairs = lambda c: F.sum(c.cast("decimal(38,0)") * (c - 1)) / 2
+    ties = lambda *by: cells.groupBy(*by).agg(F.sum("w").alias("c")).agg(pairs(F.col("c")).alias("t" + "".join(by)))
+    out = cells.agg(F.sum("w").alias("n")).crossJoin(near).crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(ties("x", "y"))
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    number = lambda c: F.col(c).cast("double")
+    apart = number("near") + F.lit(float(far))
+    top = n0 - number("tx") - number("ty") + number("txy") - 2 * apart
+    scale = F.sqrt((n0 - number("tx")) * (n0 - number("ty")))
+    return out.select("n", F.when(scale > 0, top / scale).alias("tau"))
 
 
 def qwk_moments(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -98,7 +98,18 @@ def m05(t):
     f"WITH {BY_GEN}, p AS (SELECT sign(a.view - b.view) AS sx, sign(a.error - b.error) AS sy FROM g a JOIN g b ON a.gen < b.gen) SELECT round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 9) AS tau FROM p",
 )
 def m06(t):
-    return S.kendall(by_gen(t), "gen", "view", "error").select(r("tau").alias("tau"))
+    return S.kendall(by_gen(t), "view", "error").select(r("tau").alias("tau"))
+
+
+@query(
+    "m06_kendall_rows",
+    "WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*)::DOUBLE AS w FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY ALL), "
+    "p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) * a.w * b.w AS s, abs(sign(a.x - b.x)) * a.w * b.w AS sx, abs(sign(a.y - b.y)) * a.w * b.w AS sy FROM c a, c b) "
+    "SELECT (SELECT sum(w) FROM c)::BIGINT AS n, round(sum(s) / sqrt(sum(sx) * sum(sy)), 9) AS tau FROM p",
+)
+def m06_rows(t):
+    """Over every line item."""
+    return S.kendall(t.lineitem, "l_quantity", "l_discount").select("n", r("tau").alias("tau"))
 
 
 RINT = "u AS (SELECT gen, round_even(view / 10, 0) AS u, round_even(error / 10, 0) AS v FROM wide WHERE view IS NOT NULL AND error IS NOT NULL)"

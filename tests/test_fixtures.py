@@ -386,3 +386,19 @@ def test_running_counts_and_quantiles(spark):
     out = S.out_of_sample(spark.createDataFrame([(a,) for a in asked], "s double"), d.where("g = 'hot'"), "s", "v", 0.0).collect()
     hot = values["hot"]
     assert {r["s"]: round(r["percentile"], 9) for r in out} == {a: round(max(0.01, ((hot < a).mean() + (hot <= a).mean()) * 50), 9) for a in asked}
+
+
+@pytest.mark.parametrize("size", [50_000, 40])
+def test_kendall_in_ranges(spark, monkeypatch, size):
+    import numpy as np
+
+    from sparkloom.operators import statistics as S
+
+    monkeypatch.setattr(S, "RANGE_ROWS", size)
+    rng = np.random.default_rng(5)
+    x = np.append(rng.normal(size=400), np.full(200, 0.5))
+    y = np.round(x + rng.normal(size=600), 1)
+    rows = [(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (2.0, None)]
+    got = S.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    assert got["n"] == 600 and got["tau"] == pytest.approx((sx * sy).sum() / np.sqrt(np.abs(sx).sum() * np.abs(sy).sum()), rel=1e-12)
