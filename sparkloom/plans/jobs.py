@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import last_score, missing_answer
+from ..operators.ranking import counted
 from ..session import ship
 from ..sources.sinks import exists
 
@@ -149,7 +150,7 @@ def identical_inputs(new: DataFrame, stored: DataFrame, keys: list[str], prompt:
 
 def spend_estimate(work: DataFrame, prices: DataFrame) -> DataFrame:
     """(judge, rows, cost): live rows at each seat's price."""
-    return work.groupBy("judge").agg(F.count("*").alias("rows")).join(F.broadcast(prices), "judge").select("judge", "rows", (F.col("rows") * F.col("price")).alias("cost"))
+    return work.groupBy("judge").agg(F.count("*").alias("rows")).join(counted(prices), "judge").select("judge", "rows", (F.col("rows") * F.col("price")).alias("cost"))
 
 
 PROMPTS = {"plain": "Answer the question.\n\n", "cited": "Answer and cite the norms you use.\n\n", "judge": "Rate the answer from 0 to 1 as [[n]].\n\n"}

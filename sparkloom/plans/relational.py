@@ -302,7 +302,7 @@ def p11(t):
 @query("p12_retired", f"WITH {MEDS} SELECT gen, count(*) AS n FROM meds WHERE gen NOT IN (3, 4) GROUP BY gen")
 def p12(t):
     retired = t.spark.createDataFrame([(3,), (4,)], "gen long")
-    return meds(t).join(F.broadcast(retired), "gen", "left_anti").groupBy("gen").agg(F.count("*").alias("n"))
+    return meds(t).join(R.counted(retired), "gen", "left_anti").groupBy("gen").agg(F.count("*").alias("n"))
 
 
 @query("p13_whitelist", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src5')")
@@ -336,7 +336,7 @@ def p20(t):
     books = F.array(*map(F.lit, ("BayBO", "VwGO", "StVO", "XYZ", "Foo")))
     named = t.part.select("p_partkey", F.element_at(books, (F.col("p_partkey") % 5 + 1).cast("int")).alias("book"))
     corpus = t.spark.createDataFrame([("foo",)], "k string")
-    joined = named.join(F.broadcast(corpus), C.corpus_key_column(F.col("book")) == F.col("k"), "left")
+    joined = named.join(R.counted(corpus), C.corpus_key_column(F.col("book")) == F.col("k"), "left")
     return joined.select("p_partkey", C.jurisdiction(F.col("book"), F.col("k").isNotNull()).alias("jurisdiction"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import counted
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
@@ -187,7 +189,7 @@ def graph(edges: DataFrame, src: str, dst: str, src_kind: str, dst_kind: str) ->
 
 def with_endpoint(models: DataFrame, endpoints: DataFrame, default: str) -> DataFrame:
     """models (model) with their endpoint, or the default."""
-    return models.join(F.broadcast(endpoints), "model", "left").withColumn("endpoint", F.coalesce("endpoint", F.lit(default)))
+    return models.join(counted(endpoints), "model", "left").withColumn("endpoint", F.coalesce("endpoint", F.lit(default)))
 
 
 def literal_table(spark: SparkSession, source: str, name: str) -> DataFrame:
