@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import blocks as BL
 from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import vectors as V
@@ -48,6 +49,26 @@ def r01_stored(t):
     return S.bm25(S.StoredIndex(t.spark, path), t.benchmark, "item_id", "text", 10).select("query", "key", r("score", 6).alias("score"))
 
 
+def block_max(t, k=10):
+    """The same search over blocks of postings with their greatest impacts; like documents are those of one language and length."""
+    from ..sources import sinks as K
+
+    path = K.scratch(t.spark, "blocks")
+    BL.write_blocks(t.documents, "doc_id", "text", path, ["lang"])
+    return BL.BlockIndex(t.spark, path).search(t.benchmark, "item_id", "text", k, lambda name: K.scratch(t.spark, name))
+
+
+@query("r01_block_max", f"WITH {BM25} SELECT query, key, rank, round(score, 6) AS score FROM ranked")
+def r01_block_max(t):
+    return block_max(t).select("query", "key", "rank", r("score", 6).alias("score"))
+
+
+@query("r01_block_reads")
+def r01_block_reads(t):
+    """How many blocks of its terms each item read, and what share of them."""
+    return block_max(t).groupBy("query").agg(F.max("blocks").alias("blocks"), F.max("blocks_read").alias("blocks_read"), r(F.max(F.col("blocks_read") / F.col("blocks")), 6).alias("share"))
+
+
 UNIT = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
 DENSE = UNIT + ", d AS (SELECT q.vec_id AS query, c.vec_id AS key, round(list_dot_product(list_transform(q.e, lambda x: x / q.n), list_transform(c.e, lambda x: x / c.n)), 9) AS score FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id), nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM d) WHERE rank <= 10)"
 

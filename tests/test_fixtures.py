@@ -402,3 +402,40 @@ def test_kendall_in_ranges(spark, monkeypatch, size):
     got = S.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
     sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
     assert got["n"] == 600 and got["tau"] == pytest.approx((sx * sy).sum() / np.sqrt(np.abs(sx).sum() * np.abs(sy).sum()), rel=1e-12)
+
+
+@pytest.mark.parametrize("block, turns", [(4, (1, 3)), (64, (2, 16)), (1, (12, 40))])
+def test_blocks_of_postings(spark, tmp_path, block, turns):
+    """Block-max search gives what scoring every document gives, ties included, and leaves blocks of long documents unread."""
+    import random
+
+    from sparkloom.operators import blocks as BL
+    from sparkloom.operators import search as S
+
+    g = random.Random(5)
+    draw = lambda n: " ".join(f"w{min(int(g.expovariate(0.15)), 40)}" for _ in range(n))
+    rows = [(i, draw(g.choice([4, 8, 90, 200])), g.choice("ab") if i % 7 else None) for i in range(240)]
+    rows += [(500 + i, "w1 w2 w3", "a") for i in range(30)] + [(600, None, "a"), (601, "", "b"), (602, "...", None), (603, "rare " * 3000, "b")]
+    d = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    asked = [(1, "w1 w2 w3"), (2, "w30 w31 w2"), (3, "rare w1"), (4, "absent"), (5, None), (6, ""), (7, "w7 w7 W7"), (8, draw(30))]
+    q = spark.createDataFrame(asked, "q long, text string")
+    BL.write_blocks(d, "id", "text", str(tmp_path / "index"), ["lang"], block)
+    index = BL.BlockIndex(spark, str(tmp_path / "index"))
+    assert index.blocks.where(F.size("postings") > block).count() == 0
+    got = index.search(q, "q", "text", 5, lambda name: str(tmp_path / name), turns).collect()
+    want = S.bm25(S.Index(d, "id", "text"), q, "q", "text", 5).collect()
+    assert {(x["query"], x["rank"], x["key"], f"{x['score']:.7g}") for x in got} == {(x["query"], x["rank"], x["key"], f"{x['score']:.7g}") for x in want}
+    reads = {x["query"]: (x["blocks_read"], x["blocks"]) for x in got}
+    assert all(0 < a <= b for a, b in reads.values()) and set(reads) == {1, 2, 3, 7, 8}
+    if block == 4:
+        assert sum(a for a, _ in reads.values()) < 0.8 * sum(b for _, b in reads.values())
+
+
+def test_no_blocks(spark, tmp_path):
+    from sparkloom.operators import blocks as BL
+
+    none = spark.createDataFrame([], "id string, text string")
+    q = spark.createDataFrame([(1, "w1")], "q long, text string")
+    for at, d in [("a", none), ("b", spark.createDataFrame([("x", None), ("y", ""), (None, "w1")], none.schema))]:
+        BL.write_blocks(d, "id", "text", str(tmp_path / at))
+        assert BL.BlockIndex(spark, str(tmp_path / at)).search(q, "q", "text", 3, lambda name: str(tmp_path / at / name)).count() == 0
