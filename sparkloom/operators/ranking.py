@@ -91,20 +91,20 @@ def with_demeaned(df: DataFrame, values: list[str], *sides: list[str]) -> DataFr
 
 
 def with_row_number(df: DataFrame, by: list[str], order: list[str], name: str, path: str) -> DataFrame:
-    """df with each row's place (from 1) within few, large groups, in an order that leaves no ties. Rows are dealt into ordered
+    """df with each row's place (from 1) within its group, in an order that leaves no ties. Rows are dealt into ordered
     ranges, written at `path` with their range's number, and counted; a place is the rows of the group's earlier ranges
-    (a sum over as many counts as there are ranges) and the place within the range."""
+    and the place within the range. Only a range's first group has earlier ranges, so what is broadcast is at most a row a range."""
     dealt = df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
     dealt.write.parquet(path)
     kept = df.sparkSession.read.parquet(path)
     counts = kept.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(by)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    before = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(by)], F.col("__range").alias("__r"), F.sum("__n").over(earlier).alias("__before")).where("__before > 0")
     on = F.col("__range") == F.col("__r")
     for j, k in enumerate(by):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
     within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
-    return kept.join(F.broadcast(before), on).withColumn(name, (F.col("__before") + within).cast("long")).select(*df.columns, name)
+    return kept.join(F.broadcast(before), on, "left").withColumn(name, (F.coalesce(F.col("__before"), F.lit(0)) + within).cast("long")).select(*df.columns, name)
 
 
 def rolling_mean(value: str, by: list[str], order: list[str], width: int = 15, least: int = 5) -> Column:
@@ -140,31 +140,109 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def budget_batches(df: DataFrame, by: str, order: str, size: str, budget: int, rows: int) -> DataFrame:
-    """(by, order, batch): consecutive rows of a key in batches of at most `budget` in all and `rows` rows;
-    a row beyond the budget is a batch of its own. Rows stream in order: one key's state is two numbers."""
+#: Rows of a chunk in budget_batches, and chunks of a group of them.
+CHUNK, FAN = 4096, 256
+
+
+def _breaks(sizes, budget: float, rows: int):
+    """Where the batch that begins at each place ends."""
+    import numpy as np
+
+    sums = np.concatenate([np.zeros(1, sizes.dtype), np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return np.maximum(at + 1, np.minimum(at + rows, np.searchsorted(sums, sums[:-1] + budget, "right") - 1))
+
+
+def _starts(maps: DataFrame, fan: int, scratch) -> DataFrame:
+    """(k, c, entry, batch): the first place of each chunk where a batch begins, and that batch's number. maps: (k, c, exits, counts), for
+    each place where one may enter a chunk, where one enters the next and how many batches begin between. Maps compose, so groups of chunks have
+    maps as well; these are solved first, in the same way, and then looked into: a group holds at most `fan` maps."""
+    import numpy as np
     import pandas as pd
 
-    from ..session import ship
+    grouped = maps.groupBy("k", F.floor(F.col("c") / fan).cast("long").alias("g")).agg(F.array_sort(F.collect_list(F.struct("c", "exits", "counts"))).alias("m"))
+    grouped.write.parquet(path := scratch("maps"))
+    kind, grouped = maps.schema["k"].dataType.simpleString(), maps.sparkSession.read.parquet(path)
 
-    ship(df.sparkSession)
+    def composed(frames):
+        for f in frames:
+            exits, counts = [], []
+            for m in f["m"]:
+                e, n = np.arange(len(m[0]["exits"])), 0
+                for x in m:
+                    e, n = np.asarray(x["exits"])[e], n + np.asarray(x["counts"])[e]
+                exits.append(e)
+                counts.append(n)
+            yield pd.DataFrame({"k": f["k"], "c": f["g"], "exits": exits, "counts": counts})
+
+    def replayed(frames):
+        for f in frames:
+            out = []
+            for k, m, e, n in zip(f["k"], f["m"], f["entry"], f["batch"]):
+                for x in m:
+                    out.append((k, x["c"], e, n))
+                    e, n = x["exits"][e], n + x["counts"][e]
+            yield pd.DataFrame(out, columns=["k", "c", "entry", "batch"])
+
+    if grouped.where("g > 0").limit(1).count():
+        first = _starts(grouped.mapInPandas(composed, f"k {kind}, c long, exits array<int>, counts array<long>"), fan, scratch).withColumnRenamed("c", "g")
+        known = join_same(grouped, first, ["k", "g"])
+    else:
+        known = grouped.withColumns({"entry": F.lit(0), "batch": F.lit(0).cast("long")})
+    return known.select("k", "m", "entry", "batch").mapInPandas(replayed, f"k {kind}, c long, entry int, batch long")
+
+
+def budget_batches(df: DataFrame, by: str, order: str, size: str, budget: int, rows: int, scratch, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """(by, order, batch): consecutive rows of a key in batches of at most `budget` in all and `rows` rows; a row beyond the budget is a batch of its own.
+    Orders are distinct within a key; sizes aren't negative, null ones are 0.
+
+    A key is cut into chunks of `chunk` rows (at least `rows`), so a hot one is worked on in as many tasks. A batch enters the next chunk at one of its first `rows` places, so
+    a chunk is a map of entries, made without knowing where it is entered; the maps give every chunk's entry, from which its batches are numbered.
+    scratch: a function of a name to a path of the shared folder."""
+    import numpy as np
+    import pandas as pd
 
-    def batches(frames):
-        key, batch, used, n = None, 0, 0, 0
+    from ..session import ship
+
+    spark, chunk = df.sparkSession, max(chunk, rows)
+    ship(spark)
+    named = df.select(F.col(by).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).alias("s"))
+    placed = with_row_number(named, ["k"], ["o", "s"], "at", scratch("places")).withColumns({"c": F.floor((F.col("at") - 1) / chunk).cast("long"), "p": ((F.col("at") - 1) % chunk).cast("int")})
+    # a chunk also sees the rows of the next one that its last batch may hold
+    twice = F.when((F.col("p") < rows) & (F.col("c") > 0), F.array(F.struct("c", "p"), F.struct((F.col("c") - 1).alias("c"), (F.col("p") + chunk).alias("p")))).otherwise(F.array(F.struct("c", "p")))
+    dealt = placed.select("k", "o", "s", F.explode(twice).alias("x")).groupBy("k", "x.c").agg(F.array_sort(F.collect_list(F.struct("x.p", "o", "s"))).alias("r"))
+    dealt.select("k", "c", F.col("r.o").alias("o"), F.col("r.s").alias("s")).write.parquet(path := scratch("chunks"))
+    chunks = spark.read.parquet(path)
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("k", "o")}
+
+    def maps(frames):
+        for f in frames:
+            exits, counts = [], []
+            for s in f["s"]:
+                to, held = _breaks(np.asarray(s), budget, rows), min(len(s), chunk)
+                e, n = np.zeros(max(held, rows) + 1, np.int32), np.zeros(max(held, rows) + 1, np.int64)
+                for i in range(held - 1, -1, -1):
+                    inside = to[i] < held
+                    e[i], n[i] = (e[to[i]], n[to[i]] + 1) if inside else (max(to[i] - chunk, 0), 1)
+                exits.append(e[:rows])
+                counts.append(n[:rows])
+            yield pd.DataFrame({"k": f["k"], "c": f["c"], "exits": exits, "counts": counts})
+
+    def numbered(frames):
         for f in frames:
             out = []
-            for k, s in zip(f[by], f[size]):
-                if k != key:
-                    key, batch, used, n = k, 0, 0, 0
-                if n and (used + s > budget or n >= rows):
-                    batch, used, n = batch + 1, 0, 0
-                used, n = used + s, n + 1
-                out.append(batch)
-            yield pd.DataFrame({by: f[by], order: f[order], "batch": out})
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
-    part = df.select(by, order, size).repartition(by).sortWithinPartitions(by, order)
-    return part.mapInPandas(batches, f"{by} {kinds[by]}, {order} {kinds[order]}, batch long")
+            for s, e, n in zip(f["s"], f["entry"], f["batch"]):
+                to, held = _breaks(np.asarray(s), budget, rows), min(len(s), chunk)
+                begins, i = np.zeros(held, np.int64), e
+                while i < held:
+                    begins[i] = 1
+                    i = to[i]
+                out.append(n - 1 + np.cumsum(begins))
+            yield pd.DataFrame({"k": f["k"], "o": [x[:chunk] for x in f["o"]], "batch": out})
+
+    starts = _starts(chunks.select("k", "c", "s").mapInPandas(maps, f"k {kinds['k']}, c long, exits array<int>, counts array<long>"), fan, scratch)
+    solved = join_same(chunks, starts, ["k", "c"]).select("k", "o", "s", "entry", "batch").mapInPandas(numbered, f"k {kinds['k']}, o {kinds['o']}, batch array<long>")
+    return solved.select("k", F.explode(F.arrays_zip("o", "batch")).alias("x")).select(F.col("k").alias(by), F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
 
 
 def with_average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank", descending: bool = False, total: str | None = None, parts: int = 64) -> DataFrame:

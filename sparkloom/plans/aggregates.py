@@ -334,7 +334,9 @@ def w12(t):
     "CASE WHEN used + n_chars > 20000 OR n >= 8 THEN 1 ELSE n + 1 END FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1) SELECT source, doc_id, batch FROM b",
 )
 def w13(t):
-    return R.budget_batches(t.documents, "source", "doc_id", "n_chars", 20000, 8)
+    from ..sources import sinks as K
+
+    return R.budget_batches(t.documents, "source", "doc_id", "n_chars", 20000, 8, lambda name: K.scratch(t.spark, name))
 
 
 @query("w14_arg_extremes", "SELECT l_returnflag, l_linestatus, arg_max(l_orderkey, (l_extendedprice, -l_orderkey, -l_linenumber)) AS dearest, arg_min(l_orderkey, (l_extendedprice, l_orderkey, l_linenumber)) AS cheapest FROM lineitem GROUP BY ALL")
