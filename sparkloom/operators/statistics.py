@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import map_arrow
 from .ranking import average_rank, counted, cumulated, quantiles, with_average_rank, with_demeaned
 
 
@@ -212,13 +213,47 @@ def cluster_interval(df: DataFrame, cluster: str, value: Column, replicates: int
     return each.agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
 
 
+#: Steps of a permutation, and the prime that its coins are drawn with.
+STEPS, PRIME = 16, 2**31 - 1
+
+
+def with_permuted(df: DataFrame, place: str, n: str, seed: int, name: str) -> DataFrame:
+    """df (with a column rep) with the place, from 0 and below n, to which permutation `rep` sends a place: computed, not sorted, whatever n.
+
+    A step mirrors all places at a number drawn for it (p to key - p, modulo n) and tosses a coin for each pair of mirror images, by the greater of the two, whether they
+    change places. That is a bijection on any n, and so is a chain of steps; a place stays unmoved in all of them with a chance of 2^-STEPS. Keys are md5 of seed, rep and
+    step, kept while a task runs: two times STEPS numbers a permutation."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def drawn(rep: int) -> list:
+        h = [hashlib.md5(f"{seed}|{rep}|{t}".encode()).hexdigest() for t in range(STEPS)]
+        return [[int(x[:8], 16) for x in h], [1 + int(x[8:16], 16) % (PRIME - 1) for x in h]]
+
+    def batches(it):
+        known: dict[int, list] = {}
+        for b in it:
+            reps, which = np.unique(b.column("rep").to_numpy(zero_copy_only=False), return_inverse=True)
+            known |= {r: drawn(r) for r in reps.tolist() if r not in known}
+            keys = np.array([known[r] for r in reps.tolist()], np.int64).reshape(-1, 2, STEPS)
+            p, size = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (place, n))
+            for t in range(STEPS):
+                q = (keys[which, 0, t] % size - p) % size
+                coin = (np.maximum(p, q) + 1) % PRIME * keys[which, 1, t] % PRIME * 2 >= PRIME
+                p = np.where(coin, q, p)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, name])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.transform(map_arrow, batches, f"{kinds}, `{name}` long")
+
+
 def permutation_p(df: DataFrame, key: str, x: str, y: str, rounds: int = 200, seed: int = 7, two_sided: bool = True) -> DataFrame:
-    """(r, p): share of permutations of y with an r at least as far out, the seen one counted."""
-    rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col("__i").alias("i"))
-    reps = rows.select("key", "y", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("rep"))
-    order = Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("key").cast("string"))))
-    shuffled = reps.select("rep", "y", F.row_number().over(order).alias("i"))
-    each = shuffled.join(rows.select("i", "x"), "i").groupBy("rep").agg(F.corr("x", "y").alias("rp"))
+    """(r, p): share of permutations of y with an r at least as far out, the seen one counted. Each row computes whose y it gets and looks that up
+    where it is, so nothing is sorted and what is shuffled is sums a permutation."""
+    rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key).select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col("__i") - 1).alias("i"), F.col("__n").cast("long").alias("n"))
+    drawn = with_permuted(replicated(rows.select("i", "n", "x"), rounds), "i", "n", seed, "j").select("rep", "x", F.col("j").alias("i"))
+    each = drawn.join(counted(rows.select("i", "y")), "i").groupBy("rep").agg(F.corr("x", "y").alias("rp"))
     seen = rows.agg(F.corr("x", "y").alias("r"))
     side = (lambda c: F.abs(c)) if two_sided else (lambda c: c)
     far = F.sum((side(F.col("rp")) >= side(F.col("r")) - 1e-12).cast("int"))

@@ -134,10 +134,21 @@ def m08_labels(t):
     return S.qwk_moments(t.labels, "quality", "toxic").select("n", r("kappa").alias("kappa"))
 
 
+def permuted_sql() -> str:
+    """Tables keys, s0, s1, …: a permutation's numbers, and places after each step of every permutation."""
+    number = lambda t, at: f"('0x' || substr(md5('{SEED}|' || rep || '|{t}'), {at}, 8))::BIGINT"
+    steps = range(S.STEPS)
+    out = [f"keys AS MATERIALIZED (SELECT rep, {', '.join(f'{number(t, 1)} AS h{t}, 1 + {number(t, 9)} % {S.PRIME - 1} AS a{t}' for t in steps)} FROM range({REPS}) t(rep))", "s0 AS (SELECT keys.*, x, n, i AS p FROM x, keys)"]
+    for t in steps:
+        coin = f"(greatest(p, q) + 1) % {S.PRIME} * a{t} % {S.PRIME} * 2 >= {S.PRIME}"
+        out.append(f"s{t + 1} AS (SELECT * EXCLUDE (p, q), CASE WHEN {coin} THEN q ELSE p END AS p FROM (SELECT *, (h{t} % n - p + n) % n AS q FROM s{t}))")
+    return ", ".join(out)
+
+
 @query(
     "m09_permutation_p",
-    f"WITH {WIDE}, {ROWS}, s AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}|' || rep || '|' || cell)) AS i FROM x, range({REPS}) t(rep)), "
-    f"e AS (SELECT rep, corr(s.y, x.x) AS rp FROM s JOIN x ON x.i + 1 = s.i GROUP BY rep), o AS (SELECT corr(x, y) AS r FROM x) SELECT round(r, 9) AS r, round((sum((abs(rp) >= abs(r) - 1e-12)::INT) + 1) / {REPS + 1}.0, 9) AS p FROM e, o GROUP BY r",
+    f"WITH {WIDE}, {ROWS}, {permuted_sql()}, "
+    f"e AS (SELECT rep, corr(s.x, z.y) AS rp FROM s{S.STEPS} s JOIN x z ON z.i = s.p GROUP BY rep), o AS (SELECT corr(x, y) AS r FROM x) SELECT round(r, 9) AS r, round((sum((abs(rp) >= abs(r) - 1e-12)::INT) + 1) / {REPS + 1}.0, 9) AS p FROM e, o GROUP BY r",
 )
 def m09(t):
     return S.permutation_p(cells(t), "cell", "view", "error", REPS, SEED).select(r("r").alias("r"), r("p").alias("p"))

@@ -467,3 +467,44 @@ def test_batches_of_nothing(spark, tmp_path):
 
     d = spark.createDataFrame([], "g string, at long, size int")
     assert R.budget_batches(d, "g", "at", "size", 20, 3, lambda name: str(tmp_path / f"{name}-{uuid.uuid4().hex}")).count() == 0
+
+
+def test_computed_permutations(spark):
+    """Bijections on any number of places, each permutation of four about equally often, and as one step after the other in plain Python."""
+    import hashlib
+    from collections import Counter
+
+    def plain(rep, n, p, seed=7):
+        for t in range(M.STEPS):
+            h = hashlib.md5(f"{seed}|{rep}|{t}".encode()).hexdigest()
+            q = (int(h[:8], 16) % n - p) % n
+            p = q if (max(p, q) + 1) % M.PRIME * (1 + int(h[8:16], 16) % (M.PRIME - 1)) % M.PRIME * 2 >= M.PRIME else p
+        return p
+
+    for n, reps in ((1, 3), (2, 50), (97, 40), (4, 4800)):
+        d = spark.range(n).withColumn("n", F.lit(n).cast("long")).crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))
+        got = {}
+        for x in M.with_permuted(d, "id", "n", 7, "to").select("rep", "id", "to").collect():
+            got.setdefault(x["rep"], {})[x["id"]] = x["to"]
+        assert len(got) == reps and all(sorted(g.values()) == list(range(n)) for g in got.values())
+        assert all(got[0][i] == plain(0, n, i) for i in range(n))
+        if n == 4:
+            seen = Counter(tuple(g[i] for i in range(4)) for g in got.values())
+            assert len(seen) == 24 and sum((v - 200) ** 2 / 200 for v in seen.values()) < 50  # 23 degrees of freedom: beyond 49.7 once in a thousand
+
+
+def test_permutation_p(spark):
+    """Near what numpy's permutations give, one-sided and two-sided; without a sort of permuted rows."""
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    x = g.normal(size=60)
+    y = 0.25 * x + g.normal(size=60)
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(90, None, 1.0), (91, 1.0, None)], "k long, x double, y double")
+    r = np.corrcoef(x, y)[0, 1]
+    rs = np.array([np.corrcoef(x, g.permutation(y))[0, 1] for _ in range(4000)])
+    for two, want in ((True, np.mean(np.abs(rs) >= abs(r))), (False, np.mean(rs >= r))):
+        got = M.permutation_p(d, "k", "x", "y", 2000, 7, two)
+        row = got.first()
+        assert row["r"] == pytest.approx(r) and abs(row["p"] - want) < 5 * math.sqrt(max(want, 0.01) / 2000)
+    assert "rep" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x)
