@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import blocks as BL
+from ..operators import factors as L
 from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import vectors as V
@@ -165,6 +166,40 @@ def r03(t):
     return S.rrf(two_channels(t), 10).select("query", "key", "rank")
 
 
+#: Places of a latent vector.
+FACTORS = 32
+
+
+def latent(t):
+    """The documents' factors; whatever is kept goes to fresh paths of the shared folder."""
+    from ..sources import sinks as K
+
+    return L.LatentSpace(t.documents, "doc_id", S.terms(F.col("text")), FACTORS, lambda name: K.scratch(t.spark, f"latent-{name}"))
+
+
+def latent_channels(t, space, k=10):
+    """two_channels with vectors of the corpus's own factors, found by cells of their index."""
+    from ..sources import sinks as K
+
+    path = lambda name: K.scratch(t.spark, f"latent-{name}")
+    found = V.CellIndex(space.documents(), "key", "vector", path("cells")).search(space.embed(t.benchmark, "item_id", S.terms(F.col("text"))), "key", "vector", k, path, others=False)
+    side = lambda found, no: found.select("query", "key", F.lit(no).alias("list_no"), (F.col("rank") - 1).alias("rank"))
+    return side(found, 0).union(side(bm25(t, k), 1))
+
+
+@query("r03_latent_values")
+def r03_values(t):
+    """The greatest singular values of the documents' weighted terms."""
+    rows = [(i + 1, round(float(v), 6)) for i, v in enumerate(latent(t).values)]  # FACTORS of them
+    return t.spark.createDataFrame(rows, "factor int, value double")
+
+
+@query("r03_latent_hybrid")
+def r03_latent(t):
+    """Hybrid search whose dense side is the corpus's own factors."""
+    return S.rrf(latent_channels(t, latent(t)), 10).select("query", "key", "rank")
+
+
 OVERLAP = f"len(list_intersect(list_distinct({TOKENS.replace('text', 'b.text')}), {TOKENS.replace('text', 'd.text')})) / greatest(len(list_distinct({TOKENS.replace('text', 'b.text')})), 1)"
 
 

@@ -508,3 +508,58 @@ def test_permutation_p(spark):
         row = got.first()
         assert row["r"] == pytest.approx(r) and abs(row["p"] - want) < 5 * math.sqrt(max(want, 0.01) / 2000)
     assert "rep" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x)
+
+
+def test_singular_values_and_vectors(spark, tmp_path):
+    """Against numpy: all values where the width covers the rank, whatever the blocks; the leading ones of a larger matrix; repeated, null and zero entries."""
+    import numpy as np
+
+    from sparkloom.operators import factors as L
+
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((40, 9)) < 0.4, rng.integers(1, 9, (40, 9)), 0).astype(float)
+    dense[3], dense[7] = 0, dense[8]  # an empty row, two equal ones
+    rows = [(i, f"t{j}", float(dense[i, j]) / 2) for i in range(40) for j in range(9)] * 2 + [(None, "t1", 1.0), (1, None, 1.0), (2, "t2", None)]
+    entries = spark.createDataFrame(rows, "row long, col string, w double")
+    want = np.linalg.svd(dense, compute_uv=False)
+    for name, block, pair in (("one", 100, 10_000), ("many", 4, 20)):
+        m = L.SparseMatrix(entries, str(tmp_path / name), block, pair)
+        assert name == "one" or (m.cols > 2 and m.rows > 2)
+        values, vectors = L.decompose(m, 6, lambda x: str(tmp_path / f"{name}-{x}"))
+        assert values == pytest.approx(want[:6], rel=1e-9)
+        v = {r["at"]: np.array(r["x"]) for r in vectors.collect()}
+        v = np.array([v[f"t{j}"] for j in range(9)])
+        assert np.allclose(v.T @ v, np.eye(6), atol=1e-9)
+        assert np.allclose(np.abs(np.diag(np.linalg.svd(dense, full_matrices=False)[2][:6] @ v)), 1, atol=1e-9)
+        u = {r["at"]: r["x"] for r in m.times(vectors).collect()}
+        assert 3 not in u and np.allclose([u.get(i, [0] * 6) for i in range(40)], dense @ v)
+    empty = L.SparseMatrix(entries.limit(0), str(tmp_path / "none"))
+    values, vectors = L.decompose(empty, 2, lambda x: str(tmp_path / f"none-{x}"))
+    assert list(values) == [0, 0] and vectors.count() == 0
+
+
+def test_latent_space(spark, tmp_path):
+    """Vectors of texts against numpy's; a text given anew has its document's vector, texts without terms have none."""
+    import collections
+
+    import numpy as np
+
+    from sparkloom.operators import factors as L
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{g}{i}" for i in range(6)], rng.integers(3, 12))) for g in "abc" for _ in range(12)] + ["", None, "wa1 wa1 wb2"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    space = L.LatentSpace(d, "id", S.terms(F.col("text")), 3, lambda x: str(tmp_path / x), rounds=6)
+    words = sorted({w for t in texts if t for w in t.split()})
+    tf = np.array([[collections.Counter((t or "").split())[w] for w in words] for t in texts], float)
+    held = tf.sum(1) > 0
+    w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (1 + np.log((held.sum() + 1) / ((tf > 0).sum(0) + 1)))
+    w[held] /= np.linalg.norm(w[held], axis=1)[:, None]
+    _, s, vt = np.linalg.svd(w, full_matrices=False)
+    assert space.values == pytest.approx(s[:3], rel=1e-6)
+    got = {r["key"]: np.array(r["vector"]) for r in space.documents().collect()}
+    assert sorted(got) == [i for i in range(len(texts)) if held[i]]
+    mine, real = np.array([got[i] for i in sorted(got)]), (w @ vt[:3].T)[held]
+    assert np.allclose(mine @ mine.T, real @ real.T, atol=1e-4)  # signs are free
+    again = {r["key"]: np.array(r["vector"]) for r in space.embed(spark.createDataFrame([(1, texts[0]), (2, "unknown"), (3, None)], "q long, text string"), "q", S.terms(F.col("text"))).collect()}
+    assert list(again) == [1] and np.allclose(again[1], got[0])
