@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import scans as C
@@ -32,55 +33,109 @@ def _text_files(t, files: dict[str, str | bytes]) -> str:
     return base
 
 
-@query("s01_law_scan", "SELECT * FROM (VALUES ('Durch Klage kann begehrt werden.', 'VwGO § 42: Anfechtung', 'vwgo.xml', 'VwGO', '§ 42'), ('Ohne Namen', '', 'vwgo.xml', 'unknown', 'unknown')) v(text, title, filename, law_book, paragraph)")
+def law_files(t):
+    """(filename, xml): a statute a brand, its parts the norms; parts of size 1 have no text."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    key = F.col("p_partkey").cast("string")
+    head = tag("metadaten", F.concat(tag("jurabk", F.col("p_brand")), tag("enbez", F.concat(F.lit("§ "), key)), tag("titel", F.col("p_name"))))
+    text = F.when(F.col("p_size") > 1, tag("P", F.concat(F.lit("Vom "), F.col("p_type")))).otherwise(F.lit(""))
+    norms = t.part.select("p_brand", "p_partkey", tag("norm", F.concat(head, tag("textdaten", text))).alias("n"))
+    files = norms.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "n"))), lambda x: x["n"]), "\n").alias("n"))
+    return files.select(F.concat("p_brand", F.lit(".xml")).alias("filename"), F.concat(F.lit('<?xml version="1.0"?>'), tag("dokumente", F.col("n"))).alias("xml"))
+
+
+_NORMS = "SELECT 'Vom ' || p_type AS text, p_brand || ' § ' || p_partkey || ': ' || p_name AS title, p_brand || '.xml' AS filename, p_brand AS law_book, '§ ' || p_partkey AS paragraph FROM part"
+
+
+@query("s01_law_scan", f"{_NORMS} WHERE p_size > 1")
 def s01(t):
-    return C.parse_laws(t.spark, _text_files(t, {"a/vwgo.xml": LAW}))
+    return C.norms_of(law_files(t))
 
 
-@query("s02_first_snapshot", "SELECT * FROM (VALUES ('Durch Klage kann begehrt werden.', 'VwGO § 42: Anfechtung', '1.xml', 'VwGO', '§ 42'), ('Ohne Namen', '', '1.xml', 'unknown', 'unknown')) v(text, title, filename, law_book, paragraph)")
+@query("s02_first_snapshot", f"SELECT * REPLACE (CASE WHEN substr(paragraph, 3)::BIGINT % 2 = 0 THEN 'Alt' ELSE text END AS text, CASE WHEN substr(paragraph, 3)::BIGINT % 2 = 0 THEN '0-' ELSE '' END || filename AS filename) FROM ({_NORMS} WHERE p_size > 1)")
 def s02(t):
-    return C.first_snapshot(C.parse_laws(t.spark, _text_files(t, {"a/1.xml": LAW, "b/2.xml": LAW})))
+    """An earlier snapshot holds every second norm, with another text."""
+    now = C.norms_of(law_files(t))
+    old = now.where(F.substring_index("paragraph", " ", -1).cast("long") % 2 == 0).withColumns({"text": F.lit("Alt"), "filename": F.concat(F.lit("0-"), "filename")})
+    return C.first_snapshot(old.unionByName(now))
 
 
-@query("s05_page_headers", "SELECT * FROM (VALUES (1, 'a|b'), (2, 'same/a|same/b'), (3, 'x/Kopfzeile')) v(id, pages)")
+@query(
+    "s05_page_headers",
+    "WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations), g AS (SELECT conv_id, count(*) AS n, count(DISTINCT x) AS d, min(length(x)) AS l FROM c GROUP BY 1) "
+    "SELECT conv_id, string_agg(CASE WHEN n > 1 AND d = 1 AND l >= 5 THEN '' WHEN n > 1 THEN x ELSE turn || '/Conversation ' || conv_id || '/' || x END, '|' ORDER BY turn, x) AS pages FROM c JOIN g USING (conv_id) GROUP BY conv_id",
+)
 def s05(t):
-    pages = [(1, [["x", "Kopfzeile", "a"], ["y", "Kopfzeile", "b"]]), (2, [["same", "a"], ["same", "b"]]), (3, [["x", "Kopfzeile"]])]
-    d = t.spark.createDataFrame(pages, "id int, pages array<array<string>>")
-    return d.select("id", F.array_join(F.transform(C.without_headers(F.col("pages")), lambda p: F.array_join(p, "/")), "|").alias("pages"))
+    """A conversation's turns as pages under a running head: the turn's number, then the conversation's, then the text."""
+    text = F.coalesce("text", F.lit(""))
+    page = F.array(F.col("turn").cast("string"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")), text)
+    books = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("x"), page.alias("page")))), lambda x: x["page"]).alias("pages"))
+    return books.select("conv_id", F.array_join(F.transform(C.without_headers(F.col("pages")), lambda p: F.array_join(p, "/")), "|").alias("pages"))
 
 
-@query("s08_hit_list", "SELECT unnest(['AB1', 'C2']) AS doknr")
+@query("s08_hit_list", "SELECT DISTINCT o_custkey, 'D' || o_orderkey AS doknr FROM orders")
 def s08(t):
-    d = t.spark.createDataFrame([('<a href="?doc.id=AB1">x</a><a href="?doc.id=AB1"></a><a href="?doc.id=C2">',)], "html string")
-    return d.select(F.explode(C.hit_list(F.col("html"))).alias("doknr"))
+    """A page of hits a customer: each order is linked twice."""
+    link = F.concat(F.lit('<a href="?doc.id=D'), F.col("o_orderkey").cast("string"), F.lit('">x</a>'))
+    pages = t.orders.groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(link, link)), "\n").alias("html"))
+    return pages.select("o_custkey", F.explode(C.hit_list(F.col("html"))).alias("doknr"))
 
 
-@query("s09_decision_xml", "SELECT 'VGH' AS court, '2020-01-02' AS date, '1 B 2' AS file_number, 'VwGO § 1' AS norms, 'Eins|Zwei' AS paragraphs")
+@query(
+    "s09_decision_xml",
+    "SELECT o_orderpriority AS court, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey || ' B ' || o_custkey AS file_number, coalesce(string_agg('P § ' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_quantity), '') AS norms, "
+    "coalesce(string_agg('Menge ' || l_quantity::BIGINT, '|' ORDER BY l_linenumber, l_partkey, l_quantity), '') AS paragraphs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority, o_orderdate",
+)
 def s09(t):
-    xml = "<d><gertyp>VGH</gertyp><entsch-datum>2020-01-02</entsch-datum><aktenzeichen>1 B 2</aktenzeichen><norm>VwGO § 1</norm><absatz>Eins</absatz><absatz>Zwei</absatz></d>"
-    d = t.spark.createDataFrame([(xml,)], "xml string")
+    """An order as a decision, its lines as norms and paragraphs."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    each = F.transform("l", lambda x: F.concat(tag("norm", F.concat(F.lit("P § "), x["l_partkey"].cast("string"))), tag("absatz", F.concat(F.lit("Menge "), x["l_quantity"].cast("long").cast("string")))))
+    number = F.concat(F.col("o_orderkey").cast("string"), F.lit(" B "), F.col("o_custkey").cast("string"))
+    head = F.concat(tag("gertyp", F.col("o_orderpriority")), tag("entsch-datum", F.date_format("o_orderdate", "yyyy-MM-dd")), tag("aktenzeichen", number))
+    d = t.orders.join(lines, "o_orderkey", "left").select(tag("d", F.concat(head, F.coalesce(F.array_join(each, ""), F.lit("")))).alias("xml"))
     return d.select(*[(F.array_join(c, "|") if n in ("norms", "paragraphs") else c).alias(n) for n, c in C.decision_xml(F.col("xml")).items()])
 
 
-@query("s10_decision_json", "SELECT 'd1' AS doc_id, 'VG' AS court, '2021-02-03' AS date, 'M 1 K 20.1' AS file_number, 'm1k201' AS az_key, 'Urteil' AS doktyp, 'VwGO § 42' AS norm_chain, 'Eins' || chr(10) || 'Zwei' AS text")
+@query(
+    "s10_decision_json",
+    "SELECT doc_id::VARCHAR AS doc_id, source AS court, printf('2021-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1) AS date, 'M ' || doc_id || ' K 20.1' AS file_number, 'm' || doc_id || 'k201' AS az_key, lang AS doktyp, 'VwGO § ' || n_chars AS norm_chain, coalesce(text, '') AS text FROM documents",
+)
 def s10(t):
-    row = {"id": "d1", "court": "VG", "date": "03.02.2021", "file_number": "M 1 K 20.1", "type": "Urteil", "norms": ["VwGO § 42"], "paragraphs": [{"rd": 1, "text": "Eins"}, {"rd": None, "text": "Zwei"}]}
-    d = C.parse_decisions(t.spark, _text_files(t, {"d.json": json.dumps(row)}))
-    return d.drop("paragraphs").withColumn("norm_chain", F.array_join("norm_chain", "|"))
-
-
-@query("s07_zip_scan", "SELECT * FROM (VALUES ('whole.zip', 'a.xml', 344), ('broken.zip', 'a.xml', 344)) v(archive, member, n)")
+    """Every document as a decision in JSON, its lines as paragraphs."""
+    key, two = F.col("doc_id").cast("string"), lambda n: F.lpad((F.col("doc_id") % n + 1).cast("string"), 2, "0")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.lit(None).cast("int").alias("rd"), x.alias("text")))
+    d = t.documents.select(
+        key.alias("id"), F.col("source").alias("court"), F.concat_ws(".", two(28), two(12), F.lit("2021")).alias("date"), F.concat(F.lit("M "), key, F.lit(" K 20.1")).alias("file_number"),
+        F.col("lang").alias("type"), F.array(F.concat(F.lit("VwGO § "), F.col("n_chars").cast("string"))).alias("norms"), lines.alias("paragraphs"),
+    )
+    path = K.scratch(t.spark, "decisions")
+    d.write.json(path)
+    return C.parse_decisions(t.spark, path).drop("paragraphs").withColumn("norm_chain", F.array_join("norm_chain", "|"))
+
+
+@query("s07_zip_scan", "SELECT doc_id::VARCHAR || '.zip' AS archive, doc_id::VARCHAR || '.txt' AS member, length(coalesce(text, ''))::INT AS n, md5(coalesce(text, '')) AS digest FROM documents")
 def s07(t):
-    import io
-    import zipfile
-
-    b = io.BytesIO()
-    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("a.xml", LAW)
-    whole = b.getvalue()
-    files = {"whole.zip": whole, "broken.zip": whole[: whole.index(b"PK\x01\x02")]}
-    found = C.read_zips(t.spark, _text_files(t, files))
-    return found.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", F.length("content").alias("n"))
+    """Every document in an archive; the directories of every second are cut off."""
+    @F.pandas_udf("binary")
+    def archive(names: pd.Series, texts: pd.Series, whole: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        out = []
+        for name, text, w in zip(names, texts, whole):
+            b = io.BytesIO()
+            with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(name, text)
+                end = z.fp.tell()
+            out.append(b.getvalue() if w else b.getvalue()[:end])
+        return pd.Series(out)
+
+    key = F.col("doc_id").cast("string")
+    files = t.documents.select(F.concat(key, F.lit(".zip")).alias("path"), archive(F.concat(key, F.lit(".txt")), F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0).alias("content"))
+    text = F.decode("content", "UTF-8")
+    return C.zip_members(files).select("archive", "member", F.length(text).alias("n"), F.md5("content").alias("digest"))
 
 
 _HEAD = clean_html_sql("coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")
@@ -119,10 +174,14 @@ def s16(t):
     return C.read_csv(t.spark, path, "r_regionkey int, r_name string")
 
 
-@query("s17_seat_lines", "SELECT * FROM (VALUES (1, 0.5::DOUBLE, NULL), (3, NULL, 'x')) v(index, score, error)")
+@query("s17_seat_lines", "SELECT o_orderkey AS index, o_totalprice AS score, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS error FROM orders WHERE o_orderkey % 7 <> 3")
 def s17(t):
-    lines = '{"index": 1, "model": "a", "score": 0.5}\n\n{"index": 2, "model": "a", "sco\n{"index": 3, "model": "a", "error": "x"}\n'
-    return C.read_seat(t.spark, _text_files(t, {"seat.jsonl": lines}), ["index", "score", "error"])
+    """An order a line; some lines are torn, and each is followed by a blank one."""
+    whole = F.to_json(F.struct(F.col("o_orderkey").alias("index"), F.lit("a").alias("model"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).alias("error")))
+    line = F.when(F.col("o_orderkey") % 7 == 3, F.expr("left(line, length(line) - 9)")).otherwise(F.col("line"))
+    path = K.scratch(t.spark, "seat")
+    t.orders.withColumn("line", whole).select(F.concat(line, F.lit("\n")).alias("value")).write.text(path)
+    return C.read_seat(t.spark, path, ["index", "score", "error"])
 
 
 @query("s18_parquet_scan", "SELECT n_nationkey, n_name FROM nation")
@@ -375,10 +434,14 @@ def u09(t):
     return p.select("gen", "case_id").distinct().join(p.where("judge = 'view'").select("gen", "case_id"), ["gen", "case_id"], "left_anti")
 
 
-@query("u16_input_guard", "SELECT 0::BIGINT AS differing")
+@query("u16_input_guard", "SELECT count(*) AS differing FROM conversations WHERE role = 'user' AND (conv_id % 3 = 0 OR turn % 4 = 2) AND conv_id IS NOT NULL AND turn IS NOT NULL")
 def u16(t):
-    c = t.conversations.select("conv_id", "turn", "text")
-    return t.spark.createDataFrame([(U.identical_inputs(c, c, ["conv_id", "turn"], "text"),)], "differing long")
+    """Prompts rebuilt from the turns against stored ones, of which some lack a blank at the end and some are missing."""
+    built = t.conversations.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit(U.PROMPTS["plain"]), F.coalesce("text", F.lit("")), F.lit(" ")).alias("prompt"))
+    path = K.scratch(t.spark, "prompts")
+    cut = F.when(F.col("conv_id") % 3 == 0, F.expr("left(prompt, length(prompt) - 1)")).otherwise(F.col("prompt"))
+    built.where("turn % 4 <> 2").withColumn("prompt", cut).write.parquet(path)
+    return t.spark.createDataFrame([(U.identical_inputs(built, t.spark.read.parquet(path), ["conv_id", "turn"], "prompt"),)], "differing long")
 
 
 @query("u17_spend", f"WITH {PANEL} SELECT judge, count(*) AS rows, round(count(*) * length(judge) / 10.0, 9)::DOUBLE AS cost FROM panel GROUP BY judge")
@@ -393,10 +456,13 @@ def u19(t):
     return panel(t).groupBy("gen", "case_id").agg((5 - F.count("*")).alias("todo")).where("todo > 0")
 
 
-@query("u04_reassembly", "SELECT 'Hallo Welt' AS text")
+@query("u04_reassembly", "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations")
 def u04(t):
-    lines = ['data: {"choices": [{"delta": {"content": "Hallo "}}]}', "", "data: {torn", 'data: {"choices": [{"delta": {"content": "Welt"}}]}', "data: [DONE]", 'data: {"choices": [{"delta": {"content": "!"}}]}']
-    return t.spark.createDataFrame([(U.reassemble(lines),)], "text string")
+    """Every turn as the lines of a stream, a word each, with blank and torn lines between and one after the end."""
+    words = F.split(F.coalesce("text", F.lit("")), r"(?<= )", -1)
+    piece = lambda w: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(w.alias("content")).alias("delta"))).alias("choices"))))
+    lines = F.flatten(F.transform(words, lambda w: F.array(piece(w), F.lit(""), F.lit("data: {torn"))))
+    return U.with_reassembled(t.conversations.select("conv_id", "turn", F.concat(lines, F.array(F.lit("data: [DONE]"), piece(F.lit("!")))).alias("lines")), "lines", "text").drop("lines")
 
 
 @query(
@@ -410,13 +476,14 @@ def u07(t):
     return U.evaluate(tasks, "item_id", "text", "stub", ["a", "b"])
 
 
-@query("u10_overwrite_models", "SELECT 'a' AS model, 1 AS n UNION ALL SELECT 'b', 3")
+@query("u10_overwrite_models", "SELECT o_orderstatus AS model, CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE o_custkey END AS n FROM orders WHERE o_orderstatus IS NOT NULL")
 def u10(t):
+    """Order keys by status; then customers' keys of two statuses, of which one was there before."""
     path = K.scratch(t.spark, "models")
-    rows = lambda *x: t.spark.createDataFrame(list(x), "n int, model string")
-    U.overwrite_models(rows((1, "a"), (2, "b")), path)
-    U.overwrite_models(rows((3, "b")), path)
-    return t.spark.read.schema("n int, model string").parquet(path)
+    rows = lambda c, *which: t.orders.where(F.col("o_orderstatus").isin(*which)).select(F.col(c).alias("n"), F.col("o_orderstatus").alias("model"))
+    U.overwrite_models(rows("o_orderkey", "F", "O"), path)
+    U.overwrite_models(rows("o_custkey", "O", "P"), path)
+    return t.spark.read.schema("n long, model string").parquet(path)
 
 
 def _scripted(outcomes: list):

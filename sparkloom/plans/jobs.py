@@ -190,6 +190,19 @@ def evaluate(tasks: DataFrame, key: str, question: str, model: str, seats: list[
     return answers.join(wide, key, "left").join(least, key, "left")
 
 
+def with_reassembled(df: DataFrame, lines: str, name: str) -> DataFrame:
+    """df with the text of each array of streamed lines."""
+    from ..session import ship
+
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def whole(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: reassemble(list(v)) if v is not None else None)
+
+    return df.withColumn(name, whole(lines))
+
+
 def overwrite_models(results: DataFrame, path: str) -> None:
     """Replace the partitions of the models in results, and no others."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)

@@ -53,12 +53,17 @@ def read_seat(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def parse_laws(spark: SparkSession, path: str) -> DataFrame:
-    """(text, title, filename, law_book, paragraph) of the norms in XML files under a folder.
+    """(text, title, filename, law_book, paragraph) of the norms in XML files under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
+    return norms_of(files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("xml")))
+
+
+def norms_of(files: DataFrame) -> DataFrame:
+    """(text, title, filename, law_book, paragraph) of files (filename, xml).
 
     Each file is one document; its norms are rows. Norms without text drop out, missing names are 'unknown',
     the title is `book para: title` without trailing marks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
-    xml = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_replace(F.decode("content", "UTF-8"), r"(?s)<\?xml[^>]*\?>|<!DOCTYPE[^>]*>", "").alias("xml"))
+    xml = files.select("filename", F.regexp_replace("xml", r"(?s)<\?xml[^>]*\?>|<!DOCTYPE[^>]*>", "").alias("xml"))
     norms = xml.select("filename", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)(<norm\b.*?</norm>)"), F.lit(1))).alias("n"))
     first = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("n", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", "")), F.lit(""))
     body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("n", r"(?s)<textdaten>(.*)</textdaten>", 1), "<[^>]+>", " "), r"\s+", " "))
@@ -126,21 +131,25 @@ def without_headers(pages: Column, deepest: int = 9, least: int = 5) -> Column:
 
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of zip files, also of ones whose directory is broken: then the local
-    headers are walked. Archives are files of one task each."""
+    """(archive, member, content) of the zip files under a folder. Archives are files of one task each."""
+    return zip_members(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """(archive, member, content) of archives (path, content), also of ones whose directory is broken: then the local
+    headers are walked."""
     import pandas as pd
 
     from ..session import ship
 
-    ship(spark)
+    ship(files.sparkSession)
 
     def members(frames):
         for f in frames:
             rows = [(p, n, c) for p, blob in zip(f["path"], f["content"]) for n, c in unzip(blob)]
             yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(members, "archive string, member string, content binary")
+    return files.select("path", "content").mapInPandas(members, "archive string, member string, content binary")
 
 
 def unzip(blob: bytes) -> list[tuple[str, bytes]]:

@@ -563,3 +563,35 @@ def test_latent_space(spark, tmp_path):
     assert np.allclose(mine @ mine.T, real @ real.T, atol=1e-4)  # signs are free
     again = {r["key"]: np.array(r["vector"]) for r in space.embed(spark.createDataFrame([(1, texts[0]), (2, "unknown"), (3, None)], "q long, text string"), "q", S.terms(F.col("text"))).collect()}
     assert list(again) == [1] and np.allclose(again[1], got[0])
+
+
+LAW = """<dokumente><norm><metadaten><jurabk>VwGO</jurabk><enbez>§ 42</enbez><titel>Anfechtung</titel></metadaten><textdaten><P>Durch Klage kann begehrt werden.</P></textdaten></norm>
+<norm><metadaten><jurabk>VwGO</jurabk></metadaten><textdaten></textdaten></norm><norm><metadaten></metadaten><textdaten><P>Ohne Namen</P></textdaten></norm></dokumente>"""
+
+
+def test_statute_and_decision_files(spark, tmp_path):
+    import json
+
+    for f in ("b/2.xml", "a/1.xml"):
+        (tmp_path / f).parent.mkdir()
+        (tmp_path / f).write_text(LAW)
+    laws = scans.parse_laws(spark, str(tmp_path))
+    assert laws.count() == 4
+    got = sorted(tuple(r) for r in scans.first_snapshot(laws).select("text", "title", "filename", "law_book", "paragraph").collect())
+    assert got == [("Durch Klage kann begehrt werden.", "VwGO § 42: Anfechtung", "1.xml", "VwGO", "§ 42"), ("Ohne Namen", "", "1.xml", "unknown", "unknown")]
+    row = {"id": "d1", "court": "VG", "date": "03.02.2021", "file_number": "M 1 K 20.1", "paragraphs": [{"rd": 1, "text": "Eins"}, {"rd": None, "text": "Zwei"}]}
+    (tmp_path / "d.json").write_text(json.dumps(row))
+    d = scans.parse_decisions(spark, str(tmp_path / "d.json")).first()
+    assert (d["date"], d["az_key"], d["norm_chain"], d["text"]) == ("2021-02-03", "m1k201", [], "Eins\nZwei")
+
+
+def test_page_headers(spark):
+    pages = [(1, [["x", "Kopfzeile", "a"], ["y", "Kopfzeile", "b"]]), (2, [["same", "a"], ["same", "b"]]), (3, [["x", "Kopfzeile"]])]
+    d = spark.createDataFrame(pages, "id int, pages array<array<string>>")
+    got = {r["id"]: r["p"] for r in d.select("id", scans.without_headers(F.col("pages")).alias("p")).collect()}
+    assert got == {1: [["a"], ["b"]], 2: [["same", "a"], ["same", "b"]], 3: [["x", "Kopfzeile"]]}
+
+
+def test_streamed_lines():
+    lines = ['data: {"choices": [{"delta": {"content": "Hallo "}}]}', "", "data: {torn", 'data: {"choices": [{"delta": {"content": "Welt"}}]}', "data: [DONE]", 'data: {"choices": [{"delta": {"content": "!"}}]}']
+    assert U.reassemble(lines) == "Hallo Welt"
