@@ -15,6 +15,64 @@ TARGET, LONGEST, SHORTEST = 1500, 2200, 200
 _SPAN_WORD = re.compile(r"[\w§]+")
 
 
+def _span_words(text: str | None) -> list[str]:
+    return _SPAN_WORD.findall((text or "").lower())
+
+
+class Runs:
+    """A suffix automaton of a text's words, through which other texts stream in linear time, however often words repeat."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.next: list[dict[str, int]] = [{}]  # by state: where a word leads
+        self.link, self.size = [-1], [0]  # the state of the longest run with other ends; words of a state's longest run
+        last = 0
+        for w in words:
+            new = self._state({}, 0, self.size[last] + 1)
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][w]
+                if self.size[q] > self.size[p] + 1:  # q also stands for longer runs: its shorter ones get a state of their own
+                    short = self._state(dict(self.next[q]), self.link[q], self.size[p] + 1)
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = short
+                        p = self.link[p]
+                    self.link[q] = q = short
+                self.link[new] = q
+            last = new
+
+    def _state(self, leads: dict[str, int], link: int, size: int) -> int:
+        self.next.append(leads)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def longest(self, words: list[str], most: int) -> int:
+        """Words of the longest run shared with the automaton's text, at most so many."""
+        best = at = n = 0
+        for w in words:
+            while at and w not in self.next[at]:
+                at = self.link[at]
+                n = self.size[at]
+            if w in self.next[at]:
+                at, n = self.next[at][w], n + 1
+                if n > best:
+                    best = n
+                    if best >= most:
+                        return most
+        return best
+
+
+def longest_span(a: str | None, b: str | None, most: int = 400) -> int:
+    """Words of the longest run that both texts hold whatever its case, at most so many."""
+    return Runs(_span_words(b)).longest(_span_words(a), most)
+
+
+_WORD = re.compile(r"[\w§]+")
+
+
 def longest_span(a: str | None, b: str | None, most: int = 400) -> int:
     """Words of the longest run that both texts hold whatever its case, at most so many: suffix lengths in one pass over the
     positions of equal words."""
@@ -53,13 +111,19 @@ def rouge_l(answer: str | None, target: str | None) -> float:
 
 
 def with_longest_span(pairs: DataFrame, a: str, b: str, name: str = "span", most: int = 400) -> DataFrame:
+    """pairs with the words of the longest run that both texts share. In each batch an automaton is made once for each text of b, one at a
+    time, and all of its texts of a stream through it."""
     from ..session import ship
 
     ship(pairs.sparkSession)
 
     @F.pandas_udf("int")
     def span(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([longest_span(p, q, most) for p, q in zip(x, y)])
+        out = pd.Series(0, index=x.index)
+        for text, texts in x.groupby(y.fillna("")):
+            runs = Runs(_span_words(text))
+            out[texts.index] = [runs.longest(_span_words(t), most) for t in texts]
+        return out
 
     return pairs.withColumn(name, span(a, b))
 

@@ -595,3 +595,24 @@ def test_page_headers(spark):
 def test_streamed_lines():
     lines = ['data: {"choices": [{"delta": {"content": "Hallo "}}]}', "", "data: {torn", 'data: {"choices": [{"delta": {"content": "Welt"}}]}', "data: [DONE]", 'data: {"choices": [{"delta": {"content": "!"}}]}']
     assert U.reassemble(lines) == "Hallo Welt"
+
+
+def brute_span(a: str, b: str) -> int:
+    """Every run of a tried at every place of b."""
+    x, y = a.lower().split(), b.lower().split()
+    return max((n for i in range(len(x)) for n in range(1, len(x) - i + 1) if any(y[j : j + n] == x[i : i + n] for j in range(len(y) - n + 1))), default=0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abC"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(1, 20))
+def test_longest_span_of_all_runs(a, b, most):
+    a, b = " ".join(a), " ".join(b)
+    assert Y.longest_span(a, b, most) == min(brute_span(a, b), most)
+
+
+def test_longest_span_in_batches(spark):
+    """Nulls, empty and repeated texts; a word repeated 30,000 times on both sides takes linear time."""
+    texts = [(0, "a b c", "x A B"), (1, None, "a"), (2, "a", None), (3, "", ""), (4, "a b c", "x A B"), (5, "q b c", "b c q"), (6, "w " * 30_000, "w " * 30_000), (7, "w " * 300 + "v", "w " * 30_000)]
+    d = spark.createDataFrame(texts, "id int, p string, q string")
+    got = {r["id"]: r["span"] for r in Y.with_longest_span(d, "p", "q", most=100_000).collect()}
+    assert got == {0: 2, 1: 0, 2: 0, 3: 0, 4: 2, 5: 2, 6: 30_000, 7: 300}
