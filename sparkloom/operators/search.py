@@ -256,39 +256,65 @@ def configuration(name: str, changes: dict, k: int) -> tuple:
     return (name, *(c[x] for x in ("corpus", "mode", "query", "merge", "drop_structural", "rerank", "pool", "fusion_w", "cite", "two_hop", "ls_depth", "ls_official", "ls_context", "drop_norms")), budget)
 
 
+#: What decides a configuration's pool; the rest only re-orders and cuts it.
+POOLED = ["corpus", "mode", "query_kind", "merge", "drop_structural", "fusion_w", "cite", "two_hop", "ls_depth", "ls_official", "ls_context", "drop_norms"]
+
+
+def pools(configs: DataFrame) -> DataFrame:
+    """One row for each distinct pool of the configurations: its number (the first configuration's name), POOLED, the searches it needs as
+    (channel, query_kind), and its configurations with what they do to it."""
+    one = configs.groupBy(*POOLED).agg(F.min("config").alias("pool_no"), F.collect_list(F.struct("config", "rerank", "pool", "budget")).alias("members"))
+    norms, lone = ~F.col("drop_norms"), (F.coalesce(F.col("cite"), F.lit("")) == "only") | (F.coalesce(F.col("two_hop"), F.lit("")) == "only")
+    searched = norms & ~lone
+    kinds = {
+        "vector": searched & F.col("mode").isin("hybrid", "vector"), "fts": searched & F.col("mode").isin("hybrid", "fts"),
+        "cite": norms & F.col("cite").isNotNull(), "hop": norms & F.col("two_hop").isNotNull(), "ls": F.col("ls_context") > 0,
+    }
+    needs = F.array(*[F.when(cond, F.struct(F.lit(name).alias("channel"), (F.lit("") if name == "cite" else F.col("query_kind")).alias("need_kind"))) for name, cond in kinds.items()])
+    return one.withColumn("needs", F.filter(needs, lambda x: x.isNotNull()))
+
+
+def shared_work(configs: DataFrame) -> DataFrame:
+    """(configs, pools, searches, searches_alone): how many pools and searches all configurations need together, and how many searches they would
+    need one by one."""
+    p = pools(configs)
+    counts = p.agg(F.sum(F.size("members")).alias("configs"), F.count("*").alias("pools"), F.sum(F.size("members") * F.size("needs")).alias("searches_alone"))
+    return counts.crossJoin(F.broadcast(p.select(F.explode("needs").alias("n")).agg(F.countDistinct("n").alias("searches")))).select("configs", "pools", "searches", "searches_alone")
+
+
 def sweep(hits: DataFrame, scores: DataFrame, configs: DataFrame, k: int) -> DataFrame:
     """(config, query, key, rank): the first k of every configuration (rows of CONFIG_SCHEMA), in one plan whatever their number.
 
     hits: (query, key, channel, query_kind, list_no, rank from 0, state, structural, official); channels are vector and fts
     (searches), cite (exact look-ups), hop (keys that found headnotes name) and ls (the headnotes themselves).
-    scores: (query, key, scores map<string, double>) of re-rankers. Keys of cite and hop lead what is searched."""
-    c = F.broadcast(configs)  # a row a configuration
+    scores: (query, key, scores map<string, double>) of re-rankers. Keys of cite and hop lead what is searched.
+
+    Lists meet the pools that need them by channel and kind of query; a pool that several configurations share is merged and ordered once,
+    and only its first places go to each of them to be re-ranked and routed."""
+    pool = pools(configs)
+    need = F.broadcast(pool.select("pool_no", *[x for x in POOLED if x not in ("mode", "cite", "two_hop", "drop_norms", "query_kind")], F.explode("needs").alias("n")).select("*", "n.channel", "n.need_kind").drop("n"))  # at most five rows a pool
+    lists = hits.withColumn("need_kind", F.when(F.col("channel") == "cite", F.lit("")).otherwise(F.col("query_kind")))
     search = F.col("channel").isin("vector", "fts")
-    wanted = (
-        F.when(search, (F.col("h.query_kind") == F.col("c.query_kind")) & ((F.col("mode") == "hybrid") | (F.col("mode") == F.col("channel"))) & F.coalesce(F.col("cite") != "only", F.lit(True)) & F.coalesce(F.col("two_hop") != "only", F.lit(True)) & ~F.col("drop_norms"))
-        .when(F.col("channel") == "cite", F.col("cite").isNotNull() & ~F.col("drop_norms"))
-        .when(F.col("h.query_kind") != F.col("c.query_kind"), False)
-        .when(F.col("channel") == "hop", F.col("two_hop").isNotNull() & (F.col("rank") < F.col("ls_depth")) & (~F.col("ls_official") | F.col("official")) & ~F.col("drop_norms"))
-        .otherwise(F.col("rank") < F.col("ls_context"))
-    )
+    deep = F.when(F.col("channel") == "hop", (F.col("rank") < F.col("ls_depth")) & (~F.col("ls_official") | F.col("official"))).when(F.col("channel") == "ls", F.col("rank") < F.col("ls_context")).otherwise(True)
     allowed = ((F.col("corpus") == "combined") | ~F.col("state")) & (~F.col("drop_structural") | ~F.col("structural"))
-    met = hits.alias("h").join(c.alias("c"), wanted & allowed)
+    met = lists.join(need, ["channel", "need_kind"]).where(deep & allowed)
     weight = F.when(F.col("fusion_w").isNull(), 1.0).when(F.col("channel") == "vector", F.col("fusion_w")).otherwise(1 - F.col("fusion_w"))
     lead = F.when(F.col("channel") == "cite", 0).when(F.col("channel") == "hop", 1).when(F.col("channel") == "ls", 2).otherwise(3)
     place = F.when(F.col("channel") == "fts", 100).otherwise(0) + F.col("list_no")
     order = F.when(F.col("merge") == "roundrobin", F.col("rank") * 1000 + place).when(F.col("merge") == "concat", place * 1000 + F.col("rank")).otherwise(0)
-    kept = ["merge", "rerank", "pool", "budget"]
-    keyed = met.groupBy("config", "query", "key", *kept).agg(
+    keyed = met.groupBy("pool_no", "query", "key", "merge").agg(
         F.min(F.struct(lead.alias("lead"), F.when(search, 0).otherwise(F.col("rank")).alias("rank"))).alias("lead"),
         # whole numbers add up alike in any order
         F.sum(F.when(search, F.round(weight * 1e12 / (RRF + F.col("rank"))).cast("long")).otherwise(0)).alias("score"), F.min(F.when(search, order)).alias("order"), F.max("state").alias("state"),
     )
-    by = ["config", "query"]
     merged = F.when(F.col("merge") == "rrf", -F.col("score")).otherwise(0)
-    first = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("lead", merged, "order", "key"))).where("place <= pool")
-    scored = first.join(scores, ["query", "key"], "left")
+    ordered = keyed.withColumn("place", F.row_number().over(Window.partitionBy("pool_no", "query").orderBy("lead", merged, "order", "key")))
+    scored = ordered.join(scores, ["query", "key"], "left")
+    members = F.broadcast(pool.select("pool_no", F.explode("members").alias("m")).select("pool_no", "m.*"))  # a row a configuration
+    first = scored.join(members, "pool_no").where("place <= pool")
+    by = ["config", "query"]
     again = F.when(F.col("rerank").isNull(), 0.0).otherwise(-F.coalesce(F.col("scores")[F.col("rerank")], F.lit(0.0)))
-    second = scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(again, "place")))
+    second = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(again, "place")))
     in_kind = F.row_number().over(Window.partitionBy(*by, "state").orderBy("place"))
     routed = second.withColumn("in_kind", in_kind).where("budget IS NULL OR NOT state OR in_kind <= budget")
     front = F.when(F.col("budget").isNotNull() & F.col("state"), 0).otherwise(1)

@@ -616,3 +616,18 @@ def test_longest_span_in_batches(spark):
     d = spark.createDataFrame(texts, "id int, p string, q string")
     got = {r["id"]: r["span"] for r in Y.with_longest_span(d, "p", "q", most=100_000).collect()}
     assert got == {0: 2, 1: 0, 2: 0, 3: 0, 4: 2, 5: 2, 6: 30_000, 7: 300}
+
+
+def test_shared_pools(spark):
+    """Configurations that differ in what they do to a pool share it; searches are counted once."""
+    named = {"a": {}, "b": {"rerank": "x"}, "c": {"pool": 5}, "d": {"state_share": 0.5}, "e": {"mode": "fts"}, "f": {"cite": "only"}, "g": {"two_hop": "first", "query": "facts"}, "h": {"ls_context": 3, "drop_norms": True, "two_hop": "first"}}
+    configs = spark.createDataFrame([S.configuration(n, c, 10) for n, c in named.items()], S.CONFIG_SCHEMA)
+    got = {r["pool_no"]: (sorted(m["config"] for m in r["members"]), sorted((n["channel"], n["need_kind"]) for n in r["needs"])) for r in S.pools(configs).collect()}
+    q = "rewriter"
+    assert got == {
+        "a": (["a", "b", "c", "d"], [("fts", q), ("vector", q)]), "e": (["e"], [("fts", q)]), "f": (["f"], [("cite", "")]),
+        "g": (["g"], [("fts", "facts"), ("hop", "facts"), ("vector", "facts")]), "h": (["h"], [("ls", q)]),
+    }
+    assert tuple(S.shared_work(configs).first()) == (8, 5, 7, 14)
+    plan = S.sweep(spark.createDataFrame([], "query long, key long, channel string, query_kind string, list_no int, rank int, state boolean, structural boolean, official boolean"), spark.createDataFrame([], "query long, key long, scores map<string,double>"), configs, 5)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 0
