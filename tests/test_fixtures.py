@@ -631,3 +631,14 @@ def test_shared_pools(spark):
     assert tuple(S.shared_work(configs).first()) == (8, 5, 7, 14)
     plan = S.sweep(spark.createDataFrame([], "query long, key long, channel string, query_kind string, list_no int, rank int, state boolean, structural boolean, official boolean"), spark.createDataFrame([], "query long, key long, scores map<string,double>"), configs, 5)
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 0
+
+
+def test_hit_lists_decisions_and_seats(spark, tmp_path):
+    html = '<a href="?doc.id=AB1">x</a><a href="?doc.id=AB1"></a><a href="?doc.id=C2">'
+    assert one(spark, scans.hit_list(F.lit(html))) == ["AB1", "C2"]
+    xml = "<d><gertyp>VGH</gertyp><entsch-datum>2020-01-02</entsch-datum><aktenzeichen>1 B 2</aktenzeichen><norm>VwGO § 1</norm><absatz>Eins</absatz><absatz>Zwei</absatz></d>"
+    got = spark.createDataFrame([(xml,)], "xml string").select(*[c.alias(n) for n, c in scans.decision_xml(F.col("xml")).items()]).first().asDict()
+    assert got == {"court": "VGH", "date": "2020-01-02", "file_number": "1 B 2", "norms": ["VwGO § 1"], "paragraphs": ["Eins", "Zwei"]}
+    (tmp_path / "seat.jsonl").write_text('{"index": 1, "model": "a", "score": 0.5}\n\n{"index": 2, "model": "a", "sco\n{"index": 3, "model": "a", "error": "x"}\n')
+    rows = scans.read_seat(spark, str(tmp_path), ["index", "score", "error"]).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0.5, None), (3, None, "x")]
