@@ -642,3 +642,17 @@ def test_hit_lists_decisions_and_seats(spark, tmp_path):
     (tmp_path / "seat.jsonl").write_text('{"index": 1, "model": "a", "score": 0.5}\n\n{"index": 2, "model": "a", "sco\n{"index": 3, "model": "a", "error": "x"}\n')
     rows = scans.read_seat(spark, str(tmp_path), ["index", "score", "error"]).collect()
     assert sorted(map(tuple, rows)) == [(1, 0.5, None), (3, None, "x")]
+
+
+@pytest.mark.parametrize("mode, rows", [("complete", 4), ("append", 4)])
+def test_drained_streams_are_files(spark, tmp_path, mode, rows):
+    """Results lie in files, not in the driver's memory, and the session's state store stays as it was."""
+    from sparkloom.streaming import panel_stream as E
+
+    events = spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, CAST(id * id AS INT)) AS ts, id % 2 AS user_id, 'a' AS event_type, 1D AS value, '' AS props FROM (SELECT explode(array(0L, 0L, 1L, 2L, 3L)) AS id)")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = E.read_events(spark, str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = E.drain(E.sessions(stream, "3 hours") if mode == "complete" else E.first_wins(stream), f"t_{mode}", mode, str(tmp_path / "cp"))
+    assert got.inputFiles() and got.count() == rows
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
