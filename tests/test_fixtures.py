@@ -656,3 +656,22 @@ def test_drained_streams_are_files(spark, tmp_path, mode, rows):
     got = E.drain(E.sessions(stream, "3 hours") if mode == "complete" else E.first_wins(stream), f"t_{mode}", mode, str(tmp_path / "cp"))
     assert got.inputFiles() and got.count() == rows
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+@pytest.mark.parametrize("cells", [1, 50, 2_000_000])
+def test_bm25_by_document_equals_the_join(spark, tmp_path, cells, monkeypatch):
+    """Few queries score documents whole, without a row for each of a document's shares; the same as the join of any number, with ties, null
+    texts, null keys of queries, a repeated query and a query without terms, from texts and from a stored index."""
+    monkeypatch.setattr(S, "CELLS", cells)
+    texts = [(i, " ".join(f"w{(i * j * j) % 11}" for j in range(i % 7))) for i in range(40)] + [(90, None), (91, ""), (92, "w1 w2"), (93, "w1 w2")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w4"), (2, "w4 w5"), (3, "none"), (4, None), (None, "w1")], "q int, text string")
+    asked = q.select(F.col("q").alias("query"), F.explode(F.array_distinct(S.terms(F.col("text")))).alias("term"))
+    rows = lambda d: sorted(map(str, d.select("query", "key", F.round("score", 8), "rank").collect()))
+    index = S.Index(docs, "id", "text")
+    want = rows(S.joined(index, asked, 4))
+    sinks.write_index(index, str(tmp_path / "i"))
+    got = S.bm25(index, q, "q", "text", 4)
+    assert rows(got) == want and rows(S.bm25(S.StoredIndex(spark, str(tmp_path / "i")), q, "q", "text", 4)) == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString() and len(want) == 12
+    assert rows(S.joined(S.StoredIndex(spark, str(tmp_path / "i")), asked, 4)) == want
