@@ -340,7 +340,8 @@ def k04(t):
 
     path = K.scratch(t.spark, "k")
     K.write_index(Index(t.documents, "doc_id", "text"), path)
-    stored = t.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("words"), F.sum("key").alias("keys"))
+    postings = t.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("tf").alias("words"), F.sum("key").alias("keys"))
+    stored = t.spark.read.parquet(f"{path}/terms").select("term", "df").join(postings, "term")
     return stored.crossJoin(F.broadcast(t.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("docs"))))
 
 
