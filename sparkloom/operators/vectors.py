@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import map_arrow
+from ..session import map_arrow, ship
 from .ranking import counted, top_k
 
 #: Rows that centres are fitted on, rounds, and the greatest number of cells.
 SAMPLE, ROUNDS, MOST_CELLS = 65_536, 3, 4_096
+#: Vectors of a cell that a task has at once, about, and numbers of a product of them with queries.
+PIECE, PRODUCT = 16_384, 4_000_000
 #: Room for the rounding of scores to nine places and of distances, in distance.
 MARGIN = 1e-4
 
@@ -108,6 +110,46 @@ class CellIndex:
 
         return queries.transform(map_arrow, batches, f"query {kind}, qv array<double>, cells array<int>, bounds array<double>")
 
+    def _nearest(self, visits: DataFrame, k: int, others: bool) -> DataFrame:
+        """(query, key, score) of (query, qv, cell): of every piece of a cell the k nearest, ties by key. A piece is about PIECE vectors and meets all
+        queries that visit its cell in one product of matrices, made in blocks."""
+        pieces = {int(c): int(-(-n // PIECE)) for c, n in zip(self.numbers, self.sizes) if n > PIECE}  # at most MOST_CELLS numbers
+        split = F.create_map(*[F.lit(x) for p in pieces.items() for x in p]) if pieces else None
+        many = F.coalesce(split[F.col("cell")], F.lit(1)) if pieces else F.lit(1)
+        members = self.table.select("key", "v", "cell", F.pmod(F.xxhash64("key"), many).cast("int").alias("piece"))
+        asked = visits.select("query", "qv", "cell", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))).alias("piece"))
+        kinds = {"query": visits.schema["query"].dataType.simpleString(), "key": self.table.schema["key"].dataType.simpleString()}
+
+        def best(cell, queries):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            out = pa.table([queries["query"].slice(0, 0), cell["key"].slice(0, 0), pa.array([], pa.float64())], names=["query", "key", "score"])
+            if not len(cell) or not len(queries):
+                return out
+            cell = cell.take(pc.sort_indices(cell, [("key", "ascending")]))
+            x, keys = _matrix(cell["v"].combine_chunks()), cell["key"].combine_chunks()
+            parts = [out]
+            for a in range(0, len(queries), max(1, PRODUCT // len(x))):
+                block = queries.slice(a, max(1, PRODUCT // len(x)))
+                scores = np.round(_matrix(block["qv"].combine_chunks()) @ x.T, 9)
+                # a row more, as a query may meet itself; whatever equals the last of them stays
+                least = -np.partition(-scores, k, axis=1)[:, k] if len(x) > k + 1 else np.full(len(scores), -np.inf)
+                q, at = np.nonzero(scores >= least[:, None])
+                found = pa.table([block["query"].combine_chunks().take(pa.array(q)), keys.take(pa.array(at)), pa.array(scores[q, at])], names=["query", "key", "score"])
+                if others:
+                    same = pc.equal(found["query"], found["key"]).combine_chunks() if found["query"].type == found["key"].type else pc.equal(found["query"].cast(pa.string()), found["key"].cast(pa.string())).combine_chunks()
+                    met = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+                    q, at, found = q[met], at[met], found.filter(pa.array(met))
+                order = np.lexsort((at, -scores[q, at], q))
+                place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                parts.append(found.take(pa.array(order[place < k])))
+            return pa.concat_tables(parts)
+
+        ship(visits.sparkSession)
+        grouped = members.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece"))
+        return grouped.applyInArrow(best, f"query {kinds['query']}, key {kinds['key']}, score double")
+
     def search(self, queries: DataFrame, qkey: str, vector: str, k: int, scratch, others: bool = True, first: int = 2) -> DataFrame:
         """(query, key, score, rank, cells_read): the k nearest by cosine, rounded to nine places, ties by key. scratch: a function of a name to a
         path of the shared folder, where each round's best are kept."""
@@ -125,8 +167,7 @@ class CellIndex:
         while todo.limit(1).count():
             turn += 1
             visits = todo.select("query", "qv", F.explode(F.slice("cells", F.col("seen") + 1, F.lit(width))).alias("cell"))
-            pairs = self.table.select("key", "v", "cell").join(visits, "cell")
-            scored = (pairs.where(F.col("key") != F.col("query")) if others else pairs).select("query", "key", F.round(_dot(F.col("qv"), F.col("v")), 9).alias("score"))
+            scored = self._nearest(visits, k, others)
             earlier = scored if best is None else scored.unionByName(best.select("query", "key", "score"))
             best = kept(top_k(earlier, ["query"], k, F.desc("score"), F.asc("key")), f"best-{turn}")
             kth = best.groupBy(F.col("query").alias("__q")).agg(F.count("*").alias("n"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).alias("reach"))

@@ -675,3 +675,27 @@ def test_bm25_by_document_equals_the_join(spark, tmp_path, cells, monkeypatch):
     assert rows(got) == want and rows(S.bm25(S.StoredIndex(spark, str(tmp_path / "i")), q, "q", "text", 4)) == want
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString() and len(want) == 12
     assert rows(S.joined(S.StoredIndex(spark, str(tmp_path / "i")), asked, 4)) == want
+
+
+@pytest.mark.parametrize("piece, product", [(3, 2), (16_384, 4_000_000)])
+def test_cells_give_their_best_only(spark, tmp_path, piece, product, monkeypatch):
+    """A cell's piece gives k rows a query, not one for each pair, with copies among the vectors, and the search equals comparing all pairs."""
+    import uuid
+
+    from sparkloom.operators import vectors as V
+
+    monkeypatch.setattr(V, "PIECE", piece)
+    monkeypatch.setattr(V, "PRODUCT", product)
+    rows = [(i, [math.sin(i % 30 * j + j) for j in range(1, 6)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = d.where("id % 7 = 0")
+    index = V.CellIndex(d, "id", "v", str(tmp_path / "c"), 2)
+    visits = V.units(asked, "id", "v").select(F.col("key").alias("query"), F.col("v").alias("qv"), F.lit(int(index.numbers[0])).alias("cell"))
+    size = int(index.sizes[0])
+    most = 4 * (-(-size // piece) if size > piece else 1)
+    assert max(r["count"] for r in index._nearest(visits, 4, True).groupBy("query").count().collect()) <= min(most, size)
+    for others in (True, False):
+        got = index.search(asked, "id", "v", 4, lambda n: str(tmp_path / f"{n}-{uuid.uuid4().hex}"), others)
+        want = S.dense(d, asked, "id", "id", "v", 4, others=others)
+        say = lambda x: sorted((r["query"], r["rank"], r["key"], round(r["score"], 8)) for r in x.collect())
+        assert say(got) == say(want)
