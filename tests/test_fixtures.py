@@ -699,3 +699,17 @@ def test_cells_give_their_best_only(spark, tmp_path, piece, product, monkeypatch
         want = S.dense(d, asked, "id", "id", "v", 4, others=others)
         say = lambda x: sorted((r["query"], r["rank"], r["key"], round(r["score"], 8)) for r in x.collect())
         assert say(got) == say(want)
+
+
+def test_sweep_is_combined_by_hash(spark):
+    """Lists meet pools without sorting what is only added up; a configuration that finds nothing still has its rows."""
+    hits = spark.createDataFrame([(1, 10, "vector", "rewriter", 0, 0, False, False, True), (1, 11, "fts", "rewriter", 0, 0, False, False, True)], "query int, key int, channel string, query_kind string, list_no int, rank int, state boolean, structural boolean, official boolean")
+    scores = spark.createDataFrame([(1, 11, {"bge": 1.0})], "query int, key int, scores map<string,double>")
+    named = {"base": {}, "bge": {"merge": "rrf", "rerank": "bge"}, "none": {"cite": "only"}}
+    configs = spark.createDataFrame([S.configuration(n, c, 5) for n, c in named.items()], S.CONFIG_SCHEMA)
+    ranked = S.sweep(hits, scores, configs, 5)
+    assert "SortAggregate(key=[pool_no" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["config"], r["rank"], r["key"]) for r in ranked.collect()) == [("base", 1, 10), ("base", 2, 11), ("bge", 1, 11), ("bge", 2, 10)]
+    gold = spark.createDataFrame([(1, 11), (2, 5)], "query int, key int")
+    got = sorted((r["config"], r["k"], r["hits"], r["gold"], r["cases_with_hit"]) for r in S.recall_of_configs(ranked, gold, configs, [1, 5]).collect())
+    assert got == [("base", 1, 0, 2, 0), ("base", 5, 1, 2, 1), ("bge", 1, 1, 2, 1), ("bge", 5, 1, 2, 1), ("none", 1, 0, 2, 0), ("none", 5, 0, 2, 0)]
