@@ -122,6 +122,30 @@ def test_packer_keeps_all_text_and_numbers():
     assert chunks[0][1] == 0 and chunks[-1][2] == 39
 
 
+@pytest.mark.parametrize("name", ["f16_split_long", "f17_packer", "f27_citation_similarity", "f04_norm_chain"])
+def test_results_are_objects_for_few_rows_at_once(spark, monkeypatch, name):
+    """Results leave a task as Arrow by the slice; a batch never becomes pandas."""
+    from sparkloom import session
+    from sparkloom.plans import QUERIES
+
+    seen = []
+    real = session.row_function
+    monkeypatch.setattr(session, "row_function", lambda *a: seen.append(a[2]) or real(*a))
+    d = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen and "pythonUDF" in d._jdf.queryExecution().executedPlan().toString()
+    one = real(spark, lambda x: [str(x)] * (x or 0), "array<string>", __import__("pyarrow").list_(__import__("pyarrow").string()))
+    got = spark.range(0, 300, 1, 1).select("id", one(F.when(F.col("id") % 7 > 0, F.col("id") % 5)).alias("x")).collect()
+    assert all(r["x"] == [str(r["id"] % 5)] * (r["id"] % 5 if r["id"] % 7 else 0) for r in got)
+
+
+def test_entries_of_chains_are_parsed_once():
+    from sparkloom.functions import citations as C
+
+    C._entry.cache_clear()
+    assert C.chain(["VwGO § 42 Abs. 1, § 43", "GG Art. 3"]) == C.chain(["VwGO § 42 Abs. 1, § 43", "GG Art. 3"]) == [("vwgo", "42"), ("vwgo", "43"), ("gg", "3")]
+    assert C._entry.cache_info().hits == 2
+
+
 def test_citations():
     pairs = lambda t: [(c.book, c.section) for c in C.extract(t)]
     assert pairs("§§ 80, 80a VwGO") == [("VwGO", "80"), ("VwGO", "80a")]
