@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .ranking import top_k, with_row_number
-from .search import K1, B, part_of, terms
+from .search import K1, B, _counted, part_of, terms
 
 #: Documents of a range, and how many ranges a query reads before it knows a k-th score, and before it goes on to all others that reach it.
 BLOCK, TURNS = 64, (2, 16)
@@ -40,8 +41,7 @@ def write_blocks(corpus: DataFrame, key: str, text: str, path: str, order: list[
     documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/totals")
     totals = F.broadcast(spark.read.parquet(f"{path}/totals"))  # one row
     # a document's terms are counted where its text is; only counts are shuffled with ranges
-    words = held.join(documents.where("dl > 0"), "key").select("key", "dl", "range", F.explode(terms(F.col("text"))).alias("term"))
-    tf = words.groupBy("term", "range", "key", "dl").agg(F.count("*").cast("int").alias("tf")).crossJoin(totals)
+    tf = _frequencies(held.join(documents.where("dl > 0"), "key").select("key", "dl", "range", terms(F.col("text")).alias("t"))).crossJoin(totals)
     made = tf.groupBy("term", "range").agg(F.max(share(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("top"), F.collect_list(F.struct("key", "tf", "dl")).alias("postings"))
     made.withColumn("part", part_of(F.col("term"))).write.parquet(f"{path}/made")
     made = spark.read.parquet(f"{path}/made")
@@ -50,6 +50,21 @@ def write_blocks(corpus: DataFrame, key: str, text: str, path: str, order: list[
     dealt.sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{path}/blocks")
 
 
+def _frequencies(tokens: DataFrame) -> DataFrame:
+    """(term, range, key, dl, tf) of documents (key, dl, range, t)."""
+
+    def batches(it):
+        import pyarrow as pa
+
+        for b in it:
+            flat = b.column("t").flatten().dictionary_encode()
+            rows, ids, tf = _counted(b.column("t"), flat.indices.to_numpy(zero_copy_only=False), len(flat.dictionary))
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(ids)), *(b.column(c).take(at) for c in ("range", "key", "dl")), pa.array(tf, pa.int32())], ["term", "range", "key", "dl", "tf"])
+
+    return tokens.transform(map_arrow, batches, f"term string, range long, key {tokens.schema['key'].dataType.simpleString()}, dl int, tf int")
+
+
 class BlockIndex:
     """An index that write_blocks wrote."""
 

@@ -574,6 +574,16 @@ def test_products_move_what_blocks_hold(spark, tmp_path):
     assert m.held.count() == blocks < m.rows * 50
 
 
+def test_block_index_counts_where_texts_are(spark, tmp_path):
+    """Terms of a text with repeats, null and empty texts: counts as they are, made before rows are shuffled."""
+    from sparkloom.operators import blocks as BL
+
+    d = spark.createDataFrame([(1, 5, 7, ["b", "a", "b", "b"]), (2, 3, 7, ["a"]), (3, 0, 8, []), (4, None, 8, None)], "key long, dl int, range long, t array<string>")
+    tf = BL._frequencies(d)
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, tf.collect())) == [("a", 7, 1, 5, 1), ("a", 7, 2, 3, 1), ("b", 7, 1, 5, 3)]
+
+
 def test_latent_space(spark, tmp_path):
     """Vectors of texts against numpy's; a text given anew has its document's vector, texts without terms have none."""
     import collections
