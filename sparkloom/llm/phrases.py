@@ -3,8 +3,9 @@
 1. Words are counted for each language; those below the least count end every phrase, as ends of pieces do.
 2. Every occurrence of a word is a pointer to what follows it. An extension can need three more words at most, so a pointer travels as these; equal ones
    of a stretch of input travel once, with a count. Pointers are dealt by their prefix (a word of a language) to the task that
-   grows it. A prefix of more than LIMIT occurrences is dealt over several tasks by what follows, so that phrases of three and more
-   words are whole in one task, and counts of pairs are added up after.
+   grows it. A prefix of more than LIMIT occurrences is dealt over several tasks by the next word, so that its phrases are whole in one task. Only
+   a pair of two such words can have more than LIMIT occurrences itself; it is dealt by the word after it as well, and the counts of these few
+   pairs are added up after.
 3. A task sorts a prefix's pointers once, so that those of an extension are a range, and grows to the right, depth first: an extension
    that occurs often enough is a phrase, and its range is grown in turn.
 
@@ -133,7 +134,8 @@ def pointers(docs: DataFrame, coder: Coder, hot: dict[tuple[str, int], int]) ->
             codes, many = (np.array(x, np.uint64) for x in zip(*sorted(own)))
             place = np.minimum(np.searchsorted(codes, w[:, 0]), len(codes) - 1)
             is_hot = codes[place] == w[:, 0]
-            mixed = (w[:, 1] * np.uint64(0x9E3779B97F4A7C15) ^ w[:, 2]) * np.uint64(0xD1342543DE82EF95)
+            then = np.where(np.isin(w[:, 1], codes), w[:, 2], np.uint64(0))
+            mixed = (w[:, 1] * np.uint64(0x9E3779B97F4A7C15) ^ then) * np.uint64(0xD1342543DE82EF95)
             part[is_hot] = ((mixed >> np.uint64(33)) % many[place])[is_hot].astype(np.int64)
         order = np.lexsort((w[:, 3], w[:, 2], w[:, 1], part, w[:, 0]))
         w, part = w[order], part[order]
@@ -151,9 +153,9 @@ def pointers(docs: DataFrame, coder: Coder, hot: dict[tuple[str, int], int]) ->
     return docs.transform(map_arrow, batches, "lang string, prefix long, part int, block binary")
 
 
-def grow(rows: np.ndarray, least: int, whole: bool) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(words after the prefix, occurrences) of all extensions with at least `least`, depth first; unless the prefix is `whole` here, of
-    its one-word extensions whatever their number."""
+def grow(rows: np.ndarray, least: int, parted: np.ndarray | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(words after the prefix, occurrences) of all extensions with at least `least`, depth first; of the one-word extensions by words that
+    are `parted`, whose other occurrences are elsewhere, whatever their number."""
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     upto = np.append(0, np.cumsum(rows[:, 3].astype(np.int64)))
 
@@ -162,7 +164,9 @@ def grow(rows: np.ndarray, least: int, whole: bool) -> Iterator[tuple[tuple[int,
         first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
         last = np.append(first[1:], high - low)
         n = upto[low + last] - upto[low + first]
-        enough = n >= (1 if not found and not whole else least)
+        enough = n >= least
+        if not found and parted is not None:
+            enough |= np.isin(words[first], parted)
         for i in np.flatnonzero(enough & (words[first] > 0)).tolist():
             longer = (*found, int(words[first[i]]))
             yield longer, int(n[i])
@@ -189,6 +193,7 @@ def mine(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "l
         code = coder.open()
         for r in words.where(F.col("f") > limit).collect():
             hot[r["lang"], int(code([r["word"].encode()])[0])] = -(-r["f"] // limit)
+    parted: dict[str, np.ndarray] = {of: np.array([c for lang, c in hot if lang == of], np.uint64) for of in {lang for lang, _ in hot}}
     dealt = pointers(docs, coder, hot).repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +201,7 @@ def mine(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "l
         for table in by_group(it, 3):
             of, prefix = table["lang"][0].as_py(), table["prefix"][0].as_py() % 2**64
             rows = np.frombuffer(b"".join(table["block"].to_pylist()), coder.kind).reshape(-1, 4)
-            found = [((prefix, *w), n) for w, n in grow(rows, least, (of, prefix) not in hot)]
+            found = [((prefix, *w), n) for w, n in grow(rows, least, parted[of] if (of, prefix) in hot else None)]
             if found:
                 spelt = [" ".join(names[c - 1] for c in w) for w, _ in found] if names is not None else [None] * len(found)
                 codes = pa.array([[c - 2**64 if c >> 63 else c for c in w] for w, _ in found], pa.list_(pa.int64()))

@@ -162,3 +162,25 @@ def test_phrases_by_hashes_and_in_parts(spark, folder, monkeypatch):
         monkeypatch.setattr(phrases, name, value)
         assert sorted(map(str, phrases.collocations(docs, least=5).collect())) == plain
     assert len(plain) > 15 and phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_rare_pairs_of_hot_words_stay_where_they_are_counted(spark, monkeypatch):
+    """Only pairs of two hot words leave their tasks as parts, not every pair that begins with a hot word."""
+    from sparkloom.llm import phrases
+
+    docs = spark.createDataFrame([(i, f"hot rare{i} hot hot other{i % 7} hot warm{i % 300} rare{i}", "en") for i in range(1000)], "doc_id long, text string, lang string")
+    plain = sorted(map(str, phrases.mine(docs, 3)[0].collect()))
+    made, real = [], phrases.map_arrow
+
+    def spied(df, batches, schema):
+        out = real(df, batches, schema)
+        made.extend([out] * schema.startswith("lang string, codes"))
+        return out
+
+    monkeypatch.setattr(phrases, "map_arrow", spied)
+    monkeypatch.setattr(phrases, "LIMIT", 900)
+    for size in (phrases.VOCABULARY_BYTES, 0):
+        monkeypatch.setattr(phrases, "VOCABULARY_BYTES", size)
+        assert sorted(map(str, phrases.mine(docs, 3)[0].collect())) == plain
+        codes = [tuple(r["codes"]) for r in made.pop().collect()]
+        assert len(set(codes)) == sum("words=1" not in x for x in plain) and len(codes) < len(set(codes)) + 8
