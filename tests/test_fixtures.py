@@ -759,3 +759,16 @@ def test_sweep_is_combined_by_hash(spark):
     gold = spark.createDataFrame([(1, 11), (2, 5)], "query int, key int")
     got = sorted((r["config"], r["k"], r["hits"], r["gold"], r["cases_with_hit"]) for r in S.recall_of_configs(ranked, gold, configs, [1, 5]).collect())
     assert got == [("base", 1, 0, 2, 0), ("base", 5, 1, 2, 1), ("bge", 1, 1, 2, 1), ("bge", 5, 1, 2, 1), ("none", 1, 0, 2, 0), ("none", 5, 0, 2, 0)]
+
+
+def test_decisions_are_read_once(spark):
+    """One reading for all fields, whatever the nesting; a text isn't cut where a CDATA section begins."""
+    from sparkloom.sources import scans
+
+    xml = "<d><m><gertyp> V<i>G</i>H</gertyp><gertyp>zwei</gertyp></m><norm>a &amp; b<b>c</b>d</norm><norm/><absatz>x<![CDATA[ <roh> ]]>y</absatz><absatz>eins<!-- c -->zwei</absatz></d>"
+    got = spark.createDataFrame([(1, xml), (2, None), (3, ""), (4, "<d/>")], "k int, xml string").select("k", *[c.alias(n) for n, c in scans.decision_xml(F.col("xml")).items()])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "xpath" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1
+    assert [tuple(r)[1:] for r in got.orderBy("k").collect()] == [
+        ("VGH", None, None, ["a & b", "d"], ["x <roh> y", "eins", "zwei"]), (None,) * 5, (None,) * 5, (None, None, None, [], []),
+    ]
