@@ -772,3 +772,19 @@ def test_decisions_are_read_once(spark):
     assert [tuple(r)[1:] for r in got.orderBy("k").collect()] == [
         ("VGH", None, None, ["a & b", "d"], ["x <roh> y", "eins", "zwei"]), (None,) * 5, (None,) * 5, (None, None, None, [], []),
     ]
+
+
+def test_oracle_context_takes_tasks_by_the_number_of_lines(spark, monkeypatch):
+    """Four times the lines are four times the tasks, in both steps, and a query's keys meet whatever their parts."""
+    from sparkloom.operators import ranking
+    from sparkloom.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, QUERIES["r13_oracle_context"](spark, folder).collect()))
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    for tasks in (10, 40):
+        monkeypatch.setattr(ranking, "TASK_ROWS", -(-lines // tasks))
+        got = QUERIES["r13_oracle_context"](spark, folder)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and plan.count("Exchange") == 2
+        assert sorted(map(tuple, got.collect())) == plain
