@@ -788,3 +788,16 @@ def test_oracle_context_takes_tasks_by_the_number_of_lines(spark, monkeypatch):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and plan.count("Exchange") == 2
         assert sorted(map(tuple, got.collect())) == plain
+
+
+def test_oracle_context_ties_go_by_key(spark, tmp_path, monkeypatch):
+    """Keys as frequent and first seen at one place come by key, however lines are dealt."""
+    from sparkloom.operators import ranking
+    from sparkloom.plans import QUERIES
+
+    lines = spark.createDataFrame([(7, 1, 1, k) for k in range(40, 0, -1)] + [(8, 2, 1, k) for k in (5, 3)] + [(8, 3, 1, 5)], "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = [(7, k, k) for k in range(1, 11)] + [(8, 3, 2), (8, 5, 1)]
+    for rows in (1 << 20, 5):
+        monkeypatch.setattr(ranking, "TASK_ROWS", rows)
+        assert sorted(map(tuple, QUERIES["r13_oracle_context"](spark, str(tmp_path)).select("query", "key", "rank").collect())) == want
