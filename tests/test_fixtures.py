@@ -813,3 +813,26 @@ def test_latent_factors_are_fitted_on_all_documents(spark, tmp_path, monkeypatch
     monkeypatch.setattr(type(d), "count", lambda self: 3_000_000)
     space = L.LatentSpace(d, "id", S.terms(F.col("text")), 3, lambda x: str(tmp_path / x))
     assert seen == [space.matrix] and len(seen[0].lists.select("row").distinct().collect()) == 60
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 600, 0])
+def test_sweep_of_line_items_is_shuffled_once(spark, tmp_path, monkeypatch, hot):
+    """Lists are cut, merged, re-ranked and compared where a query's lines lie; queries of many lines are cut by parts before, with the same rows as the SQL."""
+    import duckdb
+
+    from sparkloom.plans import ORACLES, QUERIES, searching
+
+    monkeypatch.setattr(searching, "HOT", hot, raising=False)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey % 2 = 0").withColumn("l_suppkey", F.expr("CASE WHEN l_suppkey < 4 THEN 3 ELSE l_suppkey END"))
+    lines = lines.union(lines.limit(5).withColumn("l_partkey", F.lit(None).cast("long"))).withColumn("l_extendedprice", F.expr("CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got, length = QUERIES["r19_presets"](spark, str(tmp_path)), spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", length)
+    by_query = [x for x in plan.splitlines() if "Exchange hashpartitioning(query" in x or "Exchange hashpartitioning(l_suppkey" in x]
+    assert len(by_query) == (2 if hot > 600 else 4), by_query  # one is of the wanted keys, two more are of hot queries
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(f"SELECT config, k, hits, gold, cases_with_hit FROM ({ORACLES['r19_presets']})").fetchall()
+    assert sorted(map(tuple, got.select("config", "k", "hits", "gold", "cases_with_hit").collect())) == sorted(want)
