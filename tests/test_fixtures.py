@@ -836,3 +836,23 @@ def test_sweep_of_line_items_is_shuffled_once(spark, tmp_path, monkeypatch, hot)
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     want = con.execute(f"SELECT config, k, hits, gold, cases_with_hit FROM ({ORACLES['r19_presets']})").fetchall()
     assert sorted(map(tuple, got.select("config", "k", "hits", "gold", "cases_with_hit").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("starts, few", [(65_536, 50_000), (3, 5)])
+def test_blocks_are_made_by_stretches(spark, tmp_path, monkeypatch, starts, few):
+    """Documents go once to their stretch of ranges, nothing else is kept of postings, and the result is that of scoring all, whether visits are broadcast or merged."""
+    from sparkloom.operators import blocks as BL
+    from sparkloom.operators import ranking
+
+    for module, name, value in ((BL, "STRETCH", 2), (BL, "STARTS", starts), (BL, "BROADCAST_ROWS", few), (ranking, "BROADCAST_ROWS", few)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 3 + i % 40)), "ab"[i % 2] if i % 9 else None) for i in range(150)] + [(900, None, "a"), (901, "", None), (902, "", "b")]
+    d, q = spark.createDataFrame(rows, "id long, text string, lang string"), spark.createDataFrame([(1, "w1 w2 w3"), (2, "w7 w22"), (3, "nothing")], "q long, text string")
+    BL.write_blocks(d, "id", "text", str(tmp_path / "index"), ["lang"], 4)
+    assert {p.name for p in (tmp_path / "index").iterdir()} == {"sizes", "documents", "totals", "blocks", "terms"}
+    index = BL.BlockIndex(spark, str(tmp_path / "index"))
+    ranges = {r["key"]: r["range"] for r in spark.read.parquet(str(tmp_path / "index/documents")).select("key", "range").collect()}
+    assert all(ranges[p["key"]] == b["range"] for b in index.blocks.collect() for p in b["postings"])
+    assert index.blocks.count() == index.blocks.select("term", "range").distinct().count()
+    say = lambda x: sorted((r["query"], r["rank"], r["key"], f"{r['score']:.7g}") for r in x.collect())
+    assert say(index.search(q, "q", "text", 5, lambda name: str(tmp_path / name), (1, 2))) == say(S.bm25(S.Index(d, "id", "text"), q, "q", "text", 5))
