@@ -6,7 +6,7 @@ that one of them can add to a score. For a query the greatest shares of its term
 without postings (a column of its own); then the ranges with the highest bounds are scored, and what is left is read only where its bound reaches
 the k-th score so far. A document lies in one range, so its score is whole as soon as that is read, and the result equals scoring everything.
 
-Collected are two numbers of the corpus and where stretches of ranges begin; broadcast are asked terms and visits while they are counted to be few. Else blocks and visits
+Collected are two numbers of the corpus and where stretches of ranges begin; broadcast are asked terms and visits, a row a range, while they are counted to be few. Else blocks and visits
 are joined by term and range, whose rows are spread however frequent a term is.
 Keys are distinct; rows without a key aren't indexed, texts that are null or without terms count as documents (null ones not in the mean length) and are never found."""
 
@@ -24,6 +24,8 @@ from .search import K1, B, _counted, terms
 BLOCK, TURNS = 64, (2, 16)
 #: Ranges of a stretch, at least, and stretches, at most.
 STRETCH, STARTS = 16, 65_536
+#: Visits of queries to ranges that may be broadcast, as a list a range.
+VISITS = 1 << 24
 #: Room for the rounding of scores to nine places and for sums in another order.
 MARGIN = 1e-6
 
@@ -142,8 +144,10 @@ class BlockIndex:
 
         def scored(visits: DataFrame) -> DataFrame:
             blocks = self.blocks.select("term", "range", "postings")
-            if len(visits.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:
-                met = blocks.join(weights, "term").join(F.broadcast(visits.select("query", "range")), ["query", "range"])
+            ranges, n = visits.agg(F.countDistinct("range"), F.count("*")).first()
+            if ranges <= BROADCAST_ROWS and n <= VISITS:  # blocks stay where they are, and a document's shares are added up there
+                asking = visits.groupBy("range").agg(F.collect_list("query").alias("queries"))
+                met = blocks.join(F.broadcast(asking), "range").join(weights, "term").where(F.array_contains("queries", F.col("query")))
             else:  # blocks move once, beside what asks for them
                 met = visits.select("query", "range").join(weights, "query").join(blocks.hint("merge"), ["term", "range"])
             each = met.select("query", "idf", "avgdl", F.explode("postings").alias("p"))
