@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .ranking import BROADCAST_ROWS, counted, top_k, with_row_number
+from .ranking import counted, top_k, with_row_number
 from .search import K1, B, _counted, terms
 
 #: Documents of a range, and how many ranges a query reads before it knows a k-th score, and before it goes on to all others that reach it.
@@ -144,8 +144,7 @@ class BlockIndex:
 
         def scored(visits: DataFrame) -> DataFrame:
             blocks = self.blocks.select("term", "range", "postings")
-            ranges, n = visits.agg(F.countDistinct("range"), F.count("*")).first()
-            if ranges <= BROADCAST_ROWS and n <= VISITS:  # blocks stay where they are, and a document's shares are added up there
+            if visits.count() <= VISITS:  # blocks stay where they are, and a document's shares are added up there
                 asking = visits.groupBy("range").agg(F.collect_list("query").alias("queries"))
                 met = blocks.join(F.broadcast(asking), "range").join(weights, "term").where(F.array_contains("queries", F.col("query")))
             else:  # blocks move once, beside what asks for them

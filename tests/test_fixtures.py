@@ -844,7 +844,7 @@ def test_blocks_are_made_by_stretches(spark, tmp_path, monkeypatch, starts, few)
     from sparkloom.operators import blocks as BL
     from sparkloom.operators import ranking
 
-    for module, name, value in ((BL, "STRETCH", 2), (BL, "STARTS", starts), (BL, "BROADCAST_ROWS", few), (ranking, "BROADCAST_ROWS", few)):
+    for module, name, value in ((BL, "STRETCH", 2), (BL, "STARTS", starts), (BL, "VISITS", few), (ranking, "BROADCAST_ROWS", few)):
         monkeypatch.setattr(module, name, value, raising=False)
     rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 3 + i % 40)), "ab"[i % 2] if i % 9 else None) for i in range(150)] + [(900, None, "a"), (901, "", None), (902, "", "b")]
     d, q = spark.createDataFrame(rows, "id long, text string, lang string"), spark.createDataFrame([(1, "w1 w2 w3"), (2, "w7 w22"), (3, "nothing")], "q long, text string")
